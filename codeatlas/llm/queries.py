@@ -19,6 +19,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokens
+    from ._common import new_path
+
+    return tokens.tokenize(spark, _read(spark, sf_dir, "documents"), new_path(spark, "tokens"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -26,6 +33,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from ._common import new_path
+
+    return warc.round_trip(spark, _read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
     from ._common import materialize
@@ -41,11 +55,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_tokens": op2_tokens,
     "op4_sharding": op4_sharding,
+    "op8_warc": op8_warc,
     "op10_chat": op10_chat,
 }
 
 SQL: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(h, CAST(i // 4 AS BIGINT) * 5 + 1, 5))::BIGINT >> CAST((3 - i % 4) * 5 AS BIGINT)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM m""",
     "op10_chat": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
