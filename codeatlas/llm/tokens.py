@@ -32,8 +32,8 @@ SKIPPABLE, SEEK_MAGIC, SEEK_FOOTER, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F
 #: Ids in a frame, about: 256 KiB.
 FRAME_IDS = 65_536
 
-#: Bytes of the memo of chunks; it only saves time.
-MEMO_CHUNKS = 300_000
+#: Chunks kept in the memo, which only saves time.
+MEMO_CHUNKS = 500_000
 
 #: White space other than space and line feed: texts that hold it are encoded in one piece.
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
