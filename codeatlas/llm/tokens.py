@@ -32,41 +32,56 @@ SKIPPABLE, SEEK_MAGIC, SEEK_FOOTER, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F
 #: Ids in a frame, about: 256 KiB.
 FRAME_IDS = 65_536
 
-#: Chunks kept in the memo, which only saves time.
-MEMO_CHUNKS = 500_000
+#: Pieces kept in the memo, which only saves time.
+MEMO_PIECES = 500_000
 
-#: White space other than space and line feed: texts that hold it are encoded in one piece.
-_ODD_SPACE = re.compile("[" + "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-_CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: Texts of these characters alone are cut by _PIECE, which for them is the tokenizer's own pattern; classes are spelled by code point.
+_LETTERS = "A-Za-z" + "".join(map(chr, (0xAA, 0xB5, 0xBA))) + f"{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0x24F)}"
+_NUMBERS = "0-9" + "".join(map(chr, (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE)))
+_FOREIGN = re.compile(f"[^ -~{chr(10)}{chr(0xA1)}-{chr(0x24F)}]")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \n{_LETTERS}{_NUMBERS}]+|[ \n]+(?![^ \n])|[ \n]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """Encodes whole texts. The byte-level pattern never lets a token reach from a character that isn't white space into
-    white space, so a text is the concatenation of its chunks "white space, then none", and repeated chunks are
-    looked up. Texts with rarer white space, or with the spelling of a special token, go to the library in one piece."""
+    """Encodes whole texts as the library does. Texts of Latin characters are cut into the tokenizer's own pieces here, and each
+    distinct piece goes to the library's model once; a memo answers repeats. Other texts, and texts that spell a special token, go
+    through the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self._raw([text])[0]
-        memo, chunks = self.memo, _CHUNK.findall(text)
-        if fresh := list({c for c in chunks if c not in memo}):
-            if len(memo) > MEMO_CHUNKS:
+        if _FOREIGN.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        memo, pieces = self.memo, _PIECE.findall(text)
+        try:
+            return b"".join(map(memo.__getitem__, pieces))
+        except KeyError:
+            if len(memo) > MEMO_PIECES:
                 memo.clear()
-                fresh = list(set(chunks))
-            memo.update(zip(fresh, self._raw(fresh), strict=True))
-        return b"".join([memo[c] for c in chunks])
+            for p in pieces:
+                if p not in memo:
+                    memo[p] = self._piece(p)
+            return b"".join(map(memo.__getitem__, pieces))
 
 
 _ENCODERS: dict[str, Encoder] = {}
