@@ -49,6 +49,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_read(spark, sf_dir, "documents"), percent=85, n=4)
 
 
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wrappers
+
+    return wrappers.extract_pages(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
     from ._common import new_path
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_ngram_join": op6_ngram_join,
+    "op7_extraction": op7_extraction,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
@@ -93,6 +100,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPLIT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op7_extraction": r"""
+WITH p AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)</article>', 1, 's'),
+           '<br[^>]*>', ' ', 'g'), '</?(p|h1|h2|h3|div|li|ul)\b[^>]*>', chr(1), 'g'), chr(1)) AS b
+  FROM pages
+),
+t AS (
+  SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(
+    regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+      '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
+    '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '') AS b
+  FROM p
+)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, CAST(length(array_to_string(b, chr(10))) AS BIGINT) AS n_chars FROM t""",
     "op6_ngram_join": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
