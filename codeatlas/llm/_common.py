@@ -49,6 +49,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Batches that go to Python hold so many bytes at most (or one row), whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint for narrow tables counted to be small; else the planner shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -21,7 +21,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_path
+from ._common import bound_batches, new_path
 from ._files import file_system
 
 #: Words in a window; words and documents in a shard; distance of sampled suffix positions; items in a block.
@@ -218,6 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     id is named 'null'. Documents that repeat, rows or texts, are each reported. Touching spans merge.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = new_path(spark, "benchmark")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     # a short table; its number of rows sets the number of blocks

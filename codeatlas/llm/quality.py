@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bound_batches
+
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -114,6 +116,7 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Ru
     docs has text and the kept columns; columns of docs that are named like a measure or `failed` are dropped. Null and empty
     texts measure 0 throughout. Rows that repeat are measured alike.
     """
+    bound_batches(docs.sparkSession)
     keep = tuple(c for c in dict.fromkeys(keep) if c not in (*MEASURES, "failed"))
     columns = [*keep, *(["text"] if "text" not in keep else [])]
     fields = [docs.schema[c] for c in columns]

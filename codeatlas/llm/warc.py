@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, maybe_broadcast, n_parts
+from ._common import bound_batches, materialize, maybe_broadcast, n_parts
 from ._files import AtomicFile, open_input
 
 #: Bytes of a record's block beyond which it is segmented, of an HTTP chunk, and of an archive.
@@ -173,6 +173,7 @@ def write_archives(pages: DataFrame, out_dir: str, segment: int = SEGMENT, archi
     Null html is an empty payload. Of equal payloads, empty ones included, the page with the smallest id is a response (every row
     that has that id) and the others revisit it. Other columns are ignored. An empty table writes no archives.
     """
+    bound_batches(pages.sparkSession)
     again = materialize(revisits(pages), "revisits")
     n = again.count()
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
@@ -194,8 +195,21 @@ def write_archives(pages: DataFrame, out_dir: str, segment: int = SEGMENT, archi
     return materialize(p.mapInArrow(write, "path string, n_records long, n_bytes long"), "archives")
 
 
-_SEGMENT_SCHEMA = "origin string, number int, total long, page_id long, url string, record_type string, refers_to long, digest string, block binary"
-_PAGE_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, error string"
+_FIELDS = (
+    ("origin", "string", pa.string()), ("number", "int", pa.int32()), ("total", "long", pa.int64()), ("page_id", "long", pa.int64()),
+    ("url", "string", pa.string()), ("record_type", "string", pa.string()), ("refers_to", "long", pa.int64()), ("payload_digest", "string", pa.string()),
+    ("payload_bytes", "long", pa.int64()), ("payload", "binary", pa.binary()), ("error", "string", pa.string()), ("block", "binary", pa.binary()),
+)
+_PAGE = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload", "error")
+
+
+def _schema(names: tuple[str, ...]) -> str:
+    return ", ".join(f"{n} {kind}" for n, kind, _ in _FIELDS if n in names)
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    kept = [(n, t) for n, _, t in _FIELDS if n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kept, strict=True)], [n for n, _ in kept])
 
 
 def _page_number(uri: str | None) -> int | None:
@@ -203,47 +217,54 @@ def _page_number(uri: str | None) -> int | None:
     return int(found[2]) if len(found) > 2 and found[2] else None
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _SEGMENT_SCHEMA.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    rows: list[tuple] = []
-    held = 0
-    for batch in batches:
-        for path in batch["path"].to_pylist():
-            for f, block in records(path):
-                kind = f.get("warc-type")
-                if kind not in ("response", "revisit", "continuation", "resource"):
-                    continue
-                number = int(f.get("warc-segment-number", 0))
-                rid = f.get("warc-segment-origin-id", f["warc-record-id"])
-                total = f.get("warc-segment-total-length")
-                rows.append((rid, number, None if total is None else int(total), _page_number(rid), f.get("warc-target-uri"), kind, _page_number(f.get("warc-refers-to")), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, block))
-                held += len(block)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+def _opened(block: bytes, digest: str | None, with_payload: bool) -> tuple[int | None, bytes | None, str | None]:
+    """(payload_bytes, payload, error) of a whole block."""
+    try:
+        payload, size = http_payload(block)
+    except ValueError as x:
+        return None, None, str(x)
+    if payload is not None and digest and payload_digest(payload) != digest:
+        return None, None, "payload digest differs"
+    return size, payload if with_payload else None, None
+
+
+def _records_of(with_payload: bool):
+    """Rows of _FIELDS: records that are whole are decoded on the spot, segments keep their block."""
+    names = tuple(n for n, _, _ in _FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                for f, block in records(path):
+                    kind = f.get("warc-type")
+                    if kind not in ("response", "revisit", "continuation", "resource"):
+                        continue
+                    number, total = int(f.get("warc-segment-number", 0)), f.get("warc-segment-total-length")
+                    rid = f.get("warc-segment-origin-id", f["warc-record-id"])
+                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    opened = (None, None, None, block) if number else (*_opened(block, digest, with_payload), None)
+                    rows.append((rid, number, None if total is None else int(total), _page_number(rid), f.get("warc-target-uri"), kind, _page_number(f.get("warc-refers-to")), digest, *opened))
+                    held += len(block) if number or with_payload else 100
+                    if held > 4 << 20:
+                        yield _batch(rows, names)
+                        rows, held = [], 0
+        if rows:
+            yield _batch(rows, names)
+
+    return run
 
 
 def _decode(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _PAGE_SCHEMA.split(", ")]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
             rows = []
-            for page_id, url, kind, refers_to, digest, block, error in zip(*(batch[c] for c in ("page_id", "url", "record_type", "refers_to", "digest", "block", "error")), strict=True):
-                payload, size, error = None, None, error.as_py()
-                if error is None:
-                    try:
-                        payload, size = http_payload(block.as_py())
-                        if payload is not None and digest.as_py() and payload_digest(payload) != digest.as_py():
-                            error = "payload digest differs"
-                    except ValueError as x:
-                        error = str(x)
-                rows.append((page_id.as_py(), url.as_py(), kind.as_py(), refers_to.as_py(), digest.as_py(), size, payload if with_payload else None, error))
+            for page_id, url, kind, refers_to, digest, error, block in zip(*(batch[c] for c in ("page_id", "url", "record_type", "refers_to", "payload_digest", "error", "block")), strict=True):
+                opened = (None, None, error.as_py()) if error.is_valid else _opened(block.as_py(), digest.as_py(), with_payload)
+                rows.append((page_id.as_py(), url.as_py(), kind.as_py(), refers_to.as_py(), digest.as_py(), *opened))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield _batch(rows, _PAGE)
 
     return run
 
@@ -256,10 +277,11 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     segment, a total length that isn't stated or met, broken chunk framing and a digest that doesn't fit give a row whose
     error says so and whose payload is null. An origin's segments meet in one row, which is the record's own size.
     """
-    s = paths.select("path").repartition(n_parts(paths), "path").mapInArrow(_segments, _SEGMENT_SCHEMA)
-    whole = s.where("number = 0").withColumn("error", F.lit(None).cast("string"))
+    every = tuple(n for n, _, _ in _FIELDS)
+    s = materialize(paths.select("path").repartition(n_parts(paths), "path").mapInArrow(_records_of(with_payload), _schema(every)), "records")
+    whole = s.where("number = 0").select(*_PAGE)
     cut = s.where("number > 0").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("number", "total", "page_id", "url", "record_type", "refers_to", "digest", "block"))).alias("all")
+        F.array_sort(F.collect_list(F.struct("number", "total", "page_id", "url", "record_type", "refers_to", "payload_digest", "block"))).alias("all")
     )
     numbers = F.transform("all", lambda x: x["number"])
     kept = F.filter("all", lambda x, i: (i == 0) | (F.element_at(numbers, F.greatest(i, F.lit(1))) != x["number"]))
@@ -271,9 +293,8 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
         .when(F.col("last.total").isNull(), F.lit("the last segment is missing"))
         .when(F.col("last.total") != F.length("block"), F.lit("total length differs"))
     )
-    cut = cut.select("origin", "first.page_id", "first.url", "first.record_type", "first.refers_to", "first.digest", "block", error.alias("error"))
-    columns = ["page_id", "url", "record_type", "refers_to", "digest", "block", "error"]
-    return whole.select(columns).unionByName(cut.select(columns)).mapInArrow(_decode(with_payload), _PAGE_SCHEMA)
+    cut = cut.select("first.page_id", "first.url", "first.record_type", "first.refers_to", "first.payload_digest", error.alias("error"), "block")
+    return whole.unionByName(cut.mapInArrow(_decode(with_payload), _schema(_PAGE)))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, out_dir: str) -> DataFrame:
