@@ -26,6 +26,13 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(spark, _read(spark, sf_dir, "documents"), new_path(spark, "tokens"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import paragraphs
+
+    found = paragraphs.find_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_repeats", "removed_chars", "class_id", F.to_json("removed").alias("removed_spans"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -88,6 +95,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_tokens": op2_tokens,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_ngram_join": op6_ngram_join,
