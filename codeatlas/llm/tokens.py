@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, n_parts
+from ._common import bound_batches, materialize, n_parts
 from ._files import AtomicFile, open_input
 
 #: Fixed values of the zstandard skippable and seekable formats.
@@ -33,7 +33,7 @@ SKIPPABLE, SEEK_MAGIC, SEEK_FOOTER, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F
 FRAME_IDS = 65_536
 
 #: Pieces kept in the memo, which only saves time.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 200_000
 
 #: Texts of these characters alone are cut by _PIECE, which for them is the tokenizer's own pattern; classes are spelled by code point.
 _LETTERS = "A-Za-z" + "".join(map(chr, (0xAA, 0xB5, 0xBA))) + f"{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0x24F)}"
@@ -190,6 +190,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     columns are ignored. An empty table gives no files. One range-partitioned shuffle of the texts, then each
     task streams its range into one file; a task that is lost writes the same file again.
     """
+    bound_batches(docs.sparkSession, "4m")
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
