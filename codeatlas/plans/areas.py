@@ -21,14 +21,14 @@ def subdivide(files: DataFrame, path: str = "path", run: str = "run_id", cap: bo
     of a file are counted at once, and its area is its name at the first depth that stays whole. One aggregate and one join, no loop.
     """
     p = F.col(path)
-    depths = F.sequence(F.lit(FIRST_DEPTH), F.greatest(F.lit(FIRST_DEPTH), F.size(paths.directories(p))))
-    f = files.withColumn("_f", F.monotonically_increasing_id()) if "_f" not in files.columns else files
-    tried = f.select(run, path, F.explode(depths).alias("_d"))
+    # one deeper than the file's own directory, where files directly in a directory that was split are counted by themselves
+    depths = F.sequence(F.lit(FIRST_DEPTH), F.greatest(F.lit(FIRST_DEPTH), F.size(paths.directories(p)) + 1))
+    tried = files.select(run, path, F.explode(depths).alias("_d"))
     tried = tried.withColumn("_name", paths.area_at_depth(p, F.col("_d"), cap)).withColumn("_deeper", paths.area_at_depth(p, F.col("_d") + 1, cap) != F.col("_name"))
     split = tried.groupBy(run, "_d", "_name").agg(((F.count(F.lit(1)) > MAX_FILES) & F.bool_or("_deeper")).alias("_split"))
     whole = tried.select(run, path, "_d", "_name").distinct().join(split.where("not _split"), [run, "_d", "_name"])
     area = whole.groupBy(run, path).agg(F.min_by("_name", "_d").alias("area"))
-    return f.drop("_f").join(area, [run, path], "left")
+    return files.join(area, [run, path], "left")
 
 
 def kept_together(areas: DataFrame, files: DataFrame) -> DataFrame:
