@@ -31,7 +31,7 @@ def _scale(c: str) -> Column:
 def matched_entries(callables: DataFrame, entries: DataFrame) -> DataFrame:
     """(run_id, id, kinds array): entry points whose symbol names exactly one callable of their file, kinds in order."""
     one = callables.groupBy("run_id", "file_path", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    e = entries.where("symbol_name is not null").join(one.withColumnRenamed("name", "symbol_name"), ["run_id", "file_path", "symbol_name"])
+    e = entries.where("symbol_name is not null").select("run_id", "ord", "file_path", "symbol_name", "kind").join(one.withColumnRenamed("name", "symbol_name"), ["run_id", "file_path", "symbol_name"])
     return e.groupBy("run_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind"))), lambda x: x["kind"]).alias("kinds"))
 
 

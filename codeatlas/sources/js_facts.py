@@ -18,7 +18,7 @@ _CALL = re.compile(rf"(?<![\w$.])({_NAME})\s*(?:<[\w\s,.\[\]|]*>)?\s*(?=\()")
 _IDENT = re.compile(rf"(?<![\w$])({_NAME})")
 _HOOK = re.compile(rf"\b(?:const|let|var)\s*\[\s*({_NAME})\s*,\s*({_NAME})[^\]]*\]\s*(?::[^=]+)?=\s*(?:React\.)?(useState|useReducer)\b")
 _EFFECT = re.compile(r"\b(?:React\.)?(useEffect|useLayoutEffect)\s*(?=\()")
-_NOT_CALLS = frozenset("if for while switch catch function return typeof await import super constructor new async of in do else void delete throw case yield".split())
+_NOT_CALLS = frozenset("default export if for while switch catch function return typeof await import super constructor new async of in do else void delete throw case yield".split())
 _COMPONENT = re.compile(r"^(React\.)?(Pure)?Component(<.*>)?$")
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
