@@ -50,11 +50,11 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind").isin("start", "edit"), F.col("seq"))).alias("opened"),
     )
     resets = F.filter("log", lambda x: x["late"] == 0)
-    last = F.element_at(resets, -1)
+    last = F.try_element_at(resets, F.lit(-1))
     roles = F.filter(F.transform("log", lambda x: x["role"]), lambda x: x.isNotNull())
     m = m.where(F.col("begun").isNotNull()).select(
         "conv_id", "turn", "opened", "cut_seq",
-        F.coalesce(F.element_at(roles, -1), F.lit("")).alias("role"),
+        F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"),
         F.concat(
             last["text"],
             F.array_join(F.transform(F.filter("log", lambda x: (x["late"] == 1) & (x["seq"] >= last["seq"])), lambda x: x["text"]), ""),

@@ -268,5 +268,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a window of the benchmark; the columns stay."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    return contamination(docs, benchmark, window, keep).where("n_hit = 0").select(*docs.columns)
+    clash = {c: f"_kept_{c}" for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")}
+    named = docs.withColumnsRenamed(clash)
+    found = contamination(named, benchmark, window, tuple(c for c in named.columns if c != "doc_id")).where("n_hit = 0")
+    return found.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
