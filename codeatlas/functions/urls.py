@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _OWNER, _REPO = r"^[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?$", r"^[A-Za-z0-9._-]+$"
+# First path segments that are pages, not owners.
 _RESERVED = ("lore", "explore", "api", "_next")
 
 
