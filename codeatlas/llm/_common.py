@@ -49,7 +49,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Batches that go to Python hold so many bytes at most (or one row), whatever the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -74,8 +74,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each keeps the components and pulls nodes towards
     their smallest neighbour, in O(log^2 n) rounds. Minima are combined before the shuffle, and a hub
-    meets its edges in a plain equi-join, which adaptive execution splits if it is skewed. Null nodes
-    and self-loops are dropped. Each round is written to the shared folder.
+    meets its edges in a plain equi-join, which adaptive execution splits if it is skewed; minima of few edges (their number is
+    known) are broadcast. Null nodes and self-loops are dropped. Each round is written to the shared folder.
     """
     e = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct()
     e = materialize(e, "edges")
@@ -85,9 +85,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(maybe_broadcast(low, 2 * seen[0]), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        small = large.join(maybe_broadcast(low, 2 * seen[0]), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         e = materialize(small.select("x.*").where("u <> v").distinct(), "edges")
         now = _fingerprint(e)
         if now == seen:

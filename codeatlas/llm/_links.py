@@ -2,11 +2,13 @@
 
 Items that share a signature are candidates. Instead of all pairs of a bucket:
 
-1. each bucket's hub (its member that meets most others anywhere) is verified against the members, a row per (hub, member);
-2. components of the verified links settle every bucket whose members now belong together;
-3. of the buckets that stay mixed, members of different components are verified against each other in square blocks: a task
-   gets two slices of a family of mixed buckets and multiplies their feature matrices; it returns only the links that join
-   components. So every candidate pair is either verified or joined already, and no link between components is lost.
+1. a bucket's hub is its member that meets most others anywhere; every item is verified against the best of its hubs (pairs that short
+   sketches of the sets already exclude aren't looked at further);
+2. what components of those links leave apart is verified against its other hubs, a row per (hub, member);
+3. of the buckets that stay mixed, those of at most SMALL members give their pairs across components;
+4. larger ones are verified in square blocks: a task gets two slices of a family of mixed buckets and multiplies their feature
+   matrices; it returns only the links that join components. So every candidate pair is verified, joined already, or of sizes that
+   rule it out, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ._common import connected_components, materialize, maybe_broadcast, n_parts
 
-#: Members and bytes of text in a slice of a family; columns of a feature matrix that are multiplied at once.
-SLICE_ROWS, SLICE_BYTES, COLUMNS = 256, 4 << 20, 4096
+#: Members of a bucket whose pairs are listed; members and bytes of text in a slice of a family; columns of a feature matrix that are multiplied
+#: at once.
+SMALL, SLICE_ROWS, SLICE_BYTES, COLUMNS = 16, 1024, 2 << 20, 2048
 
 Features = Callable[[str], np.ndarray]
 
@@ -111,39 +114,113 @@ def _verify_block(features: Features, percent: int):
     return run
 
 
+def _sketched(features: Features):
+    """Adds the size n of a text's set, and its sketch: the lowest 16 bits of each feature, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [features(t.as_py()) for t in batch["text"]]
+            sketches = [np.sort(s.astype("u2")).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], pa.array([len(x) for x in sets], pa.int32()), pa.array(sketches, pa.binary())], ["id", "text", "n", "sketch"])
+
+    return run
+
+
+def _maybe_similar(percent: int):
+    """Pairs (u, v) whose sketches allow the similarity. Equal features have equal bits, so counting bits in common never counts too few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, np.zeros(0, "u2")
+        for batch in batches:
+            us, vs = [], []
+            for u, v, x, y in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), batch["sketch_u"], batch["sketch_v"], strict=True):
+                if u != last:
+                    last, a = u, np.bincount(np.frombuffer(x.as_py(), "u2"), minlength=1 << 16)
+                values, counts = np.unique(np.frombuffer(y.as_py(), "u2"), return_counts=True)
+                if similar(int(np.minimum(a[values], counts).sum()), int(a.sum()), int(counts.sum()), percent):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, text: DataFrame, features: Features, percent: int, name: str, sketches: bool) -> DataFrame:
+    """The pairs (u, v) that are similar: sizes that rule it out go first; where few are expected to be similar, sketches sort out others. The hub
+    is joined last, so that rows of a hub follow each other."""
+
+    def joined(pairs: DataFrame, items: DataFrame, column: str) -> DataFrame:
+        rows = pairs.join(items.select(F.col("id").alias("v"), F.col(column).alias(f"{column}_v")), "v")
+        return rows.join(items.select(F.col("id").alias("u"), F.col(column).alias(f"{column}_u")), "u").select("u", "v", f"{column}_u", f"{column}_v")
+
+    fit = joined(pairs, text, "n").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent).select("u", "v")
+    pairs = materialize(fit, "pairs")
+    if sketches:
+        pairs = materialize(joined(pairs, text, "sketch").mapInArrow(_maybe_similar(percent), "u long, v long"), "maybe")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    text = text.select("id", "text").join(maybe_broadcast(ids, 2 * pairs.count()), "id", "left_semi")
+    return materialize(joined(pairs, text, "text").mapInArrow(_verify_star(features, percent), "u long, v long"), name)
+
+
 def link_components(signatures: DataFrame, texts: Callable[[DataFrame, int], DataFrame], features: Features, percent: int) -> DataFrame:
     """(id, root): the component of every item that is linked with another; root is its smallest id.
 
-    signatures: (sig long, id long); similar items share one. texts(ids, n) gives (id, text) of n distinct ids. features turns a text
+    signatures: (sig long, id long); similar items share one. texts(ids, n) gives (id, text) of n distinct ids, where rows may repeat. features turns a text
     into its sorted set of 64-bit features.
     """
-    s = signatures.repartition(n_parts(signatures), "sig")
-    # buckets of two items or more; min and max tell that without gathering a bucket
-    buckets = s.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("sig", "n")
+    # the explicit filter keeps both readers of this exchange alike, so that it is made once
+    s = signatures.where("sig is not null").repartition(n_parts(signatures), "sig")
+    # buckets of two items or more, told by their ends without gathering them; buckets of equal content count as one
+    h = F.xxhash64("id")
+    ends = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(h, 32)).alias("x"), F.sum(h.bitwiseAND(F.lit(2**32 - 1))).alias("y")]
+    buckets = s.groupBy("sig").agg(*ends).where("lo < hi")
+    buckets = buckets.groupBy("lo", "hi", "n", "x", "y").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("m")).select("sig", (F.col("m") * F.col("n")).alias("w"))
     members = materialize(s.join(buckets, "sig").distinct(), "members")
-    degree = members.groupBy("id").agg(F.sum("n").alias("d"))
-    degree = materialize(degree, "degree")
+    degree = materialize(members.groupBy("id").agg(F.sum("w").alias("d")), "degree")
     n_items = degree.count()
     if n_items == 0:
         return members.select("id", F.col("id").alias("root"))
-    ids = degree.select("id")
-    text = materialize(texts(ids, n_items), "candidates")
-    hubs = members.join(maybe_broadcast(degree, n_items), "id").groupBy("sig").agg(F.max(F.struct("d", F.bitwise_not("id").alias("id"))).alias("top"))
-    hubs = hubs.select("sig", F.bitwise_not("top.id").alias("hub"))
-    star = members.join(hubs, "sig").where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    star = materialize(star, "star")
-    rows = star.join(text.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    links = materialize(rows.mapInArrow(_verify_star(features, percent), "u long, v long"), "links")
+    text = texts(degree.select("id"), n_items).mapInArrow(_sketched(features), "id long, text string, n int, sketch binary")
+    text = materialize(text, "candidates")
+    if text.count() > n_items:  # rows that repeat an id
+        text = materialize(text.groupBy("id").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "candidates")
+    weighed = members.join(maybe_broadcast(degree, n_items), "id")
+    hubs = weighed.groupBy("sig").agg(F.max(F.struct("d", F.bitwise_not("id").alias("id"))).alias("top"), F.count(F.lit(1)).alias("size"))
+    hubs = materialize(hubs.select("sig", F.col("top.d").alias("d"), F.bitwise_not("top.id").alias("hub"), "size"), "hubs")
+
+    # 1. every item against the hub, of all its buckets', that meets most others
+    star = members.join(hubs, "sig").where("id <> hub")
+    best = star.groupBy("id").agg(F.max(F.struct("d", "hub")).alias("top")).select(F.col("top.hub").alias("u"), F.col("id").alias("v"))
+    best = materialize(best, "star")
+    links = _verified(best, text, features, percent, "links", sketches=False)
     comps = materialize(connected_components(links), "components")
-    placed = members.join(comps, members.id == comps.node, "left").select("sig", "id", F.coalesce("root", "id").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("sig")
-    # mixed buckets already failed against their hub; their families are joined by common members
-    left = materialize(placed.join(mixed, "sig").join(hubs, "sig").select("sig", "id", "comp", "hub"), "mixed")
-    if left.limit(1).count() == 0:
+
+    # 2. against the hubs of its other buckets, unless they belong together by now
+    other = star.select("id", "hub").distinct().join(best.select(F.col("u").alias("hub"), F.col("v").alias("id")), ["hub", "id"], "left_anti")
+    other = _with_root(_with_root(other, comps, "id", "a"), comps, "hub", "b").where("a <> b").select(F.col("hub").alias("u"), F.col("id").alias("v"))
+    links = links.unionByName(_verified(materialize(other, "star"), text, features, percent, "links", sketches=True))
+    comps = materialize(connected_components(links), "components")
+
+    # 3. pairs of small buckets that stay mixed; buckets of two are settled
+    left = _mixed(members.join(hubs.where((F.col("size") > 2) & (F.col("size") <= SMALL)), "sig").where("id <> hub").select("sig", "id"), comps)
+    one = F.array_sort(F.collect_list(F.struct("id", "comp")))  # SMALL entries at most
+    later = lambda x, i: F.transform(F.filter(F.slice("all", i + 2, SMALL), lambda y: y["comp"] != x["comp"]), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))
+    pairs = left.groupBy("sig").agg(one.alias("all")).select(F.explode(F.flatten(F.transform("all", later))).alias("p")).select("p.*").distinct()
+    pairs = materialize(pairs, "star")
+    if pairs.take(1):
+        links = links.unionByName(_verified(pairs, text, features, percent, "links", sketches=True))
+        comps = materialize(connected_components(links), "components")
+
+    # 4. blocks of families of large buckets that stay mixed
+    left = _mixed(members.join(hubs.where(F.col("size") > SMALL), "sig").select("sig", "id", "hub"), comps)
+    left = materialize(left.select("id", "comp", "hub").distinct(), "mixed")
+    if not left.take(1):
         return comps.select(F.col("node").alias("id"), "root")
     families = connected_components(left.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")))
     people = left.select("id", "comp").distinct().join(families, F.col("id") == F.col("node")).select("id", "comp", F.col("root").alias("family"))
-    people = materialize(people.join(text, "id").withColumn("bytes", F.octet_length("text")), "families")
+    people = materialize(people, "people")
+    people = text.select("id", "text").join(maybe_broadcast(people, people.count()), "id").withColumn("bytes", F.octet_length("text"))
+    people = materialize(people, "families")
     sizes = people.groupBy("family").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / SLICE_ROWS), F.ceil(F.sum("bytes") / SLICE_BYTES)).cast("int").alias("k"), F.min("comp").alias("a"), F.max("comp").alias("b")
     ).where("a < b")
@@ -152,6 +229,21 @@ def link_components(signatures: DataFrame, texts: Callable[[DataFrame, int], Dat
     blocks = people.withColumn("other", other).select(
         "family", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "comp", "text"
     )
+    # dealt by block: without this, rows would stay where the join by family has put them, a family in one task
+    blocks = blocks.repartition(n_parts(text), "family", "lo", "hi")
     more = blocks.groupBy("family", "lo", "hi").applyInArrow(_verify_block(features, percent), "u long, v long")
     every = links.unionByName(materialize(more, "links"))
     return materialize(connected_components(every), "components").select(F.col("node").alias("id"), "root")
+
+
+def _mixed(placed: DataFrame, comps: DataFrame) -> DataFrame:
+    """placed (sig, id, ...) with the item's component `comp`, of the buckets that hold more than one component."""
+    placed = _with_root(placed, comps, "id", "comp")
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("sig")
+    return placed.join(mixed, "sig")
+
+
+def _with_root(df: DataFrame, comps: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the component of `column`; an item without links is its own."""
+    c = comps.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return df.join(c, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", column)).drop("_node", "_root")

@@ -7,11 +7,14 @@ each subset of two of the three gives a signature, one of which must agree. A se
 too. Subsets without features give no signature unless the set has so few full partitions that it needs them (then each partner
 needs them as well), so the join is exact: every similar pair shares a signature, and candidates are verified on their sets. Some
 spare partitions make such sets rare.
+
+Features that very many sets hold would make signatures of nothing but boilerplate. Leaving any fixed features out of all sets can only lower
+the number of differences, so signatures are taken from the other features alone; sets that are left with too few full partitions add
+signatures of all their features, as does each partner that has too few. What is left out is a matter of speed, never of results.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, maybe_broadcast
+from ._common import bound_batches, materialize, maybe_broadcast, new_path
+from ._files import file_system
 from ._links import link_components
 
 #: Growth of band limits, and words in a shingle.
 GROWTH, SHINGLE = 1.5, 4
 
+#: A feature is common if COMMON_LOCAL sets of a run of COMMON_CHUNK features hold it; the COMMON_MOST most frequent ones are left out of signatures.
+COMMON_LOCAL, COMMON_CHUNK, COMMON_MOST = 8, 1_000_000, 200_000
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -37,41 +44,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S32)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered by the worker."""
+class WordHashes(dict):
+    """64-bit hashes of words, remembered by the worker; the memo is dropped when it is full."""
+
+    MOST = 100_000
 
-    def __init__(self, most: int = 200_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), "u8", len(words))
+        if len(self) > self.MOST:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), "u8", len(words))
 
 
 _HASHES = WordHashes()
 
 
+def _spread(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n-word windows of word hashes."""
+    out = np.zeros(len(h) - n + 1, "u8")
+    for j in range(n):
+        out = mix(out + h[j : len(h) - n + 1 + j])
+    return out
+
+
 def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     """The sorted set of hashed n-word shingles; with fewer words, of the whole sequence; none without words."""
     if not words:
         return np.zeros(0, "u8")
-    h = _HASHES(words)
-    k = min(n, len(words))
-    out = np.zeros(len(h) - k + 1, "u8")
-    for j in range(k):
-        out = mix(out + h[j : len(h) - k + 1 + j] + np.uint64(k))
-    return np.unique(out)
+    return np.unique(_spread(_HASHES(words), min(n, len(words))))
+
+
+def many_shingles(many: list[list[bytes]], n: int = SHINGLE) -> list[np.ndarray]:
+    """shingles() of many sequences, hashed in one go; a batch of a few megabytes at most."""
+    h = _HASHES([w for words in many for w in words])
+    grams = _spread(h, n) if len(h) >= n else np.zeros(0, "u8")
+    out, at = [], 0
+    for words in many:
+        k = len(words)
+        out.append(np.unique(grams[at : at + k - n + 1]) if k >= n else shingles(words, n))
+        at += k
+    return out
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z lower-cased, split at ASCII white space."""
+    return (text or "").encode().lower().split()
 
 
 def text_set(n: int = SHINGLE):
-    """A text's set: A-Z lower-cased, words without ASCII white space."""
-    return lambda text: shingles((text or "").encode().lower().split(), n)
+    """A text's set."""
+    return lambda text: shingles(words_of(text), n)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -83,88 +108,110 @@ def bands(percent: int, most: int) -> list[tuple[int, int, int]]:
     """(largest size, k, n1) of the bands, from the smallest size that can have an unequal partner up to beyond `most`."""
     out, r = [], 0
     while not out or out[-1][0] < most:
-        low, r = r, max(r + 1, int(r * GROWTH)) if r else -(-percent // (100 - percent)) + 1
+        r = max(r + 1, int(r * GROWTH)) if r else -(-percent // (100 - percent)) + 1
         k = (100 - percent) * 2 * r // (100 + percent)
-        out.append((r, k, _partitions(k, max(1, low * percent // 100))))
+        out.append((r, k, k // 2 + 1 + max(2, k // 32)))  # spare ones make sets rare that need signatures without features
     return out
 
 
-def _partitions(k: int, least: int) -> int:
-    """k // 2 + 1 first-level partitions and as many spare ones, up to six, as make it least likely that a set of size `least` has
-    more than the spare number of partitions in which fewer than two of three cells hold features."""
-
-    def risk(spare: int) -> float:
-        n1 = k // 2 + 1 + spare
-        full = 1 - math.exp(-least / (3 * n1))
-        bad = (1 - full) ** 3 + 3 * full * (1 - full) ** 2
-        return 1 - sum(math.comb(n1, i) * bad**i * (1 - bad) ** (n1 - i) for i in range(spare + 1))
-
-    return k // 2 + 1 + min(range(7), key=lambda x: (round(risk(x), 9), x))
-
-
-def signatures(s: np.ndarray, percent: int, limits: list[tuple[int, int, int]]) -> np.ndarray:
-    """The signatures of one set, as signed 64-bit numbers."""
+def signatures(s: np.ndarray, percent: int, limits: list[tuple[int, int, int]], common: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of one set, as signed 64-bit numbers; `common` is the sorted array of features to leave out."""
     n, out = len(s), []
+    some = s
+    if common is not None and len(common) and n:
+        at = np.searchsorted(common, s)
+        at[at == len(common)] = 0
+        some = s[common[at] != s]
     reach = n * 100 // percent  # the largest partner
     if reach <= n:  # only equal sets are similar
         return np.zeros(0, "i8")
     low = 0
-    for band, (r, k, n1) in enumerate(limits):
+    for band, (r, _, n1) in enumerate(limits):
         # the set itself, or as the smaller partner of sets in this band
         if n <= r and reach > low:
-            out.append(_band_signatures(s, band, k, n1))
+            most = (100 - percent) * (n + min(r, reach)) // (100 + percent)  # differences from any partner in this band, k at most
+            sig, enough = _band_signatures(some, band, most, n1)
+            out.append(sig)
+            if not enough:
+                sig, enough = _band_signatures(s, band + 1000, most, n1)
+                out.append(sig if enough else _band_signatures(s, band + 1000, most, n1, empty=True)[0])
         if reach <= r:
             break
         low = r
     return np.concatenate(out).view("i8") if out else np.zeros(0, "i8")
 
 
-def _band_signatures(s: np.ndarray, band: int, k: int, n1: int) -> np.ndarray:
-    cell = ((s >> _S32) * np.uint64(3 * n1)) >> _S32  # the upper half of the hash picks one of 3 * n1 cells
-    cell = cell.astype("i8")
+def _band_signatures(s: np.ndarray, band: int, k: int, n1: int, empty: bool = False) -> tuple[np.ndarray, bool]:
+    """(signatures of the subsets that hold features, or of all, whether they suffice by themselves)."""
+    cell = (((s >> _S32) * np.uint64(3 * n1)) >> _S32).astype("i8")  # the upper half of the hash picks one of 3 * n1 cells
     sums = np.zeros(3 * n1, "u8")
     np.add.at(sums, cell, mix(s))
     full = np.bincount(cell, minlength=3 * n1).reshape(n1, 3) > 0
     sums = sums.reshape(n1, 3)
-    place = (np.arange(n1, dtype="u8")[:, None] * np.uint64(3) + np.arange(3, dtype="u8")) * _M1 + np.array([band], "u8") * _M2
+    place = np.arange(3 * n1, dtype="u8").reshape(n1, 3) * _M1 + np.array([band], "u8") * _M2
     a, b = np.array([0, 0, 1]), np.array([1, 2, 2])
     sig = mix(mix(sums[:, a] + place) + sums[:, b])
-    some = full[:, a] | full[:, b]
-    if (full.sum(axis=1) >= 2).sum() <= k // 2:  # too few partitions all of whose subsets hold features
-        return sig.ravel()
-    return sig[some]
+    # to leave no common subset that holds features, two differences are needed in a partition with two full cells, one with one
+    cells = full.sum(axis=1)
+    enough = bool(2 * (cells >= 2).sum() + (cells == 1).sum() > k)
+    return (sig.ravel() if empty else sig[full[:, a] | full[:, b]]), enough
 
 
 def _set_rows(n: int):
-    get = text_set(n)
+    """(doc_id, n_shingles, item) of every document; and with n_shingles = -count, (null, -count, feature) of locally common features."""
+
+    def row_batch(ids, sizes, items) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(items, pa.int64())], ["doc_id", "n_shingles", "item"])
+
+    def common(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= COMMON_LOCAL
+            yield row_batch(pa.nulls(int(often.sum()), pa.int64()), -counts[often], values[often].view("i8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
         for batch in batches:
-            sets = [get(t.as_py()) for t in batch["text"]]
-            size = pa.array([len(s) for s in sets], pa.int64())
-            key = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], size, key], ["doc_id", "n_shingles", "item"])
+            sets = many_shingles([words_of(t.as_py()) for t in batch["text"]], n)
+            yield row_batch(batch["doc_id"], [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets])
+            held += sets
+            total += sum(map(len, sets))
+            if total > COMMON_CHUNK:
+                yield from common(held)
+                held, total = [], 0
+        yield from common(held)
 
     return run
 
 
-def _signature_rows(n: int, percent: int):
-    get = text_set(n)
+_COMMON: dict[str, np.ndarray] = {}
+
+
+def _common_features(path: str) -> np.ndarray:
+    if path not in _COMMON:
+        import pyarrow.dataset as ds
+
+        fs, at = file_system(path)
+        _COMMON.clear()
+        _COMMON[path] = np.sort(ds.dataset(at, filesystem=fs, format="parquet").to_table(columns=["item"])["item"].to_numpy().astype("i8").view("u8"))
+    return _COMMON[path]
+
 
+def _signature_rows(n: int, percent: int, common_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a partition give their signatures once
-        limits = bands(percent, 1 << 10)
+        limits, common = bands(percent, 1 << 10), _common_features(common_path)
         for batch in batches:
             sigs, items, held = [], [], 0
-            for t in batch["text"]:
-                s = get(t.as_py())
+            for s in many_shingles([words_of(t.as_py()) for t in batch["text"]], n):
                 key = set_key(s) if len(s) else None
                 if key is None or key in seen:
                     continue
                 seen.add(key)
                 if 2 * len(s) > limits[-1][0]:
                     limits = bands(percent, 4 * len(s))
-                x = signatures(s, percent, limits)
+                x = signatures(s, percent, limits, common)
                 sigs.append(x)
                 items.append(np.full(len(x), key, "i8"))
                 held += len(x)
@@ -189,17 +236,21 @@ def join_components(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> Dat
     null doc_id is linked with nothing and has a null component_id. Null texts and texts without words have no shingles and are linked with nothing. Rows that share a doc_id are separate documents that answer alike if
     their sets do. Equal sets collapse into one item before anything is compared, so copies cost one row each.
     """
+    bound_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
-    sets = materialize(d.mapInArrow(_set_rows(n), "doc_id long, n_shingles long, item long"), "sets")
-    sigs = d.where("doc_id is not null").select("text").mapInArrow(_signature_rows(n, percent), "sig long, id long")
+    rows = materialize(d.mapInArrow(_set_rows(n), "doc_id long, n_shingles long, item long"), "sets")
+    sets = rows.where("n_shingles >= 0")
+    often = rows.where("n_shingles < 0").groupBy("item").agg(F.sum("n_shingles").alias("n")).orderBy("n", "item").limit(COMMON_MOST).select("item")
+    common_path = new_path(docs.sparkSession, "common")
+    often.write.parquet(common_path)
+    sigs = d.where("doc_id is not null").select("text").mapInArrow(_signature_rows(n, percent, common_path), "sig long, id long")
     owners = sets.where("item is not null and doc_id is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
 
     def texts(ids: DataFrame, count: int) -> DataFrame:
         of = materialize(owners.join(maybe_broadcast(ids.withColumnRenamed("id", "item"), count), "item"), "owners")
-        # a few ids go to every task; many meet the documents in a shuffle join. A repeated doc_id is told apart by its set.
+        # a few ids go to every task; many meet the documents in a shuffle join. Rows of a doc_id that have another set are left out.
         found = d.join(maybe_broadcast(of, count), "doc_id")
-        rows = found.mapInArrow(_checked(n), "item long, text string")
-        return rows.groupBy("item").agg(F.first("text").alias("text")).withColumnRenamed("item", "id")
+        return found.mapInArrow(_checked(n), "id long, text string")
 
     comps = link_components(sigs, texts, text_set(n), percent)
     lowest = owners.join(comps, owners.item == comps.id, "left").select("item", F.coalesce("root", "item").alias("root"), "doc_id")
@@ -217,7 +268,7 @@ def _checked(n: int):
         for batch in batches:
             rows = [(i, t.as_py()) for i, t in zip(batch["item"].to_pylist(), batch["text"], strict=True)]
             rows = [(i, t) for i, t in rows if len(s := get(t)) and set_key(s) == i]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["item", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["id", "text"])
 
     return run
 
