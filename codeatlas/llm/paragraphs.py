@@ -241,7 +241,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     def texts(ids: DataFrame, count: int) -> DataFrame:
         of = first.join(maybe_broadcast(ids.withColumnRenamed("id", "item"), count), "item").groupBy("first.doc_id").agg(F.collect_list("item").alias("items"))
         found = docs.join(maybe_broadcast(materialize(of, "owners"), count), "doc_id").select("items", "text")
-        return found.mapInArrow(_lines_of(min_words), "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
+        return found.mapInArrow(_lines_of(min_words), "id long, text string")
 
     comps = link_components(docs.select("text").mapInArrow(_band_rows(min_words), "sig long, id long"), texts, _features, PERCENT)
     # an item's component, and the component's first paragraph
@@ -254,8 +254,9 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, owner) of runs of words that an earlier document, the owner, holds too."""
-    occ = docs.mapInArrow(_piece_rows, "item long, doc_id long, words long").repartition(n_parts(docs), "item")
-    again = occ.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("item", "owner")
+    # both readers ask for the same columns and filters, so that the exchange is made once
+    occ = docs.mapInArrow(_piece_rows, "item long, doc_id long, words long").where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
+    again = occ.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), F.max("words").alias("w")).where("owner < most and w > 0").select("item", "owner")
     pairs = occ.join(again, "item").where("doc_id <> owner").groupBy("doc_id", "owner").agg(F.sum("words").alias("n")).where(F.col("n") >= SHARED_WORDS).select("doc_id", "owner")
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select("doc_id").unionByName(pairs.select(F.col("owner").alias("doc_id"))).distinct(), "ids")
