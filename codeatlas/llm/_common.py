@@ -1,13 +1,14 @@
-"""What the operators share: the folder all executors see, tables that cut lineage, components of a graph."""
+"""What the operators share: paths in the folder all executors see, bounds of batches and broadcasts, components of a graph."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, shared_dir
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,38 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets a temporary
-    folder and a cluster gets one below the warehouse, which its executors share."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        path = tempfile.mkdtemp(prefix="codeatlas-")
-    else:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_codeatlas"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share."""
     return f"{shared_dir(spark)}/codeatlas/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared file system, whatever its kind."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def n_parts(df: DataFrame, least: int = 1) -> int:
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:
@@ -59,16 +35,6 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def text_key(text: Column) -> Column:
-    """128 bits that stand for a text: two 64-bit hashes with different seeds."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7919), text).alias("b"))
-
-
-def n_parts(df: DataFrame, least: int = 1) -> int:
-    spark = df.sparkSession
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u, v), root the smallest node of its component.
 

@@ -148,27 +148,30 @@ def pieces(h: np.ndarray, starts: np.ndarray, reach: int = REACH) -> tuple[np.nd
     return mix(key)[keep].view("i8"), owner[at[:-1]][keep], size[keep]
 
 
-def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(held: list[list[bytes]], ids: list[int]) -> pa.RecordBatch:
-        n = np.array([len(w) for w in held])
-        key, nth, size = pieces(_HASHES([w for words in held for w in words]), np.concatenate([[0], np.cumsum(n)[:-1]]))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(ids, "i8")[nth]), pa.array(size.astype("i8"))], ["item", "doc_id", "words"])
-
-    held: list[list[bytes]] = []
-    ids: list[int] = []
-    total = 0
-    for batch in batches:
-        for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            w = _words(t.as_py() or "")
-            if len(w) >= MIN_WORDS:
-                held.append(w)
-                ids.append(d)
-                total += len(w)
-            if total > 400_000:
-                yield flush(held, ids)
-                held, ids, total = [], [], 0
-    if held:
-        yield flush(held, ids)
+def _piece_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[list[bytes]], ids: list[int]) -> pa.RecordBatch:
+            n = np.array([len(w) for w in held])
+            key, nth, size = pieces(_HASHES([w for words in held for w in words]), np.concatenate([[0], np.cumsum(n)[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(ids, "i8")[nth]), pa.array(size.astype("i8"))], ["item", "doc_id", "words"])
+
+        held: list[list[bytes]] = []
+        ids: list[int] = []
+        total = 0
+        for batch in batches:
+            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                w = _words(t.as_py() or "")
+                if len(w) >= min_words:
+                    held.append(w)
+                    ids.append(d)
+                    total += len(w)
+                if total > 400_000:
+                    yield flush(held, ids)
+                    held, ids, total = [], [], 0
+        if held:
+            yield flush(held, ids)
+
+    return run
 
 
 def grams(words: list[bytes], n: int = GRAM) -> np.ndarray:
@@ -255,7 +258,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, owner) of runs of words that an earlier document, the owner, holds too."""
     # both readers ask for the same columns and filters, so that the exchange is made once
-    occ = docs.mapInArrow(_piece_rows, "item long, doc_id long, words long").where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
+    occ = docs.mapInArrow(_piece_rows(min_words), "item long, doc_id long, words long").where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
     again = occ.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), F.max("words").alias("w")).where("owner < most and w > 0").select("item", "owner")
     pairs = occ.join(again, "item").where("doc_id <> owner").groupBy("doc_id", "owner").agg(F.sum("words").alias("n")).where(F.col("n") >= SHARED_WORDS).select("doc_id", "owner")
     pairs = materialize(pairs, "pairs")
