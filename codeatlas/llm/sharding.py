@@ -44,24 +44,28 @@ def _propagate(atoms: DataFrame, shards: int, total: int, rounds: int, slack: fl
     for r in range(rounds):
         pull = atoms.groupBy("ga", "gb", "shard").agg(F.sum("weight").alias("held"))
         # of each group: the shard that holds most (ties by hash), and what lies where
-        best = pull.groupBy("ga", "gb").agg(F.max(F.struct("held", F.xxhash64("ga", "shard").alias("tie"), "shard")).alias("top"))
-        held = pull.join(best, ["ga", "gb"]).select("ga", "gb", "shard", "held", F.col("top.shard").alias("want"), F.col("top.held").alias("there"))
+        best = pull.groupBy("ga", "gb").agg(F.max(F.struct("held", F.xxhash64("ga", "shard").alias("tie"), "shard")).alias("top"), (F.sum("held") <= total / shards / 4).alias("small"))
+        held = pull.join(best, ["ga", "gb"]).select("ga", "gb", "shard", "held", "small", F.col("top.shard").alias("want"), F.col("top.held").alias("there"))
         a = atoms.join(held, ["ga", "gb", "shard"])
         a = a.withColumn("gain", F.col("there") - F.col("held") + F.col("weight")).withColumn("moves", (F.col("want") != F.col("shard")) & (F.col("gain") > 0))
         # quotas: a table of shards x shards rows at most
-        flow = a.where("moves").groupBy("shard", "want").agg(F.sum("weight").alias("out"))
+        flow = a.where("moves").groupBy("shard", "want").agg(F.sum("weight").alias("out"), F.coalesce(F.sum(F.when(F.col("small"), F.col("weight"))), F.lit(0)).alias("out_small"))
         back = flow.select(F.col("shard").alias("want"), F.col("want").alias("shard"), F.col("out").alias("back"))
         linked = atoms.groupBy("shard").agg(F.sum("weight").alias("load"))
         # rows without neighbours are spread evenly and give way: what is linked may fill a shard
         asked = flow.groupBy("want").agg(F.sum("out").alias("asked"))
         room = asked.join(linked.withColumnRenamed("shard", "want"), "want", "left").select("want", "asked", F.greatest(F.lit(0.0), capacity - F.coalesce("load", F.lit(0))).alias("room"))
+        # small groups go first, as large ones are split in any case
+        let = F.least("out", F.coalesce("back", F.lit(0))) + F.col("room") * F.col("out") / F.col("asked")
+        large = F.col("out") - F.col("out_small")
         quota = flow.join(back, ["shard", "want"], "left").join(room, "want").select(
             "shard", "want",
-            F.least(F.lit(1.0), (F.least("out", F.coalesce("back", F.lit(0))) + F.col("room") * F.col("out") / F.col("asked")) / F.col("out")).alias("part"),
+            F.when(F.col("out_small") > 0, F.least(F.lit(1.0), let / F.col("out_small"))).otherwise(F.lit(0.0)).alias("part_small"),
+            F.when(large > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), let - F.col("out_small")) / large)).otherwise(F.lit(0.0)).alias("part_large"),
         )
         a = a.join(F.broadcast(quota), ["shard", "want"], "left")  # shards x shards rows
         drawn = F.pmod(F.xxhash64("ga", "gb", "first", "slice", F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
-        go = F.col("moves") & (drawn < F.col("part"))
+        go = F.col("moves") & (drawn < F.when(F.col("small"), F.col("part_small")).otherwise(F.col("part_large")))
         atoms = materialize(a.select("ga", "gb", "first", "slice", "weight", F.when(go, F.col("want")).otherwise(F.col("shard")).alias("shard")), "atoms")
     return atoms
 
@@ -88,20 +92,24 @@ def shard_rows(docs: DataFrame, shards: int = 8, group: Column | None = None, la
     unit = F.lit(1) if law == "rows" else F.col("size")
     n, total = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(unit), F.lit(0))).first()
     groups = d.where("not alone").groupBy("ga", "gb").agg(F.count(F.lit(1)).alias("n_group")).where("n_group > 1")
+    groups = materialize(groups, "groups")  # so that the join below is of two plain exchanges, which adaptive execution can split
     d = materialize(d.join(groups, ["ga", "gb"], "left").withColumn("n_group", F.when(F.col("alone"), None).otherwise(F.col("n_group"))), "docs")
     d = d.withColumn("slice", F.when(F.col("n_group").isNotNull(), F.pmod(F.col("h"), F.ceil(F.col("n_group") / (SLICE * shards)))))
     linked = d.where("n_group is not null")
     atoms = linked.groupBy("ga", "gb", "first", "slice").agg(F.sum(unit).alias("weight")).withColumn("shard", F.col("first"))
     atoms = _propagate(materialize(atoms, "atoms"), shards, total, rounds, slack)
     moved = linked.join(atoms.drop("weight"), ["ga", "gb", "first", "slice"]).unionByName(d.where("n_group is null").withColumn("shard", F.col("first")))
-    moved = moved.select("doc_id", "size", "text_crc32", "h", "shard", F.coalesce("n_group", F.lit(1)).alias("links"))
+    links = F.coalesce("n_group", F.lit(1))
+    # where rows leave a shard, those of a small group stand next to each other and go together
+    unit_hash = F.when((links > 1) & (links <= SLICE), F.xxhash64("ga", "gb")).otherwise(F.col("h"))
+    moved = moved.select("doc_id", "size", "text_crc32", "h", "shard", links.alias("links"), unit_hash.alias("u"))
     even = _even_out(materialize(moved, "moved"), shards, law, n, total)
     numbered = _two_level(even, ["shard"], [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.lit(1), max(1, n // shards), "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def _even_out(d: DataFrame, shards: int, law: str, n: int, total: int) -> DataFrame:
-    """Rows leave shards above their share, those with the fewest links first, and fill the others."""
+    """Rows leave shards above their share, and fill the others: first rows without links, then rows of large groups, then small groups."""
     unit = F.lit(1) if law == "rows" else F.col("size")
     share = [total // shards + (k < total % shards) for k in range(shards)]
     load = dict(d.groupBy("shard").agg(F.sum(unit)).collect())  # one row per shard
@@ -111,14 +119,13 @@ def _even_out(d: DataFrame, shards: int, law: str, n: int, total: int) -> DataFr
     over = {k: load[k] - share[k] for k in range(shards) if load[k] > share[k]}
     if not over:
         return d
-    # leaving order: rows without links first, then by size of group in powers of two; hashes break ties
-    level = F.least(F.floor(F.log2(F.col("links").cast("double"))), F.lit(40)).cast("int")
+    level = F.when(F.col("links") == 1, 0).when(F.col("links") > SLICE, 1).otherwise(2)
     excess = F.create_map(*[F.lit(x) for k, v in over.items() for x in (k, v)])
     d = d.withColumn("level", level)
     by_level = d.groupBy("shard", "level").agg(F.sum(unit).alias("t"), F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("shard").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.broadcast(by_level.withColumn("base", F.coalesce(F.sum("t").over(w), F.lit(0))).select("shard", "level", "base"))  # shards x 41 rows
-    keys = [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    before = F.broadcast(by_level.withColumn("base", F.coalesce(F.sum("t").over(w), F.lit(0))).select("shard", "level", "base"))  # shards x 3 rows
+    keys = [F.col("u"), F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     rank = _two_level(d, ["shard", "level"], keys, unit, max(1, n // shards), "pos").join(before, ["shard", "level"])
     rank = rank.withColumn("leaves", F.col("pos") + F.col("base") + (F.lit(0) if law == "rows" else unit / 2) < F.coalesce(F.element_at(excess, F.col("shard")), F.lit(0)))
     rank = materialize(rank.drop("base", "pos", "level"), "ranked")
