@@ -33,7 +33,7 @@ SKIPPABLE, SEEK_MAGIC, SEEK_FOOTER, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F
 FRAME_IDS = 65_536
 
 #: Pieces kept in the memo, which only saves time.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 350_000
 
 #: Texts of these characters alone are cut by _PIECE, which for them is the tokenizer's own pattern; classes are spelled by code point.
 _LETTERS = "A-Za-z" + "".join(map(chr, (0xAA, 0xB5, 0xBA))) + f"{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0x24F)}"
