@@ -4,11 +4,12 @@ Paragraphs are lines of at least MIN_WORDS words. Their sets of five-word shingl
 similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^16 > 0.9997. Paragraphs that collide are verified on their sets
 by exact Jaccard similarity, links form components, and each component keeps its first paragraph.
 
-A passage may also be embedded in otherwise different paragraphs. Words are therefore cut at content-defined places (where the hash
-of three words is the least of its neighbourhood), so that equal passages have equal pieces; documents that share pieces
-with the first document that holds them are verified word by word, and runs of MIN_WORDS equal words or more are repeats.
+A passage may also be embedded in otherwise different paragraphs. Passages are windows of MIN_WORDS words. Each is marked by the least hash of the
+runs of half its length (and one word more where that is odd) inside it: equal windows have equal marks, and neighbours mostly share theirs, so
+a document has few. Windows whose mark no other document has are nobody else's; the others are grouped by the hash of all
+their words, and each meets the first document that holds it. No window is left out, whatever stands around it or in earlier documents.
 
-Both searches emit a row per occurrence, never pairs within a group; every pair that is verified is (document, first document).
+Both searches emit a row per occurrence, never pairs within a group. Words, windows and exact paragraphs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,9 +29,6 @@ from .ngram_join import WordHashes, mix, shingles
 
 MIN_WORDS, SHINGLE, PERCENT, BANDS, ROWS = 50, 5, 80, 16, 4
 
-#: Reach of a cut's neighbourhood, in words; words that a document must share in pieces to be verified; words of a verified gram.
-REACH, SHARED_WORDS, GRAM = 4, 15, 8
-
 _HASHES = WordHashes()
 _WORD = re.compile(WORD)
 _RNG = np.random.default_rng(20240101)  # fixed, so that all tasks and reruns agree
@@ -116,44 +114,44 @@ def _band_rows(min_words: int):
     return run
 
 
-def pieces(h: np.ndarray, starts: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, nth sequence, words) of the pieces between cuts, for word hashes of sequences laid end to end at `starts`."""
-    n = len(h)
-    owner = np.zeros(n, "i8")
-    owner[starts[1:]] = 1
-    owner = np.cumsum(owner)
-    top = np.uint64(2**64 - 1)
-    g = np.full(n, top)
-    if n >= 3:
-        g[:-2] = mix(mix(h[:-2] + h[1:-1] * np.uint64(3)) + h[2:] * np.uint64(5))
-        g[:-2][owner[:-2] != owner[2:]] = top
-    cut = g != top
-    for k in range(1, reach + 1):  # the least of its neighbourhood within the sequence, the left one among equals
-        other, same = np.full(n, top), np.zeros(n, bool)
-        same[k:] = owner[k:] == owner[:-k]
-        other[k:] = g[:-k]
-        cut &= ~same | (g < other)
-        other, same = np.full(n, top), np.zeros(n, bool)
-        same[:-k] = owner[k:] == owner[:-k]
-        other[:-k] = g[k:]
-        cut &= ~same | (g <= other)
-    at = np.flatnonzero(cut)
-    if len(at) < 2:
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
-    size = np.diff(at)
-    inner = h[at[0] : at[-1]]
-    rel = np.arange(len(inner)) - np.repeat(at[:-1] - at[0], size)
-    key = np.add.reduceat(mix(inner + (rel.astype("u8") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), at[:-1] - at[0])
-    keep = owner[at[:-1]] == owner[at[1:]]
-    return mix(key)[keep].view("i8"), owner[at[:-1]][keep], size[keep]
-
-
-def _piece_rows(min_words: int):
+def _runs(h: np.ndarray, n: int, join) -> np.ndarray:
+    """join() over all runs of n neighbours, from runs of powers of two; empty if there are fewer."""
+    size = len(h) - n + 1
+    out, done, power, width = None, 0, h, 1
+    while size > 0:
+        if n & width:
+            out = power[:size] if out is None else join(out, power[done : done + size])
+            done += width
+        if done == n:
+            return out
+        power = join(power[:-width], power[width:])
+        width *= 2
+    return h[:0]
+
+
+def windows(h: np.ndarray, sizes: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mark, hash, nth sequence, first word in it) of all windows of min_words words, for word hashes of sequences laid end to end."""
+    half = (min_words + 1) // 2
+    chain = lambda a, b: mix(a * _A[0] + b)
+    part = _runs(h, half, chain)
+    mark = _runs(part, min_words - half + 1, np.minimum)
+    whole = chain(part[: len(mark)], part[min_words - half :][: len(mark)])  # its first and its last half
+    many = np.maximum(sizes - min_words + 1, 0)
+    nth = np.repeat(np.arange(len(sizes)), many)
+    first = np.arange(len(nth)) - np.repeat(np.cumsum(many) - many, many)
+    at = (np.cumsum(sizes) - sizes)[nth] + first
+    return mark[at], whole[at], nth, first
+
+
+def _mark_rows(min_words: int):
+    """(item, doc_id) of the documents' marks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[list[bytes]], ids: list[int]) -> pa.RecordBatch:
-            n = np.array([len(w) for w in held])
-            key, nth, size = pieces(_HASHES([w for words in held for w in words]), np.concatenate([[0], np.cumsum(n)[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(ids, "i8")[nth]), pa.array(size.astype("i8"))], ["item", "doc_id", "words"])
+            mark, _, nth, _ = windows(_HASHES([w for words in held for w in words]), np.array([len(w) for w in held]), min_words)
+            new = np.ones(len(mark), bool)
+            new[1:] = (mark[1:] != mark[:-1]) | (nth[1:] != nth[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(mark[new].view("i8")), pa.array(np.array(ids, "i8")[nth[new]])], ["item", "doc_id"])
 
         held: list[list[bytes]] = []
         ids: list[int] = []
@@ -174,48 +172,51 @@ def _piece_rows(min_words: int):
     return run
 
 
-def grams(words: list[bytes], n: int = GRAM) -> np.ndarray:
-    if len(words) < n:
-        return np.zeros(0, "u8")
-    h = _HASHES(words)
-    out = np.zeros(len(h) - n + 1, "u8")
-    for j in range(n):
-        out = mix(out + h[j : len(h) - n + 1 + j])
-    return out
-
-
-def shared_runs(words: list[bytes], other: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Runs of at least min_words words all of whose grams are in the sorted set `other`: (first word, end)."""
-    g = grams(words)
-    if not len(g) or not len(other):
-        return []
-    at = np.searchsorted(other, g)
-    at[at == len(other)] = 0
-    inside = np.concatenate([[False], other[at] == g, [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return [(int(a), int(b) + GRAM - 1) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a + GRAM - 1 >= min_words]
+def _window_rows(min_words: int):
+    """(item, doc_id, at) of the windows that have one of the row's marks; `at` holds the start in its upper, the end in its lower half."""
 
-
-def _verify(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for d, o, t, u in zip(batch["doc_id"].to_pylist(), batch["owner"].to_pylist(), batch["text"], batch["owner_text"], strict=True):
-                if o not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[o] = np.unique(grams(_words(u.as_py())))
+            for d, t, m in zip(batch["doc_id"].to_pylist(), batch["text"], batch["marks"], strict=True):
                 text = t.as_py()
-                if runs := shared_runs(_words(text), known[o], min_words):
-                    spans = [m.span() for m in _WORD.finditer(text)]
-                    out += [(d, spans[a][0], spans[b - 1][1], o) for a, b in runs]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "end", "owner"])
+                mark, whole, _, first = windows(_HASHES(w := _words(text)), np.array([len(w)]), min_words)
+                wanted = np.isin(mark.view("i8"), m.values.to_numpy())
+                if wanted.any():
+                    spans = np.array([x.span() for x in _WORD.finditer(text)], "i8")
+                    first = first[wanted]
+                    at = (spans[first, 0] << 32) | spans[first + min_words - 1, 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[wanted].view("i8")), pa.array(np.full(len(at), d, "i8")), pa.array(at)], ["item", "doc_id", "at"])
 
     return run
 
 
+def _joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, end, owner) of the runs of windows that overlap or touch and have one owner; rows come in order of doc_id and at."""
+    held = None
+    for batch in batches:
+        d, o, at = (batch[c].to_numpy() for c in ("doc_id", "owner", "at"))
+        if not len(d):
+            continue
+        start, end = at >> 32, at & (2**32 - 1)
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (start[1:] > end[:-1])
+        lo = np.flatnonzero(new)
+        rows = np.stack([d[lo], start[lo], end[np.append(lo[1:], len(d)) - 1], o[lo]])
+        if held is not None:
+            if held[0] == rows[0, 0] and held[3] == rows[3, 0] and rows[1, 0] <= held[2]:
+                rows[1, 0] = held[1]
+            else:
+                rows = np.concatenate([held[:, None], rows], axis=1)
+        held = rows[:, -1]
+        yield _spans(rows[:, :-1])
+    if held is not None:
+        yield _spans(held[:, None])
+
+
+def _spans(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows], ["doc_id", "start", "end", "owner"])
+
+
 def _lines_of(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,16 +257,17 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, owner) of runs of words that an earlier document, the owner, holds too."""
-    # both readers ask for the same columns and filters, so that the exchange is made once
-    occ = docs.mapInArrow(_piece_rows(min_words), "item long, doc_id long, words long").where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
-    again = occ.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), F.max("words").alias("w")).where("owner < most and w > 0").select("item", "owner")
-    pairs = occ.join(again, "item").where("doc_id <> owner").groupBy("doc_id", "owner").agg(F.sum("words").alias("n")).where(F.col("n") >= SHARED_WORDS).select("doc_id", "owner")
-    pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select("doc_id").unionByName(pairs.select(F.col("owner").alias("doc_id"))).distinct(), "ids")
-    text = materialize(docs.join(maybe_broadcast(ids, ids.count()), "doc_id"), "texts")
-    both = pairs.join(text, "doc_id").join(text.select(F.col("doc_id").alias("owner"), F.col("text").alias("owner_text")), "owner")
-    return both.select("doc_id", "owner", "text", "owner_text").mapInArrow(_verify(min_words), "doc_id long, start long, end long, owner long")
+    """(doc_id, start, end, owner) of runs of windows of min_words words of which the owner is the first document that holds them."""
+    # both readers ask for the same columns and filters, so that an exchange is made once
+    marks = docs.mapInArrow(_mark_rows(min_words), "item long, doc_id long").where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
+    again = marks.groupBy("item").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("item")
+    per = materialize(marks.join(again, "item").groupBy("doc_id").agg(F.collect_set("item").alias("marks")), "marks")
+    rows = docs.join(per, "doc_id").select("doc_id", "text", "marks").mapInArrow(_window_rows(min_words), "item long, doc_id long, at long")
+    rows = rows.where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
+    first = rows.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("item", "owner")
+    later = rows.join(first, "item").where("doc_id <> owner").select("doc_id", "owner", "at")
+    later = later.repartition(n_parts(docs), "doc_id").sortWithinPartitions("doc_id", "at")
+    return later.mapInArrow(_joined_windows, "doc_id long, start long, end long, owner long")
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -105,6 +105,44 @@ def test_passages_inside_of_paragraphs_are_found(spark):
     assert all(got[i].n_repeats == 0 and got[i].class_id == i for i, _ in clean)
 
 
+def windows_held_before(rows, n=50):
+    """Per document, the character spans of n-word windows that a document with a smaller id holds, joined where they overlap; and the smallest holders."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        w = [(m[0].lower(), *m.span()) for m in re.finditer(r"\S+", t)]
+        keys = [tuple(x[0] for x in w[k : k + n]) for k in range(len(w) - n + 1)]
+        spans, owners = [], set()
+        for k, key in enumerate(keys):
+            if key in first:
+                owners.add(first[key])
+                if spans and spans[-1][1] >= w[k][1]:
+                    spans[-1][1] = w[k + n - 1][2]
+                else:
+                    spans.append([w[k][1], w[k + n - 1][2]])
+        for key in keys:
+            first.setdefault(key, i)
+        out[i] = ([tuple(x) for x in spans], owners)
+    return out
+
+
+def test_passages_meet_their_first_verbatim_holder(spark):
+    """An earlier document with an edited or truncated copy of a passage doesn't hide that two later ones hold all of it."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for p in range(12):
+        passage = fresh(rng.randint(52, 70))
+        edited = list(passage)
+        edited[rng.randint(21, 30)] = "edited"
+        for body in (edited if p % 2 else passage[:45], passage, passage):
+            rows.append((len(rows), " ".join(fresh(rng.randint(5, 60)) + body + fresh(rng.randint(5, 60)))))
+    want = windows_held_before(rows)
+    assert all(want[3 * p + 2][1] == {3 * p + 1} for p in range(12))
+    got = {r.doc_id: r for r in paragraphs.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [tuple(x) for x in r.removed] for i, r in got.items()} == {i: spans for i, (spans, _) in want.items()}
+    assert all(got[3 * p + 2].class_id == 3 * p + 1 for p in range(12))
+
+
 def test_near_duplicate_paragraphs_are_found(spark):
     rng = random.Random(12)
     words = vocabulary(rng, 2000)
