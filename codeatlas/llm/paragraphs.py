@@ -1,6 +1,6 @@
 """Substring dedup: repeated paragraphs by MinHash banding, and repeated passages inside of paragraphs.
 
-Paragraphs are lines of at least MIN_WORDS words. Their sets of five-word shingles get BANDS bands of ROWS MinHash values: two paragraphs of
+Paragraphs are lines of at least SHINGLE words. Their sets of five-word shingles get BANDS bands of ROWS MinHash values: two paragraphs of
 similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^16 > 0.9997. Paragraphs that collide are verified on their sets
 by exact Jaccard similarity, links form components, and each component keeps its first paragraph.
 
@@ -44,11 +44,11 @@ def paragraph_key(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
 
 
-def paragraphs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[bytes]]]:
+def paragraphs(text: str, least: int = SHINGLE) -> Iterator[tuple[int, int, list[bytes]]]:
     """(start, end, words) of the lines that have enough words; start and end in code points."""
     at = 0
     for line in text.split("\n"):
-        if len(line) >= 2 * min_words - 1 and len(w := _words(line)) >= min_words:
+        if len(line) >= 2 * least - 1 and len(w := _words(line)) >= least:
             yield at, at + len(line), w
         at += len(line) + 1
 
@@ -76,17 +76,17 @@ def minhash_bands(many: list[list[bytes]]) -> np.ndarray:
     return bands.view("i8")
 
 
-def _paragraph_rows(min_words: int):
+def _paragraph_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, a, b, paragraph_key(w), len(w)) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for a, b, w in paragraphs(t.as_py() or "", min_words)]
+            rows = [(d, a, b, paragraph_key(w), len(w)) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for a, b, w in paragraphs(t.as_py() or "", least)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "end", "item", "words"])
 
     return run
 
 
-def _band_rows(min_words: int):
+def _band_rows(least: int):
     def flush(held: list[list[bytes]], keys: list[int]) -> pa.RecordBatch:
         bands = minhash_bands(held)
         return pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(np.array(keys, "i8"), BANDS))], ["sig", "id"])
@@ -98,7 +98,7 @@ def _band_rows(min_words: int):
         total = 0
         for batch in batches:
             for t in batch["text"]:
-                for _, _, w in paragraphs(t.as_py() or "", min_words):
+                for _, _, w in paragraphs(t.as_py() or "", least):
                     key = paragraph_key(w)
                     if key not in seen:
                         seen.add(key)
@@ -217,13 +217,13 @@ def _spans(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows], ["doc_id", "start", "end", "owner"])
 
 
-def _lines_of(min_words: int):
+def _lines_of(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for items, t in zip(batch["items"].to_pylist(), batch["text"], strict=True):
                 wanted = set(items)
-                for _, _, w in paragraphs(t.as_py() or "", min_words):
+                for _, _, w in paragraphs(t.as_py() or "", least):
                     if (k := paragraph_key(w)) in wanted:
                         wanted.discard(k)
                         out.append((k, b" ".join(w).decode()))
@@ -237,17 +237,17 @@ def _features(text: str) -> np.ndarray:
     return shingles(text.encode().split(), SHINGLE)
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, least: int = SHINGLE) -> DataFrame:
     """(doc_id, start, end, owner) of the paragraphs that aren't the first of their component; owner is the first one's doc_id."""
-    para = materialize(docs.mapInArrow(_paragraph_rows(min_words), "doc_id long, start long, end long, item long, words long"), "paragraphs")
+    para = materialize(docs.mapInArrow(_paragraph_rows(least), "doc_id long, start long, end long, item long, words long"), "paragraphs")
     first = para.groupBy("item").agg(F.min(F.struct("doc_id", "start")).alias("first"))
 
     def texts(ids: DataFrame, count: int) -> DataFrame:
         of = first.join(maybe_broadcast(ids.withColumnRenamed("id", "item"), count), "item").groupBy("first.doc_id").agg(F.collect_list("item").alias("items"))
         found = docs.join(maybe_broadcast(materialize(of, "owners"), count), "doc_id").select("items", "text")
-        return found.mapInArrow(_lines_of(min_words), "id long, text string")
+        return found.mapInArrow(_lines_of(least), "id long, text string")
 
-    comps = link_components(docs.select("text").mapInArrow(_band_rows(min_words), "sig long, id long"), texts, _features, PERCENT)
+    comps = link_components(docs.select("text").mapInArrow(_band_rows(least), "sig long, id long"), texts, _features, PERCENT)
     # an item's component, and the component's first paragraph
     of = first.join(comps, first.item == comps.id, "left").select("item", "first", F.coalesce("root", "item").alias("root"))
     of = materialize(of, "items")
@@ -274,14 +274,14 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for every row of docs: doc_id, n_repeats, removed array<struct<start, end>> (code points, merged and in order),
     removed_chars, class_id.
 
-    docs has doc_id (a long) and text; other columns are ignored. `removed` covers what an earlier document holds: paragraphs that aren't
-    their component's first, and passages of at least min_words words. class_id is the smallest doc_id reached by such repeats, the
+    docs has doc_id (a long) and text; other columns are ignored. `removed` covers what an earlier document holds: paragraphs of at least
+    SHINGLE words that aren't their component's first, and passages of at least min_words words. class_id is the smallest doc_id reached by such repeats, the
     document's own where it has none. Null and empty texts and shorter ones have no repeats. A null doc_id has no repeats and a null class_id.
     Rows that share a doc_id count as one document; give them ids of their own to have them compared. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     d = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    spans = materialize(repeated_paragraphs(d, min_words).unionByName(repeated_passages(d, min_words)), "spans")
+    spans = materialize(repeated_paragraphs(d).unionByName(repeated_passages(d, min_words)), "spans")
     links = spans.where("doc_id <> owner").select(F.col("doc_id").alias("u"), F.col("owner").alias("v"))
     classes = connected_components(links)
     one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))

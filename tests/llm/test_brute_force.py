@@ -158,6 +158,21 @@ def test_near_duplicate_paragraphs_are_found(spark):
     assert sum(got[2 * p + 1].class_id == 2 * p for p in range(30)) >= 29
 
 
+def test_near_duplicates_of_short_paragraphs_are_found(spark):
+    rng = random.Random(31)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for p in range(10):
+        lines = [fresh(n) for n in (20, 35, 5, 49, 28)]
+        copy = [list(w) for w in lines]
+        for k in (0, 1, 3, 4):  # no 50 words in a row stay
+            copy[k][-1 if k < 2 else 0] = "edited"
+        rows += [(2 * p + c, "\n".join(" ".join(w) for w in x)) for c, x in enumerate((lines, copy))]
+    got = {r.doc_id: r for r in paragraphs.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * p].n_repeats == 0 for p in range(10))
+    assert all(got[2 * p + 1].class_id == 2 * p and got[2 * p + 1].n_repeats == 5 for p in range(10))
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(2)
     s = np.concatenate([rng.integers(0, 4, 3000), np.tile([1, 2, 3, 1], 40), [0]]).astype("i4")
