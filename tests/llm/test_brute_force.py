@@ -143,6 +143,17 @@ def test_passages_meet_their_first_verbatim_holder(spark):
     assert all(got[3 * p + 2].class_id == 3 * p + 1 for p in range(12))
 
 
+def test_passages_of_few_words_over_and_over_are_found(spark):
+    rng = random.Random(41)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for period in (1, 2, 3, 4, 7):
+        passage = (fresh(period) * 60)[:60]
+        rows += [(len(rows) + c, " ".join(fresh(20) + passage + fresh(20))) for c in range(2)]
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in paragraphs.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: spans for i, (spans, _) in windows_held_before(rows).items()} and all(got[2 * k + 1] for k in range(5))
+
+
 def test_near_duplicate_paragraphs_are_found(spark):
     rng = random.Random(12)
     words = vocabulary(rng, 2000)
