@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import bound_batches, materialize, maybe_broadcast, new_path
 from ._files import file_system
@@ -236,6 +237,15 @@ def join_components(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> Dat
     null doc_id is linked with nothing and has a null component_id. Null texts and texts without words have no shingles and are linked with nothing. Rows that share a doc_id are separate documents that answer alike if
     their sets do. Equal sets collapse into one item before anything is compared, so copies cost one row each.
     """
+    sets, lowest = _linked(docs, percent, n)
+    roots = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    item_roots = lowest.join(roots, "root").select("item", "component_id")
+    out = sets.join(materialize(item_roots, "item_roots"), "item", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _linked(docs: DataFrame, percent: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n_shingles, item) of every row, (item, root, doc_id) of every set: its component and the smallest doc_id that has it)."""
     bound_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
     rows = materialize(d.mapInArrow(_set_rows(n), "doc_id long, n_shingles long, item long"), "sets")
@@ -254,11 +264,18 @@ def join_components(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> Dat
 
     comps = link_components(sigs, texts, text_set(n), percent)
     lowest = owners.join(comps, owners.item == comps.id, "left").select("item", F.coalesce("root", "item").alias("root"), "doc_id")
-    lowest = materialize(lowest, "lowest")
-    roots = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    item_roots = lowest.join(roots, "root").select("item", "component_id")
-    out = sets.join(materialize(item_roots, "item_roots"), "item", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return sets, materialize(lowest, "lowest")
+
+
+def _with_item(n: int):
+    get = text_set(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [set_key(s) if len(s := get(t.as_py())) else None for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(items, pa.int64())], [*batch.schema.names, "_item"])
+
+    return run
 
 
 def _checked(n: int):
@@ -274,8 +291,22 @@ def _checked(n: int):
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
-    """The rows of docs, with their columns, of which each component keeps its smallest doc_id's. Of rows that share that doc_id
-    and have equal sets all stay."""
-    comps = join_components(docs, percent, n).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    comps = materialize(comps, "gone")
-    return docs.join(maybe_broadcast(comps, comps.count()), docs.doc_id == F.col("_gone"), "left_anti")
+    """The rows of docs, with their columns, of which each component keeps one: of its smallest doc_id, and of the smallest set key among
+    rows that share that. Rows without a doc_id are compared, too, and come last. Rows without words all stay."""
+    last = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))  # a stand-in, so that they don't meet each other in joins by id
+    d = docs.withColumn("_id", F.coalesce("doc_id", last))
+    sets, lowest = _linked(d.select(F.col("_id").alias("doc_id"), "text"), percent, n)
+    keepers = lowest.groupBy("root").agg(F.min(F.struct("doc_id", "item")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.item").alias("_item"))
+    keepers = materialize(keepers, "keepers")
+    per = materialize(sets.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"), F.min("item").alias("_item")), "ids")
+    many = per.where("rows > 1").select("_id")
+    gone = per.where("rows = 1 and _item is not null").join(keepers, ["_id", "_item"], "left_anti").select("_id")
+    gone = materialize(gone.unionByName(many), "gone")
+    out = d.join(maybe_broadcast(gone, gone.count()), "_id", "left_anti").select(*docs.columns)
+    if not many.take(1):
+        return out
+    # rows that share an id are told apart by their sets
+    schema = StructType([*d.schema.fields, StructField("_item", LongType())])
+    rest = d.join(many, "_id", "left_semi").select(*d.columns).mapInArrow(_with_item(n), schema)
+    one = rest.join(keepers, ["_id", "_item"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_item").orderBy("text"))).where("_n = 1")
+    return out.unionByName(rest.where("_item is null").select(*docs.columns)).unionByName(one.select(*docs.columns))

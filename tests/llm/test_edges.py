@@ -92,6 +92,18 @@ def test_ngram_join(docs):
         assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 7]
 
 
+def test_one_of_each_with_shared_and_missing_ids(spark):
+    a, b, c, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abce")
+    rows = [
+        (1, a), (2, a), (2, b),  # one row of id 2 is a copy, the other is unique
+        (3, c), (3, c), (None, c + " more"),  # copies under one id, a near copy without one
+        (None, e), (None, e), (None, "f " * 9), (4, None), (4, ""), (4, ""),
+    ]
+    got = ngram_join.one_of_each(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, other string"))
+    want = [(1, a), (2, b), (3, c), (None, e), (None, "f " * 9), (4, None), (4, ""), (4, "")]
+    assert got.columns == ["doc_id", "text", "other"] and sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+
+
 def test_decontamination(docs, bench):
     got = decontam.contamination(docs, bench).collect()
     assert len(got) == n(docs)
