@@ -43,10 +43,12 @@ def first_rule(left: DataFrame, text: str, rules: DataFrame, pattern: str, is_pr
     """left with `rule_rank` and `rule_pattern` of the first rule, by rank, that matches: exactly, or as a prefix where is_prefix is true.
 
     Rules are a project's alias table, some tens of rows, and are broadcast below the size the planner itself allows; exact rules and
-    prefixes of every length that occurs are looked up by equality.
+    all prefixes of the text up to the longest one of a rule are looked up by equality.
     """
-    lengths = [r[0] for r in rules.where(F.col(is_prefix)).select(F.length(pattern)).distinct().limit(200).collect()]
-    keys = F.array(F.struct(F.lit(False).alias("p"), F.col(text).alias("k")), *[F.struct(F.lit(True).alias("p"), F.substring(F.col(text), 1, n).alias("k")) for n in lengths])
+    longest = rules.where(F.col(is_prefix)).agg(F.coalesce(F.max(F.length(pattern)), F.lit(0))).first()[0]
+    lengths = F.sequence(F.lit(0), F.least(F.length(text), F.lit(longest)))
+    prefixes = F.transform(lengths, lambda n: F.struct(F.lit(True).alias("p"), F.substring(F.col(text), F.lit(1), n).alias("k")))
+    keys = F.concat(F.array(F.struct(F.lit(False).alias("p"), F.col(text).alias("k"))), prefixes)
     tried = left.select(*by, F.explode(keys).alias("_t")).select(*by, F.col("_t.p").alias("_p"), F.col("_t.k").alias("_k"))
     r = rules.select(F.col(is_prefix).alias("_p"), F.col(pattern).alias("_k"), F.col(rank).alias("_rank"))
     best = tried.join(r, ["_p", "_k"]).groupBy(*by).agg(F.min("_rank").alias("rule_rank"), F.min_by("_k", "_rank").alias("rule_pattern"))

@@ -167,3 +167,10 @@ def test_start_here_marks_the_parent_area(spark):
     got = [r.file_path for r in start_here.build(files, ent, rel, a, tests).orderBy("place").collect()]
     # 'src/components' is represented by what its own path falls into at depth two, which is 'src': the area 'src' is skipped
     assert got == ["src/components", "lib", "tests/t.ts"]
+
+
+def test_first_rule_knows_prefixes_of_all_lengths(spark):
+    rules = spark.createDataFrame([("x" * n + "y", True, n) for n in range(300)], "pattern string, is_prefix boolean, rank int")
+    left = spark.createDataFrame([(n, "x" * n + "yz") for n in range(300)] + [(300, "x"), (301, None), (302, "")], "id int, text string")
+    got = {r.id: r.rule_rank for r in resolve.first_rule(left, "text", rules, "pattern", "is_prefix", "rank", ["id"]).collect()}
+    assert got == {n: n for n in range(300)} | {300: None, 301: None, 302: None}
