@@ -1,15 +1,17 @@
-"""Substring dedup: repeated paragraphs by MinHash banding, and repeated passages inside of paragraphs.
+"""Substring dedup by paragraph MinHash banding, over lines and over windows of words.
 
 Paragraphs are lines of at least SHINGLE words. Their sets of five-word shingles get BANDS bands of ROWS MinHash values: two paragraphs of
-similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^16 > 0.9997. Paragraphs that collide are verified on their sets
+similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^10 > 0.999. Paragraphs that collide are verified on their sets
 by exact Jaccard similarity, links form components, and each component keeps its first paragraph.
 
-A passage may also be embedded in otherwise different paragraphs. Passages are windows of MIN_WORDS words. Each is marked by the least hash of the
-runs of half its length (and one word more where that is odd) inside it: equal windows have equal marks, and neighbours mostly share theirs, so
-a document has few. Windows whose mark no other document has are nobody else's; the others are grouped by the hash of all
-their words, and each meets the first document that holds it. No window is left out, whatever stands around it or in earlier documents.
+A passage may also be embedded in otherwise different paragraphs. So all windows of MIN_WORDS words are paragraphs, too, overlapping ones: their
+one band is the MinHash of the runs of half their length (and one word more where that is odd), which equal windows share with certainty and
+neighbours mostly have in common, so a document has few. Windows whose band no other text has are nobody else's; colliding ones are verified by the
+hash of all their words, and each meets the first document that holds it. No window is left out, whatever stands around it or in earlier documents.
 
-Both searches emit a row per occurrence, never pairs within a group. Words, windows and exact paragraphs are told apart by 64-bit hashes.
+Texts equal to an earlier one are repeats as a whole, and give no windows; nor do windows within a line that equals an earlier one: whatever they could
+show, the first holder of the text or line shows. Rows are per occurrence, never pairs within a group, and first holders are found by
+minima that are combined before the shuffle. Words, windows and equal paragraphs are told apart by 64-bit hashes, equal texts by three hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from ._common import WORD, bound_batches, connected_components, materialize, may
 from ._links import link_components
 from .ngram_join import WordHashes, mix, shingles
 
-MIN_WORDS, SHINGLE, PERCENT, BANDS, ROWS = 50, 5, 80, 16, 4
+MIN_WORDS, SHINGLE, PERCENT, BANDS, ROWS = 50, 5, 80, 10, 3
 
 _HASHES = WordHashes()
 _WORD = re.compile(WORD)
 _RNG = np.random.default_rng(20240101)  # fixed, so that all tasks and reruns agree
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype="u8")
+_LOW = np.uint64(2**32 - 1)
 
 
 def _words(line: str) -> list[bytes]:
@@ -54,7 +57,7 @@ def paragraphs(text: str, least: int = SHINGLE) -> Iterator[tuple[int, int, list
 
 
 def minhash_bands(many: list[list[bytes]]) -> np.ndarray:
-    """A row of BANDS signatures for each list of words."""
+    """A row of BANDS signatures for each list of words. Minima are taken over 32-bit hashes, which numpy multiplies several at once."""
     flat = [w for words in many for w in words]
     h = _HASHES(flat)
     n = np.array([len(w) for w in many])
@@ -62,13 +65,14 @@ def minhash_bands(many: list[list[bytes]]) -> np.ndarray:
     grams = h.copy()
     for j in range(1, SHINGLE):
         grams[:-j] = mix(grams[:-j] + h[j:])
-    last = np.repeat(starts + n, n) - SHINGLE  # shingles that reach into the next list don't count
-    grams[np.arange(len(h)) > last] = np.uint64(2**64 - 1)
-    full = grams == np.uint64(2**64 - 1)
+    beyond = np.arange(len(h)) > np.repeat(starts + n, n) - SHINGLE  # shingles that reach into the next list don't count
+    half = (grams >> np.uint64(32)).astype("u4")
     out = np.empty((len(many), BANDS * ROWS), "u8")
     for k in range(BANDS * ROWS):
-        v = (grams * _A[k] + _B[k]) >> np.uint64(1)
-        v[full] = np.uint64(2**63)
+        v = half * np.uint32(_A[k] & _LOW) + np.uint32(_B[k] & _LOW)
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(_A[-1 - k] & _LOW)
+        v[beyond] = np.uint32(_LOW)
         out[:, k] = np.minimum.reduceat(v, starts)
     bands = np.zeros((len(many), BANDS), "u8") + np.arange(BANDS, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
     for r in range(ROWS):
@@ -79,9 +83,10 @@ def minhash_bands(many: list[list[bytes]]) -> np.ndarray:
 def _paragraph_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, a, b, paragraph_key(w), len(w)) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for a, b, w in paragraphs(t.as_py() or "", least)]
+            ids = zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], strict=True)
+            rows = [(d, v, a, b, paragraph_key(w)) for d, v, t in ids for a, b, w in paragraphs(t.as_py(), least)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "end", "item", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "version", "start", "end", "item"])
 
     return run
 
@@ -144,24 +149,25 @@ def windows(h: np.ndarray, sizes: np.ndarray, min_words: int = MIN_WORDS) -> tup
 
 
 def _mark_rows(min_words: int):
-    """(item, doc_id) of the documents' marks."""
+    """(item, version, doc_id) of the texts' marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[list[bytes]], ids: list[int]) -> pa.RecordBatch:
+        def flush(held: list[list[bytes]], ids: list[tuple[int, int]]) -> pa.RecordBatch:
             mark, _, nth, _ = windows(_HASHES([w for words in held for w in words]), np.array([len(w) for w in held]), min_words)
             new = np.ones(len(mark), bool)
             new[1:] = (mark[1:] != mark[:-1]) | (nth[1:] != nth[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(mark[new].view("i8")), pa.array(np.array(ids, "i8")[nth[new]])], ["item", "doc_id"])
+            of = np.array(ids, "i8")[nth[new]]
+            return pa.RecordBatch.from_arrays([pa.array(mark[new].view("i8")), pa.array(of[:, 1].copy()), pa.array(of[:, 0].copy())], ["item", "version", "doc_id"])
 
         held: list[list[bytes]] = []
-        ids: list[int] = []
+        ids: list[tuple[int, int]] = []
         total = 0
         for batch in batches:
-            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                w = _words(t.as_py() or "")
+            for d, v, t in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], strict=True):
+                w = _words(t.as_py())
                 if len(w) >= min_words:
                     held.append(w)
-                    ids.append(d)
+                    ids.append((d, v))
                     total += len(w)
                 if total > 400_000:
                     yield flush(held, ids)
@@ -173,40 +179,52 @@ def _mark_rows(min_words: int):
 
 
 def _window_rows(min_words: int):
-    """(item, doc_id, at) of the windows that have one of the row's marks; `at` holds the start in its upper, the end in its lower half."""
+    """(item, doc_id, version, at) of the windows that have one of the row's marks and don't lie within one of its `known` spans; equal windows that
+    overlap or touch are one row; `at` holds the start in its upper, the end in its lower half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, t, m in zip(batch["doc_id"].to_pylist(), batch["text"], batch["marks"], strict=True):
+            for d, v, t, m, k in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], batch["marks"], batch["known"], strict=True):
                 text = t.as_py()
                 mark, whole, _, first = windows(_HASHES(w := _words(text)), np.array([len(w)]), min_words)
                 wanted = np.isin(mark.view("i8"), m.values.to_numpy())
-                if wanted.any():
-                    spans = np.array([x.span() for x in _WORD.finditer(text)], "i8")
-                    first = first[wanted]
-                    at = (spans[first, 0] << 32) | spans[first + min_words - 1, 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[wanted].view("i8")), pa.array(np.full(len(at), d, "i8")), pa.array(at)], ["item", "doc_id", "at"])
+                if not wanted.any():
+                    continue
+                spans = np.array([x.span() for x in _WORD.finditer(text)], "i8")
+                whole, first = whole[wanted], first[wanted]
+                if k.is_valid and len(k.values):
+                    lo, hi = (k.values.field(c).to_numpy() for c in ("start", "end"))  # in order, without overlap
+                    at = np.searchsorted(lo, spans[first, 0], "right") - 1
+                    out = (at < 0) | (spans[first + min_words - 1, 1] > hi[at])
+                    whole, first = whole[out], first[out]
+                if not len(first):
+                    continue
+                order = np.lexsort((first, whole))
+                whole, first = whole[order], first[order]
+                new = np.ones(len(first), bool)
+                new[1:] = (whole[1:] != whole[:-1]) | (first[1:] - first[:-1] > min_words)
+                lo = np.flatnonzero(new)
+                at = (spans[first[lo], 0] << 32) | spans[first[np.append(lo[1:], len(first)) - 1] + min_words - 1, 1]
+                same = [pa.array(np.full(len(at), x, "i8")) for x in (d, v)]
+                yield pa.RecordBatch.from_arrays([pa.array(whole[lo].view("i8")), *same, pa.array(at)], ["item", "doc_id", "version", "at"])
 
     return run
 
 
 def _joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, end, owner) of the runs of windows that overlap or touch and have one owner; rows come in order of doc_id and at."""
+    """(doc_id, version, start, end, owner) of the runs of windows that overlap or touch and have one owner; rows come in order of doc_id, version and at."""
     held = None
     for batch in batches:
-        d, o, at = (batch[c].to_numpy() for c in ("doc_id", "owner", "at"))
+        d, v, o, at = (batch[c].to_numpy() for c in ("doc_id", "version", "owner", "at"))
         if not len(d):
             continue
-        start, end = at >> 32, at & (2**32 - 1)
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (start[1:] > end[:-1])
-        lo = np.flatnonzero(new)
-        rows = np.stack([d[lo], start[lo], end[np.append(lo[1:], len(d)) - 1], o[lo]])
+        rows = np.stack([d, v, o, at >> 32, at & (2**32 - 1)])
         if held is not None:
-            if held[0] == rows[0, 0] and held[3] == rows[3, 0] and rows[1, 0] <= held[2]:
-                rows[1, 0] = held[1]
-            else:
-                rows = np.concatenate([held[:, None], rows], axis=1)
+            rows = np.concatenate([held[:, None], rows], axis=1)
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0) | (rows[3, 1:] > rows[4, :-1])
+        lo = np.flatnonzero(new)
+        rows = np.concatenate([rows[:4, lo], np.maximum.reduceat(rows[4], lo)[None]])
         held = rows[:, -1]
         yield _spans(rows[:, :-1])
     if held is not None:
@@ -214,7 +232,7 @@ def _joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _spans(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows], ["doc_id", "start", "end", "owner"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[i])) for i in (0, 1, 3, 4, 2)], ["doc_id", "version", "start", "end", "owner"])
 
 
 def _lines_of(least: int):
@@ -237,55 +255,85 @@ def _features(text: str) -> np.ndarray:
     return shingles(text.encode().split(), SHINGLE)
 
 
-def repeated_paragraphs(docs: DataFrame, least: int = SHINGLE) -> DataFrame:
-    """(doc_id, start, end, owner) of the paragraphs that aren't the first of their component; owner is the first one's doc_id."""
-    para = materialize(docs.mapInArrow(_paragraph_rows(least), "doc_id long, start long, end long, item long, words long"), "paragraphs")
-    first = para.groupBy("item").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+def versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text) of the rows that have both; version is a hash of the text and tells rows of one doc_id apart."""
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
+
+
+def repeated_texts(d: DataFrame, least: int = SHINGLE) -> DataFrame:
+    """(doc_id, version, start, end, owner) of the texts of at least `least` words that an earlier document has as they are."""
+    blank = " \t\n\x0b\x0c\r"
+    some = F.col("text").rlike(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){" + str(least - 1) + r"}[^\x20\x09-\x0D]")
+    first = (F.length("text") - F.length(F.ltrim("text", F.lit(blank)))).cast("long")
+    rows = d.where(some).select("doc_id", "version", first.alias("start"), F.length(F.rtrim("text", F.lit(blank))).cast("long").alias("end"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("n"))
+    rows = materialize(rows.distinct(), "texts")
+    same = ["version", "crc", "n"]
+    owners = rows.groupBy(*same).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
+    return rows.join(owners, same).where("doc_id <> owner").select("doc_id", "version", "start", "end", "owner")
+
+
+def repeated_paragraphs(d: DataFrame, least: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """For versions of documents: the (doc_id, version, start, end, owner) of the paragraphs that aren't the first of their component, owner being the
+    first one's doc_id; and the (doc_id, version, start, end) of those that equal an earlier one."""
+    para = materialize(d.mapInArrow(_paragraph_rows(least), "doc_id long, version long, start long, end long, item long"), "paragraphs")
+    first = materialize(para.groupBy("item").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
 
     def texts(ids: DataFrame, count: int) -> DataFrame:
         of = first.join(maybe_broadcast(ids.withColumnRenamed("id", "item"), count), "item").groupBy("first.doc_id").agg(F.collect_list("item").alias("items"))
-        found = docs.join(maybe_broadcast(materialize(of, "owners"), count), "doc_id").select("items", "text")
+        found = d.join(maybe_broadcast(materialize(of, "owners"), count), "doc_id").select("items", "text")
         return found.mapInArrow(_lines_of(least), "id long, text string")
 
-    comps = link_components(docs.select("text").mapInArrow(_band_rows(least), "sig long, id long"), texts, _features, PERCENT)
+    comps = link_components(d.select("text").mapInArrow(_band_rows(least), "sig long, id long"), texts, _features, PERCENT)
     # an item's component, and the component's first paragraph
-    of = first.join(comps, first.item == comps.id, "left").select("item", "first", F.coalesce("root", "item").alias("root"))
-    of = materialize(of, "items")
-    keeper = of.groupBy("root").agg(F.min("first").alias("keeper"))
-    of = of.join(keeper, "root").select("item", F.col("keeper.doc_id").alias("owner"), F.col("keeper.start").alias("at"))
-    return para.join(materialize(of, "keepers"), "item").where("doc_id <> owner or start <> at").select("doc_id", "start", "end", "owner")
-
-
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, owner) of runs of windows of min_words words of which the owner is the first document that holds them."""
-    # both readers ask for the same columns and filters, so that an exchange is made once
-    marks = docs.mapInArrow(_mark_rows(min_words), "item long, doc_id long").where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
-    again = marks.groupBy("item").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("item")
-    per = materialize(marks.join(again, "item").groupBy("doc_id").agg(F.collect_set("item").alias("marks")), "marks")
-    rows = docs.join(per, "doc_id").select("doc_id", "text", "marks").mapInArrow(_window_rows(min_words), "item long, doc_id long, at long")
-    rows = rows.where("item is not null and doc_id is not null").repartition(n_parts(docs), "item")
+    of = first.join(comps, first.item == comps.id, "left").select("item", "first", "n", "root")
+    linked = of.where("root is not null")
+    keeper = linked.groupBy("root").agg(F.min("first").alias("keeper"))
+    of = linked.join(keeper, "root").select("item", "first", "keeper").unionByName(of.where("root is null and n > 1").select("item", "first", F.col("first").alias("keeper")))
+    of = materialize(of.select("item", "first", F.col("keeper.doc_id").alias("owner"), F.col("keeper.version").alias("of"), F.col("keeper.start").alias("at")), "keepers")
+    here = F.struct("doc_id", "version", "start")
+    rows = para.join(of, "item")
+    repeats = rows.where("doc_id <> owner or version <> of or start <> at").select("doc_id", "version", "start", "end", "owner")
+    return repeats, rows.where(here != F.col("first")).select("doc_id", "version", "start", "end")
+
+
+def repeated_passages(d: DataFrame, copies: DataFrame, known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """For versions of documents: the (doc_id, version, start, end, owner) of runs of windows of min_words words of which the owner is the first document that
+    holds them. Texts in copies, and windows within spans in known, repeat earlier ones and are left out."""
+    key = ["doc_id", "version"]
+    marks = materialize(d.mapInArrow(_mark_rows(min_words), "item long, version long, doc_id long"), "marks")
+    again = marks.groupBy("item").agg(F.min("version").alias("a"), F.max("version").alias("b")).where("a < b").select("item")
+    per = marks.join(again, "item").groupBy(*key).agg(F.collect_set("item").alias("marks")).join(copies.select(*key).distinct(), key, "left_anti")
+    spans = known.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("known"))
+    per = materialize(per.join(spans, key, "left"), "wanted")
+    found = d.join(per, key).select("doc_id", "version", "text", "marks", "known")
+    rows = materialize(found.mapInArrow(_window_rows(min_words), "item long, doc_id long, version long, at long"), "windows")
     first = rows.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("item", "owner")
-    later = rows.join(first, "item").where("doc_id <> owner").select("doc_id", "owner", "at")
-    later = later.repartition(n_parts(docs), "doc_id").sortWithinPartitions("doc_id", "at")
-    return later.mapInArrow(_joined_windows, "doc_id long, start long, end long, owner long")
+    later = rows.join(first, "item").where("doc_id <> owner").select("doc_id", "version", "owner", "at")
+    later = later.repartition(n_parts(d), *key).sortWithinPartitions("doc_id", "version", "at")
+    return later.mapInArrow(_joined_windows, "doc_id long, version long, start long, end long, owner long")
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for every row of docs: doc_id, n_repeats, removed array<struct<start, end>> (code points, merged and in order),
+    """A row for every row of docs: doc_id, version, n_repeats, removed array<struct<start, end>> (code points, merged and in order),
     removed_chars, class_id.
 
-    docs has doc_id (a long) and text; other columns are ignored. `removed` covers what an earlier document holds: paragraphs of at least
-    SHINGLE words that aren't their component's first, and passages of at least min_words words. class_id is the smallest doc_id reached by such repeats, the
-    document's own where it has none. Null and empty texts and shorter ones have no repeats. A null doc_id has no repeats and a null class_id.
-    Rows that share a doc_id count as one document; give them ids of their own to have them compared. An empty table gives no rows.
+    docs has doc_id (a long) and text; other columns are ignored. `removed` covers what an earlier document holds: whole texts and paragraphs of at least
+    SHINGLE words (paragraphs that aren't their component's first), and passages of at least min_words words. class_id is the smallest doc_id reached by such
+    repeats, the document's own where it has none. Null and empty texts and shorter ones have no repeats and, if null, a null version. A null doc_id has no
+    repeats and a null class_id. Rows that share a doc_id are told apart by their texts, but a passage counts as repeated only if a smaller doc_id holds it; equal
+    rows answer alike. Very long texts are searched whole, one text in memory at a time. Ties have no effect: owners are minima. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    d = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    spans = materialize(repeated_paragraphs(d).unionByName(repeated_passages(d, min_words)), "spans")
+    d = versions(docs)
+    key = ["doc_id", "version"]
+    copies = materialize(repeated_texts(d), "copies")
+    repeats, known = repeated_paragraphs(d)
+    every = repeats.unionByName(copies).unionByName(repeated_passages(d, copies, known, min_words))
+    spans = materialize(every, "spans")
     links = spans.where("doc_id <> owner").select(F.col("doc_id").alias("u"), F.col("owner").alias("v"))
     classes = connected_components(links)
     one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("all"))
+    per = spans.groupBy(*key).agg(F.array_sort(F.collect_set(one)).alias("all"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     joined = F.aggregate(
         "all",
@@ -294,17 +342,18 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))
         )).otherwise(F.concat(acc, F.array(x))),
     )
-    per = per.select("doc_id", joined.alias("removed"))
-    merged = materialize(per.join(classes, per.doc_id == classes.node, "full").select(F.coalesce("doc_id", "node").alias("doc_id"), "removed", F.col("root").alias("class_id")), "repeats")
-    out = docs.select("doc_id").join(merged, "doc_id", "left").withColumn("removed", F.coalesce("removed", none))
+    per = materialize(per.select(*key, joined.alias("removed")), "repeats")
+    out = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("version"))
+    out = out.join(per, key, "left").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("removed", F.coalesce("removed", none))
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
-    return out.select("doc_id", F.size("removed").cast("long").alias("n_repeats"), "removed", chars.alias("removed_chars"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "version", F.size("removed").cast("long").alias("n_repeats"), "removed", chars.alias("removed_chars"), F.coalesce("root", "doc_id").alias("class_id"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with repeats cut out of the texts; documents that had nothing else are left with an empty text."""
-    found = find_repeats(docs, min_words).where("n_repeats > 0").select("doc_id", "removed").dropDuplicates(["doc_id"])
+    """docs with repeats cut out of the texts; documents that had nothing else are left with an empty text. Rows are as find_repeats tells them apart."""
+    found = find_repeats(docs, min_words).where("n_repeats > 0").select("doc_id", F.col("version").alias("_version"), "removed").dropDuplicates(["doc_id", "_version"])
+    found = found.withColumnRenamed("removed", "_removed")
     step = lambda acc, x: F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])).alias("out"), x["end"].alias("at"))
-    kept = F.aggregate("removed", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.concat(kept["out"], F.substring(F.col("text"), kept["at"] + 1, F.length("text"))))
-    return docs.join(found, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+    kept = F.aggregate("_removed", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.concat(kept["out"], F.substring(F.col("text"), kept["at"] + 1, F.length("text"))))
+    return docs.withColumn("_version", F.xxhash64("text")).join(found, ["doc_id", "_version"], "left").withColumn("text", text).select(*docs.columns)

@@ -125,6 +125,24 @@ def windows_held_before(rows, n=50):
     return out
 
 
+@data
+def test_every_passage_of_the_documents_is_removed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text is not None]
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in paragraphs.find_repeats(docs).collect()}
+    want = windows_held_before(rows)
+    assert sum(len(spans) for spans, _ in want.values()) > 10
+    for i, (spans, _) in want.items():
+        assert all(any(a <= x and y <= b for a, b in got[i]) for x, y in spans), i
+
+
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    rng = random.Random(51)
+    a, c = (" ".join(f"v{rng.randrange(10**9)}" for _ in range(60)) for _ in range(2))
+    rows = spark.createDataFrame([(1, a), (5, a), (5, c)], "doc_id long, text string")
+    assert sorted(r.text for r in paragraphs.without_repeats(rows).collect()) == sorted([a, "", c])
+
+
 def test_passages_meet_their_first_verbatim_holder(spark):
     """An earlier document with an edited or truncated copy of a passage doesn't hide that two later ones hold all of it."""
     rng = random.Random(21)
