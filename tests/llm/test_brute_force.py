@@ -336,10 +336,60 @@ def test_wrapper_accepts_every_page_it_saw():
         wrapper = wrappers.align(wrapper, wrappers.wrapper_of(wrappers.tokens(pages[-1])[0]))
     m = wrappers.Matcher(json.loads(json.dumps(wrapper)))
     for p in pages:
-        text, by = wrappers.extract(p, m)
-        inner = re.search("<article>(.*)</article>", p)[1]
-        want = [x for x in re.sub("<[^>]*>", "\n", inner.replace("<b>", "")).replace("&lt;", "<").split("\n") if x]
-        assert by and text.split("\n") == want
+        assert min(m.place(wrappers.tokens(p)[0])) >= 0
+
+
+WORDS = [f"word{i}" for i in range(400)]
+
+
+def host_pages(seed, n, plain, odd=0):
+    """(html, main text) of n pages of a host. plain: all elements are divisions without names; odd: kinds of blocks that a page may have besides."""
+    rng = random.Random(seed)
+    say = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    out = []
+    for i in range(n):
+        blocks = [("h1", say(6)), *[("p", say(rng.randint(8, 40))) for _ in range(rng.randint(2, 6))]]
+        blocks += [(rng.choice(("h2", "blockquote", "pre", "p")), say(10)) for _ in range(rng.randint(0, odd))]
+        main = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+        menu = "".join(f'<li><a href="/{k}">{say(1)}</a></li>' for k in range(rng.randint(2, 5)))
+        extra = "".join(f"<div><span class='k{rng.choice('abcdefgh')}'>{say(1)}</span></div>" for _ in range(rng.randint(0, odd)))
+        page = f"<html><body><nav><ul>{menu}</ul></nav>{extra}<div class='ad'>Buy now and save</div><article>{main}</article><aside>All about us here</aside><footer>Made by us</footer></body></html>"
+        if plain:
+            page = re.sub(r"<(/?)(?:nav|article|aside|footer|div)\b[^>]*>", r"<\1div>", page)
+        out.append((page, "\n".join(x for _, x in blocks)))
+    return out
+
+
+def extracted(spark, pages):
+    rows = [(i, f"https://a.example/{i}", html) for i, (html, _) in enumerate(pages)]
+    return {r.page_id: r for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_wrapper_finds_main_text_without_names(spark):
+    """The result comes from the wrapper: without it no page is right."""
+    pages = host_pages(1, 25, plain=True)
+    got = extracted(spark, pages)
+    assert all(got[i].text == want and got[i].by_wrapper for i, (_, want) in enumerate(pages))
+    assert not any(wrappers.extract(html, None)[0] == want for html, want in pages)
+
+
+@pytest.mark.parametrize("plain, odd", [(False, 6), (True, 1)])
+def test_wrapper_of_varied_pages(spark, plain, odd):
+    """Hosts of any variety go through their wrapper."""
+    pages = host_pages(2, 80, plain=plain, odd=odd)
+    got = extracted(spark, pages)
+    right = [got[i].text == want for i, (_, want) in enumerate(pages)]
+    assert all(r.by_wrapper for r in got.values()) and sum(right) == len(pages)
+
+
+def test_words_of_classes_drop_containers_only():
+    for html, want in [
+        ('<article><p class="search-results">About search</p><p class="share">Share prices fell</p><div class="header-image"><p>cap</p></div></article>', "About search\nShare prices fell\ncap"),
+        ("<article><header><h1>Head</h1></header><p>Body</p></article>", "Head\nBody"),
+        ("<article><p hidden>x</p><p style='color:red; display: none'>z</p><p>y</p></article>", "y"),
+        ('<article><p>Body</p><div class="share-bar">Tell all</div><div id="comments"><p>First!</p></div><footer>f</footer></article><article class="comment">no</article>', "Body"),
+    ]:
+        assert wrappers.extract(html, None)[0] == want
 
 
 @data
