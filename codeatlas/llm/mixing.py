@@ -1,11 +1,12 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame expressions only.
 
-Per source the rates r_i of its documents minimise sum(size_i * (r_i log r_i - r_i + 1)), the token-weighted
-divergence from "take each document once", under 0 <= r_i <= cap and the token constraint
-sum(size_i * r_i) = target. The convex dual has one variable per source, and its optimum gives exponentially
-tilted rates r_i = min(cap, exp(lambda * tilt_i)). Newton's method, guarded by a bracket, solves it on a
-histogram of tokens by tilt; the constraints of different sources share no variable, so the Hessian is
-diagonal and all sources iterate at once, each where its histogram lies.
+Per source the rates r_i of its documents minimise sum(size_i / tilt_i * (r_i log r_i - r_i + 1)), a divergence
+from "take each document once", under 0 <= r_i <= cap and the token constraint sum(size_i * r_i) = target. The convex dual has one
+variable per source, and its optimum gives exponentially tilted rates r_i = min(cap, exp(lambda * tilt_i)). By default a document's tilt grows
+with the logarithm of its size: long documents carry more of a source's change than short ones. Newton's method,
+guarded by a bracket, solves the dual on a table of tokens by (source, tilt): every iteration joins the sources' lambdas with it and sums
+gradient and curvature in a distributed aggregate. The constraints of different sources share no variable, so the Hessian is diagonal and
+all sources iterate at once, until each meets its target.
 
 Rates become whole copies by error diffusion: documents are dealt into cells of about CELL rows of one source,
 each cell walks its documents from the largest to the smallest and takes the whole number of copies that keeps
@@ -14,6 +15,8 @@ the words taken nearest to the words due. A cell ends within about half its smal
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +25,11 @@ from ._common import WORD, materialize
 #: Documents in one cell of the rounding; bounds what one row of the plan gathers.
 CELL = 2048
 
-#: Steps of the guarded Newton iteration; each at least halves the bracket or gains by the quadratic rate.
-NEWTON_STEPS = 64
+#: Most steps of the guarded Newton iteration, each of which halves the bracket or gains by the quadratic rate; what may be missing from a target, as a part of it.
+NEWTON_STEPS, CLOSE = 80, 1e-9
 
-#: Tilts are rounded to multiples of 1 / TILT_GRID, which bounds a source's histogram.
-TILT_GRID = 256
+#: Tilts are rounded to multiples of 1 / TILT_GRID and bounded by MOST_TILT, which bounds a source's histogram; lambdas lie between LOWEST and log(cap) * TILT_GRID.
+TILT_GRID, MOST_TILT, LOWEST = 64, 64, -60.0 * 64
 
 
 def word_count(text: Column) -> Column:
@@ -55,41 +58,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return s.select("source", "n_docs", "source_size", F.least(F.col("most"), F.coalesce(final * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def _solve(hist: Column, target: Column, cap: float) -> Column:
-    """lambda with sum(tokens * min(cap, exp(lambda * tilt))) = target, for hist array<struct<tilt, tokens>>."""
-    import math
-
-    total = lambda f: F.aggregate(hist, F.lit(0.0), lambda a, x: a + f(x))
-    rate = lambda lam, x: F.least(F.lit(float(cap)), F.exp(lam * x["tilt"]))
-    state = F.struct(F.lit(0.0).alias("lam"), F.lit(-60.0 * TILT_GRID).alias("lo"), F.lit(math.log(cap) * TILT_GRID).alias("hi"))
-
-    def step(a: Column, _: Column) -> Column:
-        excess = total(lambda x: x["tokens"] * rate(a["lam"], x)) - target
-        slope = total(lambda x: F.when(rate(a["lam"], x) < cap, x["tokens"] * x["tilt"] * rate(a["lam"], x)).otherwise(0.0))
-        lo, hi = F.when(excess < 0, a["lam"]).otherwise(a["lo"]), F.when(excess >= 0, a["lam"]).otherwise(a["hi"])
-        newton = a["lam"] - excess / slope
-        inside = (slope > 0) & (newton > lo) & (newton < hi)
-        return F.struct(F.when(inside, newton).otherwise((lo + hi) / 2).alias("lam"), lo.alias("lo"), hi.alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), state, step)["lam"]
+def length_tilt(size: Column) -> Column:
+    """A document's tilt by its size: 1 for a word, and 1 more for each doubling."""
+    return F.log2(size + 1)
 
 
 def rates(sizes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
-    """(source, n_docs, source_size, target, lam) for rows (source, size, tilt)."""
-    hist = (
-        sizes.where("size > 0").groupBy("source", "tilt").agg(F.sum("size").cast("double").alias("tokens"))
-        .groupBy("source").agg(F.array_sort(F.collect_list(F.struct("tilt", "tokens"))).alias("hist"))
-    )
-    t = targets.join(hist, targets.source.eqNullSafe(hist.source), "left").drop(hist.source)
-    return t.select(
-        "source", "n_docs", "source_size", "target",
-        F.when(F.col("hist").isNull() | (F.col("target") <= 0), F.lit(-60.0 * TILT_GRID)).otherwise(_solve(F.col("hist"), F.col("target"), cap)).alias("lam"),
+    """(source, n_docs, source_size, target, lam) for rows (source, size, tilt): sum(size * min(cap, exp(lam * tilt))) is the target.
+
+    A step reads the histogram, of a row per source and tilt, and writes a row per source; only the number of sources that aren't done comes to the driver.
+    """
+    hist = sizes.where("size > 0").groupBy("source", "tilt").agg(F.sum("size").cast("double").alias("tokens"))
+    hist = materialize(hist, "histogram")
+    rate = F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("tilt")))
+    most = math.log(cap) * TILT_GRID
+    # targets of nothing, and of cap times the size, are met at the ends of the bracket
+    full = F.col("target") >= cap * F.col("source_size") * (1 - CLOSE)
+    state = targets.select(
+        "source", "n_docs", "source_size", "target", F.when(F.col("target") <= 0, LOWEST).when(full, most).otherwise(0.0).alias("lam"),
+        F.lit(LOWEST).alias("lo"), F.lit(most).alias("hi"), ((F.col("target") <= 0) | full).alias("done"),
     )
+    state = materialize(state, "lambdas")
+    for _ in range(NEWTON_STEPS):
+        if not state.where("not done").take(1):
+            break
+        at = state.where("not done").select(F.col("source").alias("_s"), "lam")
+        sums = hist.join(at, hist.source.eqNullSafe(F.col("_s"))).groupBy("_s").agg(
+            F.sum(F.col("tokens") * rate).alias("taken"), F.sum(F.when(rate < cap, F.col("tokens") * F.col("tilt") * rate).otherwise(0.0)).alias("slope")
+        )
+        s = state.join(sums, state.source.eqNullSafe(F.col("_s")), "left")
+        excess = F.col("taken") - F.col("target")
+        lo, hi = F.when(excess < 0, F.col("lam")).otherwise(F.col("lo")), F.when(excess >= 0, F.col("lam")).otherwise(F.col("hi"))
+        newton = F.col("lam") - excess / F.col("slope")
+        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi)
+        met = F.abs(excess) <= CLOSE * F.col("target")
+        s = s.select(
+            "source", "n_docs", "source_size", "target",
+            F.when(F.col("done") | met, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2).alias("lam"),
+            F.when(F.col("done"), F.col("lo")).otherwise(lo).alias("lo"), F.when(F.col("done"), F.col("hi")).otherwise(hi).alias("hi"), (F.col("done") | met).alias("done"),
+        )
+        state = materialize(s, "lambdas")
+    return state.select("source", "n_docs", "source_size", "target", "lam")
 
 
 def _diffuse(cell: Column, cap: int) -> Column:
     """Copies for a cell's entries (size, doc_id, n, rate), largest first: array<struct<doc_id, size, copies>>."""
-    none = F.array().cast("array<struct<doc_id:bigint,size:bigint,copies:bigint>>")
+    none = F.array().cast("array<struct<doc_id:bigint,size:bigint,tilt:double,copies:bigint>>")
 
     def step(a: Column, x: Column) -> Column:
         due = a["due"] + x["rate"] * x["size"] * x["n"]
@@ -97,7 +111,7 @@ def _diffuse(cell: Column, cap: int) -> Column:
         copies = F.when(x["size"] > 0, copies).otherwise(F.round(x["rate"], 0).cast("long"))
         return F.struct(
             (due - copies * x["size"] * x["n"]).cast("double").alias("due"),
-            F.concat(a["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), copies.alias("copies")))).alias("out"),
+            F.concat(a["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["tilt"].alias("tilt"), copies.alias("copies")))).alias("out"),
         )
 
     return F.aggregate(cell, F.struct(F.lit(0.0).cast("double").alias("due"), none.alias("out")), step)["out"]
@@ -108,27 +122,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
 
     docs has doc_id, text and source; other columns pass through, but columns named size, source_size, target or
     copies are replaced. Null text has size 0; a null source is a source of its own, last in order; null doc_ids
-    are alike. Rows that repeat a doc_id with an equal source and size get equal copies. A source of size 0 has
-    target 0 and its rows no copies. An empty table stays empty. Copies depend on doc_id, source and size alone, so
-    reruns agree. `tilt` is a positive column that says how strongly a row's rate reacts (default 1: all alike).
+    are alike. Rows that repeat a doc_id with an equal source, size and tilt get equal copies. A source of size 0 has
+    target 0 and its rows no copies. Texts are only counted, whatever their length; ties are ordered by hashes of doc_id. An empty table stays empty.
+    Copies depend on doc_id, source, size and tilt alone, so reruns agree. `tilt` is a positive column that says how strongly a row's rate reacts (null: 1;
+    default: length_tilt of its size; F.lit(1) gives all documents of a source one rate).
     """
     docs = docs.drop("size", "source_size", "target", "copies", "_tilt")
-    strength = F.lit(1.0) if tilt is None else F.greatest(F.lit(1), F.round(F.coalesce(tilt.cast("double"), F.lit(1.0)) * TILT_GRID)) / TILT_GRID
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_tilt", strength)
+    sized = docs.withColumn("size", word_count(F.col("text")))
+    strength = length_tilt(F.col("size")) if tilt is None else F.coalesce(tilt.cast("double"), F.lit(1.0))
+    sized = sized.withColumn("_tilt", F.least(F.lit(float(MOST_TILT)), F.greatest(F.lit(1), F.round(strength * TILT_GRID)) / TILT_GRID))
     # narrow, and read several times: the texts are counted here and once more where copies meet the rows
     entries = materialize(sized.select("doc_id", "source", "size", F.col("_tilt").alias("tilt")), "sizes")
     solved = rates(entries, source_targets(entries, weights, cap), cap)
     # source tables hold a row per source; the join is left to the planner, which splits a hot source if it shuffles
-    e = entries.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"), F.max("tilt").alias("tilt"))
+    e = entries.groupBy("doc_id", "source", "size", "tilt").agg(F.count(F.lit(1)).alias("n"))
     e = e.join(solved, e.source.eqNullSafe(solved.source)).drop(solved.source)
     e = e.withColumn("rate", F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("tilt"))))
     cell = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / CELL))
     cells = e.withColumn("cell", cell).groupBy("source", "source_size", "target", "cell").agg(
-        F.sort_array(F.collect_list(F.struct("size", F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id", "n", "rate")), asc=False).alias("entries")
+        F.sort_array(F.collect_list(F.struct("size", F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id", "n", "rate", "tilt")), asc=False).alias("entries")
     )
     out = cells.select("source", "source_size", "target", F.explode(_diffuse(F.col("entries"), cap)).alias("c")).select("source", "source_size", "target", "c.*")
-    same = sized.doc_id.eqNullSafe(out.doc_id) & sized.source.eqNullSafe(out.source) & (sized["size"] == out["size"])
-    return sized.join(out, same).drop(out.doc_id).drop(out.source).drop(out["size"]).drop("_tilt")
+    same = sized.doc_id.eqNullSafe(out.doc_id) & sized.source.eqNullSafe(out.source) & (sized["size"] == out["size"]) & (sized["_tilt"] == out["tilt"])
+    return sized.join(out, same).drop(out.doc_id).drop(out.source).drop(out["size"]).drop(out.tilt).drop("_tilt")
 
 
 def copies(mixed: DataFrame) -> DataFrame:
