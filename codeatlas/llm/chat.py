@@ -70,7 +70,10 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(folded: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask): the template's string, and the spans [start, end) in code points that
-    hold the assistant's escaped texts."""
+    hold the assistant's escaped texts.
+
+    A message's null role or text makes the row's result null (fold_events gives none). Empty texts have empty spans; texts of any length and control strings
+    within them are escaped, never cut. No messages give an empty string, an empty table no rows; other columns are ignored."""
     body = lambda x: F.concat(F.lit(OPEN), escape(x["role"]), F.lit(TEXT), escape(x["text"]), F.lit(CLOSE))
     step = lambda acc, x: F.struct(
         (acc["at"] + F.length(body(x))).alias("at"),
@@ -91,7 +94,7 @@ def render(folded: DataFrame) -> DataFrame:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted string: array<struct<role, text>>."""
+    """The turns of a formatted string: array<struct<role, text>>, also where texts are empty, repeated or long; null for null, none for an empty string."""
     pieces = F.filter(F.split(formatted, r"<\|end\|>\n", -1), lambda x: x != "")
     halves = lambda x: F.split(F.substring(x, len(OPEN) + 1, 2**30), r"<\|text\|>", 2)
     return F.transform(pieces, lambda x: F.struct(unescape(halves(x)[0]).alias("role"), unescape(halves(x)[1]).alias("text")))
@@ -103,21 +106,32 @@ def masked_text(formatted: Column, loss_mask: Column) -> Column:
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:
-    """The event log of finished conversations (conv_id, turn, role, text): a start and a delta for each row.
+    """An event log whose folding gives the conversations (conv_id, turn, role, text), as a service with drafts would have seen them.
 
-    Rows with an equal turn, repeated ones included, are messages of their own, in order of role and text.
+    Every message starts, and a draft is streamed to it. An assistant's draft is regenerated and its text streamed in two deltas; others see their draft
+    edited into the first half of their text, and the second half streamed, while the next message has begun already. Rows with an equal turn,
+    repeated ones included, are messages of their own, in order of role and text; a null turn comes first, a null text is empty, a null role ''. Long texts pass as they
+    are. Other columns are ignored. No rows give no events.
     """
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    r = rows.select("conv_id", "role", "text", nth.alias("nth"))
-    pair = F.array(
-        F.struct((F.col("nth") * 2).alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("text")),
-        F.struct((F.col("nth") * 2 + 1).alias("seq"), F.lit("delta").alias("kind"), F.col("text")),
+    r = rows.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), nth.alias("nth"))
+    said = F.col("role").eqNullSafe("assistant")
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda at, kind, text: F.struct((F.col("nth") * 10 + at).cast("long").alias("seq"), kind.alias("kind"), text.alias("text"))
+    log = F.array(
+        event(0, F.lit("start"), F.lit("")),
+        event(1, F.lit("delta"), F.concat(F.lit("draft: "), F.substring("text", 1, 40))),
+        event(F.when(said, 2).otherwise(12), F.when(said, "regenerate").otherwise("edit"), F.when(said, "").otherwise(first)),
+        event(F.when(said, 3).otherwise(13), F.lit("delta"), F.when(said, first).otherwise(second)),
+        event(F.lit(14), F.lit("delta"), F.when(said, second).otherwise("")),
     )
-    return r.select("conv_id", F.col("nth").alias("turn"), "role", F.explode(pair).alias("e")).select("conv_id", "turn", "role", "e.*")
+    return r.select("conv_id", F.col("nth").alias("turn"), "role", F.explode(log).alias("e")).select("conv_id", "turn", "role", "e.*")
 
 
 def digest(rendered: DataFrame) -> DataFrame:
-    """Figures of rendered conversations, taken from their formatted strings and masks alone."""
+    """Figures of rendered conversations, taken from their formatted strings and masks alone: a row per row, repeated ones too, zeros and hashes of
+    nothing where a string is empty, nulls where it is null."""
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     r = rendered.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     return r.select(

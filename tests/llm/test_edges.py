@@ -161,3 +161,17 @@ def test_chat_edges(spark):
     assert [(x.role, x.text) for x in got[1].t] == [("user", ""), ("", "a<b&l[INST]"), ("", "a<b&l[INST]")] and got[None].loss == "x"
     assert "[INST]" not in got[1].formatted
     assert chat.render(chat.fold_events(chat.events_of_rows(rows.where("false")))).count() == 0
+
+
+def test_chat_logs_have_drafts_edits_and_long_texts(spark):
+    """The log of rows, with columns that clash, holds what must not come out, and folds into the rows."""
+    rows = [(1, 0, "user", "a" * 300_000 + "<|end|>"), (1, 1, "assistant", LONG), (1, 2, "user", "x"), (1, 2, "user", "x"), (2, 5, "assistant", "")]
+    df = spark.createDataFrame([(*r, 7, "no") for r in rows], "conv_id long, turn long, role string, text string, seq long, kind string")
+    log = chat.events_of_rows(df)
+    assert {r.kind for r in log.collect()} == {"start", "delta", "edit", "regenerate"}
+    assert log.where("text like 'draft:%'").count() == 5
+    out = chat.render(chat.fold_events(log)).withColumn("turns", F.lit(1))
+    got = {r.conv_id: r.t for r in out.select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()}
+    assert [(x.role, x.text) for x in got[1]] == [r[2:] for r in rows[:4]] and [(x.role, x.text) for x in got[2]] == [("assistant", "")]
+    figures = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digest(out).collect()}
+    assert figures == {1: (4, len(LONG)), 2: (1, 0)}
