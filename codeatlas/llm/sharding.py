@@ -19,6 +19,9 @@ from ._common import materialize
 #: Rows in one slice of a group, at most about; a slice moves as a whole.
 SLICE = 64
 
+#: Rounds end when no more than this part of the linked weight moves.
+SETTLED = 0.001
+
 #: Rows of one bucket in the two-level running sums; no window partition is much larger.
 BUCKET = 2048
 
@@ -27,8 +30,8 @@ def _two_level(df: DataFrame, group: list[str], order: list[Column], amount: Col
     """df with the sum of `amount` over all rows of its group that precede the row, in order of `order` (its first
     column a uniform hash). Rows are dealt into buckets by the hash's top bits; bucket totals are summed in a window over
     buckets, and rows only within their own bucket, so no task sees a whole group."""
-    bits = max(0, min(40, math.ceil(math.log2(max(1, rows / BUCKET)))))
-    d = df.withColumn("_b", F.shiftrightunsigned(order[0], 64 - bits) if bits else F.lit(0).cast("long")).withColumn("_x", amount)
+    bits = max(1, min(40, math.ceil(math.log2(max(1, rows / BUCKET)))))
+    d = df.withColumn("_b", F.shiftrightunsigned(order[0], 64 - bits)).withColumn("_x", amount)
     totals = d.groupBy(*group, "_b").agg(F.sum("_x").alias("_t"))
     # offsets over buckets, again in two levels where there are many
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +42,7 @@ def _two_level(df: DataFrame, group: list[str], order: list[Column], amount: Col
 
 
 def _propagate(atoms: DataFrame, shards: int, total: int, rounds: int, slack: float) -> DataFrame:
-    """atoms (ga, gb, first, slice, weight, shard) after the rounds. Only atoms with neighbours are given."""
+    """atoms (ga, gb, first, slice, weight, shard) after as many rounds as move more than SETTLED of the weight. Only atoms with neighbours are given."""
     capacity = total / shards * (1 + slack)
     for r in range(rounds):
         pull = atoms.groupBy("ga", "gb", "shard").agg(F.sum("weight").alias("held"))
@@ -66,17 +69,33 @@ def _propagate(atoms: DataFrame, shards: int, total: int, rounds: int, slack: fl
         a = a.join(F.broadcast(quota), ["shard", "want"], "left")  # shards x shards rows
         drawn = F.pmod(F.xxhash64("ga", "gb", "first", "slice", F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
         go = F.col("moves") & (drawn < F.when(F.col("small"), F.col("part_small")).otherwise(F.col("part_large")))
-        atoms = materialize(a.select("ga", "gb", "first", "slice", "weight", F.when(go, F.col("want")).otherwise(F.col("shard")).alias("shard")), "atoms")
+        a = materialize(a.select("ga", "gb", "first", "slice", "weight", F.when(go, F.col("want")).otherwise(F.col("shard")).alias("shard"), go.alias("went")), "atoms")
+        atoms = a.drop("went")
+        went, every = a.agg(F.sum(F.when(F.col("went"), F.col("weight"))), F.sum("weight")).first()
+        if (went or 0) <= SETTLED * (every or 0):
+            break
     return atoms
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, group: Column | None = None, law: str = "rows", rounds: int = 4, slack: float = 0.02) -> DataFrame:
+def cut(placed: DataFrame, group: list[str]) -> DataFrame:
+    """(links, cut, cut_by_hash) of rows with group columns, doc_id and shard: pairs of rows of one group, those in two shards, and those that a
+    placement by a hash of doc_id would part. Pairs are counted from the groups' sizes by shard, never listed. Null groups have no links; no rows give zeros."""
+    shards = (placed.agg(F.max("shard")).first()[0] or 0) + 1
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    rows = placed.dropna(subset=group).select(*group, "shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).alias("drawn"))
+    counts = rows.groupBy(*group, "shard", "drawn").agg(F.count(F.lit(1)).alias("n"))
+    figures = [counts.groupBy(*group, *by).agg(F.sum("n").alias("n")).select(*[F.when(F.lit(c == name), pairs).alias(c) for c in ("links", "shard", "drawn")]) for name, by in (("links", []), ("shard", ["shard"]), ("drawn", ["drawn"]))]
+    three = figures[0].unionByName(figures[1]).unionByName(figures[2]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("links", "shard", "drawn")])
+    return three.select("links", (F.col("links") - F.col("shard")).alias("cut"), (F.col("links") - F.col("drawn")).alias("cut_by_hash"))
+
+
+def shard_rows(docs: DataFrame, shards: int = 8, group: Column | None = None, law: str = "rows", rounds: int = 12, slack: float = 0.02) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot) for every row of docs.
 
     docs has doc_id and text; other columns are ignored. `group` is the column whose equal values link rows (default: the
     text). Null texts are empty texts, and linked with them; a row with a null group has no links. law `rows`: shards differ
     by one row at most. law `bytes`: by about the largest row. Repeated rows, of equal doc_id or not, each have their slot.
-    Ties are broken by hashes of doc_id, so reruns agree. An empty table gives no rows.
+    Ties are broken by hashes of doc_id, so reruns agree. Texts are only hashed and measured, whatever their length. An empty table gives no rows.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(law)

@@ -4,6 +4,7 @@ import json
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -296,6 +297,32 @@ def test_sharding_keeps_groups_and_splits_the_hot_one(spark):
     small = got[got.text.str.startswith("g")].groupby("text").shard.nunique()
     assert (small > 1).mean() < 0.05
     assert got[got.text == "hot"].groupby("shard").size().max() >= 750  # half of it: small groups have the right of way
+    groups = got[~got.text.str.startswith("s")]
+    c = sharding.cut(spark.createDataFrame(groups[["doc_id", "text", "shard"]]), ["text"]).first()
+    pairs = lambda g: (g * (g - 1) // 2).sum()
+    assert c.links == pairs(groups.groupby("text").size()) and c.cut == c.links - pairs(groups.groupby(["text", "shard"]).size())
+    assert c.cut < 0.9 * c.cut_by_hash  # the hot group has to be split
+
+
+@data
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_sharding_of_the_documents(spark, law):
+    """All laws of the contract on a whole table, and fewer links cut than by hash."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = sharding.shard_rows(docs, 8, law=law)
+    got = out.toPandas()
+    size = {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()}
+    assert len(got) == len(size) and all(size[i] == (s, c) for i, s, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True))
+    for _, rows in got.groupby("shard"):
+        assert sorted(rows.slot) == list(range(len(rows)))
+    if law == "rows":
+        counts = got.groupby("shard").size().reindex(range(8), fill_value=0)
+        assert counts.max() - counts.min() <= 1
+    else:
+        sums = got.groupby("shard")["size"].sum().reindex(range(8), fill_value=0)
+        assert sums.max() - sums.min() <= 2 * got["size"].max()
+    c = sharding.cut(out.select("doc_id", "text_crc32", "shard"), ["text_crc32"]).first()
+    assert 0 < c.links and c.cut < c.cut_by_hash / 2
 
 
 def test_repeat_words_brute_force():
