@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir
+from ..session import discard, materialize, shared_dir
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,7 +54,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(maybe_broadcast(low, 2 * seen[0]), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(maybe_broadcast(low, 2 * seen[0]), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = materialize(small.select("x.*").where("u <> v").distinct(), "edges")
+        before, e = e, materialize(small.select("x.*").where("u <> v").distinct(), "edges")
+        discard(before)
         now = _fingerprint(e)
         if now == seen:
             break

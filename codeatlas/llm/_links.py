@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialize, maybe_broadcast, n_parts
+from ._common import connected_components, discard, materialize, maybe_broadcast, n_parts
 
 #: Members of a bucket whose pairs are listed; members and bytes of text in a slice of a family; columns of a feature matrix that are multiplied
 #: at once.
@@ -183,7 +183,8 @@ def link_components(signatures: DataFrame, texts: Callable[[DataFrame, int], Dat
     text = texts(degree.select("id"), n_items).mapInArrow(_sketched(features), "id long, text string, n int, sketch binary")
     text = materialize(text, "candidates")
     if text.count() > n_items:  # rows that repeat an id
-        text = materialize(text.groupBy("id").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "candidates")
+        once, text = text, materialize(text.groupBy("id").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "candidates")
+        discard(once)
     weighed = members.join(maybe_broadcast(degree, n_items), "id")
     hubs = weighed.groupBy("sig").agg(F.max(F.struct("d", F.bitwise_not("id").alias("id"))).alias("top"), F.count(F.lit(1)).alias("size"))
     hubs = materialize(hubs.select("sig", F.col("top.d").alias("d"), F.bitwise_not("top.id").alias("hub"), "size"), "hubs")
@@ -215,6 +216,7 @@ def link_components(signatures: DataFrame, texts: Callable[[DataFrame, int], Dat
     left = _mixed(members.join(hubs.where(F.col("size") > SMALL), "sig").select("sig", "id", "hub"), comps)
     left = materialize(left.select("id", "comp", "hub").distinct(), "mixed")
     if not left.take(1):
+        discard(members, degree, text, hubs, best, left)
         return comps.select(F.col("node").alias("id"), "root")
     families = connected_components(left.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")))
     people = left.select("id", "comp").distinct().join(families, F.col("id") == F.col("node")).select("id", "comp", F.col("root").alias("family"))
@@ -233,7 +235,9 @@ def link_components(signatures: DataFrame, texts: Callable[[DataFrame, int], Dat
     blocks = blocks.repartition(n_parts(text), "family", "lo", "hi")
     more = blocks.groupBy("family", "lo", "hi").applyInArrow(_verify_block(features, percent), "u long, v long")
     every = links.unionByName(materialize(more, "links"))
-    return materialize(connected_components(every), "components").select(F.col("node").alias("id"), "root")
+    comps = materialize(connected_components(every), "components")
+    discard(members, degree, text, hubs, best, left, people)
+    return comps.select(F.col("node").alias("id"), "root")
 
 
 def _mixed(placed: DataFrame, comps: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ._common import bound_batches, materialize, maybe_broadcast, new_path
 from ._files import file_system
 from ._links import link_components
+from ._words import _M1, _M2, _S32, Words, mix
 
 #: Growth of band limits, and words in a shingle.
 GROWTH, SHINGLE = 1.5, 4
@@ -34,70 +35,31 @@ GROWTH, SHINGLE = 1.5, 4
 #: A feature is common if COMMON_LOCAL sets of a run of COMMON_CHUNK features hold it; the COMMON_MOST most frequent ones are left out of signatures.
 COMMON_LOCAL, COMMON_CHUNK, COMMON_MOST = 8, 1_000_000, 200_000
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_S29, _S32 = np.uint64(29), np.uint64(32)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers over all bits."""
-    h = (h ^ (h >> _S32)) * _M1
-    h = (h ^ (h >> _S29)) * _M2
-    return h ^ (h >> _S32)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered by the worker; the memo is dropped when it is full."""
-
-    MOST = 100_000
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.MOST:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), "u8", len(words))
-
-
-_HASHES = WordHashes()
-
-
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n-word windows of word hashes."""
-    out = np.zeros(len(h) - n + 1, "u8")
+    size = max(0, len(h) - n + 1)
+    out = np.zeros(size, "u8")
     for j in range(n):
-        out = mix(out + h[j : len(h) - n + 1 + j])
+        out = mix(out + h[j : j + size])
     return out
 
 
-def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
-    """The sorted set of hashed n-word shingles; with fewer words, of the whole sequence; none without words."""
-    if not words:
-        return np.zeros(0, "u8")
-    return np.unique(_spread(_HASHES(words), min(n, len(words))))
-
-
-def many_shingles(many: list[list[bytes]], n: int = SHINGLE) -> list[np.ndarray]:
-    """shingles() of many sequences, hashed in one go; a batch of a few megabytes at most."""
-    h = _HASHES([w for words in many for w in words])
-    grams = _spread(h, n) if len(h) >= n else np.zeros(0, "u8")
-    out, at = [], 0
-    for words in many:
-        k = len(words)
-        out.append(np.unique(grams[at : at + k - n + 1]) if k >= n else shingles(words, n))
-        at += k
-    return out
+def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The sorted set of hashed n-word shingles of word hashes; with fewer words, of the whole sequence; none without words."""
+    return np.unique(_spread(h, min(n, len(h)))) if len(h) else np.zeros(0, "u8")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII white space."""
-    return (text or "").encode().lower().split()
+def many_shingles(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
+    """shingles() of many texts, hashed in one go; a batch of a few megabytes at most."""
+    words = Words(texts)
+    grams = _spread(words.hash, n)
+    ends = words.first.tolist()
+    return [np.unique(grams[a : b - n + 1]) if b - a >= n else shingles(words.hash[a:b], n) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def text_set(n: int = SHINGLE):
-    """A text's set."""
-    return lambda text: shingles(words_of(text), n)
+    """A text's set: its words are A-Z lower-cased and split at ASCII white space."""
+    return lambda text: shingles(Words.of(text).hash, n)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -174,7 +136,7 @@ def _set_rows(n: int):
         held: list[np.ndarray] = []
         total = 0
         for batch in batches:
-            sets = many_shingles([words_of(t.as_py()) for t in batch["text"]], n)
+            sets = many_shingles(batch["text"], n)
             yield row_batch(batch["doc_id"], [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets])
             held += sets
             total += sum(map(len, sets))
@@ -205,7 +167,7 @@ def _signature_rows(n: int, percent: int, common_path: str):
         limits, common = bands(percent, 1 << 10), _common_features(common_path)
         for batch in batches:
             sigs, items, held = [], [], 0
-            for s in many_shingles([words_of(t.as_py()) for t in batch["text"]], n):
+            for s in many_shingles(batch["text"], n):
                 key = set_key(s) if len(s) else None
                 if key is None or key in seen:
                     continue

@@ -16,105 +16,75 @@ minima that are combined before the shuffle. Words, windows and equal paragraphs
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, bound_batches, connected_components, materialize, maybe_broadcast, n_parts
+from ._common import bound_batches, connected_components, discard, materialize, maybe_broadcast, n_parts
 from ._links import link_components
-from .ngram_join import WordHashes, mix, shingles
+from ._words import Words, mix
+from .ngram_join import text_set
 
 MIN_WORDS, SHINGLE, PERCENT, BANDS, ROWS = 50, 5, 80, 10, 3
 
-_HASHES = WordHashes()
-_WORD = re.compile(WORD)
 _RNG = np.random.default_rng(20240101)  # fixed, so that all tasks and reruns agree
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype="u8")
 _LOW = np.uint64(2**32 - 1)
 
 
-def _words(line: str) -> list[bytes]:
-    return line.encode().lower().split()
-
-
-def paragraph_key(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
-
-
-def paragraphs(text: str, least: int = SHINGLE) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, end, words) of the lines that have enough words; start and end in code points."""
-    at = 0
-    for line in text.split("\n"):
-        if len(line) >= 2 * least - 1 and len(w := _words(line)) >= least:
-            yield at, at + len(line), w
-        at += len(line) + 1
-
-
-def minhash_bands(many: list[list[bytes]]) -> np.ndarray:
-    """A row of BANDS signatures for each list of words. Minima are taken over 32-bit hashes, which numpy multiplies several at once."""
-    flat = [w for words in many for w in words]
-    h = _HASHES(flat)
-    n = np.array([len(w) for w in many])
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+def minhash_bands(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of BANDS signatures for each list of word hashes; lists of n words, SHINGLE at least, are laid end to end. Minima are taken over 32-bit hashes, which
+    numpy multiplies several at once."""
+    starts = np.cumsum(n) - n
     grams = h.copy()
     for j in range(1, SHINGLE):
         grams[:-j] = mix(grams[:-j] + h[j:])
     beyond = np.arange(len(h)) > np.repeat(starts + n, n) - SHINGLE  # shingles that reach into the next list don't count
     half = (grams >> np.uint64(32)).astype("u4")
-    out = np.empty((len(many), BANDS * ROWS), "u8")
+    out = np.empty((len(n), BANDS * ROWS), "u8")
     for k in range(BANDS * ROWS):
         v = half * np.uint32(_A[k] & _LOW) + np.uint32(_B[k] & _LOW)
         v ^= v >> np.uint32(15)
         v *= np.uint32(_A[-1 - k] & _LOW)
         v[beyond] = np.uint32(_LOW)
         out[:, k] = np.minimum.reduceat(v, starts)
-    bands = np.zeros((len(many), BANDS), "u8") + np.arange(BANDS, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    bands = np.zeros((len(n), BANDS), "u8") + np.arange(BANDS, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
     for r in range(ROWS):
         bands = mix(bands + out[:, r::ROWS])
     return bands.view("i8")
 
 
 def _paragraph_rows(least: int):
+    """(doc_id, version, start, end, item) of the texts' lines of enough words; start and end in code points."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], strict=True)
-            rows = [(d, v, a, b, paragraph_key(w)) for d, v, t in ids for a, b, w in paragraphs(t.as_py(), least)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "version", "start", "end", "item"])
+            words = Words(batch["text"])
+            lines, points = words.lines(least), words.points()
+            base = points[words.rows[lines.row]]
+            ids = [batch[c].take(pa.array(lines.row)) for c in ("doc_id", "version")]
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, (points[lines.begin] - base, points[lines.end] - base, lines.key))], ["doc_id", "version", "start", "end", "item"])
 
     return run
 
 
 def _band_rows(least: int):
-    def flush(held: list[list[bytes]], keys: list[int]) -> pa.RecordBatch:
-        bands = minhash_bands(held)
-        return pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(np.array(keys, "i8"), BANDS))], ["sig", "id"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a partition give their signatures once
-        held: list[list[bytes]] = []
-        keys: list[int] = []
-        total = 0
         for batch in batches:
-            for t in batch["text"]:
-                for _, _, w in paragraphs(t.as_py() or "", least):
-                    key = paragraph_key(w)
-                    if key not in seen:
-                        seen.add(key)
-                        held.append(w)
-                        keys.append(key)
-                        total += len(w)
-                        if total > 400_000:
-                            yield flush(held, keys)
-                            held, keys, total = [], [], 0
-        if held:
-            yield flush(held, keys)
+            lines = Words(batch["text"]).lines(least)
+            new = np.zeros(len(lines.key), bool)
+            for k, key in enumerate(lines.key.tolist()):
+                if key not in seen:
+                    seen.add(key)
+                    new[k] = True
+            if new.any():
+                bands = minhash_bands(lines.flat[np.repeat(new, lines.n)], lines.n[new])
+                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(lines.key[new], BANDS))], ["sig", "id"])
 
     return run
 
@@ -152,28 +122,15 @@ def _mark_rows(min_words: int):
     """(item, version, doc_id) of the texts' marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[list[bytes]], ids: list[tuple[int, int]]) -> pa.RecordBatch:
-            mark, _, nth, _ = windows(_HASHES([w for words in held for w in words]), np.array([len(w) for w in held]), min_words)
+        for batch in batches:
+            words = Words(batch["text"])
+            mark, _, nth, _ = windows(words.hash, np.diff(words.first), min_words)
+            if not len(mark):
+                continue
             new = np.ones(len(mark), bool)
             new[1:] = (mark[1:] != mark[:-1]) | (nth[1:] != nth[:-1])
-            of = np.array(ids, "i8")[nth[new]]
-            return pa.RecordBatch.from_arrays([pa.array(mark[new].view("i8")), pa.array(of[:, 1].copy()), pa.array(of[:, 0].copy())], ["item", "version", "doc_id"])
-
-        held: list[list[bytes]] = []
-        ids: list[tuple[int, int]] = []
-        total = 0
-        for batch in batches:
-            for d, v, t in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], strict=True):
-                w = _words(t.as_py())
-                if len(w) >= min_words:
-                    held.append(w)
-                    ids.append((d, v))
-                    total += len(w)
-                if total > 400_000:
-                    yield flush(held, ids)
-                    held, ids, total = [], [], 0
-        if held:
-            yield flush(held, ids)
+            of = pa.array(nth[new])
+            yield pa.RecordBatch.from_arrays([pa.array(mark[new].view("i8")), batch["version"].take(of), batch["doc_id"].take(of)], ["item", "version", "doc_id"])
 
     return run
 
@@ -185,12 +142,13 @@ def _window_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, v, t, m, k in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], batch["marks"], batch["known"], strict=True):
-                text = t.as_py()
-                mark, whole, _, first = windows(_HASHES(w := _words(text)), np.array([len(w)]), min_words)
+                words = Words(pa.array([t]))
+                mark, whole, _, first = windows(words.hash, np.diff(words.first), min_words)
                 wanted = np.isin(mark.view("i8"), m.values.to_numpy())
                 if not wanted.any():
                     continue
-                spans = np.array([x.span() for x in _WORD.finditer(text)], "i8")
+                points = words.points()
+                spans = np.stack([points[words.start], points[words.end]], axis=1)
                 whole, first = whole[wanted], first[wanted]
                 if k.is_valid and len(k.values):
                     lo, hi = (k.values.field(c).to_numpy() for c in ("start", "end"))  # in order, without overlap
@@ -236,25 +194,24 @@ def _spans(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def _lines_of(least: int):
+    """(id, text) of a row's wanted lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            words = Words(batch["text"])
+            lines = words.lines(least)
+            wanted = [set(x) for x in batch["items"].to_pylist()]
             out = []
-            for items, t in zip(batch["items"].to_pylist(), batch["text"], strict=True):
-                wanted = set(items)
-                for _, _, w in paragraphs(t.as_py() or "", least):
-                    if (k := paragraph_key(w)) in wanted:
-                        wanted.discard(k)
-                        out.append((k, b" ".join(w).decode()))
+            for r, k, lo, hi in zip(lines.row.tolist(), lines.key.tolist(), lines.begin.tolist(), lines.end.tolist(), strict=True):
+                if k in wanted[r]:
+                    wanted[r].discard(k)
+                    out.append((k, words.data[lo:hi].tobytes().decode()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out])], ["id", "text"])
 
     return run
 
 
-def _features(text: str) -> np.ndarray:
-    return shingles(text.encode().split(), SHINGLE)
-
-
 def versions(docs: DataFrame) -> DataFrame:
     """(doc_id, version, text) of the rows that have both; version is a hash of the text and tells rows of one doc_id apart."""
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
@@ -283,7 +240,7 @@ def repeated_paragraphs(d: DataFrame, least: int = SHINGLE) -> tuple[DataFrame,
         found = d.join(maybe_broadcast(materialize(of, "owners"), count), "doc_id").select("items", "text")
         return found.mapInArrow(_lines_of(least), "id long, text string")
 
-    comps = link_components(d.select("text").mapInArrow(_band_rows(least), "sig long, id long"), texts, _features, PERCENT)
+    comps = link_components(d.select("text").mapInArrow(_band_rows(least), "sig long, id long"), texts, text_set(SHINGLE), PERCENT)
     # an item's component, and the component's first paragraph
     of = first.join(comps, first.item == comps.id, "left").select("item", "first", "n", "root")
     linked = of.where("root is not null")
@@ -305,6 +262,7 @@ def repeated_passages(d: DataFrame, copies: DataFrame, known: DataFrame, min_wor
     per = marks.join(again, "item").groupBy(*key).agg(F.collect_set("item").alias("marks")).join(copies.select(*key).distinct(), key, "left_anti")
     spans = known.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("known"))
     per = materialize(per.join(spans, key, "left"), "wanted")
+    discard(marks)
     found = d.join(per, key).select("doc_id", "version", "text", "marks", "known")
     rows = materialize(found.mapInArrow(_window_rows(min_words), "item long, doc_id long, version long, at long"), "windows")
     first = rows.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("item", "owner")

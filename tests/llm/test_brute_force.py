@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.llm import _common, chat, decontam, mixing, ngram_join, paragraphs, quality, queries, sharding, tokens, wrappers
+from codeatlas.llm import _common, _words, chat, decontam, mixing, ngram_join, paragraphs, quality, queries, sharding, tokens, wrappers
 
 SF = "/root/testdata/sf0.001"
 data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -56,6 +57,31 @@ def test_ngram_join_is_exact(spark):
     assert got == {i: find(i) for i, _ in rows}
 
 
+def test_words_of_columns():
+    """Places and hashes of words against a regular expression, over slices, nulls, wide offsets, texts next to each other and long words."""
+    rng = random.Random(3)
+    for _ in range(60):
+        texts = ["".join(rng.choice("aB é\n\t\x0b\U0001f600zzzzzzzz") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 6))] + [None, "x" * 700, ""]
+        for column in (pa.array(texts, pa.string()), pa.array(["skip me", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
+            w = _words.Words(column)
+            for r, t in enumerate(texts):
+                want = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+                assert [w.data[w.start[k] : w.end[k]].tobytes() for k in range(w.first[r], w.first[r + 1])] == want
+                assert w.sequence(r).tolist() == _words.Words.of(t).hash.tolist()
+            lines = w.lines(2)
+            points = w.points()
+            got = [(r, points[a] - points[w.rows[r]], points[b] - points[w.rows[r]]) for r, a, b in zip(lines.row, lines.begin, lines.end, strict=True)]
+            want = []
+            for r, t in enumerate(texts):
+                at = 0
+                for line in (t or "").split("\n"):
+                    if len(re.findall(r"[^\x20\x09-\x0D]+", line)) >= 2:
+                        want.append((r, at, at + len(line)))
+                    at += len(line) + 1
+            assert got == want
+    assert _words.Words(pa.array([], pa.string())).lines(1).key.tolist() == []
+
+
 def test_partenum_signatures_are_complete():
     rng = np.random.default_rng(5)
     limits = ngram_join.bands(85, 4000)
