@@ -1,105 +1,114 @@
 """The reading path of a project: at most seven places to start, in order.
 
-The choice is sequential and greedy, so it runs as one small Python function per project, on inputs that joins and windows have cut down: of a file's
-relationships only the first 14 distinct targets can matter (seven items, and at most seven that are taken already).
+Four sets of candidates are placed one after the other, each as joins and windows over all projects at once: what starts the system, what that depends on
+(one frontier join per hop), large areas that nothing so far stands in, and a test. A project has seven places at most, so the frontiers stay small whatever the
+size of its graph; places are numbered on from the count of those before.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.categories import ENTRY_LABELS, NON_PRIMARY
-from ..operators import ranking, resolve
+from ..operators import ranking, resolve, windows
+from ..session import discard, materialize
 from . import areas as area_plan
 
-MOST, TARGETS = 7, 14
+# The number of places, the kinds of entry points that start a system or are its public face, and the sentences.
+MOST = 7
+STARTS, PUBLIC = ("bootstrap", "cli"), ("library", "runtime")
+STARTS_WHY = "This is likely where the system starts executing; begin here to see how it boots."
+PUBLIC_WHY = "This is the system's declared public entry point for consumers."
+TEST_WHY = "Exercises the implementation directly; a good place to observe representative behavior."
 SCHEMA = "run_id string, project_id string, place int, id string, file_path string, symbol_name string, what_it_represents string, rationale string, certainty string"
 
-
-def _path(rows: list[dict]) -> list[dict]:
-    """Items of one project. rows: dicts with `role` entry, rel, area or test, in order."""
-    by = {r: [x for x in rows if x["role"] == r] for r in ("entry", "rel", "area", "test")}
-    items: list[dict] = []
-    files: set[str] = set()
-    seen_areas: set[str] = set()
-
-    def add(path, symbol, what, why, certainty, area):
-        items.append({"file_path": path, "symbol_name": symbol, "what_it_represents": what, "rationale": why, "certainty": certainty})
-        files.add(path)
-        seen_areas.add(area)
-
-    cap = MOST - bool(by["test"])
-    application = [e for e in by["entry"] if e["kind"] in ("bootstrap", "cli")]
-    why = "This is likely where the system starts executing; begin here to see how it boots." if application else "This is the system's declared public entry point for consumers."
-    for e in (application or [e for e in by["entry"] if e["kind"] in ("library", "runtime")])[:cap]:
-        add(e["path"], e["symbol"], ENTRY_LABELS[e["kind"]], why, e["certainty"], e["area"])
-    after: dict[str, list[dict]] = {}
-    for r in by["rel"]:
-        after.setdefault(r["path"], []).append(r)
-    queue = [i["file_path"] for i in items]
-    for at in queue:
-        for r in after.get(at, ()):
-            if len(items) >= cap:
-                break
-            if r["other"] not in files:
-                add(r["other"], None, f"A module directly depended on by '{at}'", r["why"] or f"'{at}' depends on '{r['other']}'.", r["certainty"], r["area"])
-                queue.append(r["other"])
-    for a in by["area"]:
-        if len(items) >= cap:
+KEY = ["run_id", "project_id"]
+
+
+def _items(rows: DataFrame, order: list[Column], before: DataFrame | None, room: DataFrame, what: Column, why: Column, symbol: Column | None = None) -> DataFrame:
+    """Rows (KEY, file_path, certainty, area) that get places after those of `before`, as far as their project has room (KEY, cap)."""
+    used = None if before is None else before.groupBy(*KEY).agg(F.count(F.lit(1)).alias("used"))
+    rows = windows.numbered(rows, KEY, order, "nth").join(room, KEY)
+    rows = rows.withColumn("used", F.lit(0)) if used is None else rows.join(used, KEY, "left").fillna({"used": 0})
+    rows = rows.withColumn("place", (F.col("used") + F.col("nth")).cast("int")).where("place <= cap")
+    symbol = F.lit(None).cast("string") if symbol is None else symbol
+    return rows.select(*KEY, "place", "file_path", symbol.alias("symbol_name"), what.alias("what_it_represents"), why.alias("rationale"), "certainty", "area")
+
+
+def _seeds(entries: DataFrame, room: DataFrame) -> DataFrame:
+    """Entry points of the kinds that start a system or, in projects without any, of its public kinds."""
+    starts = F.col("kind").isin(*STARTS)
+    running = entries.where(starts).select(*KEY).distinct().withColumn("runs", F.lit(True))
+    e = entries.join(running, KEY, "left").where(starts | (F.col("runs").isNull() & F.col("kind").isin(*PUBLIC)))
+    label = F.create_map(*[F.lit(x) for kv in ENTRY_LABELS.items() for x in kv])[F.col("kind")]
+    return _items(e, [F.col("ord").asc()], None, room, label, F.when(starts, STARTS_WHY).otherwise(PUBLIC_WHY), F.col("symbol_name"))
+
+
+def _dependencies(seeds: DataFrame, links: DataFrame, where: DataFrame, room: DataFrame) -> DataFrame:
+    """The seeds and what they lead to, hop by hop: within a hop by the place of the first file that leads there, then by the order of its links."""
+    found = frontier = materialize(seeds, "places")
+    parts = [found]
+    for _ in range(MOST - 1):
+        at = frontier.groupBy(*KEY, F.col("file_path").alias("from_id")).agg(F.min("place").alias("at"))
+        known = found.select(*KEY, F.col("file_path").alias("to_id")).distinct()
+        step = at.join(links, ["run_id", "from_id"]).join(known, [*KEY, "to_id"], "left_anti")
+        step = resolve.first_wins(step, [*KEY, "to_id"], [F.col("at").asc(), F.col("o").asc()])
+        step = step.withColumnRenamed("to_id", "file_path").join(where, [*KEY, "file_path"], "left").withColumn("area", F.coalesce("area", paths.area_at_depth(F.col("file_path"), 2)))
+        what = F.concat(F.lit("A module directly depended on by '"), "from_id", F.lit("'"))
+        why = F.coalesce("why", F.concat(F.lit("'"), "from_id", F.lit("' depends on '"), "file_path", F.lit("'.")))
+        frontier = materialize(_items(step, [F.col("at").asc(), F.col("o").asc()], found, room, what, why), "places")
+        if not frontier.take(1):
             break
-        # an area stands for the area that its own path falls into at depth two, which may be its parent
-        if a["other"] not in seen_areas:
-            add(a["path"], None, f"Primary structural area: '{a['other']}'", a["why"], "inferred", a["area"])
-    if len(items) < MOST:
-        for t in by["test"]:
-            if t["path"] not in files:
-                why = t["why"] or "Exercises the implementation directly; a good place to observe representative behavior."
-                add(t["path"], None, f"Test for '{t['other']}'", why, t["certainty"], t["area"])
-                break
-    return items
-
-
-def _project(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["role", "o"], kind="stable").astype(object)
-    rows = group.where(group.notna(), None).to_dict("records")
-    out = _path(rows)
-    run, project = rows[0]["run_id"], rows[0]["project_id"]
-    return pd.DataFrame(
-        [{"run_id": run, "project_id": project, "place": k, "id": f"start-here-{k}", **i} for k, i in enumerate(out, 1)],
-        columns=[x.split()[0] for x in SCHEMA.split(", ")],
-    )
+        parts.append(frontier)
+        found = found.unionByName(frontier)
+    whole = materialize(found, "places")
+    discard(*parts)
+    return whole
+
+
+def _areas(areas: DataFrame, found: DataFrame, room: DataFrame) -> DataFrame:
+    """Primary areas that no place stands in, the largest first. An area's place stands in the area that its own path falls into at depth two, which may be its parent: so a
+    parent is left out if one of its parts comes before it, and nothing else depends on what is added here."""
+    a = areas.where(F.col("responsibility").isNull() | ~F.col("responsibility").isin(*NON_PRIMARY))
+    a = windows.numbered(a, KEY, [F.col("file_count").desc(), F.expr("collate(area, 'UNICODE')").asc()], "o")
+    a = a.join(found.select(*KEY, "area").distinct(), [*KEY, "area"], "left_anti").withColumn("stands_in", paths.area_at_depth(F.col("area"), 2))
+    part = a.where("stands_in <> area").groupBy(*KEY, F.col("stands_in").alias("area")).agg(F.min("o").alias("part"))
+    a = a.join(part, [*KEY, "area"], "left").where("part is null or part > o")
+    a = a.select(*KEY, "o", F.col("area").alias("file_path"), F.col("stands_in").alias("area"), "rationale", F.lit("inferred").alias("certainty"))
+    return _items(a, [F.col("o").asc()], found, room, F.concat(F.lit("Primary structural area: '"), "file_path", F.lit("'")), F.col("rationale"))
+
+
+def _test(tests: DataFrame, found: DataFrame) -> DataFrame:
+    """The first test whose file has no place yet, where one is free."""
+    used = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("used"))
+    t = tests.join(found.select(*KEY, "file_path").distinct(), [*KEY, "file_path"], "left_anti")
+    t = resolve.first_wins(t, KEY, [F.col("ord").asc()])
+    room = t.select(*KEY).join(used, KEY, "left").select(*KEY, F.least(F.lit(MOST), F.coalesce("used", F.lit(0)) + 1).alias("cap"))
+    what = F.concat(F.lit("Test for '"), "implementation_path", F.lit("'"))
+    return _items(t, [F.col("ord").asc()], found, room, what, F.coalesce("why", F.lit(TEST_WHY)))
 
 
 def build(files: DataFrame, entries: DataFrame, relationships: DataFrame, areas: DataFrame, tests: DataFrame) -> DataFrame:
     """SCHEMA rows per project.
 
     files (run_id, project_id, path); entries (run_id, ord, file_path, symbol_name, kind, certainty); relationships (run_id, ord, from_id, to_id, certainty, why);
-    areas as areas.build() gives them; tests (run_id, ord, test_path, implementation_path, certainty, why).
+    areas as areas.build() gives them; tests (run_id, ord, test_path, implementation_path, certainty, why). A project with a test keeps the last place for it.
     """
     placed = area_plan.subdivide(files.select("run_id", "project_id", "path").distinct())
-    where = placed.select("run_id", "project_id", F.col("path").alias("file_path"), "area")
-    none = F.lit(None).cast("string")
-    common = lambda df, role, path, other, kind, symbol, why, certainty: df.select(
-        "run_id", "project_id", F.lit(role).alias("role"), F.col("o").cast("long").alias("o"), path.alias("path"), other.alias("other"), kind.alias("kind"), symbol.alias("symbol"), why.alias("why"), certainty.alias("certainty"), F.col("area")
-    )
-    e = entries.join(where, ["run_id", "file_path"]).withColumn("o", F.col("ord"))
-    e = common(e, "entry", F.col("file_path"), none, F.col("kind"), F.col("symbol_name"), none, F.col("certainty"))
-    first = resolve.first_wins(relationships, ["run_id", "from_id", "to_id"], [(F.col("certainty") == "detected").desc(), F.col("ord").asc()])
-    top = ranking.top_per_key(first, ["run_id", "from_id"], [(F.col("certainty") == "detected").desc(), F.col("ord").asc()], TARGETS, "o")
-    target = where.select("run_id", "project_id", F.col("file_path").alias("to_id"), "area")
-    r = top.join(where.drop("area").withColumnRenamed("file_path", "from_id"), ["run_id", "from_id"]).join(target, ["run_id", "project_id", "to_id"], "left")
-    r = common(r.withColumn("area", F.coalesce("area", paths.area_at_depth(F.col("to_id"), 2))), "rel", F.col("from_id"), F.col("to_id"), none, none, F.col("why"), F.col("certainty"))
-    a = areas.where(F.col("responsibility").isNull() | ~F.col("responsibility").isin(*NON_PRIMARY))
-    a = ranking.top_per_key(a, ["run_id", "project_id"], [F.col("file_count").desc(), F.expr("collate(area, 'UNICODE')").asc()], 1 << 30, "o").withColumn("name", F.col("area"))
-    own = a.withColumn("area", paths.area_at_depth(F.col("name"), 2))
-    a = common(own, "area", F.col("name"), F.col("name"), none, none, F.col("rationale"), F.lit("inferred"))
-    t = tests.join(where.withColumnRenamed("file_path", "test_path"), ["run_id", "test_path"]).withColumn("o", F.col("ord"))
-    t = common(t, "test", F.col("test_path"), F.col("implementation_path"), none, none, F.col("why"), F.col("certainty"))
-    rows = e.unionByName(r).unionByName(a).unionByName(t)
-    return rows.groupBy("run_id", "project_id").applyInPandas(_project, SCHEMA)
+    where = materialize(placed.select(*KEY, F.col("path").alias("file_path"), "area"), "placed")
+    t = tests.withColumnRenamed("test_path", "file_path").join(where, ["run_id", "file_path"])
+    tested = t.select(*KEY).distinct().withColumn("tested", F.lit(1))
+    room = materialize(where.select(*KEY).distinct().join(tested, KEY, "left").select(*KEY, (MOST - F.coalesce("tested", F.lit(0))).alias("cap")), "room")
+    detected_first = [(F.col("certainty") == "detected").desc(), F.col("ord").asc()]
+    links = resolve.first_wins(relationships.select("run_id", "ord", "from_id", "to_id", "certainty", "why"), ["run_id", "from_id", "to_id"], detected_first)
+    links = windows.numbered(links, ["run_id", "from_id"], detected_first, "o").drop("ord")
+    found = _dependencies(_seeds(entries.join(where, ["run_id", "file_path"]), room), links, where, room)
+    found = materialize(found.unionByName(_areas(areas, found, room)), "places")
+    out = found.unionByName(_test(t, found))
+    fields = [x.split()[0] for x in SCHEMA.split(", ")]
+    return out.withColumn("id", F.concat(F.lit("start-here-"), F.col("place").cast("string"))).select(*fields)
 
 
 def merge(found: DataFrame) -> DataFrame:
