@@ -13,20 +13,51 @@ PREFIXES = {
     "styling": ["postcss-", "@postcss/", "stylelint-", "@stylelint/", "@emotion/"],
 }
 NAMES = {
-    "testing": "jest vitest mocha chai jasmine @testing-library/react cypress playwright @playwright/test pytest pytest-cov unittest2 nose tox",
-    "framework": "react vue @angular/core svelte solid-js preact next express fastify koa nestjs @nestjs/core fastapi flask django celery starlette uvicorn",
-    "library": "axios node-fetch got superagent ky undici requests httpx aiohttp urllib3 zod joi yup ajv class-validator pydantic cerberus marshmallow jsonschema",
-    "uiComponent": "@radix-ui/react-popover @radix-ui/react-switch @radix-ui/react-tabs @radix-ui/react-dialog @radix-ui/react-dropdown-menu @radix-ui/react-tooltip @radix-ui/themes @headlessui/react @mui/material @mui/joy @chakra-ui/react antd react-bootstrap reactstrap semantic-ui-react",
-    "database": "pg pg-promise mysql mysql2 mongoose mongodb sequelize prisma @prisma/client knex typeorm redis ioredis sqlite3 better-sqlite3 sqlalchemy psycopg2 psycopg2-binary pymongo redis-py asyncpg",
-    "devTooling": "eslint prettier black ruff mypy flake8 pylint isort lint-staged setuptools poetry wheel pip-tools",
-    "vcs": "simple-git isomorphic-git nodegit dugite husky gitpython dulwich pygit2",
-    "cli": "commander yargs cac meow inquirer prompts click typer docopt fire",
-    "compiler": "webpack vite babel @babel/core rollup esbuild typescript tsx ts-node swc @swc/core parcel",
-    "dataViz": "chart.js react-chartjs-2 recharts d3 victory nivo @nivo/core echarts apexcharts highcharts plotly.js vega vega-lite @visx/visx matplotlib seaborn plotly bokeh altair pygal plotnine",
-    "styling": "tailwindcss @tailwindcss/postcss @tailwindcss/vite sass node-sass less postcss autoprefixer stylelint styled-components emotion stylis windicss unocss bootstrap bulma csso cssnano purgecss",
-}
+    "testing": [
+        "jest", "vitest", "mocha", "chai", "jasmine", "@testing-library/react", "cypress", "playwright", "@playwright/test", "pytest", "pytest-cov",
+        "unittest2", "nose", "tox",
+    ],
+    "framework": [
+        "react", "vue", "@angular/core", "svelte", "solid-js", "preact", "next", "express", "fastify", "koa", "nestjs", "@nestjs/core", "fastapi", "flask",
+        "django", "celery", "starlette", "uvicorn",
+    ],
+    "library": [
+        "axios", "node-fetch", "got", "superagent", "ky", "undici", "requests", "httpx", "aiohttp", "urllib3", "zod", "joi", "yup", "ajv", "class-validator",
+        "pydantic", "cerberus", "marshmallow", "jsonschema",
+    ],
+    "uiComponent": [
+        "@radix-ui/react-popover", "@radix-ui/react-switch", "@radix-ui/react-tabs", "@radix-ui/react-dialog", "@radix-ui/react-dropdown-menu",
+        "@radix-ui/react-tooltip", "@radix-ui/themes", "@headlessui/react", "@mui/material", "@mui/joy", "@chakra-ui/react", "antd", "react-bootstrap",
+        "reactstrap", "semantic-ui-react",
+    ],
+    "database": [
+        "pg", "pg-promise", "mysql", "mysql2", "mongoose", "mongodb", "sequelize", "prisma", "@prisma/client", "knex", "typeorm", "redis", "ioredis",
+        "sqlite3", "better-sqlite3", "sqlalchemy", "psycopg2", "psycopg2-binary", "pymongo", "redis-py", "asyncpg",
+    ],
+    "devTooling": [
+        "eslint", "prettier", "black", "ruff", "mypy", "flake8", "pylint", "isort", "lint-staged", "setuptools", "poetry", "wheel", "pip-tools",
+    ],
+    "vcs": [
+        "simple-git", "isomorphic-git", "nodegit", "dugite", "husky", "gitpython", "dulwich", "pygit2",
+    ],
+    "cli": [
+        "commander", "yargs", "cac", "meow", "inquirer", "prompts", "click", "typer", "docopt", "fire",
+    ],
+    "compiler": [
+        "webpack", "vite", "babel", "@babel/core", "rollup", "esbuild", "typescript", "tsx", "ts-node", "swc", "@swc/core", "parcel",
+    ],
+    "dataViz": [
+        "chart.js", "react-chartjs-2", "recharts", "d3", "victory", "nivo", "@nivo/core", "echarts", "apexcharts", "highcharts", "plotly.js", "vega",
+        "vega-lite", "@visx/visx", "matplotlib", "seaborn", "plotly", "bokeh", "altair", "pygal", "plotnine",
+    ],
+    "styling": [
+        "tailwindcss", "@tailwindcss/postcss", "@tailwindcss/vite", "sass", "node-sass", "less", "postcss", "autoprefixer", "stylelint", "styled-components",
+        "emotion", "stylis", "windicss", "unocss", "bootstrap", "bulma", "csso", "cssnano", "purgecss",
+    ],
+}
 CHART_TERMS = ["chart", "charting", "graph", "graphing", "plot", "plotting", "visualization", "visualisation", "dataviz"]
 
+# Kinds of entry points in words, and responsibilities of areas that aren't primary.
 ENTRY_LABELS = {
     "bootstrap": "Application bootstrap entry point",
     "cli": "Command-line entry point",
@@ -55,7 +86,7 @@ def dependency_category(name: Column, description: Column | None = None, keyword
         signal = signal | F.coalesce(F.exists(keywords, lambda k: k.rlike(terms)), F.lit(False))
     rules = [(c, low.rlike("^(" + "|".join(p) + ")")) for c, p in PREFIXES.items()]
     rules += [("cli", low.rlike(r"\bcli\b"))]
-    rules += [(c, low.isin(*names.split())) for c, names in NAMES.items()]
+    rules += [(c, low.isin(*names)) for c, names in NAMES.items()]
     out = F.when(signal, F.lit("dataViz")).otherwise(F.lit("other"))
     for category, rule in reversed(rules):
         out = F.when(rule, F.lit(category)).otherwise(out)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def islands(df: DataFrame, partition: list[str], order: list[Column], key: Column) -> DataFrame:
@@ -67,11 +71,41 @@ def cooldown(df: DataFrame, key: str, at: str, ident: str, seconds: int) -> Data
 
 
 def nearest_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, ident: str) -> DataFrame:
-    """points with `ident` of the innermost span [start, end) of the same keys that holds the point: the one that starts last (the largest ident among equals)."""
-    near = spans.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(ident).alias("_i"))
-    pid = [c for c in points.columns if c not in keys]
-    j = points.join(near, keys, "left").withColumn("_in", (F.col("_s") <= F.col(point)) & (F.col(point) < F.col("_e")))
-    return j.groupBy(*keys, *pid).agg(F.max(F.when(F.col("_in"), F.struct("_s", "_i"))).alias("_b")).withColumn(ident, F.col("_b._i")).drop("_b")
+    """points with `ident` of the innermost span [start, end) of the same keys that holds the point: the one that starts last (the largest ident among equals).
+
+    Starts and points of a key are sorted onto one line and read once. A stack holds the open spans that a later point may still need: a span that ends
+    no later than one that starts after it never answers again. So rows and memory grow with points and spans, never with their product.
+    """
+    value = points.schema[point].dataType.simpleString()
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType)
+    own = [c for c in points.columns if c not in keys]
+    opened = spans.select(*keys, F.col(start).cast(value).alias("_at"), F.lit(0).alias("_kind"), F.col(end).cast(value).alias("_end"), F.col(ident).alias(ident), *[none(c, points).alias(c) for c in own])
+    asked = points.select(*keys, F.col(point).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(value).alias("_end"), none(ident, spans).alias(ident), *own)
+    line = opened.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "_at", "_kind", ident)
+    kept = [*keys, *own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stack = None, []
+        for batch in batches:
+            rows, answers = [], []
+            columns = [batch[c].to_pylist() for c in (*keys, "_at", "_kind", "_end", ident)]
+            for i, (*k, at, kind, stop, name) in enumerate(zip(*columns, strict=True)):
+                if k != key:
+                    key, stack = k, []
+                if kind:
+                    while stack and at is not None and stack[-1][0] <= at:
+                        stack.pop()
+                    rows.append(i)
+                    answers.append(stack[-1][1] if stack and at is not None else None)
+                elif at is not None and stop is not None and stop > at:
+                    while stack and stack[-1][0] <= stop:
+                        stack.pop()
+                    stack.append((stop, name))
+            some = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[some[c] for c in kept], pa.array(answers, batch[ident].type)], [*kept, ident])
+
+    schema = T.StructType([*[points.schema[c] for c in kept], T.StructField(ident, spans.schema[ident].dataType)])
+    return line.mapInArrow(run, schema)
 
 
 def mode_first_seen(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

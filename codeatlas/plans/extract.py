@@ -333,20 +333,25 @@ def py_entry_points(scripts: DataFrame, surface: DataFrame, names: DataFrame, fi
     return _numbered_entries(found.unionByName(index), "python-entry-")
 
 
-def js_surface(entries: DataFrame, exports: DataFrame, files: DataFrame, depth: int = 8) -> DataFrame:
-    """Exported names of library and runtime entries, with the file that declares each; re-exports are followed `depth` files deep."""
+def js_surface(entries: DataFrame, exports: DataFrame, files: DataFrame) -> DataFrame:
+    """Exported names of library and runtime entries, with the file that declares each; re-exports are followed until they lead to nothing new."""
     e = js_resolved(exports.withColumnRenamed("from_specifier", "specifier").withColumn("decl", F.lit("export")), files).select("run_id", "file_path", "name", "local_name", "is_star", "target", "line", "ord")
     e = materialize(e, "exports")
     level = entries.where(F.col("kind").isin("library", "runtime")).select("run_id", F.col("file_path").alias("entry"), F.col("file_path").alias("at"), F.lit(None).cast("string").alias("want"), F.lit(None).cast("string").alias("shown"))
-    out = None
-    for _ in range(depth):
+    out = seen = None
+    while True:
         j = level.join(e.withColumnRenamed("file_path", "at"), ["run_id", "at"]).where(F.col("want").isNull() | F.col("is_star") | (F.col("name") == F.col("want")))
         j = materialize(j.withColumn("shown", F.coalesce("shown", F.when(~F.col("is_star"), F.col("name")))), "surface")
         here = j.where("target is null and not is_star").select("run_id", "entry", F.col("shown").alias("name"), F.col("at").alias("file_path"), "line", "ord")
         out = here if out is None else out.unionByName(here)
         level = j.where("target is not null").select("run_id", "entry", F.col("target").alias("at"), F.when(F.col("is_star"), F.col("want")).otherwise(F.col("local_name")).alias("want"), "shown").distinct()
+        if seen is not None:  # files that export each other's names lead back to what was asked already
+            same = [level[c].eqNullSafe(seen[c]) for c in level.columns]
+            level = level.join(seen, same, "left_anti")
+        level = materialize(level, "surface-level")
         if not level.take(1):
             break
+        seen = level if seen is None else seen.unionByName(level)
     c = resolve.first_wins(out, ["run_id", "entry", "name", "file_path"], [F.col("ord")])
     return windows.numbered(c, ["run_id"], [F.col("entry"), F.col("file_path"), F.col("ord")], "n").select("run_id", F.col("n").alias("ord"), F.concat(F.lit("js-ts-export-"), F.col("n").cast("string")).alias("id"), F.col("entry").alias("area_id"), "name", F.lit("export").alias("kind"), "file_path", F.col("name").alias("symbol_name"), F.col("line").alias("start_line"))
 

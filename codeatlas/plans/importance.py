@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import plural, round_half_up
+from ..functions.text import round_half_up
 from ..session import materialize
 from . import graph
 
@@ -127,13 +127,36 @@ def function_importance(callables: DataFrame, edges: DataFrame, nodes: DataFrame
     return score(measure(callables, edges, nodes, entries))
 
 
-def describe(reason: Column) -> Column:
-    """A reason in words."""
+# Boundaries in words.
+BOUNDARY_LABELS = {
+    "http": "an HTTP boundary",
+    "database": "a database",
+    "filesystem": "the filesystem",
+    "browser-storage": "browser storage",
+    "external-sdk": "an external SDK",
+    "other": "an external boundary",
+}
+
+
+def describe(reason: Column, state_name: Column | None = None) -> Column:
+    """A reason in words; state_name is the name of the state in reason.state_id, null where it isn't known."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    label = F.create_map(*[F.lit(x) for kv in BOUNDARY_LABELS.items() for x in kv])[reason["boundary_type"]]
+    scope = F.when(reason["state_scope"] == "shared", "shared").otherwise("local")
+    named = F.lit(None).cast("string") if state_name is None else state_name
     return (
-        F.when(reason["type"] == "HIGH_REACHABILITY", F.concat(F.lit("Reachable from "), plural(reason["reachable_functions"], "function"), F.lit(" across "), plural(reason["reachable_modules"], "module")))
-        .when(reason["type"] == "ORCHESTRATES_MODULES", F.concat(F.lit("Orchestrates "), plural(reason["module_count"], "module")))
-        .when(reason["type"] == "CROSSES_BOUNDARY", F.concat(F.lit("Crosses a "), reason["boundary_type"], F.lit(" boundary")))
-        .when(reason["type"] == "MUTATES_STATE", F.concat(F.lit("Mutates "), reason["state_scope"], F.lit(" state")))
-        .when(reason["type"] == "ENTRY_POINT", F.concat(F.lit("Entry point: "), reason["entry_point_kind"]))
-        .when(reason["type"] == "STRUCTURAL_HUB", F.concat(F.lit("Structural hub: "), reason["fan_in"].cast("string"), F.lit(" in, "), reason["fan_out"].cast("string"), F.lit(" out")))
+        F.when(reason["type"] == "HIGH_REACHABILITY", text("Reachable from ", reason["reachable_functions"], " function(s) across ", reason["reachable_modules"], " module(s)."))
+        .when(reason["type"] == "ORCHESTRATES_MODULES", text("Coordinates ", reason["module_count"], " other module(s) directly."))
+        .when(reason["type"] == "CROSSES_BOUNDARY", text("Crosses ", label, "."))
+        .when(reason["type"] == "MUTATES_STATE", text("Writes ", scope, " state", F.coalesce(F.concat(F.lit(" '"), named, F.lit("'")), F.lit("")), "."))
+        .when(reason["type"] == "ENTRY_POINT", text("Reached directly as a ", F.replace(reason["entry_point_kind"], F.lit("-"), F.lit(" ")), " entry point."))
+        .when(reason["type"] == "STRUCTURAL_HUB", text("Structural hub: ", reason["fan_in"], " caller(s), ", reason["fan_out"], " callee(s)."))
     )
+
+
+def described(scores: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run_id, function_id, nth, text) of the reasons of function_importance(), with the names of states. nodes (run_id, id, name)."""
+    r = scores.select("run_id", "function_id", F.posexplode("reasons").alias("nth", "reason"))
+    states = nodes.select("run_id", F.col("id").alias("_state"), F.col("name").alias("_name"))
+    r = r.join(states, (r.run_id == states.run_id) & (F.col("reason.state_id") == F.col("_state")), "left").drop(states.run_id)
+    return r.select("run_id", "function_id", "nth", describe(F.col("reason"), F.col("_name")).alias("text"))

@@ -31,11 +31,16 @@ def analyzer_version(selected: DataFrame, versions: dict[str, str]) -> DataFrame
     return selected.groupBy("run_id").agg(joined.alias("v")).select("run_id", F.concat(F.lit("dispatch-v1:"), F.when(F.col("v") == "", F.lit("unsupported")).otherwise(F.col("v"))).alias("version"))
 
 
-def unsupported_message(languages: DataFrame) -> DataFrame:
-    """(run_id, message): the largest language and its share, where no analyzer fits."""
-    g = languages.groupBy("run_id").agg(F.max_by("language", F.struct("bytes", "language")).alias("language"), F.max("bytes").alias("top"), F.sum("bytes").alias("total"))
+def unsupported_message(languages: DataFrame, product: str = "This service") -> DataFrame:
+    """(run_id, message): why no analyzer ran, with the largest language and its share. languages (run_id, repository, language, bytes), with a row of null language
+    for a repository without any."""
+    top = F.max_by("language", F.struct("bytes", "language"))
+    g = languages.groupBy("run_id", "repository").agg(top.alias("language"), F.max("bytes").alias("top"), F.sum("bytes").alias("total"))
     pct = text.round_half_up(F.col("top") / F.col("total") * 100).cast("int").cast("string")
-    return g.select("run_id", F.when(F.col("total") > 0, F.concat(F.lit("No supported language was found. The largest is "), "language", F.lit(" ("), pct, F.lit("%)."))).otherwise(F.lit("No source code was detected in this repository.")).alias("message"))
+    some = F.concat("repository", F.lit("'s primary language is "), "language", F.lit(" ("), pct, F.lit("% of classified source)"))
+    none = F.concat(F.lit("GitHub did not report any classified source for "), "repository", F.lit(" — it may be empty"))
+    said = F.concat(F.lit(f"{product} currently analyzes JavaScript, TypeScript, and Python only. "), F.when(F.col("total") > 0, some).otherwise(none), F.lit(", so no supported analyzer could produce a result."))
+    return g.select("run_id", said.alias("message"))
 
 
 def major(areas: DataFrame) -> DataFrame:
@@ -226,8 +231,12 @@ def latest_version(tags: DataFrame) -> DataFrame:
 
 
 def skipped_gap(skipped: DataFrame, most: int = 5) -> DataFrame:
-    """(run_id, description): how many archive entries were left out, with examples. skipped (run_id, ord, path)."""
-    n = windows.numbered(skipped, ["run_id"], [F.col("ord")], "_i").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("run_id"))).where(F.col("_i") <= most)
-    g = n.groupBy("run_id").agg(F.first("_n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "path"))), lambda x: x["path"]), ", ").alias("some"))
-    rest = F.when(F.col("n") > most, F.concat(F.lit(" and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return g.select("run_id", F.concat(text.plural(F.col("n"), "archive entry", "archive entries"), F.lit(" skipped: "), "some", rest).alias("description"))
+    """(run_id, description): how many archive entries were left out, with examples. skipped (run_id, ord, path, type)."""
+    one = F.struct("ord", F.concat(F.lit("'"), "path", F.lit("' ("), "type", F.lit(")")).alias("said"))
+    first = windows.numbered(skipped, ["run_id"], [F.col("ord")], "_i").where(F.col("_i") <= most).groupBy("run_id").agg(F.array_sort(F.collect_list(one)).alias("some"))
+    g = skipped.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).join(first, "run_id")
+    rest = F.when(F.col("n") > most, F.concat(F.lit(", and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    count = F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " tarball entry was").otherwise(" tarball entries were"))
+    some = F.array_join(F.transform("some", lambda x: x["said"]), ", ")
+    why = F.lit(" skipped during extraction because they weren't a regular file or directory (e.g. a symbolic link): ")
+    return g.select("run_id", F.concat(count, why, some, rest, F.lit(". These paths were not analyzed.")).alias("description"))

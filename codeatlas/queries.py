@@ -385,7 +385,10 @@ def neighborhood(spark, d):
     """What is one step away from each region's first nation."""
     links = area_links(spark, d)
     first = table(spark, d, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("id"))
-    e = links.select(F.col("from_id").alias("source"), F.col("to_id").alias("target")).join(first.select(F.col("n_regionkey").alias("run_id")))
+    e = links.select(F.col("from_id").alias("source"), F.col("to_id").alias("target"))
+    # a region's graph: the links that its first nation takes part in
+    near = [e.join(first.select(F.col("id").alias(end), F.col("n_regionkey").alias("run_id")), end) for end in ("source", "target")]
+    e = near[0].unionByName(near[1]).distinct()
     return graph.neighborhood(first.select(F.col("n_regionkey").alias("run_id"), "id"), e).select("run_id", "id")
 
 

@@ -186,6 +186,7 @@ def document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("result"))
 
 
-def is_indexable(facts: DataFrame, fixture_pattern: str = r"(?i)fixture|e2e") -> DataFrame:
-    """Rows of index_facts() that are complete, public, not empty and no fixtures."""
-    return facts.where("status = 'completed' and not is_private and entry_points > 0 and major_areas > 0").where(~F.concat_ws("/", "owner", "name").rlike(fixture_pattern))
+def is_indexable(facts: DataFrame, fixtures: str | None = None) -> DataFrame:
+    """Rows of index_facts() that are complete, public, not empty and no fixtures: `fixtures` is a pattern of owner/name, by default none."""
+    rows = facts.where("status = 'completed' and not is_private and entry_points > 0 and major_areas > 0")
+    return rows if fixtures is None else rows.where(~F.concat_ws("/", "owner", "name").rlike(fixtures))

@@ -16,6 +16,11 @@ from ..operators import windows
 # Limits of an acquisition.
 MAX_COMPRESSED, MAX_EXTRACTED, MAX_FILES = 50 << 20, 300 << 20, 20_000
 
+KINDS = (
+    ("file", tarfile.TarInfo.isfile), ("directory", tarfile.TarInfo.isdir), ("symbolic link", tarfile.TarInfo.issym), ("hard link", tarfile.TarInfo.islnk),
+    ("device", tarfile.TarInfo.isdev),
+)
+
 
 def scan(spark: SparkSession, root: str, run_id: str, extensions: list[str]) -> DataFrame:
     """(run_id, path, text) of the files below a root with one of the extensions; pruned by name before a byte is read."""
@@ -40,46 +45,52 @@ def _ordered(f: DataFrame) -> DataFrame:
     return windows.numbered(f, ["run_id"], [F.expr("collate(path, 'UNICODE')"), F.col("path")], "file_ord", 0)
 
 
-def archive_entries(archives: DataFrame) -> DataFrame:
-    """(run_id, ord, path, type, size, text) of gzip tarballs (run_id, content): the first path segment is stripped. An unreadable archive gives one row of type 'error'."""
+def archive_entries(archives: DataFrame, most: int = MAX_COMPRESSED) -> DataFrame:
+    """(run_id, ord, path, type, size, text) of gzip tarballs (run_id, content): the first path segment is stripped. An unreadable archive gives one row of type 'error',
+    one of more than `most` bytes a row of type 'compressed' with its size, and isn't opened."""
+    schema = pa.schema([("run_id", pa.string()), ("ord", pa.int64()), ("path", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("text", pa.string())])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["run_id", "ord", "path", "type", "size", "text"]
         for batch in batches:
             for run_id, content in zip(batch["run_id"].to_pylist(), batch["content"], strict=True):
                 rows = []
+                if len(content.as_buffer()) > most:
+                    yield table([(run_id, -1, "", "compressed", len(content.as_buffer()), None)])
+                    continue
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:gz") as tar:
                         for k, m in enumerate(tar):
-                            kind = "file" if m.isfile() else "directory" if m.isdir() else "other"
+                            kind = next((name for name, is_ in KINDS if is_(m)), "other")
                             data = tar.extractfile(m).read().decode("utf-8", "replace") if m.isfile() and m.size <= MAX_EXTRACTED else None
                             rows.append((run_id, k, m.name.partition("/")[2], kind, m.size, data))
                             if len(rows) >= 200:
-                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                                yield table(rows)
                                 rows = []
                 except (tarfile.TarError, OSError, EOFError) as e:
                     rows.append((run_id, -1, str(e), "error", 0, None))
                 if rows:
-                    a = [list(c) for c in zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.string()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.string()), pa.array(a[3], pa.string()), pa.array(a[4], pa.int64()), pa.array(a[5], pa.string())], names)
+                    yield table(rows)
 
     return archives.select("run_id", "content").mapInArrow(run, "run_id string, ord long, path string, type string, size long, text string")
 
 
-def breaches(entries: DataFrame, compressed: Column | None = None) -> DataFrame:
+def breaches(entries: DataFrame) -> DataFrame:
     """(run_id, code): the first limit that an archive breaks, in order of its entries; runs without one give no row."""
     p = F.col("path")
     unsafe = p.startswith("/") | F.array_contains(F.split(p, "/"), "..")
     total = F.sum(F.when(F.col("type") == "file", F.col("size")).otherwise(0)).over(windows.running(["run_id"], [F.col("ord")]))
     n = F.sum(F.when(F.col("type") == "file", 1).otherwise(0)).over(windows.running(["run_id"], [F.col("ord")]))
-    rules = [("unsafe-entry", unsafe), ("too-many-files", n > MAX_FILES), ("extracted-too-large", total > MAX_EXTRACTED)]
+    rules = [("compressed-too-large", F.col("type") == "compressed"), ("unsafe-entry", unsafe), ("too-many-files", n > MAX_FILES), ("extracted-too-large", total > MAX_EXTRACTED)]
     return windows.first_breach(entries.drop("text"), ["run_id"], [F.col("ord")], rules).select("run_id", "code")
 
 
 def extracted(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files (run_id, path, text), skipped (run_id, ord, path)) of archives that break no limit: entries that are neither files nor directories are skipped."""
+    """(files (run_id, path, text), skipped (run_id, ord, path, type)) of archives that break no limit: entries that are neither files nor directories are skipped."""
     sound = entries.join(breaches(entries), "run_id", "left_anti")
-    return sound.where("type = 'file'").select("run_id", "path", "text"), sound.where("type = 'other'").select("run_id", "ord", "path")
+    return sound.where("type = 'file'").select("run_id", "path", "text"), sound.where("type not in ('file', 'directory', 'error')").select("run_id", "ord", "path", "type")
 
 
 def repositories(payloads: DataFrame) -> DataFrame:

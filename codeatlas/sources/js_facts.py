@@ -23,6 +23,21 @@ _COMPONENT = re.compile(r"^(React\.)?(Pure)?Component(<.*>)?$")
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
 
+_EXPORT_STAR = re.compile(rf"\s*(?:type\s+)?\*(?:\s*as\s+({_NAME}))?\s*from\b")
+_EXPORT_LIST = re.compile(r"\s*(?:type\s+)?\{([^}]*)\}\s*(from\b)?")
+_EXPORT_DEFAULT = re.compile(rf"\s*default\b\s*(async\s+)?(?:(?:abstract\s+)?(?:function\b\s*\*?|class\b)\s*({_NAME})?|({_NAME})\s*(?:;|\n|$))?")
+_EXPORT_DECLARED = re.compile(
+    rf"\s*(?:declare\s+)?(?:abstract\s+)?(async\s+)?(?:function\b\s*\*?|class|interface|type|enum|namespace)\s+({_NAME})|\s*(?:declare\s+)?(async\s+)?function\b\s*\*?\s*({_NAME})"
+)
+_EXPORT_VARIABLES = re.compile(r"\s*(?:declare\s+)?(?:const|let|var)\s+")
+_VARIABLE = re.compile(rf"({_NAME})\s*!?\s*(?::[^=;\n]*(?:=>[^=;\n]*)*)?(?:=\s*(async\b))?")
+_BOUND = re.compile(rf"({_NAME})\s*(?=[,}}\]=])")
+_BLANK = re.compile(r"\s*")
+#: What carries a statement on in its next line, and what leaves a line open.
+_CONTINUED = re.compile(r"[,.=+\-*/%?:|&<>\[(]|in\b|of\b|as\b|instanceof\b|satisfies\b")
+_OPEN_ENDED = re.compile(r"[,=+\-*/%?:|&<>(]\s*$")
+
+
 class File:
     """All facts of a file, on demand."""
 
@@ -68,29 +83,53 @@ class File:
         def add(at, name, local=None, spec=None, star=False, default=False, is_async=False):
             out.append({"name": name, "local_name": local, "from_specifier": spec, "is_star": star, "is_default": default, "is_async": is_async, "line": self.line(at)})
 
-        for m in _EXPORT.finditer(self.code):
-            rest = self.code[m.end() :]
-            if (c := re.match(rf"\s*(?:type\s+)?\*(?:\s*as\s+({_NAME}))?\s*from\b", rest)) is not None:
-                add(m.start(), c[1], spec=self._literal(m.end() + c.end())[0], star=c[1] is None)
-            elif (c := re.match(r"\s*(?:type\s+)?\{([^}]*)\}\s*(from\b)?", rest)) is not None:
-                spec = self._literal(m.end() + c.end())[0] if c[2] else None
+        code = self.code
+        for m in _EXPORT.finditer(code):
+            at = m.end()
+            if c := _EXPORT_STAR.match(code, at):
+                add(m.start(), c[1], spec=self._literal(c.end())[0], star=c[1] is None)
+            elif c := _EXPORT_LIST.match(code, at):
+                spec = self._literal(c.end())[0] if c[2] else None
                 for imported, local in _named(c[1]):
                     add(m.start(), local, imported, spec, default=local == "default")
-            elif (c := re.match(rf"\s*default\b\s*(async\s+)?(?:(?:abstract\s+)?(?:function\b\s*\*?|class\b)\s*({_NAME})?|({_NAME})\s*(?:;|\n|$))?", rest)) is not None:
+            elif c := _EXPORT_DEFAULT.match(code, at):
                 add(m.start(), "default", c[2] or c[3], default=True, is_async=bool(c[1]))
-            elif (c := re.match(rf"\s*(?:declare\s+)?(?:abstract\s+)?(async\s+)?(?:function\b\s*\*?|class|interface|type|enum|namespace)\s+({_NAME})|\s*(?:declare\s+)?(async\s+)?function\b\s*\*?\s*({_NAME})", rest)) is not None:
+            elif c := _EXPORT_DECLARED.match(code, at):
                 add(m.start(), c[2] or c[4], is_async=bool(c[1] or c[3]))
-            elif (c := re.match(r"\s*(?:declare\s+)?(?:const|let|var)\s+", rest)) is not None:
-                v = re.match(rf"({_NAME})", rest[c.end() :])
-                if v:
-                    tail = rest[c.end() + v.end() : c.end() + v.end() + 200]
-                    add(m.start(), v[1], is_async=bool(re.match(r"\s*(?::[^=]+)?=\s*async\b", tail)))
-                elif rest[c.end() : c.end() + 1] in "{[":
-                    inner = rest[c.end() : matching(rest, c.end())]
-                    for name in re.findall(rf"({_NAME})\s*(?=[,}}\]=])", inner):
-                        add(m.start(), name)
+            elif c := _EXPORT_VARIABLES.match(code, at):
+                for start in self._declarators(c.end()):
+                    if v := _VARIABLE.match(code, start):
+                        add(m.start(), v[1], is_async=bool(v[2]))
+                    elif code[start : start + 1] in ("{", "["):
+                        for name in _BOUND.findall(code, start, matching(code, start)):
+                            add(m.start(), name)
         return out
 
+    def _declarators(self, at: int) -> list[int]:
+        """Where the declarators of a const, let or var begin: after commas outside of brackets, up to the statement's end."""
+        code, out = self.code, []
+        while True:
+            at = _BLANK.match(code, at).end()
+            out.append(at)
+            typed, angles = False, 0  # within a type annotation, commas between < and > separate nothing
+            while at < len(code) and (code[at] not in ",;" or angles):
+                c = code[at]
+                if c in "([{":
+                    at = matching(code, at)
+                    continue
+                if c == "\n" and not angles and not _CONTINUED.match(code, _BLANK.match(code, at).end()) and not _OPEN_ENDED.search(code, max(0, at - 80), at):
+                    return out
+                if c == ":":
+                    typed = True
+                elif c == "=" and code[at + 1 : at + 2] != ">":
+                    typed = False
+                elif typed and c in "<>" and code[at - 1] != "=":
+                    angles = max(0, angles + (1 if c == "<" else -1))
+                at += 1
+            if at >= len(code) or code[at] == ";":
+                return out
+            at += 1
+
     def _body(self, at: int) -> int | None:
         """The end of the braced body that follows a parameter list at `at`."""
         j = matching(self.code, at)

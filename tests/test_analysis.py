@@ -91,6 +91,40 @@ def test_scanner():
     assert [e["is_default"] for e in f.exports()] == [True]
 
 
+def test_exported_variables():
+    code = (
+        "export const a = 1, b = async () => { x, y }, {c, d: e} = z;\nexport let q: number\nexport const r =\n  async function() {}\n"
+        "export const long: Map<string, number> = new Map([[1,2]]), s = 3\nfoo, bar\nexport const t: () => " + "A | " * 100 + "B = async () => 1;\n"
+    )
+    got = [(e["name"], e["is_async"]) for e in File("a.ts", code).exports()]
+    assert got == [("a", False), ("b", True), ("c", False), ("e", False), ("q", False), ("r", True), ("long", False), ("s", False), ("t", True)]
+
+
+def test_re_exports_of_any_depth(spark):
+    """Chains are followed to their end, and rings end."""
+    rows = [("r", "package.json", '{"main": "src/f0.ts"}')] + [("r", f"src/f{k}.ts", f"export * from './f{k + 1}';\n") for k in range(11)]
+    rows += [("r", "src/f11.ts", "export * from './f0';\nexport const deep = 1;\n")]
+    t = build.analyze(spark.createDataFrame(rows, "run_id string, path string, text string"))["js"]
+    assert [(r.name, r.file_path) for r in t["public_contracts"].collect()] == [("deep", "src/f11.ts")]
+
+
+def test_archives_of_many_entries(spark):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for k in range(450):
+            info = tarfile.TarInfo(f"top/d{k}")
+            info.type = tarfile.DIRTYPE
+            t.addfile(info)
+    df = spark.createDataFrame([("a", bytearray(out.getvalue()))], "run_id string, content binary")
+    assert files.archive_entries(df).where("type = 'directory'").count() == 450
+
+
+def test_large_archives_are_not_opened(spark):
+    df = spark.createDataFrame([("a", bytearray(b"x" * 101))], "run_id string, content binary")
+    entries = files.archive_entries(df, most=100)
+    assert [tuple(r) for r in files.breaches(entries).collect()] == [("a", "compressed-too-large")] and files.extracted(entries)[0].count() == 0
+
+
 def test_alias_sources():
     got = manifests.aliases({"vite.config.ts": "export default { resolve: { alias: { '@': path.resolve(__dirname, 'src'), bad: x() } } }", "tsconfig.json": '{"compilerOptions": {"paths": {"@": ["other"], "lib/*": ["packages/lib/*"]}}}'})
     by = {r[0]: r[1:3] for r in got}

@@ -174,3 +174,16 @@ def test_first_rule_knows_prefixes_of_all_lengths(spark):
     left = spark.createDataFrame([(n, "x" * n + "yz") for n in range(300)] + [(300, "x"), (301, None), (302, "")], "id int, text string")
     got = {r.id: r.rule_rank for r in resolve.first_rule(left, "text", rules, "pattern", "is_prefix", "rank", ["id"]).collect()}
     assert got == {n: n for n in range(300)} | {300: None, 301: None, 302: None}
+
+
+def test_nearest_span_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(f"k{rng.randrange(3)}", a, a + rng.randint(0, 30), f"s{i:03}") for i in range(120) for a in [rng.randrange(200)]]
+    points = [(f"k{rng.randrange(4)}", rng.randrange(220), i) for i in range(300)] + [("k0", None, 300)]
+    got = windows.nearest_span(
+        spark.createDataFrame(points, "k string, at int, p int"), spark.createDataFrame(spans, "k string, lo int, hi int, id string"), ["k"], "at", "lo", "hi", "id"
+    )
+    want = {p: max(((lo, i) for kk, lo, hi, i in spans if kk == k and at is not None and lo <= at < hi), default=(0, None))[1] for k, at, p in points}
+    assert {r.p: r.id for r in got.collect()} == want
