@@ -1,0 +1,353 @@
+"""Whole plans over the repositories, commits and graphs of fixtures.py. Their SQL forms state what comes out, or compute it from the same literals."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions import categories, paths, text, urls
+from .operators import ranking
+from .plans import areas, build, graph, history, importance, start_here, views
+from .session import shared_dir
+from .sinks.store import Store, is_indexable
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+_ANALYSED: dict[str, dict[str, dict[str, DataFrame]]] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def analysed(spark: SparkSession) -> dict[str, dict[str, DataFrame]]:
+    """The tables of the repositories, made once per session; they lie in the shared folder."""
+    key = f"{spark.sparkContext.applicationId} {shared_dir(spark)}"
+    if key not in _ANALYSED:
+        rows = [(run, path, body) for run, tree in fx.TREES.items() for path, body in tree.items()]
+        _ANALYSED.clear()
+        _ANALYSED[key] = build.analyze(spark.createDataFrame(rows, "run_id string, path string, text string"))
+    return _ANALYSED[key]
+
+
+def both(spark: SparkSession, name: str, *columns: str) -> DataFrame:
+    a = analysed(spark)
+    return a["js"][name].select(*columns).unionByName(a["py"][name].select(*columns))
+
+
+@query
+def plan_relationships(spark, d):
+    """Imports that resolve to files, also over aliases."""
+    return both(spark, "relationships", "run_id", "from_id", "to_id", "certainty")
+
+
+@query
+def plan_entry_points(spark, d):
+    return both(spark, "entry_points", "run_id", "kind", "file_path", "certainty")
+
+
+@query
+def plan_contracts(spark, d):
+    """Names that entries make public, over re-exports."""
+    return both(spark, "public_contracts", "run_id", "name", "file_path")
+
+
+@query
+def plan_callables(spark, d):
+    c = analysed(spark)["js"]["callables"]
+    return c.select("run_id", "name", "file_path", F.col("start_line").cast("long").alias("start_line"), F.size("parameters").cast("long").alias("n_parameters"), "return_type")
+
+
+def _named(spark: SparkSession) -> DataFrame:
+    js = analysed(spark)["js"]
+    return js["callables"].select("run_id", "id", "name").unionByName(js["behavior_nodes"].select("run_id", "id", "name"))
+
+
+@query
+def plan_behavior(spark, d):
+    """Calls, data flows, state, events and boundaries between named things."""
+    names = _named(spark)
+    e = analysed(spark)["js"]["behavior_edges"].join(names.select("run_id", F.col("id").alias("source"), F.col("name").alias("from_name")), ["run_id", "source"])
+    return e.join(names.select("run_id", F.col("id").alias("target"), F.col("name").alias("to_name")), ["run_id", "target"]).select("run_id", "type", "from_name", "to_name")
+
+
+@query
+def plan_call_roots(spark, d):
+    js = analysed(spark)["js"]
+    r = views.call_roots(js["callables"], js["call_edges"], js["entry_points"].select("run_id", "file_path", "symbol_name"), js["public_contracts"])
+    return r.select("run_id", F.col("place").cast("long").alias("place"), "name")
+
+
+@query
+def plan_tests(spark, d):
+    return both(spark, "test_relationships", "run_id", "test_path", "implementation_path", "certainty")
+
+
+@query
+def plan_dependencies(spark, d):
+    """Declared packages with their scope, category and the files that refer to them."""
+    a = analysed(spark)
+    out = None
+    for t in (a["js"], a["py"]):
+        deps = t["external_dependencies"].withColumn("description", F.lit(None).cast("string")).withColumn("keywords", F.lit(None).cast("array<string>"))
+        some = views.dependencies(deps).select("run_id", "name", "scope", "category", F.array_join(views.used_by(F.col("evidence")), "|").alias("used_by"), F.col("place").cast("long").alias("place"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@query
+def plan_gaps(spark, d):
+    """What couldn't be resolved, as a number per run and file."""
+    return both(spark, "gaps", "run_id", "file_path").groupBy("run_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def plan_areas(spark, d):
+    a = both(spark, "areas", "run_id", "area", "responsibility", "file_count", "entry_point_ids", "direct_dependency_ids")
+    short = F.array_join(F.transform("direct_dependency_ids", lambda x: F.substring_index(x, ":", -1)), "|")
+    return a.select("run_id", "area", "responsibility", F.col("file_count").cast("long").alias("file_count"), F.size("entry_point_ids").cast("long").alias("n_entries"), short.alias("depends_on"))
+
+
+@query
+def plan_area_links(spark, d):
+    """Links of areas over all files, and those of production files alone."""
+    a = analysed(spark)["js"]["areas"].withColumn("ord", F.dense_rank().over(_by_area()))
+    every = areas.relationships_of(a).withColumn("files", F.lit("all"))
+    live = areas.production_relationships(a, analysed(spark)["js"]["relationships"]).withColumn("files", F.lit("production"))
+    tail = lambda c: F.substring_index(c, ":", -1).alias(c)
+    return every.unionByName(live).select("run_id", "files", tail("from_id"), tail("to_id"))
+
+
+def _by_area():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("run_id").orderBy("area")
+
+
+@query
+def plan_start_here(spark, d):
+    a = analysed(spark)
+    s = a["js"]["start_here"].unionByName(a["py"]["start_here"])
+    return s.select("run_id", F.col("place").cast("long").alias("place"), "id", "file_path", "what_it_represents")
+
+
+@query
+def plan_start_here_merge(spark, d):
+    """The paths of all projects as if they were of one run, taking turns."""
+    a = analysed(spark)
+    s = a["js"]["start_here"].unionByName(a["py"]["start_here"]).withColumn("project_id", F.col("run_id")).withColumn("run_id", F.lit("one"))
+    return start_here.merge(s).select(F.col("place").cast("long").alias("place"), "id", "file_path")
+
+
+@query
+def plan_importance(spark, d):
+    """The six dimensions, score, roles and reasons in words of a small graph."""
+    nodes = spark.createDataFrame(fx.BEHAVIOR_NODES, "run_id string, id string, kind string, state_scope string, boundary_type string, name string")
+    s = importance.function_importance(
+        spark.createDataFrame(fx.CALLABLES, "run_id string, ord long, id string, name string, file_path string"),
+        spark.createDataFrame(fx.BEHAVIOR_EDGES, "run_id string, ord long, source string, target string, type string"), nodes,
+        spark.createDataFrame(fx.GRAPH_ENTRIES, "run_id string, ord long, file_path string, symbol_name string, kind string"),
+    )
+    said = importance.described(s, nodes).groupBy("function_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "|").alias("reasons_said"))
+    j = s.drop("reasons").join(said, "function_id", "left")
+    return j.select("function_id", *[F.col(c).cast("long").alias(c) for c in ("score", *importance.WEIGHTS)], F.array_join("roles", "|").alias("roles"), F.coalesce("reasons_said", F.lit("")).alias("reasons_said"))
+
+
+@query
+def plan_call_chains(spark, d):
+    e = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("g", "a", "c")], "run_id string, source string, target string")
+    c = graph.call_chains(e, spark.createDataFrame([("g", "a")], "run_id string, id string"), 4)
+    return c.select(F.array_join("path", ">").alias("path"), "closed")
+
+
+def _history(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        spark.createDataFrame(fx.COMMITS, "run_id string, ord long, sha string, message string, author_name string, author_login string, authored_at string"),
+        spark.createDataFrame(fx.COMMIT_FILES, "run_id string, sha string, ord long, file_path string, status string, additions long, deletions long, patch string"),
+        spark.createDataFrame(fx.HISTORY_AREAS, "run_id string, ord long, path string, name string, id string"),
+    )
+
+
+@query
+def plan_history_facts(spark, d):
+    """What changed lines of manifests, imports and data layers say."""
+    _, files, where = _history(spark)
+    return history.facts(files, where).select("sha", "kind", "certainty", "description", "file_path", "area_name")
+
+
+@query
+def plan_history(spark, d):
+    """Entries: commits with facts that share day and area; commits without facts are dropped first."""
+    e = history.build(*_history(spark))
+    return e.select(
+        "id", "kind", "title", "why_noticed", F.array_join("what_changed", "|").alias("what_changed"), F.array_join("affected_areas", "|").alias("affected_areas"),
+        F.array_join(F.transform("commits", lambda c: c["sha"]), "|").alias("shas"), "primary_file_path", history.display_author(F.col("commits"), F.col("occurred_at")).alias("author"),
+    )
+
+
+@query
+def plan_history_buckets(spark, d):
+    e = history.bucketed(history.build(*_history(spark)), F.lit("2024-03-02 15:00:00").cast("timestamp"))
+    return e.select("id", "bucket")
+
+
+@query
+def plan_history_listing(spark, d):
+    """The newest three commits since a day, and whether there were more."""
+    commits, _, _ = _history(spark)
+    return history.listing(commits, F.lit("2024-03-01T10:00:00.000Z"), 3).select("sha", "truncated")
+
+
+def _page(spark: SparkSession) -> dict[str, DataFrame]:
+    ids = "direct_dependency_ids array<string>, direct_dependent_ids array<string>, entry_point_ids array<string>"
+    return {
+        "runs": spark.createDataFrame(fx.PAGE_RUNS, "run_id string, name string"),
+        "projects": spark.createDataFrame(fx.PAGE_PROJECTS, "run_id string, ord long, kind string, languages array<string>, reason string"),
+        "entries": spark.createDataFrame(fx.PAGE_ENTRIES, "run_id string, ord long, kind string, file_path string, certainty string"),
+        "areas": spark.createDataFrame(fx.PAGE_AREAS, f"run_id string, ord long, name string, responsibility string, {ids}"),
+        "deps": spark.createDataFrame(fx.PAGE_DEPENDENCIES, "run_id string, name string, scope string"),
+        "gaps": spark.createDataFrame(fx.PAGE_GAPS, "run_id string, description string"),
+    }
+
+
+@query
+def plan_at_a_glance(spark, d):
+    """The four lines at the top of a page, their parts joined."""
+    g = views.at_a_glance(**_page(spark))
+    return g.select("run_id", F.col("place").cast("long").alias("place"), "id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("line"))
+
+
+@query
+def plan_ranked_areas(spark, d):
+    a = views.ranked_areas(_page(spark)["areas"])
+    return a.select("run_id", "name", F.col("links").cast("long").alias("links"), F.col("place").cast("long").alias("place"), categories.system_class(F.col("responsibility")).alias("system"))
+
+
+@query
+def plan_area_slugs(spark, d):
+    return views.slugged_areas(_page(spark)["areas"]).select("run_id", "name", "slug")
+
+
+@query
+def plan_ranked_functions(spark, d):
+    c = spark.createDataFrame(fx.CALLABLES, "run_id string, ord long, id string, name string, file_path string")
+    s = spark.createDataFrame([("g", "run", 80), ("g", "save", 80), ("g", "main", 90)], "run_id string, function_id string, score int")
+    return views.ranked_functions(c, s).select("name", F.col("place").cast("long").alias("place"))
+
+
+@query
+def plan_value_contract(spark, d):
+    """Six flags: all hold, or the run is partial; a flag over no rows holds."""
+    rows = [("a", True, True, True, True, True, True), ("b", True, True, False, True, True, True), ("c", True, True, True, True, None, True)]
+    f = views.value_contract(spark.createDataFrame(rows, "run_id string, has_identity boolean, has_project boolean, has_area boolean, has_start_here boolean, traceable boolean, has_entry boolean"))
+    return f.select("run_id", "status")
+
+
+@query
+def plan_skipped_gap(spark, d):
+    rows = [("a", 1, "x", "symbolic link")] + [("b", k, f"l{k}", "device") for k in range(7)]
+    return views.skipped_gap(spark.createDataFrame(rows, "run_id string, ord long, path string, type string"))
+
+
+@query
+def plan_languages(spark, d):
+    """Shares of analyzers of a tenth or more, and why none ran."""
+    rows = [("a", "o/a", "TypeScript", 60), ("a", "o/a", "JavaScript", 20), ("a", "o/a", "Python", 9), ("a", "o/a", "CSS", 11), ("b", "o/b", "Rust", 75), ("b", "o/b", "C", 25)]
+    langs = spark.createDataFrame(rows, "run_id string, repository string, language string, bytes long")
+    shares = views.language_shares(langs).select("run_id", "analyzer", F.round("share", 6).alias("share"), F.lit(None).cast("string").alias("message"))
+    none = views.unsupported_message(langs.where("run_id = 'b'")).select("run_id", F.lit(None).cast("string").alias("analyzer"), F.lit(None).cast("double").alias("share"), "message")
+    return shares.unionByName(none)
+
+
+@query
+def plan_budgets(spark, d):
+    rows = [("lcp", "desktop", "target", v) for v in (1400.0, 1700.0, 1600.0)] + [("lcp", "desktop", "production", 1500.0), ("ttfb", "desktop", "target", 900.0)]
+    budgets = [("lcp", "desktop", 1500.0, True), ("ttfb", "desktop", 800.0, False)]
+    c = views.compare_budgets(spark.createDataFrame(rows, "metric string, profile string, side string, value double"), spark.createDataFrame(budgets, "metric string, profile string, budget double, gate boolean"))
+    return c.select("metric", "target", "production", "delta", "over_budget")
+
+
+@query
+def plan_latest_version(spark, d):
+    tags = spark.createDataFrame([("v1.2.3",), ("1.10.0",), ("v1.9.9",), ("nightly",)], "tag string")
+    return views.latest_version(tags)
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/codeatlas/store-{uuid.uuid4().hex}")
+
+
+@query
+def store_runs(spark, d):
+    """A key is inserted once; later rows of it return what is stored; the newest run per repository is the latest."""
+    s = _store(spark)
+    at = lambda rows: spark.createDataFrame(rows, "repo_id long, commit_sha string, analyzer_version string, status string, result string, error_message string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    s.save_runs(at([(1, "a", "v", "completed", "{}", None, "2024-01-01"), (2, "x", "v", "partial", "{}", None, "2024-01-02")]))
+    got = s.save_runs(at([(1, "a", "v", "failed", None, "late", "2024-01-03"), (1, "b", "v", "failed", None, "new", "2024-01-04")]))
+    latest = s.latest_runs().select("repo_id", F.col("id").alias("top"))
+    stored = s.read("analysis_runs").join(got.select("id").withColumn("returned", F.lit(True)), "id", "left").join(latest, "repo_id")
+    return stored.select("repo_id", "commit_sha", "status", F.coalesce("returned", F.lit(False)).alias("returned"), (F.col("id") == F.col("top")).alias("is_latest"))
+
+
+@query
+def store_history(spark, d):
+    """A second computation replaces the cached entries of its repository."""
+    s = _store(spark)
+    s.upsert_repos(spark.createDataFrame([("o", "r"), ("o", "q")], "owner string, name string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
+    rows = lambda r: spark.createDataFrame(r, "repo_id long, computed_through_sha string, entries string, computed_at string").withColumn("computed_at", F.col("computed_at").cast("timestamp"))
+    ids = {r.name: r.id for r in s.read("repos").collect()}
+    s.save_history(rows([(ids["r"], "a", "[]", "2024-01-02"), (ids["q"], "z", "[]", "2024-01-02")]))
+    s.save_history(rows([(ids["r"], "b", "[1]", "2024-01-03")]))
+    return s.history("o", "r").select("computed_through_sha", "entries").withColumn("name", F.lit("r")).unionByName(s.history("o", "q").select("computed_through_sha", "entries").withColumn("name", F.lit("q")))
+
+
+@query
+def store_claims(spark, d):
+    """Seconds left of cooldowns, claim by claim."""
+    s = _store(spark)
+    s.upsert_repos(spark.createDataFrame([("o", "r")], "owner string, name string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
+    left = [s.claim(1, "last_analysis_requested_at", f"2024-01-01 00:00:{t}") for t in ("00", "20.5", "59")] + [s.claim(1, "last_analysis_requested_at", "2024-01-01 00:01:00")]
+    left += [s.claim_submission("ip", f"2024-01-01 00:00:{t}") for t in ("00", "04", "10")]
+    return spark.createDataFrame([(k, x) for k, x in enumerate(left)], "nth long, left_seconds long")
+
+
+@query
+def store_indexable(spark, d):
+    """Repositories whose newest run is complete, public and not empty."""
+    rows = [("o", "ok", "completed", False, 1, 2), ("o", "partial", "partial", False, 1, 2), ("o", "secret", "completed", True, 1, 2), ("o", "bare", "completed", False, 0, 2), ("o", "e2e-tool", "completed", False, 3, 1)]
+    f = spark.createDataFrame(rows, "owner string, name string, status string, is_private boolean, entry_points int, major_areas int")
+    every = is_indexable(f).select("name").withColumn("fixtures", F.lit("none"))
+    return every.unionByName(is_indexable(f, "e2e").select("name").withColumn("fixtures", F.lit("e2e")))
+
+
+@query
+def repository_urls(spark, d):
+    asked = ["https://github.com/Octo/repo.git", "octo/repo", "github.com/o/r/tree/main", "http://gitlab.com/o/r", "not a url", "https://github.com/only"]
+    df = spark.createDataFrame([(x,) for x in asked], "asked string")
+    r = urls.parse_repository(F.col("asked"))
+    return df.select("asked", r["owner"].alias("owner"), r["repo"].alias("name"))
+
+
+@query
+def path_predicates(spark, d):
+    files = ["src/a.test.ts", "tests/unit/b.py", "src/conftest.py", "vite.config.ts", "setup.py", "src/__fixtures__/x.ts", "e2e/login.spec.ts", "src/app.tsx", "docs/conf.py"]
+    p = F.col("path")
+    df = spark.createDataFrame([(x,) for x in files], "path string")
+    return df.select("path", paths.is_js_test(p).alias("js_test"), paths.is_py_test(p).alias("py_test"), paths.is_js_tooling(p).alias("js_tooling"), paths.is_py_tooling(p).alias("py_tooling"), paths.is_test_support(p).alias("support"))
+
+
+@query
+def text_labels(spark, d):
+    df = spark.createDataFrame([("src/Core API/v2", 1), ("tests", 3)], "t string, n long")
+    return df.select("t", text.kebab_case(F.col("t")).alias("kebab"), text.title_first(F.col("t")).alias("title"), text.plural(F.col("n"), "entry", "entries").alias("plural"), text.join_and(F.array(F.lit("a"), F.lit("b"), "t")).alias("joined"))
+
+
+@query
+def pager(spark, d):
+    shown = [(c, p, " ".join(map(str, ranking.page_items(c, p)))) for c, p in ((1, 1), (1, 5), (5, 10), (10, 10), (3, 4))]
+    return spark.createDataFrame(shown, "current long, pages long, items string")

@@ -1,0 +1,180 @@
+"""DuckDB forms of plan_queries.py. Where a plan parses source text, they state the rows that the rules give for the literals of fixtures.py, derived by hand; else they compute them."""
+
+from __future__ import annotations
+
+from . import fixtures as fx
+
+
+def _literal(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, int):
+        return f"CAST({x} AS BIGINT)"
+    if isinstance(x, float):
+        return f"CAST({x!r} AS DOUBLE)"
+    if isinstance(x, list):
+        return "CAST([" + ", ".join(map(_literal, x)) + "] AS VARCHAR[])"
+    return "'" + x.replace("'", "''") + "'"
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+def _importance() -> str:
+    """Reach, sums and ranks of the graph's fixed shape, recomputed step by step."""
+    return f"""
+WITH RECURSIVE c AS ({values('run_id, ord, id, name, file', fx.CALLABLES)}), e AS ({values('run_id, ord, src, dst, type', fx.BEHAVIOR_EDGES)}),
+n AS (SELECT id, kind, scope, boundary FROM ({values('run_id, id, kind, scope, boundary, label', fx.BEHAVIOR_NODES)})),
+reach AS (SELECT src AS a, dst AS b, 1 AS d FROM e UNION SELECT a, dst, d + 1 FROM reach JOIN e ON b = src WHERE d < 8),
+near AS (SELECT a, b, CAST(pow(0.7, min(d) - 1) AS DOUBLE) AS w FROM reach WHERE a <> b GROUP BY a, b),
+r AS (SELECT a AS id, sum(w) AS reach_raw, count(*) FILTER (b IN (SELECT id FROM c)) AS fns, count(DISTINCT (SELECT file FROM c WHERE c.id = b)) AS mods,
+      coalesce(sum(w) FILTER (b IN (SELECT id FROM n WHERE kind = 'boundary')), 0) AS reach_boundary FROM near GROUP BY a),
+o AS (SELECT e.src AS id, count(DISTINCT t.file) FILTER (t.file <> f.file) AS mods_called, count(DISTINCT type) AS types, count(*) FILTER (type = 'STATE_WRITE') AS writes, count(*) FILTER (type = 'IO') AS io,
+      sum(CASE type WHEN 'STATE_WRITE' THEN 1.0 WHEN 'STATE_READ' THEN 0.35 ELSE 0 END * CASE WHEN n.scope = 'shared' THEN 1.6 ELSE 1 END) AS state_raw, max(n.boundary) AS boundary,
+      max(CASE WHEN type = 'STATE_WRITE' THEN n.scope END) AS written
+      FROM e JOIN c f ON f.id = e.src LEFT JOIN c t ON t.id = e.dst LEFT JOIN n ON n.id = e.dst GROUP BY e.src),
+-- the graph is main -> run -> save and st, save -> db; all rank that is stuck goes back to main, the only seed
+p(i, main, run, save, st, db, lone) AS (SELECT 0, CAST(1 AS DOUBLE) / 6, CAST(1 AS DOUBLE) / 6, CAST(1 AS DOUBLE) / 6, CAST(1 AS DOUBLE) / 6, CAST(1 AS DOUBLE) / 6, CAST(1 AS DOUBLE) / 6
+  UNION ALL SELECT i + 1, 0.15 + 0.85 * (st + db + lone), 0.85 * main, 0.85 * run / 2, 0.85 * run / 2, 0.85 * save, 0 FROM p WHERE i < 20),
+k AS (SELECT unnest(['main', 'run', 'save', 'lone']) AS id, unnest([main, run, save, lone]) AS rank FROM p WHERE i = 20),
+f AS (SELECT c.id, (SELECT count(*) FROM e WHERE type = 'CALL' AND dst = c.id) AS fan_in, (SELECT count(*) FROM e WHERE type = 'CALL' AND src = c.id) AS fan_out,
+      (SELECT count(*) FROM e JOIN c x ON x.id = CASE WHEN src = c.id THEN dst ELSE src END WHERE type = 'CALL' AND c.id IN (src, dst) AND x.file <> c.file) AS across FROM c),
+m AS (SELECT c.id, coalesce(reach_raw, 0) AS r, coalesce(mods_called + types, 0) AS g, coalesce(writes + io, 0) AS t, coalesce(state_raw, 0) AS s, coalesce(io, 0) + coalesce(reach_boundary, 0) AS b,
+      fan_in / max(fan_in) OVER () + fan_out / max(fan_out) OVER () + across / max(across) OVER () + rank / max(rank) OVER () AS x, fan_in, fan_out, fns, mods, coalesce(mods_called, 0) AS mods_called, written, boundary, coalesce(writes, 0) AS writes
+      FROM c LEFT JOIN r USING (id) LEFT JOIN o USING (id) JOIN k USING (id) JOIN f USING (id)),
+d AS (SELECT *, floor(r / max(r) OVER () * 100 + 0.5) AS reachability, floor(g / max(g) OVER () * 100 + 0.5) AS orchestration, floor(t / max(t) OVER () * 100 + 0.5) AS data_influence,
+      floor(s / max(s) OVER () * 100 + 0.5) AS state_authority, floor(b / max(b) OVER () * 100 + 0.5) AS boundary_influence, floor(x / max(x) OVER () * 100 + 0.5) AS structural_centrality FROM m)
+SELECT id AS function_id, CAST(floor(0.2 * reachability + 0.2 * orchestration + 0.15 * data_influence + 0.15 * state_authority + 0.15 * boundary_influence + 0.15 * structural_centrality + 0.5) AS BIGINT) AS score,
+  CAST(reachability AS BIGINT) AS reachability, CAST(orchestration AS BIGINT) AS orchestration, CAST(data_influence AS BIGINT) AS data_influence, CAST(state_authority AS BIGINT) AS state_authority,
+  CAST(boundary_influence AS BIGINT) AS boundary_influence, CAST(structural_centrality AS BIGINT) AS structural_centrality,
+  concat_ws('|', CASE WHEN id = 'main' THEN 'ENTRY_POINT' END, CASE WHEN orchestration >= 60 THEN 'ORCHESTRATOR' END, CASE WHEN state_authority >= 60 OR writes > 0 THEN 'STATE_CONTROLLER' END,
+    CASE WHEN data_influence >= 60 THEN 'DATA_TRANSFORMER' END, CASE WHEN boundary_influence >= 60 OR boundary IS NOT NULL THEN 'BOUNDARY' END) AS roles,
+  concat_ws('|', CASE WHEN reachability >= 60 THEN 'Reachable from ' || fns || ' function(s) across ' || mods || ' module(s).' END,
+    CASE WHEN orchestration >= 60 AND mods_called > 0 THEN 'Coordinates ' || mods_called || ' other module(s) directly.' END,
+    CASE WHEN boundary IS NOT NULL THEN 'Crosses a database.' END, CASE WHEN writes > 0 THEN 'Writes ' || written || ' state ''total''.' END,
+    CASE WHEN id = 'main' THEN 'Reached directly as a cli entry point.' END,
+    CASE WHEN structural_centrality >= 60 THEN 'Structural hub: ' || fan_in || ' caller(s), ' || fan_out || ' callee(s).' END) AS reasons_said
+FROM d"""
+
+
+_AREAS = values("run_id, ord, name, responsibility, deps, backs, entries", fx.PAGE_AREAS)
+_RANKED = f"""
+SELECT run_id, name, CAST(len(deps) + len(backs) AS BIGINT) AS links,
+  row_number() OVER (PARTITION BY run_id ORDER BY coalesce(responsibility = 'Tests', false), len(deps) + len(backs) DESC, len(entries) DESC, name) AS place,
+  CASE WHEN responsibility = 'Tests' THEN 'Tests / test support' ELSE 'Implementation area' END AS system
+FROM ({_AREAS}) WHERE name <> '.'"""
+
+SQL: dict[str, str] = {
+    "plan_relationships": values("run_id, from_id, to_id, certainty", [
+        ("lib", "src/index.ts", "src/math.ts", "detected"), ("lib", "src/math.ts", "src/internal/round.ts", "detected"), ("lib", "src/math.test.ts", "src/math.ts", "detected"),
+        ("app", "src/index.tsx", "src/App.tsx", "detected"), ("app", "src/App.tsx", "src/components/Header.tsx", "detected"), ("app", "src/App.tsx", "src/components/Footer.tsx", "detected"),
+        ("app", "src/components/Header.tsx", "src/utils/format.ts", "detected"),
+        ("py", "my_tool/__init__.py", "my_tool/main.py", "detected"), ("py", "my_tool/main.py", "my_tool/util.py", "detected"),
+        ("py", "tests/test_util.py", "my_tool/util.py", "detected"),
+    ]),
+    "plan_entry_points": values("run_id, kind, file_path, certainty", [
+        ("lib", "library", "src/index.ts", "detected"), ("app", "bootstrap", "src/index.tsx", "detected"),
+        ("py", "cli", "my_tool/main.py", "detected"), ("py", "library", "my_tool/__init__.py", "detected"),
+    ]),
+    "plan_contracts": values("run_id, name, file_path", [
+        ("lib", "add", "src/math.ts"), ("lib", "divide", "src/math.ts"), ("py", "go", "my_tool/__init__.py"), ("py", "Other", "my_tool/__init__.py"),
+    ]),
+    "plan_callables": values("run_id, name, file_path, start_line, n_parameters, return_type", [
+        ("lib", "add", "src/math.ts", 2, 2, "number"), ("lib", "divide", "src/math.ts", 5, 2, "number"), ("lib", "roundTo", "src/internal/round.ts", 1, 2, "number"),
+        ("app", "App", "src/App.tsx", 5, 0, None), ("app", "onClick", "src/App.tsx", 7, 0, None), ("app", "Header", "src/components/Header.tsx", 2, 0, None),
+        ("app", "Footer", "src/components/Footer.tsx", 1, 0, None), ("app", "title", "src/utils/format.ts", 1, 1, "string"),
+    ]),
+    "plan_behavior": values("run_id, type, from_name, to_name", [
+        ("lib", "CALL", "divide", "roundTo"), ("lib", "DATA_FLOW", "roundTo", "divide"), ("app", "CALL", "Header", "title"), ("app", "DATA_FLOW", "title", "Header"),
+        ("app", "STATE_WRITE", "onClick", "count"), ("app", "STATE_READ", "onClick", "count"), ("app", "EVENT", "App", "onClick"), ("app", "IO", "title", "fetch"),
+    ]),
+    "plan_call_roots": values("run_id, place, name", [("lib", 1, "add"), ("lib", 2, "divide"), ("app", 1, "App"), ("app", 2, "Footer"), ("app", 3, "Header"), ("app", 4, "onClick")]),
+    "plan_tests": values("run_id, test_path, implementation_path, certainty", [("lib", "src/math.test.ts", "src/math.ts", "detected"), ("py", "tests/test_util.py", "my_tool/util.py", "detected")]),
+    "plan_dependencies": values("run_id, name, scope, category, used_by, place", [
+        ("lib", "jest", "dev", "testing", "", 1), ("app", "react", "direct", "framework", "src/App.tsx", 1), ("app", "react-dom", "direct", "other", "src/index.tsx", 2),
+        ("app", "typescript", "dev", "compiler", "", 3), ("py", "PyYAML", "direct", "other", "", 1), ("py", "requests", "direct", "library", "my_tool/main.py", 2),
+    ]),
+    "plan_gaps": values("run_id, file_path, n", [("app", "src/App.tsx", 1)]),
+    "plan_areas": values("run_id, area, responsibility, file_count, n_entries, depends_on", [
+        ("lib", "src", None, 3, 1, "src/internal"), ("lib", "src/internal", None, 1, 0, ""), ("app", "src", None, 2, 1, "src/components"),
+        ("app", "src/components", "Presentational React components", 2, 0, "src/utils"), ("app", "src/utils", None, 1, 0, ""),
+        ("py", "my_tool", None, 3, 2, ""), ("py", "tests", "Tests", 1, 0, "my_tool"),
+    ]),
+    "plan_area_links": values("run_id, files, from_id, to_id", [
+        (run, files, a, b) for files in ("all", "production") for run, a, b in (("lib", "src", "src/internal"), ("app", "src", "src/components"), ("app", "src/components", "src/utils"))
+    ]),
+    "plan_start_here": values("run_id, place, id, file_path, what_it_represents", [
+        ("lib", 1, "start-here-1", "src/index.ts", "Package's declared public entry point"), ("lib", 2, "start-here-2", "src/math.ts", "A module directly depended on by 'src/index.ts'"),
+        ("lib", 3, "start-here-3", "src/internal/round.ts", "A module directly depended on by 'src/math.ts'"), ("lib", 4, "start-here-4", "src/math.test.ts", "Test for 'src/math.ts'"),
+        ("app", 1, "start-here-1", "src/index.tsx", "Application bootstrap entry point"), ("app", 2, "start-here-2", "src/App.tsx", "A module directly depended on by 'src/index.tsx'"),
+        ("app", 3, "start-here-3", "src/components/Header.tsx", "A module directly depended on by 'src/App.tsx'"), ("app", 4, "start-here-4", "src/components/Footer.tsx", "A module directly depended on by 'src/App.tsx'"),
+        ("app", 5, "start-here-5", "src/utils/format.ts", "A module directly depended on by 'src/components/Header.tsx'"),
+        ("py", 1, "start-here-1", "my_tool/main.py", "Command-line entry point"), ("py", 2, "start-here-2", "my_tool/util.py", "A module directly depended on by 'my_tool/main.py'"),
+        ("py", 3, "start-here-3", "tests/test_util.py", "Test for 'my_tool/util.py'"),
+    ]),
+    "plan_start_here_merge": values("place, id, file_path", [
+        (1, "start-here-1", "src/index.tsx"), (2, "start-here-2", "src/index.ts"), (3, "start-here-3", "my_tool/main.py"), (4, "start-here-4", "src/App.tsx"),
+        (5, "start-here-5", "src/math.ts"), (6, "start-here-6", "my_tool/util.py"), (7, "start-here-7", "src/components/Header.tsx"),
+    ]),
+    "plan_importance": _importance(),
+    "plan_call_chains": values("path, closed", [
+        ("a", False), ("a>b", False), ("a>c", False), ("a>b>c", False), ("a>c>a", True), ("a>b>c>a", True),
+    ]),
+    "plan_history_facts": values("sha, kind, certainty, description, file_path, area_name", [
+        ("c4", "dependency", "inferred", "1 package changed in package-lock.json", "package-lock.json", None),
+        ("c3", "data-flow", "inferred", "Data-layer file changed: src/core/migrations/001.sql", "src/core/migrations/001.sql", "src/core"),
+        ("c2", "architecture", "inferred", "src/api now depends on src/core", "src/api/users.ts", "src/api"),
+        ("c1", "dependency", "inferred", "zod added in package.json", "package.json", None),
+    ]),
+    "plan_history": values("id, kind, title, why_noticed, what_changed, affected_areas, shas, primary_file_path, author", [
+        ("c4", "dependency", "1 package changed in package-lock.json", "Detected 1 dependency change across 1 commit.", "1 package changed in package-lock.json", "", "c4", "package-lock.json", "Bob"),
+        ("c3", "data-flow", "Data-layer file changed: src/core/migrations/001.sql", "Detected 1 data-layer change across 1 commit.", "Data-layer file changed: src/core/migrations/001.sql", "src/core", "c3", "src/core/migrations/001.sql", "Ann"),
+        ("c2", "architecture", "Src/api now depends on src/core", "Detected 1 architecture-related change across 1 commit.", "Src/api now depends on src/core", "src/api", "c2", "src/api/users.ts", "Ann"),
+        ("c1", "dependency", "Zod added in package.json", "Detected 1 dependency change across 1 commit.", "Zod added in package.json", "", "c1", "package.json", "Ann"),
+    ]),
+    "plan_history_buckets": values("id, bucket", [("c4", "This week"), ("c3", "This week"), ("c2", "This week"), ("c1", "This week")]),
+    "plan_history_listing": values("sha, truncated", [("c5", True), ("c4", True), ("c3", True)]),
+    "plan_at_a_glance": values("run_id, place, id, line", [
+        ("p", 1, "kind", "octo/site is a TypeScript application"), ("p", 2, "entry", "Its application entry points include src/cli.ts detected and 1 more"),
+        ("p", 3, "areas", "The areas with the most detected direct relationships (depends on + imported by) are src/api (2), src/core (1) and src/ui (1)."),
+        ("p", 4, "counts", "4 major areas · 2 external dependencies (1 production) · 1 recorded gap View gaps"),
+        ("q", 1, "kind", "No project could be identified in this repository unknown"),
+        ("q", 2, "entry", "No bootstrap, command-line, library, or runtime entry point was detected unknown; 1 other entry point (route) was found."),
+        ("q", 3, "areas", "No major areas were identified unknown"), ("q", 4, "counts", "0 major areas · 0 external dependencies (0 production) · 0 recorded gaps"),
+    ]),
+    "plan_ranked_areas": _RANKED,
+    "plan_area_slugs": values("run_id, name, slug", [("p", "src/api", "src-api"), ("p", "src/core", "src-core"), ("p", "src/ui", "src-ui"), ("p", "tests", "tests"), ("p", ".", "area"), ("q", ".", "area")]),
+    "plan_ranked_functions": values("name, place", [("main", 1), ("run", 2), ("save", 3), ("lone", 4)]),
+    "plan_value_contract": values("run_id, status", [("a", "completed"), ("b", "partial"), ("c", "completed")]),
+    "plan_skipped_gap": values("run_id, description", [
+        ("a", "1 tarball entry was skipped during extraction because they weren't a regular file or directory (e.g. a symbolic link): 'x' (symbolic link). These paths were not analyzed."),
+        ("b", "7 tarball entries were skipped during extraction because they weren't a regular file or directory (e.g. a symbolic link): "
+         + ", ".join(f"'l{k}' (device)" for k in range(5)) + ", and 2 more. These paths were not analyzed."),
+    ]),
+    "plan_languages": values("run_id, analyzer, share, message", [
+        ("a", "js-ts", 0.8, None),
+        ("b", None, None, "This service currently analyzes JavaScript, TypeScript, and Python only. o/b's primary language is Rust (75% of classified source), so no supported analyzer could produce a result."),
+    ]),
+    "plan_budgets": values("metric, target, production, delta, over_budget", [("lcp", 1600.0, 1500.0, 100.0, True), ("ttfb", 900.0, None, None, False)]),
+    "plan_latest_version": values("latest, next_patch, next_minor, next_major", [("v1.10.0", "v1.10.1", "v1.11.0", "v2.0.0")]),
+    "store_runs": values("repo_id, commit_sha, status, returned, is_latest", [(1, "a", "completed", True, False), (2, "x", "partial", False, True), (1, "b", "failed", True, True)]),
+    "store_history": values("computed_through_sha, entries, name", [("b", "[1]", "r"), ("z", "[]", "q")]),
+    "store_claims": values("nth, left_seconds", [(0, 0), (1, 40), (2, 1), (3, 0), (4, 0), (5, 6), (6, 0)]),
+    "store_indexable": values("name, fixtures", [("ok", "none"), ("e2e-tool", "none"), ("ok", "e2e")]),
+    "repository_urls": values("asked, owner, name", [
+        ("https://github.com/Octo/repo.git", "Octo", "repo"), ("octo/repo", "octo", "repo"), ("github.com/o/r/tree/main", "o", "r"), ("http://gitlab.com/o/r", None, None),
+        ("not a url", None, None), ("https://github.com/only", None, None),
+    ]),
+    "path_predicates": values("path, js_test, py_test, js_tooling, py_tooling, support", [
+        ("src/a.test.ts", True, False, False, False, False), ("tests/unit/b.py", True, True, False, False, False), ("src/conftest.py", False, False, False, False, False),
+        ("vite.config.ts", False, False, True, False, False), ("setup.py", False, False, False, True, False), ("src/__fixtures__/x.ts", False, False, False, False, True),
+        ("e2e/login.spec.ts", True, False, False, False, False), ("src/app.tsx", False, False, False, False, False), ("docs/conf.py", False, False, False, False, False),
+    ]),
+    "text_labels": values("t, kebab, title, plural, joined", [
+        ("src/Core API/v2", "src-core-api-v2", "Src/Core API/v2", "1 entry", "a, b and src/Core API/v2"), ("tests", "tests", "Tests", "3 entries", "a, b and tests"),
+    ]),
+    "pager": values("current, pages, items", [(1, 1, "1"), (1, 5, "1 2 … 5"), (5, 10, "1 … 4 5 6 … 10"), (10, 10, "1 … 9 10"), (3, 4, "1 2 3 4")]),
+}

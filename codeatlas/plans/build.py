@@ -102,7 +102,7 @@ def analyze_py(files: DataFrame, manifest: DataFrame, project: str = "python") -
     rel = materialize(rel, "relationships")
     scripts = manifest.where("kind = 'py-script'").select("run_id", "o", F.col("value").alias("target"))
     names = manifest.where("kind = 'py-name'").select("run_id", "name")
-    entries = materialize(extract.py_entry_points(scripts, surface, names, f), "entries")
+    entries = materialize(extract.py_entry_points(scripts, surface, names, f, rel), "entries")
     contracts = extract.py_surface(entries, surface)
     tests, test_gaps = extract.py_tests(f, rel)
     deps = manifest.where("kind = 'py-dependency'").select("run_id", "o", "name", F.col("value").alias("version"), "scope")

@@ -297,7 +297,7 @@ def js_entry_points(declared: DataFrame, files: DataFrame, flags: DataFrame, rel
     why = contradictions(seen.select("run_id", F.col("o").alias("ord"), "file_path", "kind"), relationships, paths.is_js_test)
     boot = flags.where("renders_dom").join(files.select("run_id", F.col("path").alias("file_path"), F.col("file_ord").alias("fo")), ["run_id", "file_path"]).withColumn("root", paths.test_root(F.col("file_path")))
     boot = boot.where(~paths.is_js_test(F.col("file_path"))).join(why, ["run_id", "root"], "left").where("root = '' or why is not null")
-    boot = boot.select("run_id", F.lit(4).alias("r"), F.col("fo").alias("o"), F.lit("bootstrap").alias("kind"), "file_path", F.lit("inferred").alias("certainty"))
+    boot = boot.select("run_id", F.lit(4).alias("r"), F.col("fo").alias("o"), F.lit("bootstrap").alias("kind"), "file_path", F.lit("detected").alias("certainty"))
     claimed = resolve.first_wins(d.where("kind = 'library'").unionByName(boot), ["run_id", "file_path"], [F.col("r"), F.col("o")])
     bin_ = d.where("kind = 'cli'")
     # a bootstrap also yields to a bin entry's claim
@@ -314,20 +314,26 @@ def _numbered_entries(e: DataFrame, prefix: str) -> DataFrame:
     return e.select("run_id", "ord", F.concat(F.lit(prefix), F.col("ord").cast("string")).alias("id"), "kind", "file_path", "symbol_name", "certainty")
 
 
-def py_entry_points(scripts: DataFrame, surface: DataFrame, names: DataFrame, files: DataFrame) -> DataFrame:
-    """Console scripts, __main__ modules, guarded modules, the package of the project's name; main.py or src/main.py only where there are none. scripts (run_id, o, target), names (run_id, name)."""
+def py_entry_points(scripts: DataFrame, surface: DataFrame, names: DataFrame, files: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Console scripts, __main__ modules, guarded modules, the package of the project's name; main.py or src/main.py only where there are none. A file is claimed once, by the
+    first of these; what lies in a test suite is no __main__ or guarded module. scripts (run_id, o, target), names (run_id, name)."""
+    from .areas import contradictions
+
     none = F.lit(None).cast("string")
     module, symbol = F.split("target", ":")[0], F.get(F.split("target", ":"), F.lit(1))
     stem = F.replace(module, F.lit("."), F.lit("/"))
-    cand = F.array(*[F.concat(F.lit(r), stem, F.lit(x)) for r in ("src/", "") for x in (".py", "/__init__.py")])
+    cand = F.array(*[F.concat_ws("\u0001", F.col("run_id"), F.concat(F.lit(r), stem, F.lit(x))) for r in ("src/", "") for x in (".py", "/__init__.py")])
     s = scripts.withColumn("_k", F.concat_ws("\u0001", "run_id", "o"))
-    s = resolve.candidate_join(s, cand, files.select("path"), "path", ["_k"]).where("hit is not null")
-    s = s.select("run_id", F.lit(0).alias("r"), "o", F.lit("cli").alias("kind"), F.col("hit").alias("file_path"), F.lit("detected").alias("certainty"), symbol.alias("symbol_name"))
+    s = resolve.candidate_join(s, cand, files.select(F.concat_ws("\u0001", "run_id", "path").alias("path")), "path", ["_k"]).where("hit is not null")
+    s = s.withColumn("hit", F.substring_index("hit", "\u0001", -1)).select("run_id", F.lit(0).alias("r"), "o", F.lit("cli").alias("kind"), F.col("hit").alias("file_path"), F.lit("detected").alias("certainty"), symbol.alias("symbol_name"))
     main = files.where(paths.basename(F.col("path")) == "__main__.py").select("run_id", F.lit(1).alias("r"), F.col("file_ord").alias("o"), F.lit("cli").alias("kind"), F.col("path").alias("file_path"), F.lit("detected").alias("certainty"), none.alias("symbol_name"))
     guard = surface.where("has_main_guard").select("run_id", F.lit(2).alias("r"), F.col("file_ord").alias("o"), F.lit("bootstrap").alias("kind"), "file_path", F.lit("detected").alias("certainty"), none.alias("symbol_name"))
     pack = names.withColumn("p", F.replace("name", F.lit("-"), F.lit("_"))).select("run_id", F.explode(F.array(F.concat(F.lit("src/"), "p", F.lit("/__init__.py")), F.concat("p", F.lit("/__init__.py")))).alias("path"))
-    lib = files.join(pack, ["run_id", "path"], "left_semi").select("run_id", F.lit(3).alias("r"), F.col("file_ord").alias("o"), F.lit("library").alias("kind"), F.col("path").alias("file_path"), F.lit("inferred").alias("certainty"), none.alias("symbol_name"))
-    found = s.unionByName(main).unionByName(guard).unionByName(lib)
+    lib = files.join(pack, ["run_id", "path"], "left_semi").select("run_id", F.lit(3).alias("r"), F.col("file_ord").alias("o"), F.lit("library").alias("kind"), F.col("path").alias("file_path"), F.lit("detected").alias("certainty"), none.alias("symbol_name"))
+    why = contradictions(s.select("run_id", F.col("o").alias("ord"), "file_path", "kind"), relationships, paths.is_py_test)
+    suite = main.unionByName(guard).withColumn("root", paths.test_root(F.col("file_path"))).join(why, ["run_id", "root"], "left")
+    suite = suite.where(~paths.is_py_test(F.col("file_path"))).where("root = '' or why is not null").drop("root", "why")
+    found = resolve.first_wins(s.unionByName(suite).unionByName(lib), ["run_id", "file_path"], [F.col("r"), F.col("o")])
     index = files.where(F.col("path").isin("main.py", "src/main.py")).join(found.select("run_id").distinct(), "run_id", "left_anti")
     index = resolve.first_wins(index, ["run_id"], [F.length("path")]).select("run_id", F.lit(4).alias("r"), F.col("file_ord").alias("o"), F.lit("runtime").alias("kind"), F.col("path").alias("file_path"), F.lit("inferred").alias("certainty"), none.alias("symbol_name"))
     return _numbered_entries(found.unionByName(index), "python-entry-")

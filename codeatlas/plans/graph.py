@@ -1,6 +1,7 @@
 """Graph operators on edge tables (run_id, source, target, ...). Parallel edges count wherever the reference semantics count them.
 
-Loops write each step to the shared folder: plans stay short and a lost executor repeats one step.
+Runs whose graphs are small go whole to tasks, many runs side by side (local_graph.py). For larger ones, loops join and write each step to the shared folder: plans stay
+short and a lost executor repeats one step.
 """
 
 from __future__ import annotations
@@ -8,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
+from . import local_graph
 
 # Fixed values.
 DECAY, MIN_WEIGHT, DAMPING, ITERATIONS = 0.7, 0.06, 0.85, 20
@@ -38,12 +40,40 @@ def reference_counts(nodes: DataFrame, edges: DataFrame, run: str = "run_id") ->
     return d.select(run, "node", (F.lit(1) + F.col("fan_in") + F.col("fan_out")).cast("long").alias("refs"))
 
 
+def _by_size(edges: DataFrame, run: str) -> tuple[DataFrame, bool, bool]:
+    """((run, small) of the edges' runs, whether any is small, whether any isn't): small ones fit a task."""
+    ends = edges.select(run, F.explode(F.array("source", "target")).alias("id"))
+    sizes = ends.groupBy(run).agg((F.count(F.lit(1)) / 2 <= local_graph.EDGES).alias("few"), (F.count_distinct("id") <= local_graph.NODES).alias("fit"))
+    sizes = materialize(sizes.select(run, (F.col("few") & F.col("fit")).alias("small")), "sizes")
+    kinds = {r[0] for r in sizes.select("small").distinct().collect()}
+    return sizes, True in kinds, False in kinds
+
+
 def reach(edges: DataFrame, origins: DataFrame | None = None, hops: int | None = None, run: str = "run_id") -> DataFrame:
     """(run_id, src, dst, dist): nodes reached from each origin over any edge, by shortest distance, 1 to `hops`; the origin itself is left out.
 
-    Breadth-first by frontier joins. The output has a row per reached pair, which is what is asked for; bound origins for large graphs.
+    The output has a row per reached pair, which is what is asked for; bound origins for large graphs.
     """
-    e = materialize(edges.select(run, F.col("source").alias("src"), F.col("target").alias("dst")).distinct(), "edges")
+    e = materialize(edges.select(run, "source", "target").distinct(), "edges")
+    sizes, small, large = _by_size(e, run)
+    parts = []
+    if small:
+        few = sizes.where("small").select(run)
+        asked = e.select(run, F.col("source").alias("id")) if origins is None else origins.select(run, "id")
+        asked = asked.distinct().join(few, run, "left_semi").select(run, F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast(e.schema["target"].dataType).alias("b"))
+        rows = asked.unionByName(e.join(few, run, "left_semi").select(run, F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
+        kinds = [f"{c} {e.schema[k].dataType.simpleString()}" for c, k in ((run, run), ("src", "source"), ("dst", "target"))]
+        parts.append(materialize(rows.groupBy(run).applyInArrow(local_graph.distances(hops or max_hops()), ", ".join([*kinds, "dist int"])), "reach"))
+    if large:
+        parts.append(_reach_by_joins(e.join(sizes.where("not small").select(run), run, "left_semi") if small else e, origins, hops, run))
+    if not parts:
+        return e.select(run, F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("dist"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _reach_by_joins(edges: DataFrame, origins: DataFrame | None, hops: int | None, run: str) -> DataFrame:
+    """Breadth-first, a join of the frontier per hop."""
+    e = edges.select(run, F.col("source").alias("src"), F.col("target").alias("dst"))
     start = e if origins is None else e.join(origins.select(run, F.col("id").alias("src")).distinct(), [run, "src"])
     seen = materialize(start.where("src <> dst").select(run, "src", "dst", F.lit(1).alias("dist")), "reach")
     step = e.select(run, F.col("src").alias("dst"), F.col("dst").alias("next"))
@@ -68,13 +98,40 @@ def decayed(reached: DataFrame, decay: float = DECAY) -> DataFrame:
     return reached.withColumn("weight", w)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING, run: str = "run_id", every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING, run: str = "run_id") -> DataFrame:
     """(run_id, node, rank) after a fixed number of iterations.
 
     nodes (run_id, id); edges (run_id, source, target), parallel ones counted in shares. Ranks start at 1/n. Teleport is uniform, or over the seeds
     that are nodes. A dangling node's rank goes to the teleport; what flows to targets that aren't nodes is lost.
     """
-    n = nodes.select(run, F.col("id").alias("node")).distinct()
+    nodes = materialize(nodes.select(run, "id").distinct(), "nodes")
+    flows = materialize(edges.groupBy(run, "source", "target").agg(F.count(F.lit(1)).alias("m")), "flows")
+    count = lambda df: df.select(run, F.lit(1).alias("c"))
+    # ranks need a number per node and edge: nodes may be as many as edges
+    sizes = count(nodes).unionByName(count(flows)).groupBy(run).agg((F.sum("c") <= local_graph.EDGES).alias("small"))
+    sizes = materialize(sizes, "sizes")
+    kinds = {r[0] for r in sizes.select("small").distinct().collect()}
+    parts = []
+    if True in kinds:
+        few = sizes.where("small").select(run)
+        own = nodes.withColumn("m", F.lit(0).cast("long"))
+        if seeds is not None:
+            own = nodes.join(seeds.select(run, "id").distinct().withColumn("s", F.lit(1)), [run, "id"], "left").select(run, "id", F.coalesce("s", F.lit(0)).cast("long").alias("m"))
+        rows = own.select(run, F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast(flows.schema["target"].dataType).alias("b"), "m")
+        rows = rows.unionByName(flows.select(run, F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "m")).join(few, run, "left_semi")
+        schema = f"{run} {nodes.schema[run].dataType.simpleString()}, node {nodes.schema['id'].dataType.simpleString()}, rank double"
+        parts.append(materialize(rows.groupBy(run).applyInArrow(local_graph.ranks(damping, iterations), schema), "ranks"))
+    if False in kinds:
+        many = sizes.where("not small").select(run)
+        parts.append(_pagerank_by_joins(nodes.join(many, run, "left_semi"), flows.join(many, run, "left_semi"), seeds, iterations, damping, run))
+    if not parts:
+        return nodes.select(run, F.col("id").alias("node"), F.lit(0.0).alias("rank"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _pagerank_by_joins(nodes: DataFrame, flows: DataFrame, seeds: DataFrame | None, iterations: int, damping: float, run: str) -> DataFrame:
+    """A step joins ranks with flows, sums by target and adds what is stuck in dangling nodes, a row per run that goes to every task."""
+    n = nodes.select(run, F.col("id").alias("node"))
     size = n.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
     base = n.join(size, run)
     if seeds is not None:
@@ -84,18 +141,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         jump = F.when(F.coalesce("k", F.lit(0)) == 0, F.lit(1.0) / F.col("n")).when(F.col("seed") == 1, F.lit(1.0) / F.col("k")).otherwise(F.lit(0.0))
     else:
         jump = F.lit(1.0) / F.col("n")
-    degree = edges.groupBy(run, F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    degree = flows.groupBy(run, F.col("source").alias("node")).agg(F.sum("m").alias("deg"))
     base = base.withColumn("jump", jump).join(degree, [run, "node"], "left").select(run, "node", "jump", "deg", (F.lit(1.0) / F.col("n")).alias("rank"))
     ranks = materialize(base, "ranks")
-    flows = materialize(edges.groupBy(run, "source", "target").agg(F.count(F.lit(1)).alias("m")), "flows")
-    for i in range(iterations):
+    flows = materialize(flows, "flows")
+    for _ in range(iterations):
         share = ranks.where("deg is not null").select(run, F.col("node").alias("source"), (F.col("rank") / F.col("deg")).alias("share"))
         got = flows.join(share, [run, "source"]).groupBy(run, F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("m")).alias("got"))
         lost = ranks.groupBy(run).agg(F.sum(F.when(F.col("deg").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
         rank = F.lit(1 - damping) * F.col("jump") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("jump"))
-        ranks = ranks.join(got, [run, "node"], "left").join(lost, run).select(run, "node", "jump", "deg", rank.alias("rank"))
-        if i % every == every - 1 or i == iterations - 1:
-            ranks = materialize(ranks, "ranks")
+        before, ranks = ranks, materialize(ranks.join(got, [run, "node"], "left").join(lost, run).select(run, "node", "jump", "deg", rank.alias("rank")), "ranks")
+        discard(before)
     return ranks.select(run, "node", "rank")
 
 

@@ -1,0 +1,84 @@
+"""Graph loops of one run within one task, on arrays. A repository's graph has some thousands of nodes; tables hold a great many of them, so runs are dealt to
+tasks and nothing is shuffled between the steps of a loop. Larger graphs go through the joins of graph.py, with the same results."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bounds of a graph that a task takes whole: its edges (equal ones count once) and its nodes.
+EDGES, NODES = 500_000, 2_000
+
+#: Origins whose searches run side by side, 64 to a number.
+ORIGINS = 1024
+
+
+def ranks(damping: float, iterations: int):
+    """A run's nodes (kind 0: a = id, m = 1 if it is a seed) and edges (kind 1: a to b, m of them) to (run, node, rank)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kind, m = table["kind"].to_numpy(), table["m"].to_numpy().astype("f8")
+        a, b = table["a"].combine_chunks(), table["b"].combine_chunks()
+        nodes = a.filter(pa.array(kind == 0))
+        n = len(nodes)
+        edge = pa.array(kind == 1)
+        place = lambda x: pc.fill_null(pc.index_in(x.filter(edge), value_set=nodes), -1).to_numpy(zero_copy_only=False)
+        source, target, times = place(a), place(b), m[kind == 1]
+        seeds = m[kind == 0]
+        jump = seeds / seeds.sum() if seeds.sum() else np.full(n, 1 / max(n, 1))
+        own = source >= 0
+        degree = np.bincount(source[own], times[own], n)
+        inside = own & (target >= 0)
+        source, target, times = source[inside], target[inside], times[inside]
+        stuck = degree == 0
+        rank = np.full(n, 1 / max(n, 1))
+        share = np.where(stuck, 1.0, degree)
+        for _ in range(iterations):
+            got = np.bincount(target, (rank / share)[source] * times, n)
+            rank = (1 - damping) * jump + damping * (got + rank[stuck].sum() * jump)
+        return pa.table([pa.array([key[0].as_py()] * n, table.schema.field(0).type), nodes, pa.array(rank)], [table.schema.names[0], "node", "rank"])
+
+    return run
+
+
+def distances(hops: int):
+    """A run's edges (kind 1: a to b) and origins (kind 0: a) to (run, src, dst, dist), 1 to `hops`, an origin itself left out."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        a, b = table["a"].combine_chunks(), table["b"].combine_chunks()
+        edge = pa.array(kind == 1)
+        ids = pc.unique(pa.concat_arrays([a.filter(edge), b.filter(edge)]))
+        n = len(ids)
+        place = lambda x: pc.index_in(x, value_set=ids).to_numpy(zero_copy_only=False)
+        source, target = place(a.filter(edge)), place(b.filter(edge))
+        order = np.argsort(target, kind="stable")
+        source, target = source[order], target[order]
+        first = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, "i8")
+        asked = pc.index_in(a.filter(pa.array(kind == 0)), value_set=ids).drop_null().to_numpy()
+        found: list[list[np.ndarray]] = [[], [], []]
+        for lo in range(0, len(asked), ORIGINS):
+            origins = asked[lo : lo + ORIGINS]
+            at = np.arange(len(origins))
+            front = np.zeros((n, -(-len(origins) // 64)), "u8")
+            np.bitwise_or.at(front, (origins, at // 64), np.uint64(1) << (at % 64).astype("u8"))
+            seen = front.copy()
+            for d in range(1, hops + 1):
+                new = np.zeros_like(front)
+                if len(first):
+                    new[target[first]] = np.bitwise_or.reduceat(front[source], first, axis=0)
+                new &= ~seen
+                if not new.any():
+                    break
+                seen |= new
+                front = new
+                bits = np.unpackbits(new.astype("<u8").view("u1").reshape(n, -1), axis=1, bitorder="little")
+                node, origin = np.nonzero(bits)
+                for part, x in zip(found, (origins[origin], node, np.full(len(node), d, "i4")), strict=True):
+                    part.append(x)
+        src, dst, dist = (np.concatenate(part) if part else np.zeros(0, "i8") for part in found)
+        runs = pa.array([key[0].as_py()], table.schema.field(0).type).take(pa.array(np.zeros(len(src), "i8")))
+        return pa.table([runs, ids.take(pa.array(src)), ids.take(pa.array(dst)), pa.array(dist.astype("i4"))], [table.schema.names[0], "src", "dst", "dist"])
+
+    return run

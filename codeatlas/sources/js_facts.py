@@ -258,7 +258,7 @@ class File:
             if re.match(r"\s*(?::[^=;{]*)?\{", self.code[end:]) and not re.search(r"[=(,:?&|!+]$|\breturn$", before) and self._is_method_head(m.start(), end):
                 continue
             lead = re.sub(r"\bawait$", "", before).rstrip()
-            statement = lead == "" or lead[-1] in ";{}" and not lead.endswith("${") or ("\n" in self.code[len(lead) : m.start()] and lead[-1] not in "=(,:?&|+.[!<>-*/")
+            statement = lead == "" or lead[-1] in ";{}" and not lead.endswith("${") and len(lead) - 1 not in self.m.containers or ("\n" in self.code[len(lead) : m.start()] and lead[-1] not in "=(,:?&|+.[!<>-*/")
             after = self.code[end:].lstrip(" \t")
             used = not (statement and (after == "" or after[0] in ";\n}"))
             out.append({"seq": len(out), "callee": m[1], "line": self.line(m.start()), "off": m.start(), "args_end": end, "used": used})

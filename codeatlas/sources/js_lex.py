@@ -21,6 +21,7 @@ class Masked:
     strings: dict[int, tuple[int, str]] = field(default_factory=dict)  # start of a literal -> (end, value)
     jsx: list[int] = field(default_factory=list)  # starts of elements and fragments
     attributes: list[tuple[int, str, int, int]] = field(default_factory=list)  # (offset, name, start and end of an {expression})
+    containers: set[int] = field(default_factory=set)  # places of the { of expressions in JSX
 
 
 class _Scanner:
@@ -153,6 +154,7 @@ class _Scanner:
                         j = end + 1 if end > 0 else self.n
                     elif j < self.n and self.t[j] == "{":
                         start = j + 1
+                        self.m.containers.add(j)
                         j = self.code(start, "}")
                         self.m.attributes.append((at, name, start, j - 1))
                     else:
@@ -168,6 +170,7 @@ class _Scanner:
             c = self.t[i]
             if c == "{":
                 self.blank(at, i)
+                self.m.containers.add(i)
                 i = at = self.code(i + 1, "}")
             elif self.t.startswith("</", i):
                 self.blank(at, i)

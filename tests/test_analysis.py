@@ -76,7 +76,7 @@ def test_areas_and_reading_path(tables):
 def test_python(tables):
     t = tables["py"]
     assert {(r.from_id, r.to_id) for r in t["relationships"].collect()} == {("my_tool/__init__.py", "my_tool/main.py"), ("my_tool/main.py", "my_tool/util.py"), ("tests/test_util.py", "my_tool/util.py")}
-    assert {(r.kind, r.file_path) for r in t["entry_points"].collect()} == {("cli", "my_tool/main.py"), ("bootstrap", "my_tool/main.py"), ("library", "my_tool/__init__.py")}
+    assert {(r.kind, r.file_path) for r in t["entry_points"].collect()} == {("cli", "my_tool/main.py"), ("library", "my_tool/__init__.py")}
     assert [(r.name, r.certainty) for r in t["public_contracts"].orderBy("ord").collect()] == [("go", "detected"), ("Other", "detected")]
     deps = {r.name: (len(r.evidence), r.gap) for r in t["external_dependencies"].collect()}
     assert deps["requests"] == (1, None) and deps["PyYAML"][0] == 0 and deps["PyYAML"][1]

@@ -187,3 +187,25 @@ def test_nearest_span_against_all_pairs(spark):
     )
     want = {p: max(((lo, i) for kk, lo, hi, i in spans if kk == k and at is not None and lo <= at < hi), default=(0, None))[1] for k, at, p in points}
     assert {r.p: r.id for r in got.collect()} == want
+
+
+def test_small_and_large_graphs_agree(spark, monkeypatch):
+    """Graphs that fit a task and those that go through joins have the same distances and ranks."""
+    import random
+
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(f"r{k % 2}", rng.randrange(40), rng.randrange(44)) for k in range(150)], "run_id string, source int, target int")
+    nodes = spark.createDataFrame([(f"r{k}", i) for k in range(3) for i in range(42)], "run_id string, id int")
+    seeds = spark.createDataFrame([("r0", 3), ("r0", 99), ("r2", 1)], "run_id string, id int")
+
+    def found():
+        reached = {tuple(r) for r in graph.reach(edges, hops=3).collect()} | {tuple(r) for r in graph.reach(edges, nodes.where("id < 5"), 2).select("run_id", "src", "dst", "dist").collect()}
+        ranks = [{(r.run_id, r.node): r["rank"] for r in graph.pagerank(nodes, edges, s).collect()} for s in (None, seeds)]
+        return reached, ranks
+
+    small = found()
+    monkeypatch.setattr(graph.local_graph, "EDGES", 0)
+    large = found()
+    assert small[0] == large[0] and len(small[0]) > 500
+    for a, b in zip(small[1], large[1], strict=True):
+        assert a.keys() == b.keys() and len(a) == 126 and all(abs(a[k] - b[k]) < 1e-12 for k in a)

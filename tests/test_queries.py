@@ -5,9 +5,11 @@ import os
 import duckdb
 import pytest
 
-from codeatlas import queries, queries_sql
+from codeatlas import plan_queries, plan_queries_sql, queries, queries_sql
 
 SF = "/root/testdata/sf0.001"
+QUERIES = queries.QUERIES | plan_queries.QUERIES
+SQL = queries_sql.SQL | plan_queries_sql.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
@@ -26,13 +28,13 @@ def norm(rows, columns):
     return sorted("|".join(one(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
-    want = duck.sql(queries_sql.SQL[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert norm(df.collect(), df.columns) == norm(want.fetchall(), want.columns)
 
 
 def test_every_query_has_sql():
-    assert set(queries.QUERIES) == set(queries_sql.SQL)
+    assert set(QUERIES) == set(SQL)
