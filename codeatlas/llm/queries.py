@@ -90,6 +90,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(output)
 
 
+#: (host, path prefix, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_templates
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_templates.judge(_read(spark, sf_dir, "pages"), rules)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_tokens": op2_tokens,
@@ -101,8 +118,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_url_filter": op11_url_filter,
+    "op12_ranked_search": op12_ranked_search,
 }
 
+
+def _template_sql() -> str:
+    """The levels of the template tree as common table expressions t1 to t4."""
+    out = []
+    for i in range(1, 5):
+        segment = "CASE WHEN len(p) >= 4 THEN array_to_string(p[4:], '/') END" if i == 4 else f"CASE WHEN len(p) >= {i} THEN p[{i}] END"
+        out.append(f"""
+s{i} AS (SELECT *, {segment} AS s FROM t{i - 1}),
+c{i} AS (SELECT host, t, s, sum(n) AS c, sum(sum(n)) OVER (PARTITION BY host, t) AS total FROM s{i} WHERE s IS NOT NULL GROUP BY host, t, s),
+f{i} AS (SELECT host, t, s FROM c{i} WHERE c >= 5 AND c * 20 >= total AND NOT regexp_full_match(s, '[0-9]+|\\*')),
+t{i} AS (
+  SELECT x.host, x.path, x.n, x.good, x.bad, x.rule, x.ruled, x.p, x.t || CASE WHEN x.s IS NULL THEN '' WHEN f.s IS NOT NULL THEN '/' || x.s ELSE '/*' END AS t
+  FROM s{i} x LEFT JOIN f{i} f ON f.host = x.host AND f.t = x.t AND f.s = x.s
+)""")
+    return ",".join(out)
+
+
 _SPLIT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
@@ -206,4 +242,51 @@ WITH t AS (
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM g""",
+    "op11_url_filter": rf"""
+WITH rules(rhost, rpath, ruled) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+a AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
+),
+u AS (SELECT host, path, count(*) AS n FROM a GROUP BY host, path),
+m AS (
+  SELECT u.host, u.path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(ruled, length(rhost || rpath)) AS ruled
+  FROM u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY u.host, u.path
+),
+t0 AS (
+  SELECT u.host, u.path, n, CASE WHEN ruled = 'allow' THEN n ELSE 0 END AS good, CASE WHEN ruled = 'block' THEN n ELSE 0 END AS bad, rule, ruled,
+         list_filter(string_split(u.path, '/'), lambda x: x <> '') AS p, '' AS t
+  FROM u LEFT JOIN m ON m.host = u.host AND m.path = u.path
+),{_template_sql()},
+k AS (SELECT host, t, sum(good) AS good, sum(bad) AS bad, regexp_extract(t, '((?:/[*])*)\z', 1) AS tail FROM t4 GROUP BY host, t),
+h AS (SELECT *, regexp_extract(substr(t, 1, length(t) - length(tail)), '^(.*/)?[^/]*\z', 1) AS parent FROM k),
+g AS (
+  SELECT *, good + bad > 0 AND 100.0::DOUBLE * gap * gap <= 384.0::DOUBLE * mm * bb * (aa - bb) AS alike FROM (
+    SELECT *, bad::DOUBLE * aa - mm * bb AS gap FROM (
+      SELECT *, (good + bad)::DOUBLE AS mm, (sum(bad) OVER w)::DOUBLE AS bb, (sum(good + bad) OVER w)::DOUBLE AS aa FROM h WINDOW w AS (PARTITION BY host, parent, tail)))
+),
+j AS (
+  SELECT host, t, CASE WHEN alike THEN sum(good) OVER w ELSE good END AS n_good, CASE WHEN alike THEN sum(bad) OVER w ELSE bad END AS n_bad
+  FROM g WINDOW w AS (PARTITION BY host, parent, tail, alike)
+)
+SELECT page_id, a.host, a.path, t4.rule, coalesce(t4.ruled, CASE WHEN (n_good + 2) * 10 < (n_good + n_bad + 3) * 4 THEN 'block' ELSE 'allow' END) AS verdict,
+       t4.t AS template, CAST(n_good AS BIGINT) AS n_good, CAST(n_bad AS BIGINT) AS n_bad
+FROM a JOIN t4 ON t4.host = a.host AND t4.path = a.path JOIN j ON j.host = t4.host AND j.t = t4.t""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS k
+  FROM benchmark
+),
+g AS (SELECT CAST(count(*) AS BIGINT) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, k, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS k FROM d) WHERE k IN (SELECT k FROM q) GROUP BY doc_id, n, k),
+f AS (SELECT k, count(*) AS df FROM p GROUP BY k),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * g.N + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * g.N) // g.L)))) AS BIGINT) AS score
+  FROM q JOIN p USING (k) JOIN f USING (k), g GROUP BY item_id, doc_id
+),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10""",
 }
