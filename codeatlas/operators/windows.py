@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard, materialize
+
 
 def islands(df: DataFrame, partition: list[str], order: list[Column], key: Column) -> DataFrame:
     """df with `island`, the number (from 1) of its run of rows with an equal key."""
@@ -24,6 +26,81 @@ def numbered(df: DataFrame, partition: list[str], order: list[Column], name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) + (start - 1))
 
 
+def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """df with its keys renamed, and the condition that joins it with a table that has them; nulls are equal."""
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        df, on = df.withColumnRenamed(k, f"_key{i}"), on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df, on
+
+
+def blocks(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
+    """df sorted by partition and order over all tasks and written, with `_block` (the task's range, ascending) and `_pos` (the row's place in it, from 0).
+
+    Ranges are cut anywhere, within a large partition too, so passes over `_block` are even where passes over the partition aren't. It is written because ranges come from a
+    sample, and everything computed from blocks must see the same ones.
+    """
+    by = [*map(F.col, partition), *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    found = materialize(place, "blocks")
+    # an id holds the number of the task above 33 bits of the row's place
+    return found.withColumn("_block", F.shiftright("_place", 33)).withColumn("_pos", F.col("_place") - F.shiftleft(F.shiftright("_place", 33), 33)).drop("_place")
+
+
+def _offsets(sizes: DataFrame, what: str) -> DataFrame:
+    """(_block, _before): the sums of `what` of all earlier blocks; a row per task of a sort."""
+    rows, total = [], 0
+    for block, size in sorted(sizes.select("_block", what).collect()):
+        rows.append((block, total))
+        total += size
+    return F.broadcast(sizes.sparkSession.createDataFrame(rows, "_block long, _before long"))
+
+
+def numbered_global(df: DataFrame, order: list[Column], name: str = "ord", start: int = 1, keep_blocks: bool = False) -> DataFrame:
+    """Gapless numbers over all rows: a row's place in its block after the rows of earlier blocks. No window at all; the driver sees a count per block."""
+    b = blocks(df, [], order)
+    out = b.join(_offsets(b.groupBy("_block").agg(F.count(F.lit(1)).alias("_c")), "_c"), "_block").withColumn(name, F.col("_before") + F.col("_pos") + start).drop("_before")
+    return out if keep_blocks else out.drop("_block", "_pos")
+
+
+def numbered_split(df: DataFrame, partition: list[str], order: list[Column], name: str = "ord", start: int = 1, keep_blocks: bool = False) -> DataFrame:
+    """numbered() for partitions of any size: numbers over all rows, less the first of the partition."""
+    g = numbered_global(df, [*map(F.col, partition), *order], "_g", 0, keep_blocks=True)
+    first, on = _keyed(g.groupBy(*partition).agg(F.min("_g").alias("_first")), partition)
+    out = g.join(first, on).select(*df.columns, "_block", "_pos", (F.col("_g") - F.col("_first") + start).alias(name))
+    return out if keep_blocks else out.drop("_block", "_pos")
+
+
+def running_split(b: DataFrame, partition: list[str], name: str, value: Column, how: str = "sum") -> DataFrame:
+    """blocks() with `name`, the sum or the maximum of value over the partition's rows up to each: within its block, and over the summaries of the earlier blocks of the partition.
+
+    A window over (partition, block) reads a block of rows at most; the one over a partition's summaries a row per block."""
+    f = {"sum": F.sum, "max": F.max}[how]
+    v = b.withColumn("_v", value)
+    inner = v.withColumn("_in", f("_v").over(Window.partitionBy(*partition, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = v.groupBy(*partition, "_block").agg(f("_v").alias("_end"))
+    ends = ends.withColumn("_prior", f("_end").over(Window.partitionBy(*partition).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    ends, on = _keyed(ends, [*partition, "_block"])
+    both = F.coalesce(F.col("_in") + F.col("_prior"), "_in", "_prior") if how == "sum" else F.greatest("_in", "_prior")
+    return inner.join(ends, on).select(*b.columns, both.alias(name))
+
+
+def islands_split(df: DataFrame, partition: list[str], order: list[Column], key: Column) -> DataFrame:
+    """islands() for partitions of any size, by a segmented scan: runs are counted within blocks, a scan over block summaries (first and last key, runs) adds the runs of earlier blocks,
+    and a block whose first key equals the last one before it continues that run."""
+    b = blocks(df.withColumn("_k", key), partition, order)
+    w = Window.partitionBy(*partition, "_block").orderBy("_pos")
+    b = b.withColumn("_new", F.when(F.lag("_k").over(w).eqNullSafe(F.col("_k")) & (F.row_number().over(w) > 1), 0).otherwise(1))
+    b = b.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = b.groupBy(*partition, "_block").agg(F.min_by(F.struct("_k"), "_pos").alias("_head"), F.max_by(F.struct("_k"), "_pos").alias("_tail"), F.max("_in").alias("_runs"))
+    w = Window.partitionBy(*partition).orderBy("_block")
+    s = s.withColumn("_same", (F.lag("_tail").over(w)["_k"].eqNullSafe(F.col("_head")["_k"]) & (F.row_number().over(w) > 1)).cast("int"))
+    s = s.withColumn("_more", F.coalesce(F.sum(F.col("_runs") - F.col("_same")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_same"))
+    s, on = _keyed(s.select(*partition, "_block", "_more"), [*partition, "_block"])
+    return b.join(s, on).select(*df.columns, (F.col("_in") + F.col("_more")).alias("island"))
+
+
 def slugs(df: DataFrame, partition: list[str], base: Column, order: list[Column]) -> DataFrame:
     """df with `slug`: the base, and from its second occurrence on the base with '-2', '-3', ..."""
     d = df.withColumn("_b", base)
@@ -50,24 +127,31 @@ def running(partition: list[str], order: list[Column]):
 
 def cooldown(df: DataFrame, key: str, at: str, ident: str, seconds: int) -> DataFrame:
     """(key, ident, at, granted, remaining): a request is granted if the key has no granted one in the last `seconds`; else remaining says how many
-    whole seconds are left. The comparison is with the last *granted* request, so it is a fold, not a lag.
+    whole seconds are left. The comparison is with the last *granted* request, so it is an orbit, not a lag.
 
-    A key's requests meet in one row; the fold keeps the time of the last grant. `at` is a timestamp.
+    A key's requests are numbered in order of time and `ident`. Each points to the first one at least `seconds` later; the granted ones are those that the first one leads to. They are
+    found by pointer doubling: after k rounds all grants up to the 2^k-th are marked and pointers span 2^k steps, so rounds grow with the logarithm of a key's grants. Every
+    join is on (key, number), which no hot key can unbalance. `at` is a timestamp; rows without a key or a time are left out.
     """
-    one = F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(ident).alias("i"), F.col(at).alias("at"))
-    g = df.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("r"))
-    span = F.lit(seconds * 1_000_000).cast("long")
-    kind = f"array<struct<i:{df.schema[ident].dataType.simpleString()},at:{df.schema[at].dataType.simpleString()},granted:boolean,remaining:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["last"].isNull() | (acc["last"] <= x["t"] - span)
-        left = F.greatest(F.lit(0).cast("long"), F.ceil((acc["last"] + span - x["t"]) / 1_000_000).cast("long"))
-        row = F.struct(x["i"].alias("i"), x["at"].alias("at"), ok.alias("granted"), F.when(ok, F.lit(0).cast("long")).otherwise(left).alias("remaining"))
-        return F.struct(F.when(ok, x["t"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(kind).alias("out"))
-    out = g.select(key, F.explode(F.aggregate("r", start, step)["out"]).alias("x"))
-    return out.select(key, F.col("x.i").alias(ident), F.col("x.at").alias(at), "x.granted", "x.remaining")
+    span = F.lit(max(0, seconds) * 1_000_000).cast("long")
+    r = df.select(key, F.col(ident).alias("_ident"), F.col(at).alias("_at"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t")).dropna(subset=[key, "_t"])
+    r = numbered_split(r, [key], [F.col("_t"), F.col("_ident")], "_n", keep_blocks=True)
+    r = materialize(r, "requests")
+    line = r.select(key, "_t", F.lit(1).alias("_kind"), "_n").unionByName(r.select(key, (F.col("_t") + span).alias("_t"), F.lit(0).alias("_kind"), "_n"))
+    line = blocks(line, [key], [F.col("_t"), F.col("_kind"), F.col("_n")])
+    ahead = running_split(line, [key], "_seen", F.col("_kind")).where("_kind = 0")
+    jump = materialize(ahead.select(key, "_n", F.greatest(F.col("_seen") + 1, F.col("_n") + 1).alias("_next")), "jumps")
+    granted = r.where("_n = 1").select(key, "_n")
+    while jump.take(1):
+        landed = granted.join(jump, [key, "_n"]).select(key, F.col("_next").alias("_n"))
+        granted = materialize(granted.unionByName(landed), "granted")
+        after = jump.select(F.col(key).alias("_k"), F.col("_n").alias("_m"), F.col("_next").alias("_after"))
+        before, jump = jump, materialize(jump.join(after, (F.col(key) == F.col("_k")) & (F.col("_next") == F.col("_m"))).select(key, "_n", F.col("_after").alias("_next")), "jumps")
+        discard(before)
+    out = r.join(granted.withColumn("granted", F.lit(True)), [key, "_n"], "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+    out = running_split(out, [key], "_last", F.when(F.col("granted"), F.col("_t")), "max")
+    left = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_last") + span - F.col("_t")) / 1_000_000).cast("long"))
+    return out.select(key, F.col("_ident").alias(ident), F.col("_at").alias(at), "granted", F.when(F.col("granted"), F.lit(0).cast("long")).otherwise(left).alias("remaining"))
 
 
 def nearest_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, ident: str) -> DataFrame:

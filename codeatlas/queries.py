@@ -41,6 +41,28 @@ def history_islands(spark, d):
     ).select("user_id", F.col("island").cast("long").alias("island"), "group_key", "n", "lead_id")
 
 
+@query
+def islands_hot_key(spark, d):
+    """Runs of all events of one type, in order of time, all events being one partition: number, size and first event."""
+    i = windows.islands_split(table(spark, d, "events"), [], [F.col("ts"), F.col("event_id")], F.col("event_type"))
+    return i.groupBy(F.col("island").cast("long").alias("island")).agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"))
+
+
+@query
+def numbered_global(spark, d):
+    """Line items numbered without gaps over the whole table, by date and key."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return windows.numbered_global(l, order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ord")
+
+
+@query
+def numbered_runs(spark, d):
+    """Events numbered within their type, a handful of keys that hold all rows."""
+    e = table(spark, d, "events").select("event_type", "event_id", "ts")
+    return windows.numbered_split(e, ["event_type"], [F.col("ts"), F.col("event_id")]).select("event_id", "event_type", "ord")
+
+
 @query
 def primary_mode(spark, d):
     """The most frequent event type per user and day; the first seen wins ties."""

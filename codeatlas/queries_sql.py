@@ -67,6 +67,14 @@ SELECT o_custkey AS k, o_orderkey, o_orderpriority FROM orders QUALIFY row_numbe
 WITH v AS (SELECT p_partkey, lower(p_name) AS low, p_size > 25 AS runs, CASE p_partkey % 3 WHEN 0 THEN upper(p_name)
   WHEN 1 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE p_name END AS spelling FROM part)
 SELECT low, p_partkey AS id, spelling, n FROM (SELECT *, count(*) OVER (PARTITION BY low) AS n, row_number() OVER (PARTITION BY low ORDER BY spelling = low DESC, runs DESC, p_partkey) AS r FROM v) WHERE r = 1""",
+    "islands_hot_key": """
+WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS fresh FROM events),
+b AS (SELECT *, sum(fresh) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM a)
+SELECT CAST(island AS BIGINT) AS island, any_value(event_type) AS event_type, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first_id FROM b GROUP BY 1""",
+    "numbered_global": """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem""",
+    "numbered_runs": """
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS ord FROM events""",
     "cooldown_claims": """
 WITH RECURSIVE s AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 f AS (SELECT user_id, event_id, r, ts AS last_ok, true AS granted FROM s WHERE r = 1
