@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_kept: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("kept", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What materialize() writes within the block is removed at its end: for work whose results are written elsewhere by then."""
+    tables: list[DataFrame] = []
+    token = _kept.set(tables)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+        discard(*tables)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that loops keep short plans and survive lost executors."""
     spark = df.sparkSession
@@ -41,6 +59,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if (kept := _kept.get()) is not None:
+        kept.append(out)
     return out
 
 
