@@ -72,6 +72,13 @@ def numbered_split(df: DataFrame, partition: list[str], order: list[Column], nam
     return out if keep_blocks else out.drop("_block", "_pos")
 
 
+def next_split(df: DataFrame, partition: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """df with `name`, the value of the next row of its partition, null at the end: a join on consecutive numbers, which partitions of any size can't unbalance."""
+    g = numbered_global(df, [*map(F.col, partition), *order], "_g", 0)
+    after, on = _keyed(g.select(*partition, (F.col("_g") - 1).alias("_h"), F.col(value).alias("_next")), partition)
+    return g.join(after, (F.col("_g") == F.col("_h")) & on, "left").select(*df.columns, F.col("_next").alias(name))
+
+
 def running_split(b: DataFrame, partition: list[str], name: str, value: Column, how: str = "sum") -> DataFrame:
     """blocks() with `name`, the sum or the maximum of value over the partition's rows up to each: within its block, and over the summaries of the earlier blocks of the partition.
 

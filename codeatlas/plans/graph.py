@@ -1,16 +1,20 @@
 """Graph operators on edge tables (run_id, source, target, ...). Parallel edges count wherever the reference semantics count them.
 
-Runs whose graphs are small go whole to tasks, many runs side by side (local_graph.py). For larger ones, loops join and write each step to the shared folder: plans stay
-short and a lost executor repeats one step.
+Loops join and write each step to the shared folder: plans stay short and a lost executor repeats one step. Graphs of every size take the same path.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
-from . import local_graph
+from ..operators import windows
+from ..session import bucketed, discard, materialize
+
+#: Out-edges of a node beyond which its edges are dealt to further buckets; rows of runs that may be broadcast.
+HUB, BROADCAST_RUNS = 100_000, 200_000
 
 # Fixed values.
 DECAY, MIN_WEIGHT, DAMPING, ITERATIONS = 0.7, 0.06, 0.85, 20
@@ -40,51 +44,59 @@ def reference_counts(nodes: DataFrame, edges: DataFrame, run: str = "run_id") ->
     return d.select(run, "node", (F.lit(1) + F.col("fan_in") + F.col("fan_out")).cast("long").alias("refs"))
 
 
-def _by_size(edges: DataFrame, run: str) -> tuple[DataFrame, bool, bool]:
-    """((run, small) of the edges' runs, whether any is small, whether any isn't): small ones fit a task."""
-    ends = edges.select(run, F.explode(F.array("source", "target")).alias("id"))
-    sizes = ends.groupBy(run).agg((F.count(F.lit(1)) / 2 <= local_graph.EDGES).alias("few"), (F.count_distinct("id") <= local_graph.NODES).alias("fit"))
-    sizes = materialize(sizes.select(run, (F.col("few") & F.col("fit")).alias("small")), "sizes")
-    kinds = {r[0] for r in sizes.select("small").distinct().collect()}
-    return sizes, True in kinds, False in kinds
+def _frontiers(edges: DataFrame, origins: DataFrame | None, hops: int, run: str) -> tuple[DataFrame, list[DataFrame]]:
+    """((run, src, word, bit) of the origins, and per hop (run, word, node, bits): which origins of a word of 64 reach the node first at this distance).
+
+    Sets of origins travel as bits: a hop joins frontier and edges, combines the sets that meet at a node with bit_or, before the shuffle and after it, and clears those that were there
+    already. No row per origin and node is made.
+    """
+    e = materialize(edges.select(run, "source", "target").dropna().distinct(), "edges")
+    asked = e.select(run, F.col("source").alias("src")) if origins is None else origins.select(run, F.col("id").alias("src")).dropna()
+    ids = windows.numbered_split(asked.distinct(), [run], [F.col("src")], "_i", 0)
+    ids = materialize(ids.select(run, "src", F.floor(F.col("_i") / 64).alias("word"), (F.col("_i") % 64).cast("int").alias("bit")), "origins")
+    seen = [ids.select(run, "word", F.col("src").cast(e.schema["target"].dataType).alias("node"), F.expr("shiftleft(1L, bit)").alias("bits"))]
+    steps = e.withColumnsRenamed({"source": "node", "target": "next"})
+    zero = F.lit(0).cast("long")
+    for _ in range(hops):
+        met = seen[-1].join(steps, [run, "node"]).select(run, "word", F.col("next").alias("node"), F.col("bits").alias("got"), zero.alias("had"))
+        for old in seen:
+            met = met.unionByName(old.select(run, "word", "node", zero.alias("got"), F.col("bits").alias("had")))
+        new = met.groupBy(run, "word", "node").agg(F.bit_or("got").alias("got"), F.bit_or("had").alias("had")).select(run, "word", "node", F.expr("got & ~had").alias("bits")).where("bits <> 0")
+        new = materialize(new, "frontier")
+        if not new.take(1):
+            break
+        seen.append(new)
+    return ids, seen[1:]
 
 
 def reach(edges: DataFrame, origins: DataFrame | None = None, hops: int | None = None, run: str = "run_id") -> DataFrame:
     """(run_id, src, dst, dist): nodes reached from each origin over any edge, by shortest distance, 1 to `hops`; the origin itself is left out.
 
-    The output has a row per reached pair, which is what is asked for; bound origins for large graphs.
+    The output has a row per reached pair, which is what is asked for: pairs are spelled out at the end, from sets. For counts and sums take reach_sums, which never has them.
     """
-    e = materialize(edges.select(run, "source", "target").distinct(), "edges")
-    sizes, small, large = _by_size(e, run)
-    parts = []
-    if small:
-        few = sizes.where("small").select(run)
-        asked = e.select(run, F.col("source").alias("id")) if origins is None else origins.select(run, "id")
-        asked = asked.distinct().join(few, run, "left_semi").select(run, F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast(e.schema["target"].dataType).alias("b"))
-        rows = asked.unionByName(e.join(few, run, "left_semi").select(run, F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
-        kinds = [f"{c} {e.schema[k].dataType.simpleString()}" for c, k in ((run, run), ("src", "source"), ("dst", "target"))]
-        parts.append(materialize(rows.groupBy(run).applyInArrow(local_graph.distances(hops or max_hops()), ", ".join([*kinds, "dist int"])), "reach"))
-    if large:
-        parts.append(_reach_by_joins(e.join(sizes.where("not small").select(run), run, "left_semi") if small else e, origins, hops, run))
-    if not parts:
-        return e.select(run, F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("dist"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _reach_by_joins(edges: DataFrame, origins: DataFrame | None, hops: int | None, run: str) -> DataFrame:
-    """Breadth-first, a join of the frontier per hop."""
-    e = edges.select(run, F.col("source").alias("src"), F.col("target").alias("dst"))
-    start = e if origins is None else e.join(origins.select(run, F.col("id").alias("src")).distinct(), [run, "src"])
-    seen = materialize(start.where("src <> dst").select(run, "src", "dst", F.lit(1).alias("dist")), "reach")
-    step = e.select(run, F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for d in range(2, (hops or max_hops()) + 1):
-        frontier = seen.where(F.col("dist") == d - 1)
-        new = frontier.join(step, [run, "dst"]).select(run, "src", F.col("next").alias("dst")).where("src <> dst").distinct()
-        new = materialize(new.join(seen.select(run, "src", "dst"), [run, "src", "dst"], "left_anti").withColumn("dist", F.lit(d)), "reach")
-        if not new.take(1):
-            break
-        seen = seen.unionByName(new)
-    return seen
+    ids, found = _frontiers(edges, origins, hops or max_hops(), run)
+    out = edges.select(run, F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("dist")).where("false")
+    held = F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1) = 1)")
+    for d, new in enumerate(found, 1):
+        pairs = new.select(run, "word", F.col("node").alias("dst"), F.explode(held).alias("bit"))
+        out = out.unionByName(pairs.join(ids, [run, "word", "bit"]).select(run, "src", "dst", F.lit(d).alias("dist")))
+    return out
+
+
+def reach_sums(edges: DataFrame, origins: DataFrame | None = None, hops: int | None = None, decay: float = DECAY, run: str = "run_id") -> DataFrame:
+    """(run_id, src, reached, weight, farthest) of the origins that reach a node: how many, the sum of decay^(dist - 1), the largest distance.
+
+    A hop's sets are counted bit by bit, 64 sums per word of origins, combined before the shuffle."""
+    ids, found = _frontiers(edges, origins, hops or max_hops(), run)
+    ones = [F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1")).alias(f"b{i}") for i in range(64)]
+    counts = None
+    for d, new in enumerate(found, 1):
+        c = new.groupBy(run, "word").agg(*ones).select(run, "word", F.posexplode(F.array(*[f"b{i}" for i in range(64)])).alias("bit", "n")).where("n > 0").withColumn("dist", F.lit(d))
+        counts = c if counts is None else counts.unionByName(c)
+    if counts is None:
+        return ids.select(run, "src", F.lit(0).cast("long").alias("reached"), F.lit(0.0).alias("weight"), F.lit(0).alias("farthest")).where("false")
+    sums = decayed(counts, decay).groupBy(run, "word", "bit").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("weight")).alias("weight"), F.max("dist").alias("farthest"))
+    return ids.join(sums, [run, "word", "bit"]).select(run, "src", "reached", "weight", "farthest")
 
 
 def decayed(reached: DataFrame, decay: float = DECAY) -> DataFrame:
@@ -103,56 +115,37 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
 
     nodes (run_id, id); edges (run_id, source, target), parallel ones counted in shares. Ranks start at 1/n. Teleport is uniform, or over the seeds
     that are nodes. A dangling node's rank goes to the teleport; what flows to targets that aren't nodes is lost.
+
+    Edges are written once in buckets of their source, a hub's in several (by target), and nodes in buckets of their own. A step never moves edges: it deals a share per node and
+    slot to the edges' buckets, sums by target before and after the one large shuffle, and meets the nodes' buckets.
     """
-    nodes = materialize(nodes.select(run, "id").distinct(), "nodes")
-    flows = materialize(edges.groupBy(run, "source", "target").agg(F.count(F.lit(1)).alias("m")), "flows")
-    count = lambda df: df.select(run, F.lit(1).alias("c"))
-    # ranks need a number per node and edge: nodes may be as many as edges
-    sizes = count(nodes).unionByName(count(flows)).groupBy(run).agg((F.sum("c") <= local_graph.EDGES).alias("small"))
-    sizes = materialize(sizes, "sizes")
-    kinds = {r[0] for r in sizes.select("small").distinct().collect()}
-    parts = []
-    if True in kinds:
-        few = sizes.where("small").select(run)
-        own = nodes.withColumn("m", F.lit(0).cast("long"))
-        if seeds is not None:
-            own = nodes.join(seeds.select(run, "id").distinct().withColumn("s", F.lit(1)), [run, "id"], "left").select(run, "id", F.coalesce("s", F.lit(0)).cast("long").alias("m"))
-        rows = own.select(run, F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast(flows.schema["target"].dataType).alias("b"), "m")
-        rows = rows.unionByName(flows.select(run, F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "m")).join(few, run, "left_semi")
-        schema = f"{run} {nodes.schema[run].dataType.simpleString()}, node {nodes.schema['id'].dataType.simpleString()}, rank double"
-        parts.append(materialize(rows.groupBy(run).applyInArrow(local_graph.ranks(damping, iterations), schema), "ranks"))
-    if False in kinds:
-        many = sizes.where("not small").select(run)
-        parts.append(_pagerank_by_joins(nodes.join(many, run, "left_semi"), flows.join(many, run, "left_semi"), seeds, iterations, damping, run))
-    if not parts:
-        return nodes.select(run, F.col("id").alias("node"), F.lit(0.0).alias("rank"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _pagerank_by_joins(nodes: DataFrame, flows: DataFrame, seeds: DataFrame | None, iterations: int, damping: float, run: str) -> DataFrame:
-    """A step joins ranks with flows, sums by target and adds what is stuck in dangling nodes, a row per run that goes to every task."""
-    n = nodes.select(run, F.col("id").alias("node"))
+    n = nodes.select(run, F.col("id").alias("node")).dropna().distinct()
+    flows = materialize(edges.dropna(subset=[run, "source", "target"]).groupBy(run, "source", "target").agg(F.count(F.lit(1)).alias("m")), "flows")
+    out = flows.groupBy(run, F.col("source").alias("node")).agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("slots"))
     size = n.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
-    base = n.join(size, run)
-    if seeds is not None:
-        s = n.join(seeds.select(run, F.col("id").alias("node")).distinct(), [run, "node"], "left_semi").withColumn("seed", F.lit(1))
-        k = s.groupBy(run).agg(F.count(F.lit(1)).alias("k"))
-        base = base.join(s, [run, "node"], "left").join(k, run, "left")
-        jump = F.when(F.coalesce("k", F.lit(0)) == 0, F.lit(1.0) / F.col("n")).when(F.col("seed") == 1, F.lit(1.0) / F.col("k")).otherwise(F.lit(0.0))
-    else:
-        jump = F.lit(1.0) / F.col("n")
-    degree = flows.groupBy(run, F.col("source").alias("node")).agg(F.sum("m").alias("deg"))
-    base = base.withColumn("jump", jump).join(degree, [run, "node"], "left").select(run, "node", "jump", "deg", (F.lit(1.0) / F.col("n")).alias("rank"))
-    ranks = materialize(base, "ranks")
-    flows = materialize(flows, "flows")
-    for _ in range(iterations):
-        share = ranks.where("deg is not null").select(run, F.col("node").alias("source"), (F.col("rank") / F.col("deg")).alias("share"))
-        got = flows.join(share, [run, "source"]).groupBy(run, F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("m")).alias("got"))
-        lost = ranks.groupBy(run).agg(F.sum(F.when(F.col("deg").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
-        rank = F.lit(1 - damping) * F.col("jump") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("jump"))
-        before, ranks = ranks, materialize(ranks.join(got, [run, "node"], "left").join(lost, run).select(run, "node", "jump", "deg", rank.alias("rank")), "ranks")
-        discard(before)
-    return ranks.select(run, "node", "rank")
+    s = n.where("false").withColumn("seed", F.lit(1)) if seeds is None else n.join(seeds.select(run, F.col("id").alias("node")).distinct(), [run, "node"], "left_semi").withColumn("seed", F.lit(1))
+    runs = materialize(size.join(s.groupBy(run).agg(F.count(F.lit(1)).alias("k")), run, "left").fillna(0, ["k"]), "runs")
+    few = runs.count() <= BROADCAST_RUNS
+    by_run = lambda df: F.broadcast(df) if few else df
+    jump = F.when(F.col("k") == 0, F.lit(1.0) / F.col("n")).when(F.col("seed") == 1, F.lit(1.0) / F.col("k")).otherwise(F.lit(0.0))
+    base = n.join(by_run(runs), run).join(s, [run, "node"], "left").join(out, [run, "node"], "left")
+    base = base.select(run, "node", jump.alias("jump"), "deg", F.coalesce("slots", F.lit(1)).alias("slots"), (F.lit(1.0) / F.col("n")).alias("rank"))
+    hubs = out.where("slots > 1").select(run, F.col("node").alias("source"), "slots")
+    slot = F.when(F.col("slots").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("target"), F.col("slots")).cast("int"))
+    dealt = flows.join(by_run(hubs) if hubs.count() <= BROADCAST_RUNS else hubs, [run, "source"], "left").select(run, "source", slot.alias("slot"), "target", "m")
+    with bucketed(dealt, [run, "source", "slot"]) as flows_by_source, bucketed(base, [run, "node"]) as nodes_by_node:
+        ranks = nodes_by_node.select(run, "node", "rank")
+        kept = nodes_by_node.drop("rank")
+        for _ in range(iterations):
+            now = kept.join(ranks, [run, "node"])
+            share = now.where("deg is not null").select(run, F.col("node").alias("source"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), (F.col("rank") / F.col("deg")).alias("share"))
+            got = flows_by_source.join(share.hint("merge"), [run, "source", "slot"]).groupBy(run, F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("m")).alias("got"))
+            lost = now.groupBy(run).agg(F.sum(F.when(F.col("deg").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
+            rank = F.lit(1 - damping) * F.col("jump") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("jump"))
+            before, ranks = ranks, materialize(now.join(got, [run, "node"], "left").join(by_run(lost), run).select(run, "node", rank.alias("rank")), "ranks")
+            discard(before)
+    discard(flows)
+    return ranks
 
 
 def roots(nodes: DataFrame, edges: DataFrame, entries: DataFrame, run: str = "run_id") -> DataFrame:
@@ -173,14 +166,24 @@ def neighborhood(focus: DataFrame, edges: DataFrame, run: str = "run_id") -> Dat
 
 
 def call_chains(edges: DataFrame, start: DataFrame, depth: int, run: str = "run_id") -> DataFrame:
-    """(run_id, path, closed): chains from the start nodes, to a depth; a child that is already an ancestor is shown, and not expanded."""
-    e = edges.select(run, F.col("source").alias("at"), F.col("target").alias("next")).distinct()
-    level = start.select(run, F.array("id").alias("path"), F.lit(False).alias("closed"))
-    out = level
-    for _ in range(depth):
-        level = level.where("not closed").withColumn("at", F.element_at("path", -1)).join(e, [run, "at"])
-        level = materialize(level.select(run, F.concat("path", F.array("next")).alias("path"), F.array_contains("path", F.col("next")).alias("closed")), "chains")
-        if not level.take(1):
-            break
-        out = out.unionByName(level)
-    return out
+    """(run_id, path, closed): chains from the start nodes, to a depth; a child that is already an ancestor is shown, and not expanded.
+
+    One recursive query, whose rows are the chains themselves: bound start and depth, as their number grows with the branching. Each level is an equi-join of open chains and edges.
+    """
+    spark = edges.sparkSession
+    name = f"chains_{uuid.uuid4().hex}"
+    edges.select(run, F.col("source").alias("at"), F.col("target").alias("next")).distinct().createOrReplaceTempView(f"{name}_edges")
+    start.select(run, F.array("id").alias("path")).createOrReplaceTempView(f"{name}_start")
+    try:
+        return spark.sql(f"""
+            WITH RECURSIVE chains(r, path, closed, depth) MAX RECURSION LEVEL {depth + 2} AS (
+              SELECT {run}, path, false, 0 FROM {name}_start
+              UNION ALL
+              SELECT c.r, concat(c.path, array(e.next)), array_contains(c.path, e.next), c.depth + 1
+              FROM chains c JOIN {name}_edges e ON e.{run} = c.r AND e.at = element_at(c.path, -1)
+              WHERE NOT c.closed AND c.depth < {depth}
+            )
+            SELECT r AS {run}, path, closed FROM chains""")
+    finally:
+        spark.catalog.dropTempView(f"{name}_edges")
+        spark.catalog.dropTempView(f"{name}_start")

@@ -6,7 +6,7 @@ entries (run_id, ord, file_path, symbol_name, kind).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
@@ -18,13 +18,19 @@ WEIGHTS = {"reachability": 0.2, "orchestration": 0.2, "data_influence": 0.15, "s
 SIGNAL, MOST_REASONS = 60, 3
 
 
+def _topped(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the largest value of each column in its run as top_<column>: an aggregate and a join, as a run may hold most rows."""
+    tops = df.groupBy("run_id").agg(*[F.max(c).alias(f"top_{c}") for c in columns])
+    return df.join(tops, "run_id")
+
+
 def _unit(c: str) -> Column:
-    top = F.max(c).over(Window.partitionBy("run_id"))
+    top = F.col(f"top_{c}")
     return F.when(top > 0, F.col(c) / top).otherwise(F.lit(0.0))
 
 
 def _scale(c: str) -> Column:
-    top = F.max(c).over(Window.partitionBy("run_id"))
+    top = F.col(f"top_{c}")
     return F.when(top > 0, round_half_up(F.col(c) / top * 100)).otherwise(F.lit(0)).cast("int")
 
 
@@ -79,14 +85,15 @@ def measure(callables: DataFrame, edges: DataFrame, nodes: DataFrame, entries: D
     m = m.fillna(zero).fillna(False, ["event_source", "event_target"])
     m = m.withColumn("orchestration_raw", F.col("modules_called") + F.col("edge_types")).withColumn("data_raw", F.col("flows") + F.col("writes") + F.col("io"))
     m = m.withColumn("boundary_raw", F.col("io") + F.col("reach_boundary"))
+    m = _topped(m, ["fan_in", "fan_out", "across", "rank"])
     m = m.withColumn("central_raw", _unit("fan_in") + _unit("fan_out") + _unit("across") + _unit("rank"))
-    return materialize(m, "importance")
+    return materialize(m.drop("top_fan_in", "top_fan_out", "top_across", "top_rank"), "importance")
 
 
 def score(m: DataFrame) -> DataFrame:
     """(run_id, ord, function_id, score, the six dimensions, roles, reasons) of measure()'s rows."""
     raw = {"reachability": "reach_raw", "orchestration": "orchestration_raw", "data_influence": "data_raw", "state_authority": "state_raw", "boundary_influence": "boundary_raw", "structural_centrality": "central_raw"}
-    s = m
+    s = _topped(m, list(raw.values()))
     for name, column in raw.items():
         s = s.withColumn(name, _scale(column))
     total = F.lit(0.0)

@@ -300,9 +300,9 @@ def production_filter(spark, d):
 
 def _transitions(spark, d):
     """user -> next user of the same day, by time: a multigraph."""
-    e = _events(spark, d)
-    w = Window.partitionBy("day").orderBy("ts", "event_id")
-    return e.select(F.lit("r").alias("run_id"), F.col("user_id").alias("source"), F.lead("user_id").over(w).alias("target")).where("target is not null")
+    e = _events(spark, d).select("day", "ts", "event_id", "user_id")
+    n = windows.next_split(e, ["day"], [F.col("ts"), F.col("event_id")], "user_id", "target")
+    return n.select(F.lit("r").alias("run_id"), F.col("user_id").alias("source"), "target").where("target is not null")
 
 
 def _users(spark, d):
@@ -322,18 +322,31 @@ def reference_counts(spark, d):
     return graph.reference_counts(_users(spark, d), _transitions(spark, d)).select("node", "refs")
 
 
-def _parts_graph(spark, d):
-    """supplier nation -> customer nation of rare parts: a sparse graph with distances."""
-    e = _events(spark, d).where("event_type = 'signup'")
-    w = Window.partitionBy("day").orderBy("ts", "event_id")
-    return e.select(F.lit("r").alias("run_id"), F.col("user_id").alias("source"), F.lead("user_id").over(w).alias("target")).where("target is not null")
+@query
+def decayed_reachability(spark, d):
+    """Decayed weight and number of users reached within eight hops over all transitions, and the largest distance."""
+    r = graph.reach_sums(_transitions(spark, d))
+    return r.select("src", "reached", F.round("weight", 6).alias("weight"), F.col("farthest").cast("long").alias("farthest"))
 
 
 @query
-def decayed_reachability(spark, d):
-    """Decayed weight and number of users reached within eight hops over sign-ups in a row."""
-    r = graph.decayed(graph.reach(_parts_graph(spark, d)))
-    return r.groupBy("src").agg(F.count(F.lit(1)).alias("reached"), F.round(F.sum("weight"), 6).alias("weight"), F.max("dist").cast("long").alias("farthest"))
+def reach_of_purchases(spark, d):
+    """The same over purchases of a day in a row: a sparser graph with longer distances."""
+    e = _events(spark, d).where("event_type = 'purchase'").select("day", "ts", "event_id", "user_id")
+    n = windows.next_split(e, ["day"], [F.col("ts"), F.col("event_id")], "user_id", "target").where("target is not null")
+    r = graph.reach_sums(n.select(F.lit("r").alias("run_id"), F.col("user_id").alias("source"), "target"))
+    return r.select("src", "reached", F.round("weight", 6).alias("weight"), F.col("farthest").cast("long").alias("farthest"))
+
+
+@query
+def call_chains(spark, d):
+    """Chains of links between nations of a region, from customers' to suppliers', from the region's first nation three steps deep, by a recursive query."""
+    links = area_links(spark, d)
+    first = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("run_id")).agg(F.min("n_nationkey").alias("id"))
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    inside = links.join(n.select(F.col("n_nationkey").alias("from_id"), F.col("n_regionkey").alias("run_id")), "from_id").join(n.select(F.col("n_nationkey").alias("to_id"), F.col("n_regionkey").alias("r2")), "to_id").where("run_id = r2")
+    c = graph.call_chains(inside.select("run_id", F.col("from_id").alias("source"), F.col("to_id").alias("target")), first, 3)
+    return c.select("run_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "closed")
 
 
 @query
@@ -351,7 +364,7 @@ def seeded_pagerank(spark, d):
 
 
 def _scaled(c: str):
-    top = F.max(c).over(Window.partitionBy("run_id"))
+    top = F.col(f"top_{c}")
     return F.when(top > 0, text.round_half_up(F.col(c) / top * 100)).otherwise(F.lit(0)).cast("long")
 
 
@@ -362,6 +375,8 @@ def _scores(spark, d):
         F.count_if(F.col("event_type") == "purchase").alias("writes"), F.count_if(F.col("event_type") == "view").alias("reads"), F.count_if(F.col("event_type") == "error").alias("io"),
     )
     g = g.join(kinds, "node").withColumn("state", F.col("writes") * 100 + F.col("reads") * 35)
+    tops = g.groupBy("run_id").agg(*[F.max(c).alias(f"top_{c}") for c in ("neighbours", "fan_out", "state", "io")])  # one row
+    g = g.join(F.broadcast(tops), "run_id")
     s = g.select("run_id", "node", "fan_in", "writes", "io", _scaled("neighbours").alias("reachability"), _scaled("fan_out").alias("orchestration"), _scaled("state").alias("state_authority"), _scaled("io").alias("boundary"))
     score = (20 * F.col("reachability") + 30 * F.col("orchestration") + 25 * F.col("state_authority") + 25 * F.col("boundary")) / 100
     return s.withColumn("score", text.round_half_up(score).cast("long"))
@@ -498,11 +513,12 @@ def semver_max(spark, d):
 @query
 def skipped_examples(spark, d):
     """Per status the number of urgent orders, five examples, and how many more."""
-    o = table(spark, d, "orders").where("o_orderpriority like '1-%'")
-    w = Window.partitionBy("o_orderstatus")
-    r = o.select("o_orderstatus", "o_orderkey", F.row_number().over(w.orderBy("o_orderkey")).alias("i"), F.count(F.lit(1)).over(w).alias("n")).where("i <= 5")
-    g = r.groupBy("o_orderstatus").agg(F.first("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ", ").alias("some"))
-    return g.select("o_orderstatus", "n", F.concat("some", F.when(F.col("n") > 5, F.concat(F.lit(" and "), (F.col("n") - 5).cast("string"), F.lit(" more"))).otherwise(F.lit(""))).alias("examples"))
+    o = table(spark, d, "orders").where("o_orderpriority like '1-%'").select("o_orderstatus", "o_orderkey")
+    n = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    first = ranking.top_per_key(o, ["o_orderstatus"], [F.col("o_orderkey")], 5)
+    some = first.groupBy("o_orderstatus").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ", ").alias("some"))
+    more = F.when(F.col("n") > 5, F.concat(F.lit(" and "), (F.col("n") - 5).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return n.join(some, "o_orderstatus").select("o_orderstatus", "n", F.concat("some", more).alias("examples"))
 
 
 @query

@@ -7,6 +7,14 @@ JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WH
 _PATHS = "SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS path FROM pages"
 
 
+def _reach(edges: str) -> str:
+    return f"""
+WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM ({edges}) WHERE t IS NOT NULL),
+w AS (SELECT s AS src, t AS dst, 1 AS d FROM e UNION SELECT w.src, e.t, w.d + 1 FROM w JOIN e ON e.s = w.dst WHERE w.d < 8),
+b AS (SELECT src, dst, min(d) AS d FROM w WHERE src <> dst GROUP BY 1, 2)
+SELECT src, count(*) AS reached, round(sum(power(0.7, d - 1)), 6) AS weight, CAST(max(d) AS BIGINT) AS farthest FROM b GROUP BY 1"""
+
+
 def _pagerank(seed: str) -> str:
     parts = [
         f"WITH e AS (SELECT s, t FROM ({_EDGES}) WHERE t IS NOT NULL), v AS (SELECT DISTINCT user_id AS node FROM events), c AS (SELECT count(*) AS n FROM v)",
@@ -136,11 +144,16 @@ FROM (SELECT DISTINCT user_id AS u FROM events)""",
     "reference_counts": f"""
 WITH e AS (SELECT s, t FROM ({_EDGES}) WHERE t IS NOT NULL)
 SELECT u AS node, 1 + (SELECT count(*) FROM e WHERE t = u) + (SELECT count(*) FROM e WHERE s = u) AS refs FROM (SELECT DISTINCT user_id AS u FROM events)""",
-    "decayed_reachability": """
-WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT user_id AS s, lead(user_id) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS t FROM events WHERE event_type = 'signup') WHERE t IS NOT NULL),
-w AS (SELECT s AS src, t AS dst, 1 AS d FROM e UNION SELECT w.src, e.t, w.d + 1 FROM w JOIN e ON e.s = w.dst WHERE w.d < 8),
-b AS (SELECT src, dst, min(d) AS d FROM w WHERE src <> dst GROUP BY 1, 2)
-SELECT src, count(*) AS reached, round(sum(power(0.7, d - 1)), 6) AS weight, CAST(max(d) AS BIGINT) AS farthest FROM b GROUP BY 1""",
+    "decayed_reachability": _reach(_EDGES),
+    "reach_of_purchases": _reach(f"{_EDGES} WHERE event_type = 'purchase'"),
+    "call_chains": f"""
+WITH RECURSIVE l AS ({_LINKS}),
+e AS (SELECT DISTINCT a.n_regionkey AS r, from_id, to_id FROM l JOIN nation a ON a.n_nationkey = from_id JOIN nation b ON b.n_nationkey = to_id AND b.n_regionkey = a.n_regionkey),
+c AS (
+  SELECT n_regionkey AS r, [min(n_nationkey)] AS p, false AS closed FROM nation GROUP BY 1
+  UNION ALL SELECT c.r, c.p || [to_id], list_contains(c.p, to_id) FROM c JOIN e ON e.r = c.r AND e.from_id = c.p[len(c.p)] WHERE NOT closed AND len(c.p) < 4
+)
+SELECT r AS run_id, array_to_string(p, '>') AS path, closed FROM c""",
     "pagerank": _pagerank("sd AS (SELECT node FROM v WHERE false), sk AS (SELECT 0 AS k)"),
     "seeded_pagerank": _pagerank("sd AS (SELECT user_id AS node FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AND event_type = 'signup'), sk AS (SELECT count(*) AS k FROM sd)"),
     "importance_score": f"{_SCORES} SELECT node, reachability, orchestration, state_authority, boundary, CAST(floor((20 * reachability + 30 * orchestration + 25 * state_authority + 25 * boundary) / 100 + 0.5) AS BIGINT) AS score FROM x",

@@ -64,6 +64,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
+    """df written in buckets of its keys, sorted, one file a bucket: joins and aggregates on the keys need no exchange of it. Table and files go at the end."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"codeatlas_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/codeatlas/{name}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    try:
+        out = spark.table(name)
+        yield out
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        out._written_to = path
+        discard(out)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes what materialize wrote, once all that reads it is written itself. Other tables are left alone."""
     for df in tables:

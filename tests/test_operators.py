@@ -189,8 +189,8 @@ def test_nearest_span_against_all_pairs(spark):
     assert {r.p: r.id for r in got.collect()} == want
 
 
-def test_small_and_large_graphs_agree(spark, monkeypatch):
-    """Graphs that fit a task and those that go through joins have the same distances and ranks."""
+def test_graphs_against_plain_python(spark, monkeypatch):
+    """Distances, their sums and ranks of graphs with hubs, dangling nodes, targets that are no nodes, and seeds that are none."""
     import random
 
     rng = random.Random(6)
@@ -198,14 +198,49 @@ def test_small_and_large_graphs_agree(spark, monkeypatch):
     nodes = spark.createDataFrame([(f"r{k}", i) for k in range(3) for i in range(42)], "run_id string, id int")
     seeds = spark.createDataFrame([("r0", 3), ("r0", 99), ("r2", 1)], "run_id string, id int")
 
-    def found():
-        reached = {tuple(r) for r in graph.reach(edges, hops=3).collect()} | {tuple(r) for r in graph.reach(edges, nodes.where("id < 5"), 2).select("run_id", "src", "dst", "dist").collect()}
-        ranks = [{(r.run_id, r.node): r["rank"] for r in graph.pagerank(nodes, edges, s).collect()} for s in (None, seeds)]
-        return reached, ranks
-
-    small = found()
-    monkeypatch.setattr(graph.local_graph, "EDGES", 0)
-    large = found()
-    assert small[0] == large[0] and len(small[0]) > 500
-    for a, b in zip(small[1], large[1], strict=True):
-        assert a.keys() == b.keys() and len(a) == 126 and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    pairs = {(r.run_id, r.source, r.target) for r in edges.collect()}
+    counted = [(r.run_id, r.source, r.target) for r in edges.collect()]
+
+    def near(run, a, hops):
+        dist, at = {a: 0}, {a}
+        for d in range(1, hops + 1):
+            at = {t for r, s, t in pairs if r == run and s in at} - set(dist)
+            dist |= dict.fromkeys(at, d)
+        return {(run, a, b, d) for b, d in dist.items() if d}
+
+    want = {x for r, a in {(r, a) for r, a, _ in pairs} for x in near(r, a, 3)}
+    assert {tuple(r) for r in graph.reach(edges, hops=3).collect()} == want and len(want) > 500
+    few = nodes.where("id < 5")
+    assert {tuple(r) for r in graph.reach(edges, few, 2).collect()} == {x for r in few.collect() for x in near(r.run_id, r.id, 2)}
+    sums = {(r.run_id, r.src): (r.reached, round(r.weight, 9), r.farthest) for r in graph.reach_sums(edges, hops=3).collect()}
+    by = {}
+    for r, a, _, d in want:
+        n, w, far = by.get((r, a), (0, 0.0, 0))
+        by[r, a] = (n + 1, w + 0.7 ** (d - 1), max(far, d))
+    assert sums == {k: (n, round(w, 9), far) for k, (n, w, far) in by.items()}
+
+    def ranked(seeded):
+        out = {}
+        for run in {r.run_id for r in nodes.collect()}:
+            ids = [r.id for r in nodes.collect() if r.run_id == run]
+            chosen = [i for r, i in (("r0", 3), ("r0", 99), ("r2", 1)) if r == run and i in ids] if seeded else []
+            jump = {i: (i in chosen) / len(chosen) if chosen else 1 / len(ids) for i in ids}
+            own = [(s, t) for r, s, t in counted if r == run]
+            deg = {i: sum(s == i for s, _ in own) for i in ids}
+            rank = dict.fromkeys(ids, 1 / len(ids))
+            for _ in range(20):
+                lost = sum(rank[i] for i in ids if not deg[i])
+                got = dict.fromkeys(ids, 0.0)
+                for s, t in own:
+                    if t in got and s in rank:
+                        got[t] += rank[s] / deg[s]
+                rank = {i: 0.15 * jump[i] + 0.85 * (got[i] + lost * jump[i]) for i in ids}
+            out |= {(run, i): v for i, v in rank.items()}
+        return out
+
+    monkeypatch.setattr(graph, "HUB", 3)  # most nodes are hubs, then
+    for s in (None, seeds):
+        got = {(r.run_id, r.node): r["rank"] for r in graph.pagerank(nodes, edges, s).collect()}
+        expected = ranked(s is not None)
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-12 for k in got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("codeatlas_")]
