@@ -217,7 +217,9 @@ def at_a_glance(runs: DataFrame, projects: DataFrame, entries: DataFrame, areas:
 def compare_budgets(samples: DataFrame, budgets: DataFrame) -> DataFrame:
     """Exact medians of target and production per metric and profile, with whether a gating budget is broken. samples (metric, profile, side, value); budgets (metric, profile,
     budget, gate)."""
-    m = samples.groupBy("metric", "profile").agg(*[F.percentile(F.when(F.col("side") == s, F.col("value")), 0.5).alias(s) for s in ("target", "production")])
+    m = ranking.exact_quantile(samples, ["metric", "profile", "side"], "value", 0.5)
+    m = m.groupBy("metric", "profile").agg(*[F.max(F.when(F.col("side") == s, F.col("value"))).alias(s) for s in ("target", "production")])
+    m = samples.select("metric", "profile").distinct().join(m, ["metric", "profile"], "left")
     j = m.join(budgets, ["metric", "profile"], "left").withColumn("delta", F.col("target") - F.col("production"))
     return j.withColumn("over_budget", F.coalesce(F.col("gate") & (F.col("target") > F.col("budget")), F.lit(False)))
 

@@ -453,6 +453,14 @@ def paging(spark, d):
     return ranking.page(p, [F.col("p_retailprice").desc(), F.col("p_partkey").asc()], 3, 15).select("p_partkey", "p_retailprice")
 
 
+@query
+def last_page(spark, d):
+    """The last page, of forty rows, of all line items by date and key, from an index of blocks."""
+    l = table(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    pages = ranking.Pages(l, [F.col(c) for c in l.columns], 40, block_rows=5_000)
+    return pages.page(ranking.page_count(pages.rows, 40)).select("l_orderkey", "l_linenumber", "l_partkey", "ord")
+
+
 @query
 def featured(spark, d):
     """Three pinned nations in order, then by key downwards, six in all."""
@@ -471,7 +479,8 @@ def dep_sort_desc(spark, d):
 @query
 def median_budget(spark, d):
     """Exact medians per event type against budgets."""
-    m = table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"))
+    m = ranking.exact_quantile(table(spark, d, "events"), ["event_type"], "value", 0.5)
+    m = table(spark, d, "events").select("event_type").distinct().join(m, "event_type", "left").select("event_type", F.round("value", 6).alias("median"))
     budget = F.create_map(*[F.lit(x) for kv in {"click": 50.0, "view": 40.0, "purchase": 60.0, "signup": 30.0}.items() for x in kv])[F.col("event_type")]
     return m.withColumn("budget", budget).withColumn("over_budget", F.coalesce(F.col("median") > F.col("budget"), F.lit(False)))
 

@@ -175,6 +175,9 @@ SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY i, n_na
 WITH b AS (SELECT p_partkey, p_brand, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM part)
 SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand, s ORDER BY p_partkey) = 1 THEN s ELSE s || '-' || row_number() OVER (PARTITION BY p_brand, s ORDER BY p_partkey) END AS slug FROM b""",
     "paging": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 15 OFFSET 30",
+    "last_page": """
+WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, count(*) OVER () AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, ord FROM n WHERE ord > (n - 1) // 40 * 40""",
     "featured": """
 SELECT n_name, row_number() OVER (ORDER BY coalesce(list_position(['NATION_7', 'NATION_3', 'NATION_99'], n_name), 1000), n_nationkey DESC) AS place FROM nation QUALIFY place <= 6""",
     "dep_sort_desc": """

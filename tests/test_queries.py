@@ -5,11 +5,12 @@ import os
 import duckdb
 import pytest
 
-from codeatlas import plan_queries, plan_queries_sql, queries, queries_sql
+from codeatlas import queries, queries_sql, table_queries, table_queries_sql
+from jobs import queries as jobs
 
 SF = "/root/testdata/sf0.001"
-QUERIES = queries.QUERIES | plan_queries.QUERIES
-SQL = queries_sql.SQL | plan_queries_sql.SQL
+QUERIES = queries.QUERIES | table_queries.QUERIES | jobs.QUERIES
+SQL = queries_sql.SQL | table_queries_sql.SQL | jobs.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
