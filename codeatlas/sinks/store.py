@@ -1,7 +1,7 @@
 """The run store as Parquet tables, with key merges.
 
-A table is a folder of versions; a merge writes the next version and then moves the pointer file, so a reader sees one version or the other, and a lost
-executor or driver leaves the old one in place. One writer at a time.
+A table is a folder of versions; a merge writes the next version and then renames a new pointer file over the old one, so a reader sees one version or the other, and a lost
+executor or driver leaves the old one in place. One writer at a time: conflicts of writers are for a table format to settle, which this isn't.
 """
 
 from __future__ import annotations
@@ -47,9 +47,15 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         cols = [x.strip().split(" ") for x in SCHEMAS[table].split(",")]
         rows.select(*[F.col(c).cast(t).alias(c) for c, t in cols]).write.parquet(f"{self.root}/{table}/{version}")
-        out = fs.create(path, True)
+        # the new pointer is written beside the old one and renamed over it, so there is a whole one at any time
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        beside = hadoop.Path(f"{self.root}/{table}/_next-{version}")
+        out = fs.create(beside, False)
         out.write(bytearray(version.encode()))
         out.close()
+        overwrite = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(path), overwrite)
 
     def _numbered(self, table: str, new: DataFrame, order: list[str]) -> DataFrame:
         """Ids after the largest one; a batch of new rows is small beside the table."""

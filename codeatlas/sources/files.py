@@ -42,12 +42,21 @@ def py_files(files: DataFrame) -> DataFrame:
 
 
 def _ordered(f: DataFrame) -> DataFrame:
-    return windows.numbered(f, ["run_id"], [F.expr("collate(path, 'UNICODE')"), F.col("path")], "file_ord", 0)
+    """Paths are numbered alone, and over all tasks: a large repository's texts never meet in one."""
+    n = windows.numbered_split(f.select("run_id", "path"), ["run_id"], [F.expr("collate(path, 'UNICODE')"), F.col("path")], "file_ord", 0)
+    return f.join(n, ["run_id", "path"])
+
+
+def archives(spark: SparkSession, root: str, most: int = MAX_COMPRESSED) -> DataFrame:
+    """(run_id, content) of the gzip tarballs below a root, a partition's worth at a time; run_id is the path. Of one that is larger than `most` no byte is read: its content is null."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tgz,tar.gz}").load(root)
+    small = f.where(F.col("length") <= most).select(F.col("path").alias("run_id"), "content")
+    return small.unionByName(f.where(F.col("length") > most).select(F.col("path").alias("run_id"), F.lit(None).cast("binary").alias("content")))
 
 
 def archive_entries(archives: DataFrame, most: int = MAX_COMPRESSED) -> DataFrame:
     """(run_id, ord, path, type, size, text) of gzip tarballs (run_id, content): the first path segment is stripped. An unreadable archive gives one row of type 'error',
-    one of more than `most` bytes a row of type 'compressed' with its size, and isn't opened."""
+    one of more than `most` bytes, or without content, a row of type 'compressed' with its size if known, and isn't opened."""
     schema = pa.schema([("run_id", pa.string()), ("ord", pa.int64()), ("path", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("text", pa.string())])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -57,8 +66,9 @@ def archive_entries(archives: DataFrame, most: int = MAX_COMPRESSED) -> DataFram
         for batch in batches:
             for run_id, content in zip(batch["run_id"].to_pylist(), batch["content"], strict=True):
                 rows = []
-                if len(content.as_buffer()) > most:
-                    yield table([(run_id, -1, "", "compressed", len(content.as_buffer()), None)])
+                size = len(content.as_buffer()) if content.is_valid else None
+                if size is None or size > most:
+                    yield table([(run_id, -1, "", "compressed", size, None)])
                     continue
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:gz") as tar:
@@ -77,19 +87,19 @@ def archive_entries(archives: DataFrame, most: int = MAX_COMPRESSED) -> DataFram
     return archives.select("run_id", "content").mapInArrow(run, "run_id string, ord long, path string, type string, size long, text string")
 
 
-def breaches(entries: DataFrame) -> DataFrame:
+def breaches(entries: DataFrame, most_bytes: int = MAX_EXTRACTED, most_files: int = MAX_FILES) -> DataFrame:
     """(run_id, code): the first limit that an archive breaks, in order of its entries; runs without one give no row."""
     p = F.col("path")
     unsafe = p.startswith("/") | F.array_contains(F.split(p, "/"), "..")
     total = F.sum(F.when(F.col("type") == "file", F.col("size")).otherwise(0)).over(windows.running(["run_id"], [F.col("ord")]))
     n = F.sum(F.when(F.col("type") == "file", 1).otherwise(0)).over(windows.running(["run_id"], [F.col("ord")]))
-    rules = [("compressed-too-large", F.col("type") == "compressed"), ("unsafe-entry", unsafe), ("too-many-files", n > MAX_FILES), ("extracted-too-large", total > MAX_EXTRACTED)]
+    rules = [("compressed-too-large", F.col("type") == "compressed"), ("unsafe-entry", unsafe), ("too-many-files", n > most_files), ("extracted-too-large", total > most_bytes)]
     return windows.first_breach(entries.drop("text"), ["run_id"], [F.col("ord")], rules).select("run_id", "code")
 
 
-def extracted(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files (run_id, path, text), skipped (run_id, ord, path, type)) of archives that break no limit: entries that are neither files nor directories are skipped."""
-    sound = entries.join(breaches(entries), "run_id", "left_anti")
+def extracted(entries: DataFrame, broken: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files (run_id, path, text), skipped (run_id, ord, path, type)) of archives that break no limit: entries that are neither files nor directories are skipped. broken: breaches() of other limits."""
+    sound = entries.join(breaches(entries) if broken is None else broken, "run_id", "left_anti")
     return sound.where("type = 'file'").select("run_id", "path", "text"), sound.where("type not in ('file', 'directory', 'error')").select("run_id", "ord", "path", "type")
 
 

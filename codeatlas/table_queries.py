@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .functions import paths, text, urls
 from .operators import ranking
 from .plans import history, views
-from .session import shared_dir
+from .session import materialize, shared_dir
+from .sinks import archives, versions
 from .sinks.store import Store, is_indexable
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,6 +222,44 @@ def store_history(spark, d):
     return s.read("history_cache").select("repo_id", "computed_through_sha", "entries")
 
 
+@query
+def schema_versions(spark, d):
+    """Orders as written by three versions of a schema, by year: the first lacks priority and status, the second priority; read as one, with rules for what is missing."""
+    o = table(spark, d, "orders")
+    root = f"{shared_dir(spark)}/codeatlas/versions-{uuid.uuid4().hex}"
+    first, second = "o_orderkey long, o_totalprice double", "o_orderkey long, o_totalprice double, o_orderstatus string"
+    schemas = {1: first, 2: second, 3: f"{second}, o_orderpriority string"}
+    year = F.year("o_orderdate")
+    batches = {1: year < 1995, 2: (year >= 1995) & (year < 1997) | (o["o_orderkey"] % 10 == 0), 3: year >= 1997}
+    for n, kept in batches.items():
+        o.where(kept).select(*spark.createDataFrame([], schemas[n]).columns).write.parquet(f"{root}/v{n}")
+    rules = {2: {"o_orderstatus": F.when(F.col("o_totalprice") > 250_000, F.lit("F")).otherwise(F.lit("?"))}, 3: {"o_orderpriority": F.concat(F.lit("by-status-"), F.col("o_orderstatus"))}}
+    return versions.read_versions(spark, [(n, f"{root}/v{n}", schemas[n], rules.get(n, {})) for n in (2, 3, 1)], ["o_orderkey"])
+
+
+@query
+def archive_round_trip(spark, d):
+    """Pages packed as tarballs of eight and read back. Of five archives in turn the second holds a path that leads out, the third is cut short, the fourth holds a link; any may hold more
+    than the limit of bytes: what each gave, and why nothing."""
+    p = table(spark, d, "pages")
+    run, kind = F.floor(F.col("page_id") / 8), F.floor(F.col("page_id") / 8) % 5
+    odd = F.col("page_id") % 8 == 3
+    path = F.concat(F.when((kind == 1) & odd, F.lit("../")).otherwise(F.lit("src/")), F.lit("p"), F.col("page_id").cast("string"), F.lit(".html"))
+    type_ = F.when((kind == 3) & odd, F.lit("symbolic link")).otherwise(F.lit("file"))
+    text_ = F.when(type_ == "file", F.col("html")).otherwise(F.lit("elsewhere"))
+    packed = archives.tarballs(p.select(run.cast("string").alias("run_id"), F.col("page_id").alias("ord"), path.alias("path"), type_.alias("type"), F.coalesce(text_, F.lit("")).alias("text")))
+    cut = F.when(F.col("run_id").cast("long") % 5 == 2, F.expr("substring(content, 1, 20)")).otherwise(F.col("content"))
+    entries = materialize(files.archive_entries(packed.select("run_id", cut.alias("content"))), "entries")
+    broken = files.breaches(entries, most_bytes=60_000)
+    ok, skipped = files.extracted(entries, broken)
+    runs = packed.select("run_id")
+    got = ok.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("chars"))
+    left = skipped.groupBy("run_id").agg(F.min("path").alias("skipped"))
+    unread = entries.where("type = 'error'").select("run_id", F.lit("unreadable").alias("unread"))
+    j = runs.join(broken, "run_id", "left").join(unread, "run_id", "left").join(got, "run_id", "left").join(left, "run_id", "left")
+    return j.select("run_id", F.coalesce("code", "unread").alias("code"), F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("chars", F.lit(0)).alias("chars"), "skipped")
+
+
 # --- strings and paths
 
 

@@ -67,6 +67,22 @@ k AS (SELECT *, row_number() OVER (PARTITION BY repo_id, commit_sha ORDER BY lat
 SELECT repo_id, commit_sha, status, result, asked AS returned, row_number() OVER (PARTITION BY repo_id ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS is_latest FROM k WHERE i = 1""",
     "store_history": """
 SELECT o_custkey AS repo_id, CAST(max(o_orderkey) AS VARCHAR) AS computed_through_sha, CAST(count(*) AS VARCHAR) AS entries FROM orders WHERE o_custkey % 3 = 0 OR year(o_orderdate) < 1997 GROUP BY 1""",
+    "schema_versions": """
+WITH a AS (SELECT *, CASE WHEN year(o_orderdate) >= 1997 THEN 3 WHEN year(o_orderdate) >= 1995 OR o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS v, CASE WHEN o_totalprice > 250000 THEN 'F' ELSE '?' END AS guess FROM orders)
+SELECT o_orderkey, o_totalprice, CASE WHEN v = 1 THEN guess ELSE o_orderstatus END AS o_orderstatus, CASE v WHEN 3 THEN o_orderpriority WHEN 2 THEN 'by-status-' || o_orderstatus ELSE 'by-status-' || guess END AS o_orderpriority,
+       v AS schema_version FROM a""",
+    "archive_round_trip": """
+WITH p AS (SELECT page_id, page_id // 8 AS r, page_id // 8 % 5 AS k, page_id % 8 = 3 AS odd, coalesce(html, '') AS html FROM pages),
+q AS (SELECT *, k = 3 AND odd AS link, CASE WHEN k = 3 AND odd THEN 0 ELSE octet_length(encode(html)) END AS size FROM p),
+s AS (SELECT *, sum(size) OVER (PARTITION BY r ORDER BY page_id) AS total FROM q),
+g AS (
+  SELECT r, k, min(page_id) FILTER (k = 1 AND odd) AS unsafe_at, min(page_id) FILTER (total > 60000) AS large_at, count(*) FILTER (NOT link) AS n, sum(length(html)) FILTER (NOT link) AS chars, min(page_id) FILTER (link) AS link_at
+  FROM s GROUP BY r, k
+), c AS (
+  SELECT *, CASE WHEN k = 2 THEN 'unreadable' WHEN unsafe_at IS NOT NULL AND (large_at IS NULL OR unsafe_at <= large_at) THEN 'unsafe-entry' WHEN large_at IS NOT NULL THEN 'extracted-too-large' END AS code FROM g
+)
+SELECT CAST(r AS VARCHAR) AS run_id, code, CASE WHEN code IS NULL THEN n ELSE 0 END AS n_files, CAST(CASE WHEN code IS NULL THEN chars ELSE 0 END AS BIGINT) AS chars,
+       CASE WHEN code IS NULL AND link_at IS NOT NULL THEN 'src/p' || link_at || '.html' END AS skipped FROM c""",
     "repository_urls": r"""
 WITH a AS (SELECT page_id, [concat('https://github.com/Octo/r', page_id, '.git'), concat('octo/r', page_id), concat('github.com/o/r', page_id, '/tree/main'), url, concat('-o/r', page_id), concat('www.GitHub.com/r', page_id)][page_id % 6 + 1] AS asked FROM pages)
 SELECT page_id, asked, CASE page_id % 6 WHEN 0 THEN 'Octo' WHEN 1 THEN 'octo' WHEN 2 THEN 'o' END AS owner, CASE WHEN page_id % 6 < 3 THEN 'r' || page_id END AS repo,

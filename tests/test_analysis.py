@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeatlas.plans import build
+from codeatlas.sinks import versions
 from codeatlas.sinks.store import Store
 from codeatlas.sources import files, manifests
 from codeatlas.sources.js_facts import File
@@ -125,6 +126,39 @@ def test_large_archives_are_not_opened(spark):
     assert [tuple(r) for r in files.breaches(entries).collect()] == [("a", "compressed-too-large")] and files.extracted(entries)[0].count() == 0
 
 
+def test_archives_are_read_from_a_folder(spark, tmp_path):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        info = tarfile.TarInfo("top/a.py")
+        info.size = 5
+        t.addfile(info, io.BytesIO(b"x = 1"))
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.tgz").write_bytes(out.getvalue())
+    (tmp_path / "b.tar.gz").write_bytes(bytes(5000))
+    (tmp_path / "c.txt").write_bytes(b"no archive")
+    entries = files.archive_entries(files.archives(spark, str(tmp_path), most=1000))
+    assert {(r.run_id.rsplit("/", 1)[1], r.type) for r in entries.collect()} == {("a.tgz", "file"), ("b.tar.gz", "compressed")}
+    assert [r.code for r in files.breaches(entries).collect()] == ["compressed-too-large"] and [r.path for r in files.extracted(entries)[0].collect()] == ["a.py"]
+
+
+def test_versions_of_a_schema(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (2, 6)], "id long, n int").write.parquet(f"{tmp_path}/v1")
+    spark.createDataFrame([(2, 7, "x"), (3, 8, None)], "id long, n long, s string").write.parquet(f"{tmp_path}/v2")
+    spark.createDataFrame([], "id long, n long, s string, t string, u int").write.parquet(f"{tmp_path}/v3")
+    given = [
+        (3, f"{tmp_path}/v3", "id long, n long, s string, t string, u int", {"t": F.concat("s", F.lit("!"))}),
+        (1, f"{tmp_path}/v1", "id long, n int", {}),
+        (2, f"{tmp_path}/v2", "id long, n long, s string", {"s": F.col("n").cast("string")}),
+    ]
+    every = sorted(map(tuple, versions.read_versions(spark, given).collect()))
+    assert every == [(1, 5, "5", "5!", None, 1), (2, 6, "6", "6!", None, 1), (2, 7, "x", "x!", None, 2), (3, 8, None, None, None, 2)]
+    assert sorted(map(tuple, versions.read_versions(spark, given, ["id"]).collect())) == [every[0], every[2], every[3]]
+    with pytest.raises(ValueError):
+        versions.read_versions(spark, [*given, given[0]])
+    with pytest.raises(ValueError):
+        versions.read_versions(spark, [given[2], (9, f"{tmp_path}/v1", "id long, n int", {})])
+
+
 def test_alias_sources():
     got = manifests.aliases({"vite.config.ts": "export default { resolve: { alias: { '@': path.resolve(__dirname, 'src'), bad: x() } } }", "tsconfig.json": '{"compilerOptions": {"paths": {"@": ["other"], "lib/*": ["packages/lib/*"]}}}'})
     by = {r[0]: r[1:3] for r in got}
