@@ -31,14 +31,17 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """Messages of an event log: (conv_id, messages array<struct<turn, role, text>>) in order of turn.
+def fold_rows(events: DataFrame) -> DataFrame:
+    """Messages of an event log, a row each: (conv_id, turn, role, text).
 
     Columns of events: conv_id, seq, kind (start, delta, edit, regenerate), turn, role, text; others are
     ignored. Null text counts as empty, a null role as the role the message was opened with, else ''.
     Events with equal seq apply in order of (kind, role, text); repeated events apply as often as they
     stand. A message exists if any of its events is a start or an edit; deltas that precede its last
     reset are gone. An event of unknown kind is ignored. No events give no rows.
+
+    Each message is folded by itself. Whether a regeneration of an earlier message cuts it off is decided by the running maximum
+    of the earlier messages' cuts in order of turn, so time is linear in a conversation's messages, however many there are.
     """
     e = events.select("conv_id", "turn", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
     reset = F.col("kind").isin("start", "edit", "regenerate")
@@ -60,12 +63,33 @@ def fold_events(events: DataFrame) -> DataFrame:
             F.array_join(F.transform(F.filter("log", lambda x: (x["late"] == 1) & (x["seq"] >= last["seq"])), lambda x: x["text"]), ""),
         ).alias("text"),
     )
-    c = m.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "opened"))).alias("all"),
-        F.collect_list(F.when(F.col("cut_seq").isNotNull(), F.struct("turn", "cut_seq"))).alias("cuts"),
-    )
-    alive = F.filter("all", lambda x: ~F.exists("cuts", lambda y: (y["turn"] < x["turn"]) & (y["cut_seq"] > x["opened"])))
-    return c.select("conv_id", F.transform(alive, lambda x: F.struct(x["turn"], x["role"], x["text"])).alias("messages"))
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("_cut", F.max("cut_seq").over(earlier)).where(F.coalesce(F.col("_cut") <= F.col("opened"), F.lit(True)))
+    return m.select("conv_id", "turn", "role", "text")
+
+
+def fold_events(events: DataFrame) -> DataFrame:
+    """(conv_id, messages array<struct<turn, role, text>>) in order of turn: fold_rows(), a row per conversation. Conversations none of whose messages are left
+    give no row."""
+    return fold_rows(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+
+
+def _body(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(OPEN), escape(role), F.lit(TEXT), escape(text), F.lit(CLOSE))
+
+
+def render_rows(messages: DataFrame) -> DataFrame:
+    """(conv_id, formatted, loss_mask) of messages (conv_id, turn, role, text): what render() gives, with offsets from running sums over each conversation's messages.
+
+    (conv_id, turn) tells messages apart. Null roles and texts count as empty, texts may have any length, other columns are ignored, no messages give no rows. The formatted string is one
+    value, so a conversation's text must fit one; nothing else of it meets in a row."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    m = messages.select("conv_id", "turn", (role == "assistant").alias("_said"), F.length(escape(role)).alias("_role"), _body(role, text).alias("_piece"))
+    m = m.withColumn("_size", F.length("_piece")).withColumn("_at", F.sum("_size").over(upto) - F.col("_size"))
+    span = F.struct((F.col("_at") + len(OPEN) + len(TEXT) + F.col("_role")).cast("int").alias("start"), (F.col("_at") + F.col("_size") - len(CLOSE)).cast("int").alias("end"))
+    g = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_piece"))).alias("_p"), F.array_sort(F.collect_list(F.when(F.col("_said"), span))).alias("loss_mask"))
+    return g.select("conv_id", F.array_join(F.transform("_p", lambda x: x["_piece"]), "").alias("formatted"), "loss_mask")
 
 
 def render(folded: DataFrame) -> DataFrame:
@@ -74,7 +98,7 @@ def render(folded: DataFrame) -> DataFrame:
 
     A message's null role or text makes the row's result null (fold_events gives none). Empty texts have empty spans; texts of any length and control strings
     within them are escaped, never cut. No messages give an empty string, an empty table no rows; other columns are ignored."""
-    body = lambda x: F.concat(F.lit(OPEN), escape(x["role"]), F.lit(TEXT), escape(x["text"]), F.lit(CLOSE))
+    body = lambda x: _body(x["role"], x["text"])
     step = lambda acc, x: F.struct(
         (acc["at"] + F.length(body(x))).alias("at"),
         F.when(
@@ -100,9 +124,22 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, lambda x: F.struct(unescape(halves(x)[0]).alias("role"), unescape(halves(x)[1]).alias("text")))
 
 
+#: Code points in a part of a formatted string: a span is taken from its own parts, as finding a place in a whole string takes time in proportion to the place.
+PART = 2048
+
+
 def masked_text(formatted: Column, loss_mask: Column) -> Column:
     """All text under the mask, unescaped."""
-    return unescape(F.array_join(F.transform(loss_mask, lambda s: F.substring(formatted, s["start"] + 1, s["end"] - s["start"])), ""))
+    parts = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PART}}}"), 0)
+
+    def under(parts: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / PART).cast("int")
+        own = F.array_join(F.slice(parts, first + 1, F.floor((F.greatest(s["end"], s["start"] + 1) - 1) / PART).cast("int") - first + 1), "")
+        return F.substring(own, s["start"] - first * PART + 1, s["end"] - s["start"])
+
+    # the parts are bound by a fold of one step, so that they are cut once, not for each span
+    said = F.aggregate(F.array(parts), F.lit(""), lambda acc, p: F.array_join(F.transform(loss_mask, lambda s: under(p, s)), ""))
+    return unescape(said)
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:

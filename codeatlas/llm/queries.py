@@ -86,7 +86,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    output = materialize(chat.render(chat.fold_events(chat.events_of_rows(rows.unionByName(probe)))), "chat")
+    output = materialize(chat.render_rows(chat.fold_rows(chat.events_of_rows(rows.unionByName(probe)))), "chat")
     return chat.digest(output)
 
 

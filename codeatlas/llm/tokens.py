@@ -11,6 +11,7 @@ Files are in ascending order of doc_id, and so are the documents within.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
 import zlib
@@ -49,15 +50,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def plain_byte_level(settings: dict) -> bool:
+    """Whether a tokenizer, by its own JSON, does nothing but what Encoder's short way does: no normalizer, the byte-level pre-tokenizer with its pattern and without a space in front, and
+    byte-pair merges without dropout, affixes, byte fallback or whole-word look-ups."""
+    pre, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    return (
+        settings.get("normalizer") is None
+        and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "fuse_unk"))
+    )
+
+
 class Encoder:
-    """Encodes whole texts as the library does. Texts of Latin characters are cut into the tokenizer's own pieces here, and each
-    distinct piece goes to the library's model once; a memo answers repeats. Other texts, and texts that spell a special token, go
-    through the library whole."""
+    """Encodes whole texts as the library does, with any tokenizer file. Where the file's own settings say that it is a plain byte-level one, texts of Latin characters are cut into
+    the tokenizer's own pieces here, and each distinct piece goes to the library's model once; a memo answers repeats. Other texts, texts that spell a special token, and
+    all texts of other tokenizers go through the library whole. Truncation and padding that a file may ask for are off."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.short = plain_byte_level(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
@@ -70,7 +86,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _FOREIGN.search(text) or any(s in text for s in self.special):
+        if not self.short or _FOREIGN.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         memo, pieces = self.memo, _PIECE.findall(text)
         try:
