@@ -267,7 +267,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a window of the benchmark; the columns stay."""
+    """docs without the documents that hold a window of the benchmark; the columns stay, also those named like contamination()'s own. Null and empty texts hold none and stay, rows that repeat
+    stay or go together, texts are searched whole, and an empty table or benchmark takes nothing away."""
     clash = {c: f"_kept_{c}" for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")}
     named = docs.withColumnsRenamed(clash)
     found = contamination(named, benchmark, window, tuple(c for c in named.columns if c != "doc_id")).where("n_hit = 0")

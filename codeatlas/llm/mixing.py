@@ -148,6 +148,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """Every row as often as its copies say, without the mixing's own columns."""
+    """Every row as often as its copies say, without the mixing's own columns; null copies give no rows, an empty table none. Texts are passed on as they are."""
     repeated = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return mixed.where("copies > 0").withColumn("_copy", repeated).drop("_copy", "copies", "size", "source_size", "target")
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with exactly their columns, those named like mix()'s own too. Empty texts, nulls, repeated rows and empty tables as in mix()."""
+    clash = {c: f"_kept_{c}" for c in docs.columns if c in ("size", "source_size", "target", "copies")}
+    return copies(mix(docs.withColumnsRenamed(clash), weights, cap)).select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])

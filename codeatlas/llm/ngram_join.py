@@ -254,7 +254,8 @@ def _checked(n: int):
 
 def one_of_each(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     """The rows of docs, with their columns, of which each component keeps one: of its smallest doc_id, and of the smallest set key among
-    rows that share that. Rows without a doc_id are compared, too, and come last. Rows without words all stay."""
+    rows that share that. Rows without a doc_id are compared, too, and come last. Rows without words all stay: null and empty texts are like nothing. Ties
+    are settled by doc_id, set key and text, texts are compared whole, other columns pass through, and an empty table stays empty."""
     last = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))  # a stand-in, so that they don't meet each other in joins by id
     d = docs.withColumn("_id", F.coalesce("doc_id", last))
     sets, lowest = _linked(d.select(F.col("_id").alias("doc_id"), "text"), percent, n)

@@ -114,7 +114,7 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Ru
     """The columns named in `keep`, the MEASURES, and failed long: the bits of the rules that fail. One row per row of docs.
 
     docs has text and the kept columns; columns of docs that are named like a measure or `failed` are dropped. Null and empty
-    texts measure 0 throughout. Rows that repeat are measured alike.
+    texts measure 0 throughout. Rows that repeat are measured alike. Texts are measured whole, however long; an empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
     keep = tuple(c for c in dict.fromkeys(keep) if c not in (*MEASURES, "failed"))
@@ -150,7 +150,8 @@ def ablation(led: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) ->
 
 
 def passing(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
-    """The rows of docs that the policy keeps, with their columns."""
+    """The rows of docs that the policy keeps, with their columns, also those named like a measure. Null and empty texts measure 0, so policies with a least number of words
+    reject them; rows that repeat are kept or go together; an empty table stays empty."""
     clash = {c: f"_kept_{c}" for c in docs.columns if c in (*MEASURES, "failed")}
     named = docs.withColumnsRenamed(clash)
     led = ledger(named, tuple(named.columns)).where(~rejected(policy))

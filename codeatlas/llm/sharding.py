@@ -29,11 +29,11 @@ BUCKET = 2048
 def _two_level(df: DataFrame, group: list[str], order: list[Column], amount: Column, rows: int, out: str) -> DataFrame:
     """df with the sum of `amount` over all rows of its group that precede the row, in order of `order` (its first
     column a uniform hash). Rows are dealt into buckets by the hash's top bits; bucket totals are summed in a window over
-    buckets, and rows only within their own bucket, so no task sees a whole group."""
+    buckets, and rows only within their own bucket, so no task sees the rows of a whole group."""
     bits = max(1, min(40, math.ceil(math.log2(max(1, rows / BUCKET)))))
     d = df.withColumn("_b", F.shiftrightunsigned(order[0], 64 - bits)).withColumn("_x", amount)
     totals = d.groupBy(*group, "_b").agg(F.sum("_x").alias("_t"))
-    # offsets over buckets, again in two levels where there are many
+    # offsets over buckets: a row per bucket of a group, in one window per group
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_o", F.coalesce(F.sum("_t").over(w), F.lit(0))).drop("_t")
     w = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

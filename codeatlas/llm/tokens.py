@@ -273,6 +273,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    """Writes docs as token files and returns the digest read back from them."""
+    """Writes docs as token files and returns the digest read back from them, a row per row of docs. Null and empty texts give the end id alone, rows without a doc_id come first, rows that
+    share one stand next to each other, long texts span frames, other columns are ignored. An empty table gives no rows."""
     manifest = write_token_files(docs, out_dir, tokenizer_path or tokenizer_file())
     return read_token_files(manifest, digest=True)
