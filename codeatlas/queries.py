@@ -229,10 +229,11 @@ def priority_cascade(spark, d):
 
 @query
 def unmatched_gaps(spark, d):
-    """Parts that no line item refers to, as gap rows."""
-    p, l = table(spark, d, "part"), table(spark, d, "lineitem")
-    gone = resolve.without(p.select(F.col("p_partkey").alias("k"), "p_name"), l.select(F.col("l_partkey").alias("k")), ["k"])
-    return gone.select("k", F.lit("unknown").alias("certainty"), F.concat(F.lit("no line item for "), "p_name").alias("description"))
+    """Customers without an urgent order, as gap rows."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    urgent = o.where("o_orderpriority like '1-%'").select(F.col("o_custkey").alias("k"))
+    gone = resolve.without(c.select(F.col("c_custkey").alias("k"), "c_name"), urgent, ["k"])
+    return gone.select("k", F.lit("unknown").alias("certainty"), F.concat(F.lit("no urgent order of "), "c_name").alias("description"))
 
 
 @query

@@ -118,7 +118,7 @@ WITH s AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE
 SELECT c_custkey, coalesce(x, y) AS supp, CASE WHEN x IS NOT NULL THEN 'nation' WHEN y IS NOT NULL THEN 'region' ELSE 'none' END AS how
 FROM customer JOIN nation n ON c_nationkey = n.n_nationkey LEFT JOIN a ON a.s_nationkey = c_nationkey LEFT JOIN b ON b.n_regionkey = n.n_regionkey""",
     "unmatched_gaps": """
-SELECT p_partkey AS k, 'unknown' AS certainty, 'no line item for ' || p_name AS description FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""",
+SELECT c_custkey AS k, 'unknown' AS certainty, 'no urgent order of ' || c_name AS description FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1-%')""",
     "external_deps_scope": """
 SELECT l_partkey, CASE WHEN count(*) FILTER (l_returnflag = 'N') > 0 THEN 'direct' WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'dev' ELSE 'peer' END AS scope, count(*) AS uses FROM lineitem GROUP BY 1""",
     "normalized_name_join": """

@@ -81,6 +81,14 @@ def bucketed(df: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
         discard(out)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Leaves a table that materialize() wrote within scratch() to the caller."""
+    kept = _kept.get()
+    if kept is not None:
+        kept[:] = [t for t in kept if t is not df]
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes what materialize wrote, once all that reads it is written itself. Other tables are left alone."""
     for df in tables:
