@@ -41,11 +41,17 @@ def parse_repository(text: Column) -> Column:
 
 
 def repository_from_path(segments: Column) -> Column:
-    """struct<owner, repo, reason> of path segments that name a repository where a page was expected, with or without a host in front."""
-    host = F.lower(F.get(segments, F.lit(0))).isin("github.com", "www.github.com")
-    s = F.when(host, F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0)))).otherwise(segments)
-    reason = F.when(F.get(s, F.lit(0)).isin(*_RESERVED), F.lit("reserved"))
-    return _checked(F.get(s, F.lit(0)), F.get(s, F.lit(1)), reason)
+    """struct<owner, repo, reason> of percent-encoded path segments that name a repository where a page was expected, with or without a host in front; further segments are ignored."""
+    decoded = F.transform(segments, lambda s: F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))))
+    first = F.lower(F.get(decoded, F.lit(0)))
+    path = F.when(first.isin("github.com", "www.github.com"), F.slice(decoded, F.lit(2), F.greatest(F.size(decoded) - 1, F.lit(0)))).otherwise(decoded)
+    reason = (
+        F.when(F.exists(decoded, lambda s: s.isNull()), F.lit("undecodable"))
+        .when(first.isin(*_RESERVED), F.lit("reserved"))
+        .when(F.coalesce(first, F.lit("")).eqNullSafe("") | (F.size(path) < 2), F.lit("missing-owner-or-repo"))
+    )
+    none = F.lit(None).cast("string")
+    return F.when(reason.isNotNull(), F.struct(none.alias("owner"), none.alias("repo"), reason.alias("reason"))).otherwise(parse_repository(F.concat(F.lit("https://github.com/"), F.array_join(path, "/"))))
 
 
 def http_error(status: Column, remaining: Column) -> Column:

@@ -134,23 +134,34 @@ def commit_files(payloads: DataFrame) -> DataFrame:
 
 
 def registry(payloads: DataFrame) -> DataFrame:
-    """(registry, name, description, keywords) of registry payloads (registry, name, body); blank or unreadable descriptions are null."""
-    npm = F.from_json("body", "description string, keywords array<string>")
-    pypi = F.from_json("body", "info struct<summary:string,keywords:string>")
-    words = F.filter(F.split(F.coalesce(pypi["info"]["keywords"], F.lit("")), r"[,\s]+"), lambda k: k != "")
-    is_npm = F.col("registry") == "npm"
-    description = F.trim(F.when(is_npm, npm["description"]).otherwise(pypi["info"]["summary"]))
-    none = F.array().cast("array<string>")
-    return payloads.select("registry", "name", F.nullif(description, F.lit("")).alias("description"), F.when(is_npm, F.coalesce(npm["keywords"], none)).otherwise(words).alias("keywords"))
+    """(registry, name, description, keywords) of registry payloads (registry, name, body). Values of other types than text, unreadable bodies and blank summaries of PyPI give a null description and no keywords."""
+    v = F.try_parse_json("body")
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    texts = F.filter(F.try_variant_get(v, "$.keywords", "array<variant>"), lambda k: F.schema_of_variant(k) == "STRING")
+    npm = F.transform(texts, lambda k: F.try_variant_get(k, "$", "string"))
+    pypi = F.filter(F.split(text("$.info.keywords"), r"[,\s]+"), lambda k: k != "")
+    is_npm, summary = F.col("registry") == "npm", text("$.info.summary")
+    description = F.when(is_npm, text("$.description")).otherwise(F.when(summary.rlike(r"\S"), summary))
+    return payloads.select("registry", "name", description.alias("description"), F.coalesce(F.when(is_npm, npm).otherwise(pypi), F.array().cast("array<string>")).alias("keywords"))
 
 
 def enriched(deps: DataFrame, metadata: DataFrame, most: int = 100) -> DataFrame:
-    """Dependencies (run_id, ord, registry, name, ...) with description, keywords and enrichment_gap; of a run the first `most` are looked up."""
+    """Dependencies (run_id, ord, registry, name, ...) with description, description_source, keywords and enrichment_gap; of a run the first `most` are looked up.
+
+    The number of the last one looked up is found from the first `most` rows of each task, so a run of any size is never sorted as a whole. Of several answers for a name
+    one with a description counts, the largest."""
     n = F.row_number().over(Window.partitionBy("run_id").orderBy("ord"))
-    j = deps.withColumn("_n", n).join(metadata.dropDuplicates(["registry", "name"]), ["registry", "name"], "left")
-    seen = F.col("_n") <= most
-    gap = F.when(~seen, F.lit(f"description lookup skipped beyond the first {most} dependencies")).when(F.col("description").isNull(), F.lit("no description available from the registry"))
-    return j.withColumn("enrichment_gap", gap).withColumn("description", F.when(seen, F.col("description"))).withColumn("keywords", F.when(seen, F.col("keywords"))).drop("_n")
+    last = deps.select("run_id", "ord", n.alias("_n")).where(F.col("_n") <= most).groupBy(F.col("run_id").alias("_run")).agg(F.max("ord").alias("_last"))
+    answers = metadata.groupBy("registry", "name").agg(F.max(F.struct("description", "keywords")).alias("_m"))
+    seen = F.col("ord") <= F.col("_last")
+    j = deps.join(last, F.col("run_id").eqNullSafe(F.col("_run")), "left").join(answers, ["registry", "name"], "left")
+    found = F.when(seen, F.nullif(F.col("_m.description"), F.lit("")))
+    label = F.when(F.col("registry") == "npm", F.lit("npm")).otherwise(F.lit("PyPI"))
+    # The sentences of gaps.
+    skipped = F.lit(f"Description lookup skipped: more than {most} external dependencies were declared in this repository.")
+    missing = F.concat(F.lit('Could not fetch a description for "'), F.coalesce("name", F.lit("")), F.lit('" from the '), label, F.lit(" registry."))
+    gap = F.when(~F.coalesce(seen, F.lit(False)), skipped).when(found.isNull(), missing)
+    return j.select(*deps.columns, found.alias("description"), F.when(found.isNotNull(), F.col("registry")).alias("description_source"), F.when(seen, F.col("_m.keywords")).alias("keywords"), gap.alias("enrichment_gap"))
 
 
 def repo_list(lines: DataFrame) -> DataFrame:

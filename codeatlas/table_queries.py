@@ -324,3 +324,18 @@ def page_clamps(spark, d):
     asked = F.when(F.col("o_custkey") % 4 == 0, F.lit("x")).otherwise((F.col("o_custkey") % 9 - 2).cast("string"))
     pages = F.ceil(F.col("n") / 4).cast("int")
     return n.select("o_custkey", ranking.clamp_page(asked, pages).cast("long").alias("page"))
+
+
+@query
+def registry_enrichment(spark, d):
+    """A supplier's lines as dependencies, in order of order and line, described by answers of registries made of parts: one in seven has no text, one in five no fitting type, one in eleven can't be read."""
+    k = F.col("p_partkey")
+    registry = _pick(k, "npm", "pypi")
+    text_ = F.when(k % 7 == 0, F.lit(" ")).otherwise(F.col("p_type"))
+    npm = F.concat(F.lit('{"description": '), F.when(k % 5 == 0, k.cast("string")).otherwise(F.concat(F.lit('"'), text_, F.lit('"'))), F.lit(', "keywords": ["'), "p_brand", F.lit('", 7]}'))
+    pypi = F.concat(F.lit('{"info": {"summary": "'), text_, F.lit('", "keywords": "'), "p_brand", F.lit(' , b,"}}'))
+    body = F.when(k % 11 == 0, F.lit("<html>")).when(k % 2 == 0, npm).otherwise(pypi)
+    payloads = table(spark, d, "part").select(registry.alias("registry"), F.concat(F.lit("p"), k.cast("string")).alias("name"), body.alias("body"))
+    lines = table(spark, d, "lineitem")
+    deps = lines.select(F.col("l_suppkey").alias("run_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"), _pick(F.col("l_partkey"), "npm", "pypi").alias("registry"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"))
+    return files.enriched(deps, files.registry(payloads)).withColumn("keywords", F.array_join("keywords", " "))
