@@ -148,7 +148,7 @@ def registry(payloads: DataFrame) -> DataFrame:
 def enriched(deps: DataFrame, metadata: DataFrame, most: int = 100) -> DataFrame:
     """Dependencies (run_id, ord, registry, name, ...) with description, description_source, keywords and enrichment_gap; of a run the first `most` are looked up.
 
-    The number of the last one looked up is found from the first `most` rows of each task, so a run of any size is never sorted as a whole. Of several answers for a name
+    The number of the last one looked up is found from the first `most` rows of each task, so a run of any size is never sorted as a whole; rows of one ord are looked up or left together. Of several answers for a name
     one with a description counts, the largest."""
     n = F.row_number().over(Window.partitionBy("run_id").orderBy("ord"))
     last = deps.select("run_id", "ord", n.alias("_n")).where(F.col("_n") <= most).groupBy(F.col("run_id").alias("_run")).agg(F.max("ord").alias("_last"))

@@ -115,7 +115,7 @@ SELECT o_custkey, least(greatest(CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE o_custk
     "registry_enrichment": """
 WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 2 = 0 AND p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN ' ' END ELSE p_type END AS description,
   CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN p_brand ELSE array_to_string(string_split(p_brand, ' '), ' ') || ' b' END AS keywords FROM part),
-d AS (SELECT l_suppkey AS run_id, l_orderkey * 100 + l_linenumber AS ord, l_partkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem)
+d AS (SELECT l_suppkey AS run_id, l_orderkey * 100 + l_linenumber AS ord, l_partkey AS k, rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem)
 SELECT run_id, ord, CASE WHEN d.k % 2 = 0 THEN 'npm' ELSE 'pypi' END AS registry, 'p' || d.k AS name, CASE WHEN n <= 100 THEN description END AS description,
   CASE WHEN n <= 100 AND description IS NOT NULL THEN CASE WHEN d.k % 2 = 0 THEN 'npm' ELSE 'pypi' END END AS description_source, CASE WHEN n <= 100 THEN keywords END AS keywords,
   CASE WHEN n > 100 THEN 'Description lookup skipped: more than 100 external dependencies were declared in this repository.'

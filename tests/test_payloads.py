@@ -57,6 +57,8 @@ def test_descriptions_of_the_first_dependencies(spark):
     assert (got["r", 1].keywords, got["r", 1].description_source, got["r", 2].keywords, got["r", 4].keywords) == (["k"], "npm", [], None)
     assert got["s", 9].enrichment_gap == gap("p1", "PyPI") and got[None, 1].description == "one"
     assert files.enriched(deps.limit(0), known).count() == 0
+    tied = spark.createDataFrame([("r", 1, "npm", "p4"), ("r", 2, "npm", "p4"), ("r", 2, "npm", "p4"), ("r", 3, "npm", "p4")], "run_id string, ord int, registry string, name string")
+    assert sorted((r.ord, r.description) for r in files.enriched(tied, known, 2).collect() if r.description) == [(1, "four"), (2, "four"), (2, "four")]
 
 
 def test_identities_of_requests(spark):
