@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import resolve
+from ..operators import resolve, windows
 
 SCHEMAS = {
     "repos": "id long, owner string, name string, created_at timestamp, last_analysis_requested_at timestamp, last_history_requested_at timestamp",
@@ -58,9 +58,9 @@ class Store:
         hadoop.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(path), overwrite)
 
     def _numbered(self, table: str, new: DataFrame, order: list[str]) -> DataFrame:
-        """Ids after the largest one; a batch of new rows is small beside the table."""
+        """Ids after the largest one, in order; a first load may be as large as the table, so it is numbered over all tasks."""
         top = self.read(table).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-        return new.withColumn("id", F.row_number().over(Window.orderBy(*order)) + F.lit(top))
+        return windows.numbered_global(new.drop("id"), [F.col(c) for c in order], "id", top + 1)
 
     # --- runs
 
