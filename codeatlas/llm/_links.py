@@ -14,7 +14,7 @@ Items that share a signature are candidates. Instead of all pairs of a bucket:
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from ._common import connected_components, discard, materialize, maybe_broadcast
 #: at once.
 SMALL, SLICE_ROWS, SLICE_BYTES, COLUMNS = 16, 1024, 2 << 20, 2048
 
-Features = Callable[[str], np.ndarray]
+Features = Callable[[pa.Array], Iterable[np.ndarray]]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -68,17 +68,17 @@ def _verify_star(features: Features, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
+            ids = batch["u"].to_pylist()
+            new = [i for i in {u: i for i, u in reversed(list(enumerate(ids)))}.values() if ids[i] not in kept]
+            kept.update(zip([ids[i] for i in new], features(batch["text_u"].take(pa.array(new, pa.int64()))), strict=True))
             us, vs = [], []
-            for u, v, tu, tv in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), batch["text_u"], batch["text_v"], strict=True):
-                a = kept.get(u)
-                if a is None:
-                    a = kept[u] = features(tu.as_py())
-                    if len(kept) > 64:
-                        kept.popitem(last=False)
-                b = features(tv.as_py())
+            for u, v, b in zip(ids, batch["v"].to_pylist(), features(batch["text_v"]), strict=True):
+                a = kept[u]
                 if similar(overlap(a, b), len(a), len(b), percent):
                     us.append(u)
                     vs.append(v)
+            while len(kept) > 64:
+                kept.popitem(last=False)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
@@ -90,7 +90,7 @@ def _verify_block(features: Features, percent: int):
         part, ids, comps = table["part"].to_numpy(), table["id"].to_pylist(), table["comp"].to_pylist()
         us, vs = [], []
         if len(set(comps)) > 1:
-            sets = [features(t.as_py()) for t in table["text"]]
+            sets = list(features(table["text"].combine_chunks()))
             left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
             both = intersections([sets[i] for i in left], [sets[i] for i in right])
             size = np.array([len(s) for s in sets])
@@ -119,7 +119,7 @@ def _sketched(features: Features):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [features(t.as_py()) for t in batch["text"]]
+            sets = list(features(batch["text"]))
             sketches = [np.sort(s.astype("u2")).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], pa.array([len(x) for x in sets], pa.int32()), pa.array(sketches, pa.binary())], ["id", "text", "n", "sketch"])
 
@@ -165,8 +165,8 @@ def _verified(pairs: DataFrame, text: DataFrame, features: Features, percent: in
 def link_components(signatures: DataFrame, texts: Callable[[DataFrame, int], DataFrame], features: Features, percent: int) -> DataFrame:
     """(id, root): the component of every item that is linked with another; root is its smallest id.
 
-    signatures: (sig long, id long); similar items share one. texts(ids, n) gives (id, text) of n distinct ids, where rows may repeat. features turns a text
-    into its sorted set of 64-bit features.
+    signatures: (sig long, id long); similar items share one. texts(ids, n) gives (id, text) of n distinct ids, where rows may repeat. features turns a column
+    of texts into their sorted sets of 64-bit features.
     """
     # the explicit filter keeps both readers of this exchange alike, so that it is made once
     s = signatures.where("sig is not null").repartition(n_parts(signatures), "sig")

@@ -224,7 +224,8 @@ def _linked(docs: DataFrame, percent: int, n: int) -> tuple[DataFrame, DataFrame
         found = d.join(maybe_broadcast(of, count), "doc_id")
         return found.mapInArrow(_checked(n), "id long, text string")
 
-    comps = link_components(sigs, texts, text_set(n), percent)
+    get = text_set(n)
+    comps = link_components(sigs, texts, lambda column: (get(t.as_py()) for t in column), percent)  # documents are long: one at a time
     lowest = owners.join(comps, owners.item == comps.id, "left").select("item", F.coalesce("root", "item").alias("root"), "doc_id")
     return sets, materialize(lowest, "lowest")
 

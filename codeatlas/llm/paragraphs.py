@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bound_batches, connected_components, discard, materialize, maybe_broadcast, n_parts
 from ._links import link_components
 from ._words import Words, mix
-from .ngram_join import text_set
+from .ngram_join import many_shingles
 
 MIN_WORDS, SHINGLE, PERCENT, BANDS, ROWS = 50, 5, 80, 10, 3
 
@@ -58,16 +60,33 @@ def minhash_bands(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return bands.view("i8")
 
 
-def _paragraph_rows(least: int):
-    """(doc_id, version, start, end, item) of the texts' lines of enough words; start and end in code points."""
+TEXT, LINE, MARK = 0, 1, 2
+
+
+def _fact_rows(least: int, min_words: int):
+    """(kind, item, doc_id, version, start, end), start and end in code points: the texts of enough words, item being a hash of their bytes; their lines of enough words; and the marks of
+    their windows, which have no places. One pass gives all three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch["text"])
-            lines, points = words.lines(least), words.points()
-            base = points[words.rows[lines.row]]
-            ids = [batch[c].take(pa.array(lines.row)) for c in ("doc_id", "version")]
-            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, (points[lines.begin] - base, points[lines.end] - base, lines.key))], ["doc_id", "version", "start", "end", "item"])
+            points = words.points()
+
+            def rows(kind: int, row: np.ndarray, item: np.ndarray, places: tuple | None) -> pa.RecordBatch:
+                ids = [batch[c].take(pa.array(row)) for c in ("doc_id", "version")]
+                spans = [pa.array(points[x] - points[words.rows[row]]) for x in places] if places else [pa.nulls(len(row), pa.int64())] * 2
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, "i1")), pa.array(item.view("i8")), *ids, *spans], ["kind", "item", "doc_id", "version", "start", "end"])
+
+            n = np.diff(words.first)
+            row = np.flatnonzero(n >= least)
+            whole = np.array([xxhash.xxh3_64_intdigest(batch["text"][r].as_buffer()) for r in row.tolist()], "u8")
+            yield rows(TEXT, row, whole, (words.start[words.first[row]], words.end[words.first[row + 1] - 1]))
+            lines = words.lines(least)
+            yield rows(LINE, lines.row, lines.key, (lines.begin, lines.end))
+            mark, _, nth, _ = windows(words.hash, n, min_words)
+            new = np.ones(len(mark), bool)
+            new[1:] = (mark[1:] != mark[:-1]) | (nth[1:] != nth[:-1])
+            yield rows(MARK, nth[new], mark[new], None)
 
     return run
 
@@ -118,55 +137,59 @@ def windows(h: np.ndarray, sizes: np.ndarray, min_words: int = MIN_WORDS) -> tup
     return mark[at], whole[at], nth, first
 
 
-def _mark_rows(min_words: int):
-    """(item, version, doc_id) of the texts' marks."""
+def _window_rows(min_words: int):
+    """(item, doc_id, version, at) of the windows that have one of the row's marks and don't lie within one of its `known` spans; equal windows that
+    overlap or touch are one row; `at` holds the start in its upper, the end in its lower half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch["text"])
-            mark, _, nth, _ = windows(words.hash, np.diff(words.first), min_words)
-            if not len(mark):
+            mark, whole, nth, first = windows(words.hash, np.diff(words.first), min_words)
+            of, marks = _laid_out(batch["marks"])
+            wanted = _among(_in_row(mark, nth), _in_row(marks.to_numpy().view("u8"), of))
+            whole, nth, word = whole[wanted], nth[wanted], words.first[nth[wanted]] + first[wanted]
+            points = words.points()
+            base = points[words.rows[nth]]
+            start, end = points[words.start[word]] - base, points[words.end[word + min_words - 1]] - base
+            of, known = _laid_out(batch["known"])
+            if len(of):
+                lo, hi = (known.field(c).to_numpy() for c in ("start", "end"))  # by row, in order
+                at = np.searchsorted((of << 32) | lo, (nth << 32) | start, "right") - 1
+                out = (at < 0) | (of[at] != nth) | (end > hi[at])
+                whole, nth, word, start, end = (x[out] for x in (whole, nth, word, start, end))
+            if not len(nth):
                 continue
-            new = np.ones(len(mark), bool)
-            new[1:] = (mark[1:] != mark[:-1]) | (nth[1:] != nth[:-1])
-            of = pa.array(nth[new])
-            yield pa.RecordBatch.from_arrays([pa.array(mark[new].view("i8")), batch["version"].take(of), batch["doc_id"].take(of)], ["item", "version", "doc_id"])
+            order = np.lexsort((word, whole, nth))
+            whole, nth, word, start, end = (x[order] for x in (whole, nth, word, start, end))
+            new = np.ones(len(nth), bool)
+            new[1:] = (nth[1:] != nth[:-1]) | (whole[1:] != whole[:-1]) | (word[1:] - word[:-1] > min_words)
+            lo = np.flatnonzero(new)
+            at = (start[lo] << 32) | end[np.append(lo[1:], len(nth)) - 1]
+            same = [batch[c].take(pa.array(nth[lo])) for c in ("doc_id", "version")]
+            yield pa.RecordBatch.from_arrays([pa.array(whole[lo].view("i8")), *same, pa.array(at)], ["item", "doc_id", "version", "at"])
 
     return run
 
 
-def _window_rows(min_words: int):
-    """(item, doc_id, version, at) of the windows that have one of the row's marks and don't lie within one of its `known` spans; equal windows that
-    overlap or touch are one row; `at` holds the start in its upper, the end in its lower half."""
+def _laid_out(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(row of each element, elements) of a column of lists; null is empty."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n), lists.flatten()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, v, t, m, k in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], batch["marks"], batch["known"], strict=True):
-                words = Words(pa.array([t]))
-                mark, whole, _, first = windows(words.hash, np.diff(words.first), min_words)
-                wanted = np.isin(mark.view("i8"), m.values.to_numpy())
-                if not wanted.any():
-                    continue
-                points = words.points()
-                spans = np.stack([points[words.start], points[words.end]], axis=1)
-                whole, first = whole[wanted], first[wanted]
-                if k.is_valid and len(k.values):
-                    lo, hi = (k.values.field(c).to_numpy() for c in ("start", "end"))  # in order, without overlap
-                    at = np.searchsorted(lo, spans[first, 0], "right") - 1
-                    out = (at < 0) | (spans[first + min_words - 1, 1] > hi[at])
-                    whole, first = whole[out], first[out]
-                if not len(first):
-                    continue
-                order = np.lexsort((first, whole))
-                whole, first = whole[order], first[order]
-                new = np.ones(len(first), bool)
-                new[1:] = (whole[1:] != whole[:-1]) | (first[1:] - first[:-1] > min_words)
-                lo = np.flatnonzero(new)
-                at = (spans[first[lo], 0] << 32) | spans[first[np.append(lo[1:], len(first)) - 1] + min_words - 1, 1]
-                same = [pa.array(np.full(len(at), x, "i8")) for x in (d, v)]
-                yield pa.RecordBatch.from_arrays([pa.array(whole[lo].view("i8")), *same, pa.array(at)], ["item", "doc_id", "version", "at"])
 
-    return run
+def _in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes told apart by their rows, too. Should two fall together, a window more is looked at, and none is lost."""
+    return h + row.astype("u8") * _A[0]
+
+
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are among some."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    some = np.sort(some)
+    at = np.searchsorted(some, x)
+    at[at == len(some)] = 0
+    return some[at] == x
 
 
 def _joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,22 +240,24 @@ def versions(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def repeated_texts(d: DataFrame, least: int = SHINGLE) -> DataFrame:
-    """(doc_id, version, start, end, owner) of the texts of at least `least` words that an earlier document has as they are."""
-    blank = " \t\n\x0b\x0c\r"
-    some = F.col("text").rlike(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){" + str(least - 1) + r"}[^\x20\x09-\x0D]")
-    first = (F.length("text") - F.length(F.ltrim("text", F.lit(blank)))).cast("long")
-    rows = d.where(some).select("doc_id", "version", first.alias("start"), F.length(F.rtrim("text", F.lit(blank))).cast("long").alias("end"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("n"))
-    rows = materialize(rows.distinct(), "texts")
-    same = ["version", "crc", "n"]
-    owners = rows.groupBy(*same).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
-    return rows.join(owners, same).where("doc_id <> owner").select("doc_id", "version", "start", "end", "owner")
+def facts(d: DataFrame, least: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+    """What _fact_rows gives of versions of documents, written once and read by kind."""
+    return materialize(d.mapInArrow(_fact_rows(least, min_words), "kind byte, item long, doc_id long, version long, start long, end long"), "facts")
+
+
+def repeated_texts(facts: DataFrame) -> DataFrame:
+    """(doc_id, version, start, end, owner) of the texts that an earlier document has as they are."""
+    rows = facts.where(f"kind = {TEXT}").drop("kind")
+    same = ["version", "item", "start", "end"]
+    owners = rows.groupBy(*same).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").drop("most")
+    owners = materialize(owners, "owners")
+    return rows.join(maybe_broadcast(owners, owners.count()), same).where("doc_id <> owner").select("doc_id", "version", "start", "end", "owner").distinct()
 
 
-def repeated_paragraphs(d: DataFrame, least: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def repeated_paragraphs(d: DataFrame, facts: DataFrame, least: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """For versions of documents: the (doc_id, version, start, end, owner) of the paragraphs that aren't the first of their component, owner being the
     first one's doc_id; and the (doc_id, version, start, end) of those that equal an earlier one."""
-    para = materialize(d.mapInArrow(_paragraph_rows(least), "doc_id long, version long, start long, end long, item long"), "paragraphs")
+    para = facts.where(f"kind = {LINE}").drop("kind")
     first = materialize(para.groupBy("item").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
 
     def texts(ids: DataFrame, count: int) -> DataFrame:
@@ -240,7 +265,7 @@ def repeated_paragraphs(d: DataFrame, least: int = SHINGLE) -> tuple[DataFrame,
         found = d.join(maybe_broadcast(materialize(of, "owners"), count), "doc_id").select("items", "text")
         return found.mapInArrow(_lines_of(least), "id long, text string")
 
-    comps = link_components(d.select("text").mapInArrow(_band_rows(least), "sig long, id long"), texts, text_set(SHINGLE), PERCENT)
+    comps = link_components(d.select("text").mapInArrow(_band_rows(least), "sig long, id long"), texts, lambda column: many_shingles(column, SHINGLE), PERCENT)
     # an item's component, and the component's first paragraph
     of = first.join(comps, first.item == comps.id, "left").select("item", "first", "n", "root")
     linked = of.where("root is not null")
@@ -253,16 +278,15 @@ def repeated_paragraphs(d: DataFrame, least: int = SHINGLE) -> tuple[DataFrame,
     return repeats, rows.where(here != F.col("first")).select("doc_id", "version", "start", "end")
 
 
-def repeated_passages(d: DataFrame, copies: DataFrame, known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(d: DataFrame, facts: DataFrame, copies: DataFrame, known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For versions of documents: the (doc_id, version, start, end, owner) of runs of windows of min_words words of which the owner is the first document that
     holds them. Texts in copies, and windows within spans in known, repeat earlier ones and are left out."""
     key = ["doc_id", "version"]
-    marks = materialize(d.mapInArrow(_mark_rows(min_words), "item long, version long, doc_id long"), "marks")
+    marks = facts.where(f"kind = {MARK}").select("item", *key)
     again = marks.groupBy("item").agg(F.min("version").alias("a"), F.max("version").alias("b")).where("a < b").select("item")
     per = marks.join(again, "item").groupBy(*key).agg(F.collect_set("item").alias("marks")).join(copies.select(*key).distinct(), key, "left_anti")
     spans = known.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("known"))
     per = materialize(per.join(spans, key, "left"), "wanted")
-    discard(marks)
     found = d.join(per, key).select("doc_id", "version", "text", "marks", "known")
     rows = materialize(found.mapInArrow(_window_rows(min_words), "item long, doc_id long, version long, at long"), "windows")
     first = rows.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("item", "owner")
@@ -279,15 +303,17 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     SHINGLE words (paragraphs that aren't their component's first), and passages of at least min_words words. class_id is the smallest doc_id reached by such
     repeats, the document's own where it has none. Null and empty texts and shorter ones have no repeats and, if null, a null version. A null doc_id has no
     repeats and a null class_id. Rows that share a doc_id are told apart by their texts, but a passage counts as repeated only if a smaller doc_id holds it; equal
-    rows answer alike. Very long texts are searched whole, one text in memory at a time. Ties have no effect: owners are minima. An empty table gives no rows.
+    rows answer alike. Very long texts are searched whole, in batches of a few megabytes or one text. Ties have no effect: owners are minima. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     d = versions(docs)
     key = ["doc_id", "version"]
-    copies = materialize(repeated_texts(d), "copies")
-    repeats, known = repeated_paragraphs(d)
-    every = repeats.unionByName(copies).unionByName(repeated_passages(d, copies, known, min_words))
+    found = facts(d, SHINGLE, min_words)
+    copies = materialize(repeated_texts(found), "copies")
+    repeats, known = repeated_paragraphs(d, found)
+    every = repeats.unionByName(copies).unionByName(repeated_passages(d, found, copies, known, min_words))
     spans = materialize(every, "spans")
+    discard(found)
     links = spans.where("doc_id <> owner").select(F.col("doc_id").alias("u"), F.col("owner").alias("v"))
     classes = connected_components(links)
     one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
