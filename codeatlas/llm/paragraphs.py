@@ -240,7 +240,7 @@ def versions(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def facts(d: DataFrame, least: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+def facts_of(d: DataFrame, least: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
     """What _fact_rows gives of versions of documents, written once and read by kind."""
     return materialize(d.mapInArrow(_fact_rows(least, min_words), "kind byte, item long, doc_id long, version long, start long, end long"), "facts")
 
@@ -273,20 +273,23 @@ def repeated_paragraphs(d: DataFrame, facts: DataFrame, least: int = SHINGLE) ->
     of = linked.join(keeper, "root").select("item", "first", "keeper").unionByName(of.where("root is null and n > 1").select("item", "first", F.col("first").alias("keeper")))
     of = materialize(of.select("item", "first", F.col("keeper.doc_id").alias("owner"), F.col("keeper.version").alias("of"), F.col("keeper.start").alias("at")), "keepers")
     here = F.struct("doc_id", "version", "start")
-    rows = para.join(of, "item")
-    repeats = rows.where("doc_id <> owner or version <> of or start <> at").select("doc_id", "version", "start", "end", "owner")
-    return repeats, rows.where(here != F.col("first")).select("doc_id", "version", "start", "end")
+    repeats = F.expr("doc_id <> owner or version <> of or start <> at").alias("repeats")
+    rows = para.join(of, "item").select("doc_id", "version", "start", "end", "owner", repeats, (here != F.col("first")).alias("known"))
+    rows = materialize(rows.where("repeats or known"), "repeated")
+    discard(first)
+    return rows.where("repeats").select("doc_id", "version", "start", "end", "owner"), rows.where("known").select("doc_id", "version", "start", "end")
 
 
 def repeated_passages(d: DataFrame, facts: DataFrame, copies: DataFrame, known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For versions of documents: the (doc_id, version, start, end, owner) of runs of windows of min_words words of which the owner is the first document that
-    holds them. Texts in copies, and windows within spans in known, repeat earlier ones and are left out."""
+    holds them. Texts in copies, and windows within spans in known, repeat earlier ones and are left out. The table of facts goes once its marks are read."""
     key = ["doc_id", "version"]
     marks = facts.where(f"kind = {MARK}").select("item", *key)
     again = marks.groupBy("item").agg(F.min("version").alias("a"), F.max("version").alias("b")).where("a < b").select("item")
     per = marks.join(again, "item").groupBy(*key).agg(F.collect_set("item").alias("marks")).join(copies.select(*key).distinct(), key, "left_anti")
     spans = known.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("known"))
     per = materialize(per.join(spans, key, "left"), "wanted")
+    discard(facts)
     found = d.join(per, key).select("doc_id", "version", "text", "marks", "known")
     rows = materialize(found.mapInArrow(_window_rows(min_words), "item long, doc_id long, version long, at long"), "windows")
     first = rows.groupBy("item").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("item", "owner")
@@ -303,17 +306,16 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     SHINGLE words (paragraphs that aren't their component's first), and passages of at least min_words words. class_id is the smallest doc_id reached by such
     repeats, the document's own where it has none. Null and empty texts and shorter ones have no repeats and, if null, a null version. A null doc_id has no
     repeats and a null class_id. Rows that share a doc_id are told apart by their texts, but a passage counts as repeated only if a smaller doc_id holds it; equal
-    rows answer alike. Very long texts are searched whole, in batches of a few megabytes or one text. Ties have no effect: owners are minima. An empty table gives no rows.
+    rows answer alike. Very long texts are searched whole, in batches of a megabyte or one text. Ties have no effect: owners are minima. An empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, "1m")
     d = versions(docs)
     key = ["doc_id", "version"]
-    found = facts(d, SHINGLE, min_words)
-    copies = materialize(repeated_texts(found), "copies")
-    repeats, known = repeated_paragraphs(d, found)
-    every = repeats.unionByName(copies).unionByName(repeated_passages(d, found, copies, known, min_words))
+    facts = facts_of(d, SHINGLE, min_words)
+    copies = materialize(repeated_texts(facts), "copies")
+    repeats, known = repeated_paragraphs(d, facts)
+    every = repeats.unionByName(copies).unionByName(repeated_passages(d, facts, copies, known, min_words))
     spans = materialize(every, "spans")
-    discard(found)
     links = spans.where("doc_id <> owner").select(F.col("doc_id").alias("u"), F.col("owner").alias("v"))
     classes = connected_components(links)
     one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
