@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rules that may be broadcast.
+BROADCAST_RULES = 10_000
+
 
 def candidate_join(left: DataFrame, candidates: Column, right: DataFrame, key: str, by: list[str]) -> DataFrame:
     """left with `hit`, the first of its `candidates` (an array in order of preference) that is a `key` of right, and `hit_rank`
@@ -42,16 +45,16 @@ def longest_prefix(left: DataFrame, path: str, areas: DataFrame, area_path: str,
 def first_rule(left: DataFrame, text: str, rules: DataFrame, pattern: str, is_prefix: str, rank: str, by: list[str]) -> DataFrame:
     """left with `rule_rank` and `rule_pattern` of the first rule, by rank, that matches: exactly, or as a prefix where is_prefix is true.
 
-    Rules are a project's alias table, some tens of rows, and are broadcast below the size the planner itself allows; exact rules and
-    all prefixes of the text up to the longest one of a rule are looked up by equality.
+    Rules are a project's alias table, some tens of rows, and are broadcast where a count finds them few; exact rules and all prefixes of the text
+    up to the longest one of a rule are looked up by equality. The texts' prefixes are many times the rows of left, and are never the side that is broadcast.
     """
-    longest = rules.where(F.col(is_prefix)).agg(F.coalesce(F.max(F.length(pattern)), F.lit(0))).first()[0]
+    longest, n = rules.agg(F.coalesce(F.max(F.when(F.col(is_prefix), F.length(pattern))), F.lit(0)), F.count(F.lit(1))).first()
     lengths = F.sequence(F.lit(0), F.least(F.length(text), F.lit(longest)))
     prefixes = F.transform(lengths, lambda n: F.struct(F.lit(True).alias("p"), F.substring(F.col(text), F.lit(1), n).alias("k")))
     keys = F.concat(F.array(F.struct(F.lit(False).alias("p"), F.col(text).alias("k"))), prefixes)
     tried = left.select(*by, F.explode(keys).alias("_t")).select(*by, F.col("_t.p").alias("_p"), F.col("_t.k").alias("_k"))
     r = rules.select(F.col(is_prefix).alias("_p"), F.col(pattern).alias("_k"), F.col(rank).alias("_rank"))
-    best = tried.join(r, ["_p", "_k"]).groupBy(*by).agg(F.min("_rank").alias("rule_rank"), F.min_by("_k", "_rank").alias("rule_pattern"))
+    best = tried.join(F.broadcast(r) if n <= BROADCAST_RULES else r.hint("merge"), ["_p", "_k"]).groupBy(*by).agg(F.min("_rank").alias("rule_rank"), F.min_by("_k", "_rank").alias("rule_pattern"))
     return left.join(best, by, "left")
 
 
