@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeatlas.operators import resolve
+from codeatlas.operators import resolve, windows
 
 
 def test_first_rule_does_not_broadcast_the_texts(spark, tmp_path, capsys, monkeypatch):
@@ -18,3 +18,19 @@ def test_first_rule_does_not_broadcast_the_texts(spark, tmp_path, capsys, monkey
         plan = capsys.readouterr().out
         assert wanted in plan and "BuildLeft" not in plan
         assert got.groupBy("rule_rank").count().orderBy("rule_rank").collect() == [(0, 111), (1, 889)]
+
+
+def test_cooldown_broadcasts_no_requests(spark, capsys, monkeypatch):
+    plans, write = [], windows.materialize
+
+    def watched(df, name):
+        df.explain()
+        plans.append((name, capsys.readouterr().out))
+        return write(df, name)
+
+    monkeypatch.setattr(windows, "materialize", watched)
+    df = spark.range(3000).select((F.col("id") % 7).alias("k"), F.col("id").alias("i"), F.timestamp_seconds(F.col("id") * 60).alias("t"))
+    got = windows.cooldown(df, "k", "t", "i", 3600)
+    assert got.where("granted").count() == 7 * 48
+    rounds = [plan for name, plan in plans if name in ("granted", "jumps")]
+    assert len(rounds) > 8 and all("SortMergeJoin" in plan for plan in rounds[1:]) and not [1 for plan in rounds[1:] if "BroadcastHashJoin" in plan]
