@@ -168,11 +168,12 @@ def neighborhood(focus: DataFrame, edges: DataFrame, run: str = "run_id") -> Dat
 def call_chains(edges: DataFrame, start: DataFrame, depth: int, run: str = "run_id") -> DataFrame:
     """(run_id, path, closed): chains from the start nodes, to a depth; a child that is already an ancestor is shown, and not expanded.
 
-    One recursive query, whose rows are the chains themselves: bound start and depth, as their number grows with the branching. Each level is an equi-join of open chains and edges.
+    One recursive query, whose rows are the chains themselves: bound start and depth, as their number grows with the branching. Each level is an equi-join of open chains and edges;
+    distinct edges are written first, as every level runs the plan of its edges anew.
     """
     spark = edges.sparkSession
     name = f"chains_{uuid.uuid4().hex}"
-    edges.select(run, F.col("source").alias("at"), F.col("target").alias("next")).distinct().createOrReplaceTempView(f"{name}_edges")
+    materialize(edges.select(run, F.col("source").alias("at"), F.col("target").alias("next")).distinct(), "calls").createOrReplaceTempView(f"{name}_edges")
     start.select(run, F.array("id").alias("path")).createOrReplaceTempView(f"{name}_start")
     try:
         return spark.sql(f"""

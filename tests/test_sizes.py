@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeatlas.operators import resolve, windows
+from codeatlas.plans import graph
 
 
 def test_first_rule_does_not_broadcast_the_texts(spark, tmp_path, capsys, monkeypatch):
@@ -34,3 +35,16 @@ def test_cooldown_broadcasts_no_requests(spark, capsys, monkeypatch):
     assert got.where("granted").count() == 7 * 48
     rounds = [plan for name, plan in plans if name in ("granted", "jumps")]
     assert len(rounds) > 8 and all("SortMergeJoin" in plan for plan in rounds[1:]) and not [1 for plan in rounds[1:] if "BroadcastHashJoin" in plan]
+
+
+def test_call_chains_read_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    edges = spark.createDataFrame([("r", i, i + 1) for i in range(6)], "run_id string, source int, target int").withColumn("target", F.udf(look, "int")("target"))
+    got = graph.call_chains(edges, spark.createDataFrame([("r", 0)], "run_id string, id int"), 4)
+    assert sorted(len(r.path) for r in got.collect()) == [1, 2, 3, 4, 5]
+    assert seen.value == 6
