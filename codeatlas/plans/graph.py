@@ -6,16 +6,24 @@ Loops join and write each step to the shared folder: plans stay short and a lost
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import windows
-from ..session import bucketed, discard, materialize
+from ..session import bucketed, discard, materialize, tidy_shuffles
 
 #: Out-edges of a node beyond which its edges are dealt to further buckets; rows of runs that may be broadcast.
 HUB, BROADCAST_RUNS = 100_000, 200_000
 
+#: Reachability: edges of a slice of nodes, bytes of a block's sets of all nodes, origins of a block, and bytes of sets that a batch of blocks moves in a hop.
+SLICE, BLOCK_BYTES, WIDEST, BATCH_BYTES = 2_000_000, 64 << 20, 4096, 1 << 30
+
 # Fixed values.
 DECAY, MIN_WEIGHT, DAMPING, ITERATIONS = 0.7, 0.06, 0.85, 20
 
@@ -44,29 +52,147 @@ def reference_counts(nodes: DataFrame, edges: DataFrame, run: str = "run_id") ->
     return d.select(run, "node", (F.lit(1) + F.col("fan_in") + F.col("fan_out")).cast("long").alias("refs"))
 
 
-def _frontiers(edges: DataFrame, origins: DataFrame | None, hops: int, run: str) -> tuple[DataFrame, list[DataFrame]]:
-    """((run, src, word, bit) of the origins, and per hop (run, word, node, bits): which origins of a word of 64 reach the node first at this distance).
-
-    Sets of origins travel as bits: a hop joins frontier and edges, combines the sets that meet at a node with bit_or, before the shuffle and after it, and clears those that were there
-    already. No row per origin and node is made.
+def _matrix(sets: pa.ChunkedArray, dtype=np.uint64) -> np.ndarray:
+    """A row per set, all being of one width."""
+    rows = sets.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1)
+
+
+def _sets(m: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.shape[1] * m.itemsize), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
+
+
+def _met(front: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The union of the rows front[place] of each group; groups begin at `first`. The k-th members of all groups are taken at once, those of the few largest groups one group after another."""
+    size = np.diff(first, append=len(place))
+    order = np.argsort(-size, kind="stable")
+    size, first = size[order], first[order]
+    out, k = front[place[first]], 1
+    while (m := int(np.searchsorted(-size, -k, "left"))) >= 64:  # groups of more than k members
+        out[:m] |= front[place[first[:m] + k]]
+        k += 1
+    for g in range(m):
+        for lo in range(k, size[g], 4096):
+            out[g] |= np.bitwise_or.reduce(front[place[first[g] + lo : first[g] + min(lo + 4096, size[g])]], axis=0)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back]
+
+
+def _hop(left: pa.Table, right: pa.Table, origins: int) -> pa.Table:
+    """One hop of a block of origins into a slice of the nodes: `new` sets of the block's frontier meet over the slice's edges; what `seen` sets of the slice hold isn't new,
+    and nodes that hold the whole block aren't looked at."""
+    if not left.num_rows:
+        return pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("v", pa.int64()), ("new", pa.binary()), ("seen", pa.binary()))})
+    at, had = left.filter(left["new"].is_valid()), left.filter(left["seen"].is_valid())
+    at, had = at.sort_by("v"), had.sort_by("v")
+    block, w = left["block"][0].as_py(), len((at if at.num_rows else had)["new" if at.num_rows else "seen"][0].as_py()) // 8
+    known, source = had["v"].to_numpy(), at["v"].to_numpy()
+    s, t = (np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy() for c in right[x].chunks)]) for x in ("s", "t")) if right.num_rows else (np.empty(0, np.int32),) * 2
+    whole = np.zeros(w * 8, np.uint8)
+    whole[: (rest := max(0, min(origins - block * w * 64, w * 64))) // 8] = 255
+    if rest % 8:
+        whole[rest // 8] = (1 << rest % 8) - 1
+    held = _matrix(had["seen"]) if had.num_rows else np.zeros((0, w), np.uint64)
+    done = known[(held == whole.view(np.uint64)).all(axis=1)]
+    open_ = np.ones(max(int(t.max(initial=-1)), int(done.max(initial=-1))) + 1, bool)
+    open_[done] = False
+    s, t = s[(some := open_[t])], t[some]
+    place = np.searchsorted(source, s)
+    hit = np.flatnonzero(source[np.minimum(place, len(source) - 1)] == s) if len(source) else np.empty(0, np.int64)
+    hit = hit[np.argsort(t[hit], kind="stable")]
+    place, (met, first) = place[hit], np.unique(t[hit], return_index=True)
+    v = np.union1d(known, met).astype(np.int64)
+    new, seen = np.zeros((len(v), w), np.uint64), np.zeros((len(v), w), np.uint64)
+    seen[np.searchsorted(v, known)] = held
+    if len(met):
+        new[np.searchsorted(v, met)] = _met(_matrix(at["new"]), place, first)
+        new &= ~seen
+        seen |= new
+    some = pa.array(new.any(axis=1))
+    return pa.table({"block": pa.array(np.full(len(v), block, np.int64)), "v": v, "new": pc.if_else(some, _sets(new), pa.scalar(None, pa.binary())), "seen": _sets(seen)})
+
+
+def _frontiers(edges: DataFrame, origins: DataFrame | None, hops: int, run: str, kept: bool) -> Iterator[tuple[DataFrame, int, int, DataFrame]]:
+    """((run, src, block, bit) of the origins, bits of a block, distance, (block, v, run, node, new) of the sets of origins that reach a node first at this distance).
+
+    Origins are cut into blocks, nodes into slices of some millions of edges, and a hop is a task per block and slice: it gets the block's frontier, and the slice's edges and sets. So a task
+    holds a block's bits per node and a slice of the edges, whatever the graph's size. Blocks go in batches, each to its end, and a hop's shuffles and tables are removed after the next one:
+    disk is bounded by a batch, while time grows with origins times edges. With `kept`, tables of the sets stay.
     """
-    e = materialize(edges.select(run, "source", "target").dropna().distinct(), "edges")
-    asked = e.select(run, F.col("source").alias("src")) if origins is None else origins.select(run, F.col("id").alias("src")).dropna()
-    ids = windows.numbered_split(asked.distinct(), [run], [F.col("src")], "_i", 0)
-    ids = materialize(ids.select(run, "src", F.floor(F.col("_i") / 64).alias("word"), (F.col("_i") % 64).cast("int").alias("bit")), "origins")
-    seen = [ids.select(run, "word", F.col("src").cast(e.schema["target"].dataType).alias("node"), F.expr("shiftleft(1L, bit)").alias("bits"))]
-    steps = e.withColumnsRenamed({"source": "node", "target": "next"})
-    zero = F.lit(0).cast("long")
-    for _ in range(hops):
-        met = seen[-1].join(steps, [run, "node"]).select(run, "word", F.col("next").alias("node"), F.col("bits").alias("got"), zero.alias("had"))
-        for old in seen:
-            met = met.unionByName(old.select(run, "word", "node", zero.alias("got"), F.col("bits").alias("had")))
-        new = met.groupBy(run, "word", "node").agg(F.bit_or("got").alias("got"), F.bit_or("had").alias("had")).select(run, "word", "node", F.expr("got & ~had").alias("bits")).where("bits <> 0")
-        new = materialize(new, "frontier")
-        if not new.take(1):
-            break
-        seen.append(new)
-    return ids, seen[1:]
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    node = edges.schema["target"].dataType
+    e = materialize(edges.select(run, F.col("source").cast(node).alias("source"), "target").dropna().distinct(), "edges")
+    nodes = e.select(run, F.col("source").alias("node")).unionByName(e.select(run, F.col("target").alias("node"))).distinct()
+    nodes = materialize(windows.numbered_global(nodes, [F.col(run), F.col("node")], "v", 0), "nodes")
+    asked = e.select(run, F.col("source").alias("src")) if origins is None else edges.select(run, F.col("source").alias("src")).dropna().join(origins.select(run, F.col("id").alias("src")), [run, "src"], "left_semi")
+    ids = windows.numbered_global(asked.distinct(), [F.col(run), F.col("src")], "o", 0)
+    ids = materialize(ids.join(nodes.hint("merge"), (ids[run] == nodes[run]) & (F.col("src").cast(node) == F.col("node"))).select(ids[run], "src", "v", "o"), "origins")
+    n_edges, n_origins = e.count(), ids.count()
+    largest = nodes.groupBy(run).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    width = 64 * max(1, min(-(-n_origins // (parts * 64)), WIDEST // 64, BLOCK_BYTES * 8 // largest // 64))
+    slices, n_blocks = max(1, -(-n_edges // SLICE)), -(-n_origins // width)
+    ids = ids.select(run, "src", "v", F.floor(F.col("o") / width).alias("block"), (F.col("o") % width).cast("int").alias("bit"))
+    ends = nodes.select(run, F.col("node").alias("source"), F.col("v").cast("int").alias("s")).hint("merge"), nodes.select(run, F.col("node").alias("target"), F.col("v").cast("int").alias("t")).hint("merge")
+    packs = F.pmod(F.xxhash64("s"), F.lit(max(1, n_edges // slices // 50_000))).alias("pack")
+    packed = e.join(ends[0], [run, "source"]).join(ends[1], [run, "target"]).groupBy(run, (F.col("t") % slices).alias("slice"), packs).agg(F.collect_list("s").alias("s"), F.collect_list("t").alias("t"))
+    packed = materialize(packed.select(run, "slice", "s", "t"), "packed")
+    discard(e)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, bit = np.zeros((b.num_rows, width // 8), np.uint8), b["bit"].to_numpy()
+            m[np.arange(b.num_rows), bit // 8] = 1 << (bit % 8)
+            yield pa.RecordBatch.from_arrays([b["block"], b["v"], _sets(m), _sets(m)], ["block", "v", "new", "seen"])
+
+    def hop(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _hop(left, right, n_origins)
+
+    schema = "block long, v long, new binary, seen binary"
+    batch = max(1, BATCH_BYTES * 8 // (slices * largest * width))
+    for lo in range(0, n_blocks, batch):
+        some = ids.where((F.col("block") >= lo) & (F.col("block") < lo + batch))
+        inner = packed.join(F.broadcast(some.select(run, "block").distinct()), run).drop(run)
+        state = some.select("block", "v", "bit").mapInArrow(single, schema)
+        before = None
+        for d in range(1, hops + 1):
+            front = state.where("new is not null").select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "v", "new", F.lit(None).cast("binary").alias("seen"))
+            left = front.unionByName(state.select("block", (F.col("v") % slices).cast("int").alias("slice"), "v", F.lit(None).cast("binary").alias("new"), "seen"))
+            with tidy_shuffles(spark):
+                state = materialize(left.groupBy("block", "slice").cogroup(inner.groupBy("block", "slice")).applyInArrow(hop, schema), "frontier")
+            if before is not None and not kept:
+                discard(before)
+            before, found = state, state.where("new is not null").select("block", "v", "new")
+            if not found.take(1):
+                break
+            yield ids, width, d, found.join(nodes.hint("merge"), "v") if kept else found
+        if before is not None and not kept:
+            discard(before)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, bit): which bits the sets of a row hold."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 1024):
+            part = b.slice(lo, 1024)
+            row, bit = np.nonzero(np.unpackbits(_matrix(pa.chunked_array([part["new"]]), np.uint8), axis=1, bitorder="little"))
+            taken = part.drop_columns(["new"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bit.astype(np.int32))], [*taken.schema.names, "bit"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, n): how many sets hold each bit of the block."""
+    found: dict[int, np.ndarray] = {}
+    for b in batches:
+        blocks = b["block"].to_numpy()
+        for k in np.unique(blocks):
+            m = _matrix(pa.chunked_array([b["new"].filter(pa.array(blocks == k))]), np.uint8)
+            for lo in range(0, len(m), 1024):
+                c = np.unpackbits(m[lo : lo + 1024], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                found[k] = found[k] + c if k in found else c
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([c.tolist() for c in found.values()], pa.list_(pa.int64()))], ["block", "n"])
 
 
 def reach(edges: DataFrame, origins: DataFrame | None = None, hops: int | None = None, run: str = "run_id") -> DataFrame:
@@ -74,29 +200,29 @@ def reach(edges: DataFrame, origins: DataFrame | None = None, hops: int | None =
 
     The output has a row per reached pair, which is what is asked for: pairs are spelled out at the end, from sets. For counts and sums take reach_sums, which never has them.
     """
-    ids, found = _frontiers(edges, origins, hops or max_hops(), run)
     out = edges.select(run, F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("dist")).where("false")
-    held = F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1) = 1)")
-    for d, new in enumerate(found, 1):
-        pairs = new.select(run, "word", F.col("node").alias("dst"), F.explode(held).alias("bit"))
-        out = out.unionByName(pairs.join(ids, [run, "word", "bit"]).select(run, "src", "dst", F.lit(d).alias("dist")))
+    kinds = {f.name: f.dataType for f in out.schema}
+    for ids, _, d, new in _frontiers(edges, origins, hops or max_hops(), run, True):
+        schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("dst", kinds["dst"]), T.StructField("bit", T.IntegerType())])
+        pairs = new.select("block", F.col("node").alias("dst"), "new").mapInArrow(_bits, schema)
+        out = out.unionByName(pairs.join(ids, ["block", "bit"]).select(run, "src", "dst", F.lit(d).alias("dist")))
     return out
 
 
 def reach_sums(edges: DataFrame, origins: DataFrame | None = None, hops: int | None = None, decay: float = DECAY, run: str = "run_id") -> DataFrame:
     """(run_id, src, reached, weight, farthest) of the origins that reach a node: how many, the sum of decay^(dist - 1), the largest distance.
 
-    A hop's sets are counted bit by bit, 64 sums per word of origins, combined before the shuffle."""
-    ids, found = _frontiers(edges, origins, hops or max_hops(), run)
-    ones = [F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1")).alias(f"b{i}") for i in range(64)]
-    counts = None
-    for d, new in enumerate(found, 1):
-        c = new.groupBy(run, "word").agg(*ones).select(run, "word", F.posexplode(F.array(*[f"b{i}" for i in range(64)])).alias("bit", "n")).where("n > 0").withColumn("dist", F.lit(d))
+    A hop's sets are counted bit by bit in the tasks that read them; the counts are written, the sets go."""
+    ids, counts = None, None
+    for ids, _, d, new in _frontiers(edges, origins, hops or max_hops(), run, False):
+        with tidy_shuffles(edges.sparkSession):
+            c = new.select("block", "new").mapInArrow(_counts, "block long, n array<long>").select("block", F.posexplode("n").alias("bit", "n")).where("n > 0")
+            c = materialize(c.groupBy("block", "bit").agg(F.sum("n").alias("n")), "counts").withColumn("dist", F.lit(d))
         counts = c if counts is None else counts.unionByName(c)
     if counts is None:
-        return ids.select(run, "src", F.lit(0).cast("long").alias("reached"), F.lit(0.0).alias("weight"), F.lit(0).alias("farthest")).where("false")
-    sums = decayed(counts, decay).groupBy(run, "word", "bit").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("weight")).alias("weight"), F.max("dist").alias("farthest"))
-    return ids.join(sums, [run, "word", "bit"]).select(run, "src", "reached", "weight", "farthest")
+        return edges.select(run, F.col("source").alias("src"), F.lit(0).cast("long").alias("reached"), F.lit(0.0).alias("weight"), F.lit(0).alias("farthest")).where("false")
+    sums = decayed(counts, decay).groupBy("block", "bit").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("weight")).alias("weight"), F.max("dist").alias("farthest"))
+    return ids.join(sums, ["block", "bit"]).select(run, "src", "reached", "weight", "farthest")
 
 
 def decayed(reached: DataFrame, decay: float = DECAY) -> DataFrame:

@@ -1,5 +1,9 @@
 """What must not grow: broadcasts, plans run again, rows in one task."""
 
+import random
+from pathlib import Path
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from codeatlas.operators import resolve, windows
@@ -48,3 +52,39 @@ def test_call_chains_read_their_edges_once(spark):
     got = graph.call_chains(edges, spark.createDataFrame([("r", 0)], "run_id string, id int"), 4)
     assert sorted(len(r.path) for r in got.collect()) == [1, 2, 3, 4, 5]
     assert seen.value == 6
+
+
+def test_reach_in_small_blocks_slices_and_batches(spark, monkeypatch):
+    """Every cut at once, hubs on both sides; sets of a batch are gone once they are counted, and so are the hops' tables."""
+    rng = random.Random(9)
+    pairs = {(f"r{rng.randrange(2)}", rng.randrange(70), rng.randrange(70)) for _ in range(200)} | {("r0", i, 7) for i in range(70)} | {("r1", 5, i) for i in range(70)}
+    edges = spark.createDataFrame(sorted(pairs), "run_id string, source int, target int")
+    for name, value in (("SLICE", 150), ("WIDEST", 64), ("BATCH_BYTES", 1)):
+        monkeypatch.setattr(graph, name, value, raising=False)
+    names, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: names.append(name) or write(df, name))
+    out = {}
+    for r, s, t in pairs:
+        out.setdefault((r, s), set()).add(t)
+    want = {}
+    for r, a in out:
+        dist, at = {a: 0}, {a}
+        for d in (1, 2):
+            at = {t for s in at for t in out.get((r, s), ())} - set(dist)
+            dist |= dict.fromkeys(at, d)
+        if len(dist) > 1:
+            want[r, a] = (len(dist) - 1, round(sum(0.7 ** (d - 1) for d in dist.values() if d), 9), max(dist.values()))
+    got = graph.reach_sums(edges, hops=2)
+    assert {(r.run_id, r.src): (r.reached, round(r.weight, 9), r.farthest) for r in got.collect()} == want
+    assert names.count("frontier") >= 2 * (len(out) // 64)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "codeatlas"
+    assert not list(folder.glob("frontier-*"))
+
+
+def test_unions_of_groups():
+    rng = np.random.default_rng(3)
+    for n, most in ((300, 3), (5, 9000), (1, 1)):
+        front = rng.integers(0, 2**63, (40, 3)).astype(np.uint64)
+        size = rng.integers(1, most + 1, n)
+        first, place = np.cumsum(size) - size, rng.integers(0, 40, int(size.sum()))
+        assert (graph._met(front, place, first) == np.bitwise_or.reduceat(front[place], first, axis=0)).all()
