@@ -1,13 +1,15 @@
 """What must not grow: broadcasts, plans run again, rows in one task."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from codeatlas import session, table_queries
 from codeatlas.operators import resolve, windows
-from codeatlas.plans import graph
+from codeatlas.plans import graph, views
 
 
 def test_first_rule_does_not_broadcast_the_texts(spark, tmp_path, capsys, monkeypatch):
@@ -88,3 +90,24 @@ def test_unions_of_groups():
         size = rng.integers(1, most + 1, n)
         first, place = np.cumsum(size) - size, rng.integers(0, 40, int(size.sum()))
         assert (graph._met(front, place, first) == np.bitwise_or.reduceat(front[place], first, axis=0)).all()
+
+
+def test_unique_callees_deal_calls_by_their_number(spark, capsys, monkeypatch):
+    """A task's share of the calls stays small as calls grow, also in the query, whose run is a literal."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500, raising=False)
+    rng = random.Random(3)
+    rows = [(f"r{rng.randrange(3)}", rng.randrange(40), rng.randrange(60), i) for i in range(6000)]
+    calls = spark.createDataFrame(rows, "run_id string, source int, target int, ord int")
+    callables = spark.createDataFrame([(f"r{r}", i, f"f{i}") for r in range(3) for i in range(60)], "run_id string, id int, name string")
+    want = {}
+    for r, s, t, _ in rows:
+        seen = want.setdefault((r, s), [])
+        if t not in seen:
+            seen.append(t)
+    got = views.unique_callees(calls, callables).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.run_id, r.caller, r.callee, r.place, r.name) for r in got} == {(*k, t, i + 1, f"f{t}") for k, v in want.items() for i, t in enumerate(v)}
+    assert max(Counter(r.task for r in got).values()) < len(got) / 4
+    capsys.readouterr()
+    table_queries.QUERIES["unique_callees"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("REPARTITION_BY_NUM") == 5 and "ENSURE_REQUIREMENTS" not in plan
