@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import windows
-from ..session import bucketed, discard, materialize, tidy_shuffles
+from ..session import bucketed, discard, materialize, small_batches, tidy_shuffles
 
 #: Out-edges of a node beyond which its edges are dealt to further buckets; rows of runs that may be broadcast.
 HUB, BROADCAST_RUNS = 100_000, 200_000
@@ -236,16 +236,55 @@ def decayed(reached: DataFrame, decay: float = DECAY) -> DataFrame:
     return reached.withColumn("weight", w)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per source and slot of a sorted batch, with its targets `t` and numbers `m` as bytes: later on they cross to Python as they are, not number by number."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.select([c for c in b.schema.names if c not in ("t", "m")])
+        cut = np.zeros(b.num_rows - 1, bool)
+        for k in keys.columns:
+            cut |= pc.not_equal(k.slice(1), k.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        ends = pa.py_buffer((np.append(first, b.num_rows) * 8).astype(np.int32))
+        packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(b[c].to_numpy()))]) for c in ("t", "m")]
+        yield pa.RecordBatch.from_arrays([*keys.take(pa.array(first)).columns, *packed], b.schema.names)
+
+
+def _unpacked(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The long integers of all rows, and how many each row has."""
+    ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    return np.frombuffer(a.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64), np.diff(ends) // 8
+
+
+def _flowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, got): what targets get from the shares of a batch of sources, parallel edges by their number."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        (t, n), (m, _) = _unpacked(b["t"]), _unpacked(b["m"])
+        flow, least = np.repeat(b["share"].to_numpy(), n) * m, int(t.min())
+        if int(t.max()) - least < 4 * len(t):
+            met = np.flatnonzero(np.bincount(t - least)) + least
+            got = np.bincount(t - least, flow)[met - least]
+        else:
+            met, place = np.unique(t, return_inverse=True)
+            got = np.bincount(place, flow)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), pa.array(got)], ["t", "got"])
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING, run: str = "run_id") -> DataFrame:
     """(run_id, node, rank) after a fixed number of iterations.
 
     nodes (run_id, id); edges (run_id, source, target), parallel ones counted in shares. Ranks start at 1/n. Teleport is uniform, or over the seeds
     that are nodes. A dangling node's rank goes to the teleport; what flows to targets that aren't nodes is lost.
 
-    Edges are written once in buckets of their source, a hub's in several (by target), and nodes in buckets of their own. A step never moves edges: it deals a share per node and
-    slot to the edges' buckets, sums by target before and after the one large shuffle, and meets the nodes' buckets.
+    Nodes are numbered. Edges are written once in buckets of their source, a hub's in several (by target), many packed into a row, and nodes in buckets of their own. A step
+    never moves or sorts edges: it deals a share per node and slot to the edges' buckets, sums by target before and after the one large shuffle, and meets the nodes' buckets.
     """
+    spark = nodes.sparkSession
     n = nodes.select(run, F.col("id").alias("node")).dropna().distinct()
+    numbers = materialize(windows.numbered_global(n, [F.col(run), F.col("node")], "v", 0), "nodes")
     flows = materialize(edges.dropna(subset=[run, "source", "target"]).groupBy(run, "source", "target").agg(F.count(F.lit(1)).alias("m")), "flows")
     out = flows.groupBy(run, F.col("source").alias("node")).agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("slots"))
     size = n.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
@@ -254,23 +293,31 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     few = runs.count() <= BROADCAST_RUNS
     by_run = lambda df: F.broadcast(df) if few else df
     jump = F.when(F.col("k") == 0, F.lit(1.0) / F.col("n")).when(F.col("seed") == 1, F.lit(1.0) / F.col("k")).otherwise(F.lit(0.0))
-    base = n.join(by_run(runs), run).join(s, [run, "node"], "left").join(out, [run, "node"], "left")
-    base = base.select(run, "node", jump.alias("jump"), "deg", F.coalesce("slots", F.lit(1)).alias("slots"), (F.lit(1.0) / F.col("n")).alias("rank"))
+    base = numbers.join(by_run(runs), run).join(s, [run, "node"], "left").join(out, [run, "node"], "left")
+    base = base.select("v", run, "node", jump.alias("jump"), "deg", F.coalesce("slots", F.lit(1)).alias("slots"), (F.lit(1.0) / F.col("n")).alias("rank"))
     hubs = out.where("slots > 1").select(run, F.col("node").alias("source"), "slots")
     slot = F.when(F.col("slots").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("target"), F.col("slots")).cast("int"))
     dealt = flows.join(by_run(hubs) if hubs.count() <= BROADCAST_RUNS else hubs, [run, "source"], "left").select(run, "source", slot.alias("slot"), "target", "m")
-    with bucketed(dealt, [run, "source", "slot"]) as flows_by_source, bucketed(base, [run, "node"]) as nodes_by_node:
-        ranks = nodes_by_node.select(run, "node", "rank")
-        kept = nodes_by_node.drop("rank")
-        for _ in range(iterations):
-            now = kept.join(ranks, [run, "node"])
+    ends = numbers.select(run, F.col("node").alias("target"), F.col("v").alias("t")).hint("merge")
+    key, parts = [run, "source", "slot"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.join(ends, [run, "target"]).select(*key, "t", "m").repartition(parts, *key).sortWithinPartitions("source", "slot", run)
+    schema = T.StructType([*dealt.select(*key).schema.fields, T.StructField("t", T.BinaryType()), T.StructField("m", T.BinaryType())])
+    with small_batches(spark), bucketed(dealt.mapInArrow(_packed, schema), key) as flows_by_source, bucketed(base, ["v"]) as kept:
+        ranks = kept.select("v", "rank")
+        kept = kept.drop("rank")
+        for i in range(iterations):
+            now = kept.join(ranks, "v")
             share = now.where("deg is not null").select(run, F.col("node").alias("source"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), (F.col("rank") / F.col("deg")).alias("share"))
-            got = flows_by_source.join(share.hint("merge"), [run, "source", "slot"]).groupBy(run, F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("m")).alias("got"))
+            flow = flows_by_source.join(share.hint("merge"), key).select("share", "t", "m")
+            got = flow.mapInArrow(_flowed, "t long, got double").groupBy(F.col("t").alias("v")).agg(F.sum("got").alias("got"))
             lost = now.groupBy(run).agg(F.sum(F.when(F.col("deg").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
             rank = F.lit(1 - damping) * F.col("jump") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("jump"))
-            before, ranks = ranks, materialize(now.join(got, [run, "node"], "left").join(by_run(lost), run).select(run, "node", rank.alias("rank")), "ranks")
+            step = now.join(got, "v", "left").join(by_run(lost), run)
+            before, ranks = ranks, materialize(step.select("v", rank.alias("rank")) if i < iterations - 1 else step.select(run, "node", rank.alias("rank")), "ranks")
             discard(before)
-    discard(flows)
+        if not iterations:
+            ranks = materialize(kept.join(ranks, "v").select(run, "node", "rank"), "ranks")
+    discard(flows, numbers)
     return ranks
 
 

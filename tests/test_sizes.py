@@ -111,3 +111,23 @@ def test_unique_callees_deal_calls_by_their_number(spark, capsys, monkeypatch):
     table_queries.QUERIES["unique_callees"](spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert plan.count("REPARTITION_BY_NUM") == 5 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_pagerank_packs_edges_into_few_rows(spark, monkeypatch):
+    """A step joins a row per source, not per edge; targets close together and far apart, parallel edges, and ends that aren't nodes."""
+    for pairs in ([(a, b) for a in range(20) for b in range(30)] + [(0, 1)] * 5 + [(3, 999), (999, 3)], [(0, 1), (0, 1), (0, 290), (7, 299), (299, 0), (5, 999)]):
+        tables, write = [], graph.bucketed
+        monkeypatch.setattr(graph, "bucketed", lambda df, keys: tables.append((keys, df.count())) or write(df, keys))
+        nodes = spark.createDataFrame([("r", i) for i in range(300)], "run_id string, id int")
+        edges = spark.createDataFrame([("r", s, t) for s, t in pairs], "run_id string, source int, target int")
+        got = {r.node: r["rank"] for r in graph.pagerank(nodes, edges, iterations=2).collect()}
+        deg, rank = Counter(s for s, _ in pairs), dict.fromkeys(range(300), 1 / 300)
+        for _ in range(2):
+            flow, lost = Counter(), sum(v for i, v in rank.items() if not deg[i])
+            for s, t in pairs:
+                if s in rank:
+                    flow[t] += rank[s] / deg[s]
+            rank = {i: 0.15 / 300 + 0.85 * (flow[i] + lost / 300) for i in rank}
+        assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-12 for i in rank)
+        assert [n for keys, n in tables if "source" in keys][0] <= len(deg)
+        monkeypatch.setattr(graph, "bucketed", write)
