@@ -6,7 +6,7 @@ Loops join and write each step to the shared folder: plans stay short and a lost
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from ..operators import windows
 from ..session import bucketed, discard, materialize, small_batches, tidy_shuffles
 
-#: Out-edges of a node beyond which its edges are dealt to further buckets; rows of runs that may be broadcast.
-HUB, BROADCAST_RUNS = 100_000, 200_000
+#: PageRank: edges of a packed row (a block of sources with more has several), most nodes of a block, edges whose flow a task holds; rows of runs that may be broadcast.
+HUB, BLOCK, HELD, BROADCAST_RUNS = 200_000, 16_384, 2_000_000, 200_000
 
 #: Reachability: edges of a slice of nodes, bytes of a block's sets of all nodes, origins of a block, and bytes of sets that a batch of blocks moves in a hop.
 SLICE, BLOCK_BYTES, WIDEST, BATCH_BYTES = 2_000_000, 64 << 20, 4096, 1 << 30
@@ -236,41 +236,79 @@ def decayed(reached: DataFrame, decay: float = DECAY) -> DataFrame:
     return reached.withColumn("weight", w)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per source and slot of a sorted batch, with its targets `t` and numbers `m` as bytes: later on they cross to Python as they are, not number by number."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.select([c for c in b.schema.names if c not in ("t", "m")])
-        cut = np.zeros(b.num_rows - 1, bool)
-        for k in keys.columns:
-            cut |= pc.not_equal(k.slice(1), k.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
-        first = np.concatenate([[0], np.flatnonzero(cut) + 1])
-        ends = pa.py_buffer((np.append(first, b.num_rows) * 8).astype(np.int32))
-        packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(b[c].to_numpy()))]) for c in ("t", "m")]
-        yield pa.RecordBatch.from_arrays([*keys.take(pa.array(first)).columns, *packed], b.schema.names)
-
-
-def _unpacked(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The long integers of all rows, and how many each row has."""
-    ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
-    return np.frombuffer(a.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64), np.diff(ends) // 8
-
-
-def _flowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, got): what targets get from the shares of a batch of sources, parallel edges by their number."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        (t, n), (m, _) = _unpacked(b["t"]), _unpacked(b["m"])
-        flow, least = np.repeat(b["share"].to_numpy(), n) * m, int(t.min())
+def _doubles(a: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(a, np.float64).tobytes()], pa.binary())
+
+
+def _chunk(t: pa.Table) -> pa.Table:
+    """A block of nodes as one row: teleports, out-degrees and first ranks of its nodes, and which runs they belong to (a run's nodes are neighbours)."""
+    t = t.sort_by("v")
+    q = t["q"].to_numpy()
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    row = {"q": q[first], "first": first.astype(np.int64), "deg": t["deg"].to_numpy(), "jump": t["jump"].to_numpy(), "rank": t["rank"].to_numpy()}
+    return pa.table({"block": t["block"].slice(0, 1), **{c: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for c, a in row.items()}})
+
+
+_STATE = "block long, slots int, value binary, q array<long>, lost array<double>"
+
+
+def _state(chunk: dict, rank: np.ndarray, last: bool) -> pa.Table:
+    """A block's shares per edge (its ranks, after the last step), and the rank that dangling nodes lose in each of its runs."""
+    deg, q, first = (np.frombuffer(chunk[c], np.int64) for c in ("deg", "q", "first"))
+    value = rank if last else np.divide(rank, deg, out=np.zeros(len(rank)), where=deg > 0)
+    lost = np.add.reduceat(np.where(deg == 0, rank, 0.0), first)
+    lists = [pa.array([q.tolist()], pa.list_(pa.int64())), pa.array([lost.tolist()], pa.list_(pa.float64()))]
+    return pa.table([pa.array([chunk["block"]], pa.int64()), pa.array([chunk["slots"]], pa.int32()), _doubles(value), *lists], ["block", "slots", "value", "q", "lost"])
+
+
+def _step(left: pa.Table, right: pa.Table, damping: float, last: bool) -> pa.Table:
+    """A block's next ranks, from what flows to it and what its runs lose."""
+    chunk = right.to_pylist()[0]
+    q, first, jump = np.frombuffer(chunk["q"], np.int64), np.frombuffer(chunk["first"], np.int64), np.frombuffer(chunk["jump"])
+    got, lost = np.zeros(len(jump)), np.zeros(len(q))
+    for at, flow, run, x in zip(*(left[c] for c in ("at", "got", "run", "x")), strict=True):
+        if not flow.is_valid:
+            lost[np.searchsorted(q, run.as_py())] = x.as_py()
+        elif at.is_valid:
+            got[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(flow.as_buffer())
+        else:
+            got += np.frombuffer(flow.as_buffer())
+    return _state(chunk, (1 - damping) * jump + damping * (got + np.repeat(lost, np.diff(first, append=len(jump))) * jump), last)
+
+
+def _flowed(width: int, kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, at, got): what the nodes of a block get from a task's edges; without `at` all its nodes. Flows of HELD edges are summed at a time."""
+
+    def met(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        t, flow = (np.concatenate(c) for c in zip(*held, strict=True))
+        least = int(t.min())
         if int(t.max()) - least < 4 * len(t):
-            met = np.flatnonzero(np.bincount(t - least)) + least
-            got = np.bincount(t - least, flow)[met - least]
+            got = np.bincount(t - least, flow)
+            at = np.flatnonzero(got)
+            got, at = got[at], at + least
         else:
-            met, place = np.unique(t, return_inverse=True)
+            at, place = np.unique(t, return_inverse=True)
             got = np.bincount(place, flow)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), pa.array(got)], ["t", "got"])
+        at = at.astype(np.int64)
+        block = at // width
+        cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1))  # none where all flows are zero
+        local, rows = (at - block * width).astype(np.int32), list(zip(cuts[:-1], cuts[1:], strict=True))
+        places = pa.array([None if j - i == width else local[i:j].tobytes() for i, j in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), places, pa.array([got[i:j].tobytes() for i, j in rows], pa.binary())], ["block", "at", "got"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for value, s, t in zip(b["value"], b["s"], b["t"], strict=True):
+                held.append((np.frombuffer(t.as_buffer(), kind), np.frombuffer(value.as_buffer())[np.frombuffer(s.as_buffer(), np.int32)]))
+                n += len(held[-1][0])
+                if n >= HELD:
+                    yield met(held)
+                    held, n = [], 0
+        if held:
+            yield met(held)
+
+    return run
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING, run: str = "run_id") -> DataFrame:
@@ -279,45 +317,77 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     nodes (run_id, id); edges (run_id, source, target), parallel ones counted in shares. Ranks start at 1/n. Teleport is uniform, or over the seeds
     that are nodes. A dangling node's rank goes to the teleport; what flows to targets that aren't nodes is lost.
 
-    Nodes are numbered. Edges are written once in buckets of their source, a hub's in several (by target), many packed into a row, and nodes in buckets of their own. A step
-    never moves or sorts edges: it deals a share per node and slot to the edges' buckets, sums by target before and after the one large shuffle, and meets the nodes' buckets.
+    Nodes are numbered and cut into blocks, a row of arrays each. Edges are written once as pairs of numbers, packed by block of their source, and bucketed; a block with many has several
+    rows. A step never moves or sorts edges: it deals the blocks' shares to the edges' buckets, and what flows to a block, summed in each task, is the one large shuffle: some rows per task
+    and block, at most a number per edge. So nodes and edges are never rows in a step.
     """
     spark = nodes.sparkSession
-    n = nodes.select(run, F.col("id").alias("node")).dropna().distinct()
-    numbers = materialize(windows.numbered_global(n, [F.col(run), F.col("node")], "v", 0), "nodes")
-    flows = materialize(edges.dropna(subset=[run, "source", "target"]).groupBy(run, "source", "target").agg(F.count(F.lit(1)).alias("m")), "flows")
-    out = flows.groupBy(run, F.col("source").alias("node")).agg(F.sum("m").alias("deg"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("slots"))
-    size = n.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
-    s = n.where("false").withColumn("seed", F.lit(1)) if seeds is None else n.join(seeds.select(run, F.col("id").alias("node")).distinct(), [run, "node"], "left_semi").withColumn("seed", F.lit(1))
-    runs = materialize(size.join(s.groupBy(run).agg(F.count(F.lit(1)).alias("k")), run, "left").fillna(0, ["k"]), "runs")
-    few = runs.count() <= BROADCAST_RUNS
-    by_run = lambda df: F.broadcast(df) if few else df
-    jump = F.when(F.col("k") == 0, F.lit(1.0) / F.col("n")).when(F.col("seed") == 1, F.lit(1.0) / F.col("k")).otherwise(F.lit(0.0))
-    base = numbers.join(by_run(runs), run).join(s, [run, "node"], "left").join(out, [run, "node"], "left")
-    base = base.select("v", run, "node", jump.alias("jump"), "deg", F.coalesce("slots", F.lit(1)).alias("slots"), (F.lit(1.0) / F.col("n")).alias("rank"))
-    hubs = out.where("slots > 1").select(run, F.col("node").alias("source"), "slots")
-    slot = F.when(F.col("slots").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("target"), F.col("slots")).cast("int"))
-    dealt = flows.join(by_run(hubs) if hubs.count() <= BROADCAST_RUNS else hubs, [run, "source"], "left").select(run, "source", slot.alias("slot"), "target", "m")
-    ends = numbers.select(run, F.col("node").alias("target"), F.col("v").alias("t")).hint("merge")
-    key, parts = [run, "source", "slot"], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.join(ends, [run, "target"]).select(*key, "t", "m").repartition(parts, *key).sortWithinPartitions("source", "slot", run)
-    schema = T.StructType([*dealt.select(*key).schema.fields, T.StructField("t", T.BinaryType()), T.StructField("m", T.BinaryType())])
-    with small_batches(spark), bucketed(dealt.mapInArrow(_packed, schema), key) as flows_by_source, bucketed(base, ["v"]) as kept:
-        ranks = kept.select("v", "rank")
-        kept = kept.drop("rank")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with tidy_shuffles(spark):
+        ids = materialize(nodes.select(run, F.col("id").alias("node")).dropna().distinct(), "ids")
+        numbers = materialize(windows.numbered_global(ids, [F.col(run), F.col("node")], "v", 0), "nodes")
+        size = numbers.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("q"))
+        s = numbers.where("false") if seeds is None else numbers.join(seeds.select(run, F.col("id").alias("node")).distinct(), [run, "node"], "left_semi")
+        s = materialize(s.select(run, "v", F.lit(1).alias("seed")), "seeds")
+        runs = materialize(size.join(s.groupBy(run).agg(F.count(F.lit(1)).alias("k")), run, "left").fillna(0, ["k"]), "runs")
+        n_runs, total = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        few, width = n_runs <= BROADCAST_RUNS, max(1, min(BLOCK, -(-total // (8 * parts))))
+        short = total < 1 << 31
+        by_run = lambda df: F.broadcast(df) if few else df
+        v = F.col("v").cast("int") if short else F.col("v")
+        ends = numbers.select(run, F.col("node").alias("source"), v.alias("s")).hint("merge"), numbers.select(run, F.col("node").alias("target"), v.alias("t")).hint("merge")
+        flows = edges.select(run, "source", "target").dropna().join(ends[0], [run, "source"]).join(ends[1], [run, "target"], "left").select("s", "t")
+        flows = materialize(flows, "flows")
+        block = lambda c: F.floor(F.col(c) / width)
+        slots = materialize(flows.groupBy(block("s").alias("block")).agg(F.ceil(F.count("t") / HUB).cast("int").alias("slots")), "slots")
+        deg = flows.groupBy(F.col("s").cast("long").alias("v")).agg(F.count(F.lit(1)).alias("deg"))
+        jump = F.when(F.col("k") == 0, F.lit(1.0) / F.col("n")).when(F.col("seed") == 1, F.lit(1.0) / F.col("k")).otherwise(F.lit(0.0))
+        base = numbers.join(by_run(runs), run).join(s.select("v", "seed").hint("merge"), "v", "left").join(deg.hint("merge"), "v", "left")
+        base = base.select(block("v").alias("block"), "v", "q", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), jump.alias("jump"), (F.lit(1.0) / F.col("n")).alias("rank"))
+        chunks = base.groupBy("block").applyInArrow(_chunk, "block long, q binary, first binary, deg binary, jump binary, rank binary")
+        chunks = materialize(chunks.join(slots, "block", "left").fillna(0, ["slots"]), "chunks")
+        begun = runs.select((F.col("q") / width).cast("long").alias("lo"), ((F.col("q") + F.col("n") - 1) / width).cast("long").alias("hi"), F.col("q").alias("run"))
+        begun = materialize(begun.select("run", F.explode(F.sequence("lo", "hi")).alias("block")), "begun")
+    discard(ids, s)
+    kind = np.int32 if short else np.int64
+
+    def pack(t: pa.Table) -> pa.Table:
+        at, slot = t["source"][0].as_py(), t["slot"][0].as_py()
+        s = (t["s"].to_numpy().astype(np.int64) - at * width).astype(np.int32)
+        return pa.table({"source": [at], "slot": pa.array([slot], pa.int32()), **{c: pa.array([a.tobytes()], pa.binary()) for c, a in (("s", s), ("t", t["t"].to_numpy().astype(kind)))}})
+
+    def start(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return lambda batches: (x for b in batches for c in b.to_pylist() for x in _state(c, np.frombuffer(c["rank"]), last).to_batches())
+
+    def step(last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda left, right: _step(left, right, damping, last)
+
+    # rows are dealt to the slots of their block by their number, which parallel edges can't unbalance
+    dealt = flows.where("t is not null").withColumn("i", F.monotonically_increasing_id()).withColumn("source", block("s")).join(F.broadcast(slots.withColumnRenamed("block", "source")), "source")
+    dealt = dealt.select("source", F.pmod("i", "slots").cast("int").alias("slot"), "s", "t")
+    packed = dealt.groupBy("source", "slot").applyInArrow(pack, "source long, slot int, s binary, t binary")
+    with small_batches(spark), bucketed(packed, ["source", "slot"]) as flows_by_source, tidy_shuffles(spark):
+        discard(flows)
+        state = materialize(chunks.mapInArrow(start(not iterations), _STATE), "ranks")
         for i in range(iterations):
-            now = kept.join(ranks, "v")
-            share = now.where("deg is not null").select(run, F.col("node").alias("source"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), (F.col("rank") / F.col("deg")).alias("share"))
-            flow = flows_by_source.join(share.hint("merge"), key).select("share", "t", "m")
-            got = flow.mapInArrow(_flowed, "t long, got double").groupBy(F.col("t").alias("v")).agg(F.sum("got").alias("got"))
-            lost = now.groupBy(run).agg(F.sum(F.when(F.col("deg").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
-            rank = F.lit(1 - damping) * F.col("jump") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("jump"))
-            step = now.join(got, "v", "left").join(by_run(lost), run)
-            before, ranks = ranks, materialize(step.select("v", rank.alias("rank")) if i < iterations - 1 else step.select(run, "node", rank.alias("rank")), "ranks")
+            share = state.where("slots > 0").select(F.col("block").alias("source"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "value")
+            got = flows_by_source.join(share.hint("merge"), ["source", "slot"]).select("value", "s", "t").mapInArrow(_flowed(width, kind), "block long, at binary, got binary")
+            lost = state.select(F.explode(F.arrays_zip("q", "lost")).alias("l")).groupBy(F.col("l.q").alias("run")).agg(F.sum("l.lost").alias("x")).where("x <> 0")
+            lost = begun.join(by_run(lost), "run").select("block", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("got"), "run", "x")
+            left = got.select("*", F.lit(None).cast("long").alias("run"), F.lit(None).cast("double").alias("x")).unionByName(lost)
+            last = i == iterations - 1
+            before, state = state, materialize(left.groupBy("block").cogroup(chunks.groupBy("block")).applyInArrow(step(last), _STATE), "ranks")
             discard(before)
-        if not iterations:
-            ranks = materialize(kept.join(ranks, "v").select(run, "node", "rank"), "ranks")
-    discard(flows, numbers)
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, value in zip(b["block"], b["value"], strict=True):
+                rank = np.frombuffer(value.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rank)) + at.as_py() * width), pa.array(rank)], ["v", "rank"])
+
+    with tidy_shuffles(spark):
+        ranks = materialize(state.select("block", "value").mapInArrow(spelled, "v long, rank double").hint("merge").join(numbers, "v").select(run, "node", "rank"), "ranks")
+    discard(numbers, runs, slots, chunks, begun, state)
     return ranks
 
 

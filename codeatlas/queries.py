@@ -301,8 +301,8 @@ def production_filter(spark, d):
 
 def _transitions(spark, d):
     """user -> next user of the same day, by time: a multigraph."""
-    e = _events(spark, d).select("day", "ts", "event_id", "user_id")
-    n = windows.next_split(e, ["day"], [F.col("ts"), F.col("event_id")], "user_id", "target")
+    e = table(spark, d, "events").select(F.to_date("ts").alias("day"), "ts", "event_id", "user_id")
+    n = windows.next_split(e, ["day"], [F.col("ts"), F.col("event_id")], "user_id", "target", ["user_id"], ordered=True)
     return n.select(F.lit("r").alias("run_id"), F.col("user_id").alias("source"), "target").where("target is not null")
 
 
@@ -333,8 +333,8 @@ def decayed_reachability(spark, d):
 @query
 def reach_of_purchases(spark, d):
     """The same over purchases of a day in a row: a sparser graph with longer distances."""
-    e = _events(spark, d).where("event_type = 'purchase'").select("day", "ts", "event_id", "user_id")
-    n = windows.next_split(e, ["day"], [F.col("ts"), F.col("event_id")], "user_id", "target").where("target is not null")
+    e = table(spark, d, "events").where("event_type = 'purchase'").select(F.to_date("ts").alias("day"), "ts", "event_id", "user_id")
+    n = windows.next_split(e, ["day"], [F.col("ts"), F.col("event_id")], "user_id", "target", ["user_id"], ordered=True).where("target is not null")
     r = graph.reach_sums(n.select(F.lit("r").alias("run_id"), F.col("user_id").alias("source"), "target"))
     return r.select("src", "reached", F.round("weight", 6).alias("weight"), F.col("farthest").cast("long").alias("farthest"))
 

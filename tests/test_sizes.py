@@ -131,3 +131,30 @@ def test_pagerank_packs_edges_into_few_rows(spark, monkeypatch):
         assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-12 for i in rank)
         assert [n for keys, n in tables if "source" in keys][0] <= len(deg)
         monkeypatch.setattr(graph, "bucketed", write)
+
+
+def test_pagerank_steps_hold_blocks_not_nodes(spark, monkeypatch):
+    """Every cut at once: small blocks across runs, packed rows of three edges, flows summed a few at a time; a step writes a row per block, where it wrote one per node."""
+    rng = random.Random(5)
+    ids = {(r, i) for r, n in (("a", 90), ("b", 1), ("c", 40)) for i in range(n)}
+    pairs = [("a", rng.randrange(60), rng.randrange(95)) for _ in range(150)] + [("a", 3, 4)] * 9 + [("c", i, 0) for i in range(1, 40)] + [("c", 0, 99), ("d", 1, 2), ("a", 99, 1)]
+    for name, value in (("BLOCK", 7), ("HELD", 5), ("HUB", 3)):
+        monkeypatch.setattr(graph, name, value, raising=False)
+    counts, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: counts.append((name, (out := write(df, name)).count())) or out)
+    nodes = spark.createDataFrame(sorted(ids), "run_id string, id int")
+    seeds = spark.createDataFrame([("a", 5), ("a", 94), ("c", 1), ("c", 2)], "run_id string, id int")
+    got = {(r.run_id, r.node): r["rank"] for r in graph.pagerank(nodes, spark.createDataFrame(pairs, "run_id string, source int, target int"), seeds, iterations=2).collect()}
+    size, deg = Counter(r for r, _ in ids), Counter((r, s) for r, s, _ in pairs)
+    jump = {("a", 5): 1.0, ("c", 1): 0.5, ("c", 2): 0.5, ("b", 0): 1.0}
+    rank = {x: 1 / size[x[0]] for x in ids}
+    for _ in range(2):
+        flow, lost = Counter(), Counter()
+        for x in ids:
+            lost[x[0]] += rank[x] * (not deg[x])
+        for r, s, t in pairs:
+            flow[r, t] += rank.get((r, s), 0.0) / deg[r, s]
+        rank = {x: 0.15 * jump.get(x, 0.0) + 0.85 * (flow[x] + lost[x[0]] * jump.get(x, 0.0)) for x in ids}
+    assert got.keys() == rank.keys() and all(abs(got[x] - rank[x]) < 1e-12 for x in rank)
+    steps = [n for name, n in counts if name == "ranks"]
+    assert steps[-1] == len(ids) and 1 < max(steps[:-1]) <= -(-len(ids) // 4)

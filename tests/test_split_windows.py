@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeatlas.operators import windows
@@ -75,3 +76,28 @@ def test_cooldown_of_a_hot_key(spark, seconds):
     df = spark.createDataFrame([*requests, ("hot", None, -1), (None, start, -2)], "k string, t timestamp, i long")
     got = {(r.k, r.i): (r.granted, r.remaining) for r in windows.cooldown(df, "k", "t", "i", seconds).collect()}
     assert got == fold(requests, seconds)
+
+
+@pytest.mark.parametrize("partition", [[], ["g"], ["g", "k"]])
+def test_next_reads_rows_once(spark, rows, partition):
+    """Rows aren't joined with one another; tasks of no rows, of one row, and ends of partitions at ends of tasks."""
+    w = Window.partitionBy(*partition).orderBy("i")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for some in (rows, rows.where("i < 3"), rows.where("i = 1"), rows.where("false")):
+            out = windows.next_split(some, partition, [F.col("i")], "v", "after")
+            assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+            got, want = both(out, some.withColumn("after", F.lead("v").over(w)))
+            assert got == want
+            got, want = both(windows.next_split(some, partition, [F.col("i")], "i", "after", ["v"]), some.withColumn("after", F.lead("i").over(w)).select("v", "after"))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_next_by_order_alone(rows):
+    some = rows.withColumn("day", F.floor(F.col("i") / 50))
+    w = Window.partitionBy("day").orderBy("i")
+    got, want = both(windows.next_split(some, ["day"], [F.col("i")], "v", "after", ordered=True), some.withColumn("after", F.lead("v").over(w)))
+    assert got == want
