@@ -30,7 +30,8 @@ SELECT ord, CASE WHEN i = 1 THEN s ELSE s || '-' || i END AS slug FROM n""",
     "ranked_functions": """
 SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 3 > 0 THEN p_size ELSE 0 END DESC, p_name, p_partkey) AS place FROM part""",
     "unique_callees": """
-SELECT o_custkey AS caller, count(DISTINCT l_suppkey) AS n, count(DISTINCT s_name) AS names, count(DISTINCT l_suppkey) AS last FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1""",
+WITH f AS (SELECT o_custkey AS caller, l_suppkey AS callee, min(l_orderkey * 10 + l_linenumber) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT caller, callee, s_name AS name, row_number() OVER (PARTITION BY caller ORDER BY o, callee) AS place FROM f JOIN supplier ON s_suppkey = callee""",
     "evidence_totals": """
 SELECT o_custkey AS run_id, CAST(sum(1 + (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey)) AS BIGINT) AS evidence FROM orders GROUP BY 1""",
     "value_contract": """

@@ -113,6 +113,21 @@ def test_unique_callees_deal_calls_by_their_number(spark, capsys, monkeypatch):
     assert plan.count("REPARTITION_BY_NUM") == 5 and "ENSURE_REQUIREMENTS" not in plan
 
 
+def test_unique_callees_are_listed_with_names_and_places(spark):
+    """The query returns each customer's suppliers in order, not their number only; calls of one place go by callee, whatever task they are in."""
+    sf = "/root/testdata/sf0.001"
+    lines, orders, names = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("lineitem", "orders", "supplier"))
+    of, called, want = {r.o_orderkey: r.o_custkey for r in orders}, {r.s_suppkey: r.s_name for r in names}, {}
+    for r in sorted(lines, key=lambda r: (r.l_orderkey, r.l_linenumber, r.l_suppkey)):
+        if r.l_orderkey in of and r.l_suppkey in called:
+            want.setdefault(of[r.l_orderkey], {}).setdefault(r.l_suppkey, called[r.l_suppkey])
+    got = table_queries.QUERIES["unique_callees"](spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted((c, k, n, i + 1) for c, v in want.items() for i, (k, n) in enumerate(v.items()))
+    calls = spark.createDataFrame([("r", c, k, 5) for c in range(9) for k in (8, 3, 7, 1)] + [("r", 0, 9, 4), ("r", 0, 2, 1)], "run_id string, source int, target int, ord int")
+    told = views.unique_callees(calls, spark.createDataFrame([("r", k, f"f{k}") for k in (1, 3, 7, 8, 9)], "run_id string, id long, name string")).collect()
+    assert sorted((r.caller, r.place, r.callee, r.name) for r in told if r.caller < 2) == [(0, i + 1, k, f"f{k}") for i, k in enumerate((9, 1, 3, 7, 8))] + [(1, i + 1, k, f"f{k}") for i, k in enumerate((1, 3, 7, 8))]
+
+
 def test_pagerank_packs_edges_into_few_rows(spark, monkeypatch):
     """A step joins a row per source, not per edge; targets close together and far apart, parallel edges, and ends that aren't nodes."""
     for pairs in ([(a, b) for a in range(20) for b in range(30)] + [(0, 1)] * 5 + [(3, 999), (999, 3)], [(0, 1), (0, 1), (0, 290), (7, 299), (299, 0), (5, 999)]):
