@@ -5,24 +5,27 @@ Loops join and write each step to the shared folder: plans stay short and a lost
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import windows
-from ..session import bucketed, discard, materialize, small_batches, tidy_shuffles
+from ..session import bucketed, discard, materialize, small_batches, tasks, tidy_shuffles
 
 #: PageRank: edges of a packed row (a block of sources with more has several), most nodes of a block, edges whose flow a task holds; rows of runs that may be broadcast.
 HUB, BLOCK, HELD, BROADCAST_RUNS = 200_000, 16_384, 2_000_000, 200_000
 
-#: Reachability: edges of a slice of nodes, bytes of a block's sets of all nodes, origins of a block, and bytes of sets that a batch of blocks moves in a hop.
-SLICE, BLOCK_BYTES, WIDEST, BATCH_BYTES = 2_000_000, 64 << 20, 4096, 1 << 30
+#: Reachability: most edges and targets of a pack, bytes of a block's sets of all nodes, origins of a block, bytes of sets of a batch of blocks, and bytes of packs that a task holds in memory.
+PACK, PACK_TARGETS, BLOCK_BYTES, WIDEST, BATCH_BYTES, HELD_BYTES = 65_536, 512, 192 << 20, 62 * 64, 48 << 30, 512 << 20
 
 # Fixed values.
 DECAY, MIN_WEIGHT, DAMPING, ITERATIONS = 0.7, 0.06, 0.85, 20
@@ -62,137 +65,223 @@ def _sets(m: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.shape[1] * m.itemsize), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
 
 
-def _met(front: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The union of the rows front[place] of each group; groups begin at `first`. The k-th members of all groups are taken at once, those of the few largest groups one group after another."""
+_ALL = np.uint64(2**64 - 1)
+
+
+def _met(front: np.ndarray, place: np.ndarray, first: np.ndarray, had: np.ndarray | None = None, done: np.ndarray | None = None) -> np.ndarray:
+    """The union of the rows front[place] of each group, and of what it `had`; groups begin at `first`. The k-th members of all groups are taken at once, those of the few largest groups one
+    group after another. With `done` a group ends as soon as it lacks no other bits than these."""
     size = np.diff(first, append=len(place))
-    order = np.argsort(-size, kind="stable")
-    size, first = size[order], first[order]
-    out, k = front[place[first]], 1
-    while (m := int(np.searchsorted(-size, -k, "left"))) >= 64:  # groups of more than k members
-        out[:m] |= front[place[first[:m] + k]]
+    rows = np.argsort(-size, kind="stable")
+    size, first = size[rows], first[rows]
+    out = np.zeros((len(rows), front.shape[1]), np.uint64) if had is None else had[rows]
+    held, buffer, k = np.empty_like(out), np.empty_like(out), 0
+    while (m := int(np.searchsorted(-size, -k, "left"))) >= 8:  # groups of more than k members
+        np.take(front, place[first[:m] + k], axis=0, out=buffer[:m], mode="clip")
+        out[:m] |= buffer[:m]
         k += 1
+        if done is not None and k % 8 == 0 and 4 * np.count_nonzero(short := ((out[:m] | done) != _ALL).any(axis=1)) < 3 * m:
+            ended, short = np.append(np.flatnonzero(~short), np.arange(m, len(rows))), np.flatnonzero(short)
+            held[rows[ended]] = out[ended]
+            rows, size, first, out = rows[short], size[short], first[short], out[short]
     for g in range(m):
-        for lo in range(k, size[g], 4096):
-            out[g] |= np.bitwise_or.reduce(front[place[first[g] + lo : first[g] + min(lo + 4096, size[g])]], axis=0)
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return out[back]
-
-
-def _hop(left: pa.Table, right: pa.Table, origins: int) -> pa.Table:
-    """One hop of a block of origins into a slice of the nodes: `new` sets of the block's frontier meet over the slice's edges; what `seen` sets of the slice hold isn't new,
-    and nodes that hold the whole block aren't looked at."""
-    if not left.num_rows:
-        return pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("v", pa.int64()), ("new", pa.binary()), ("seen", pa.binary()))})
-    at, had = left.filter(left["new"].is_valid()), left.filter(left["seen"].is_valid())
-    at, had = at.sort_by("v"), had.sort_by("v")
-    block, w = left["block"][0].as_py(), len((at if at.num_rows else had)["new" if at.num_rows else "seen"][0].as_py()) // 8
-    known, source = had["v"].to_numpy(), at["v"].to_numpy()
-    s, t = (np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy() for c in right[x].chunks)]) for x in ("s", "t")) if right.num_rows else (np.empty(0, np.int32),) * 2
-    whole = np.zeros(w * 8, np.uint8)
-    whole[: (rest := max(0, min(origins - block * w * 64, w * 64))) // 8] = 255
-    if rest % 8:
-        whole[rest // 8] = (1 << rest % 8) - 1
-    held = _matrix(had["seen"]) if had.num_rows else np.zeros((0, w), np.uint64)
-    done = known[(held == whole.view(np.uint64)).all(axis=1)]
-    open_ = np.ones(max(int(t.max(initial=-1)), int(done.max(initial=-1))) + 1, bool)
-    open_[done] = False
-    s, t = s[(some := open_[t])], t[some]
-    place = np.searchsorted(source, s)
-    hit = np.flatnonzero(source[np.minimum(place, len(source) - 1)] == s) if len(source) else np.empty(0, np.int64)
-    hit = hit[np.argsort(t[hit], kind="stable")]
-    place, (met, first) = place[hit], np.unique(t[hit], return_index=True)
-    v = np.union1d(known, met).astype(np.int64)
-    new, seen = np.zeros((len(v), w), np.uint64), np.zeros((len(v), w), np.uint64)
-    seen[np.searchsorted(v, known)] = held
-    if len(met):
-        new[np.searchsorted(v, met)] = _met(_matrix(at["new"]), place, first)
-        new &= ~seen
-        seen |= new
-    some = pa.array(new.any(axis=1))
-    return pa.table({"block": pa.array(np.full(len(v), block, np.int64)), "v": v, "new": pc.if_else(some, _sets(new), pa.scalar(None, pa.binary())), "seen": _sets(seen)})
-
-
-def _frontiers(edges: DataFrame, origins: DataFrame | None, hops: int, run: str, kept: bool) -> Iterator[tuple[DataFrame, int, int, DataFrame]]:
-    """((run, src, block, bit) of the origins, bits of a block, distance, (block, v, run, node, new) of the sets of origins that reach a node first at this distance).
-
-    Origins are cut into blocks, nodes into slices of some millions of edges, and a hop is a task per block and slice: it gets the block's frontier, and the slice's edges and sets. So a task
-    holds a block's bits per node and a slice of the edges, whatever the graph's size. Blocks go in batches, each to its end, and a hop's shuffles and tables are removed after the next one:
-    disk is bounded by a batch, while time grows with origins times edges. With `kept`, tables of the sets stay.
+        for lo in range(k, size[g], 512):
+            out[g] |= np.bitwise_or.reduce(front[place[first[g] + lo : first[g] + min(lo + 512, size[g])]], axis=0)
+            if done is not None and ((out[g] | done) == _ALL).all():
+                break
+    held[rows] = out
+    return held
+
+
+def _held(m: np.ndarray) -> np.ndarray:
+    """How many rows hold each bit. Three rows of one weight become one, and one of the next weight, until two of each are left."""
+    n = np.zeros(m.shape[1] * 64, np.int64)
+    for lo in range(0, len(m), 4096):
+        level, weight = m[lo : lo + 4096], 1
+        while len(level):
+            carried = []
+            while k := len(level) // 3:
+                a, b, c = level[:k], level[k : 2 * k], level[2 * k : 3 * k]
+                odd = a ^ b
+                carried.append((a & b) | (odd & c))
+                level = np.concatenate([odd ^ c, level[3 * k :]])
+            n += weight * np.unpackbits(np.ascontiguousarray(level).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            level, weight = np.concatenate(carried) if carried else level[:0], 2 * weight
+    return n
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lo, hi, t, n, s): edges, which come by target, as packs: targets from lo to hi, the number of sources of each, and the sources. A target's edges may be in several packs."""
+
+    def cut(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        t, s = (np.concatenate(c).astype(np.int32) for c in zip(*parts, strict=True))
+        for at in range(0, len(t), PACK):
+            part = t[at : at + PACK]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(first, len(part))
+            for g in range(0, len(first), PACK_TARGETS):
+                mine = ends[g : g + PACK_TARGETS + 1]
+                target = part[mine[:-1]]
+                cols = target, np.diff(mine).astype(np.int32), s[at + mine[0] : at + mine[-1]]
+                yield pa.RecordBatch.from_arrays([pa.array([int(target[0])]), pa.array([int(target[-1])]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], ["lo", "hi", "t", "n", "s"])
+
+    parts, n = [], 0
+    for b in batches:
+        parts.append((b["t"].to_numpy(), b["s"].to_numpy()))
+        n += b.num_rows
+        if n >= PACK:
+            yield from cut(parts)
+            parts, n = [], 0
+    if n:
+        yield from cut(parts)
+
+
+class _Pack(NamedTuple):
+    lo: int
+    hi: int
+    t: np.ndarray
+    n: np.ndarray
+    s: np.ndarray
+
+
+def _within(packs: list[_Pack], lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(t, n, s) of the packs' targets from lo to hi, which are numbered from 0."""
+    for p in packs[bisect_left(packs, lo, key=lambda p: p.hi) : bisect_right(packs, hi, key=lambda p: p.lo)]:
+        i, j = np.searchsorted(p.t, [lo, hi + 1])
+        ends = np.append(0, np.cumsum(p.n))[[i, j]] if i or j < len(p.t) else (0, len(p.s))
+        cols = p.t[i:j], p.n[i:j], p.s[ends[0] : ends[1]]
+        yield (cols[0] - lo, cols[1], cols[2] - lo) if lo else cols
+
+
+def _walk(packs: list[_Pack], lo: int, hi: int, start: np.ndarray, hops: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(distance, sets before, sets after, how many nodes each origin reaches first at it) of the nodes from lo to hi, a bit per origin. What is no longer looked at: edges of sources whose sets didn't change in the last hop, targets that
+    lack no origin but those that reached nothing new, which is nothing ever after."""
+    size, w = hi - lo + 1, -(-len(start) // 64)
+    now = np.zeros((size, w), np.uint64)
+    bit = np.arange(len(start))
+    now.view(np.uint8)[start - lo, bit // 8] = 1 << (bit % 8)
+    after, fresh, n = np.empty_like(now), np.zeros(size, bool), np.zeros(w * 64, np.int64)
+    fresh[start - lo] = True
+    n[: len(start)] = 1
+    done = np.packbits(n == 0, bitorder="little").view(np.uint64)
+    for d in range(1, hops + 1):
+        np.copyto(after, now)
+        lacks = np.concatenate([((now[i : i + 4096] | done) != _ALL).any(axis=1) for i in range(0, size, 4096)])
+        changed = np.zeros(size, bool)
+        for t, k, s in _within(packs, lo, hi):
+            some = np.repeat(lacks[t], k) & fresh[s]
+            k = np.add.reduceat(some, np.cumsum(k) - k, dtype=np.int64)
+            if not len(met := np.flatnonzero(k)):
+                continue
+            at, k = t[met], k[met]
+            had = after[at]
+            got = _met(now, s[some], np.cumsum(k) - k, had, done)
+            after[at] = got
+            changed[at] |= (got != had).any(axis=1)
+        if not changed.any():
+            return
+        before, n = n, _held(after)
+        yield d, now, after, (n - before)[: len(start)]
+        done = np.packbits(n == before, bitorder="little").view(np.uint64)
+        now, after, fresh = after, now, changed
+
+
+def _frontiers(edges: DataFrame, origins: DataFrame | None, hops: int, run: str, kept: bool) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(origins (run, src, block, bit), nodes (v, run, node), what is found of a batch of blocks): with `kept` (block, first, dist, v, new), `new` being the set of those origins of the block, from the
+    bit `first` on, that reach v first at this distance, in tables that stay; else (block, first, dist, n), `n` being how many nodes each origin reaches first at this distance.
+
+    Origins are cut into blocks, a task each; it walks all hops with a bit per origin and node, so sets never leave it. Edges are packed by target, and every task reads the packs of its runs as
+    a stream: blocks and packs meet in a cross join without a shuffle. A task holds a block's bits twice and four bytes an edge (in a temporary file above HELD_BYTES); disk holds the packs once.
+    Time grows with origins times edges. Blocks go in batches, so that those of many runs don't read the packs of all.
     """
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     node = edges.schema["target"].dataType
-    e = materialize(edges.select(run, F.col("source").cast(node).alias("source"), "target").dropna().distinct(), "edges")
-    nodes = e.select(run, F.col("source").alias("node")).unionByName(e.select(run, F.col("target").alias("node"))).distinct()
-    nodes = materialize(windows.numbered_global(nodes, [F.col(run), F.col("node")], "v", 0), "nodes")
-    asked = e.select(run, F.col("source").alias("src")) if origins is None else edges.select(run, F.col("source").alias("src")).dropna().join(origins.select(run, F.col("id").alias("src")), [run, "src"], "left_semi")
-    ids = windows.numbered_global(asked.distinct(), [F.col(run), F.col("src")], "o", 0)
-    ids = materialize(ids.join(nodes.hint("merge"), (ids[run] == nodes[run]) & (F.col("src").cast(node) == F.col("node"))).select(ids[run], "src", "v", "o"), "origins")
-    n_edges, n_origins = e.count(), ids.count()
-    largest = nodes.groupBy(run).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
-    width = 64 * max(1, min(-(-n_origins // (parts * 64)), WIDEST // 64, BLOCK_BYTES * 8 // largest // 64))
-    slices, n_blocks = max(1, -(-n_edges // SLICE)), -(-n_origins // width)
-    ids = ids.select(run, "src", "v", F.floor(F.col("o") / width).alias("block"), (F.col("o") % width).cast("int").alias("bit"))
-    ends = nodes.select(run, F.col("node").alias("source"), F.col("v").cast("int").alias("s")).hint("merge"), nodes.select(run, F.col("node").alias("target"), F.col("v").cast("int").alias("t")).hint("merge")
-    packs = F.pmod(F.xxhash64("s"), F.lit(max(1, n_edges // slices // 50_000))).alias("pack")
-    packed = e.join(ends[0], [run, "source"]).join(ends[1], [run, "target"]).groupBy(run, (F.col("t") % slices).alias("slice"), packs).agg(F.collect_list("s").alias("s"), F.collect_list("t").alias("t"))
-    packed = materialize(packed.select(run, "slice", "s", "t"), "packed")
-    discard(e)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m, bit = np.zeros((b.num_rows, width // 8), np.uint8), b["bit"].to_numpy()
-            m[np.arange(b.num_rows), bit // 8] = 1 << (bit % 8)
-            yield pa.RecordBatch.from_arrays([b["block"], b["v"], _sets(m), _sets(m)], ["block", "v", "new", "seen"])
-
-    def hop(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _hop(left, right, n_origins)
-
-    schema = "block long, v long, new binary, seen binary"
-    batch = max(1, BATCH_BYTES * 8 // (slices * largest * width))
-    for lo in range(0, n_blocks, batch):
-        some = ids.where((F.col("block") >= lo) & (F.col("block") < lo + batch))
-        inner = packed.join(F.broadcast(some.select(run, "block").distinct()), run).drop(run)
-        state = some.select("block", "v", "bit").mapInArrow(single, schema)
-        before = None
-        for d in range(1, hops + 1):
-            front = state.where("new is not null").select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "v", "new", F.lit(None).cast("binary").alias("seen"))
-            left = front.unionByName(state.select("block", (F.col("v") % slices).cast("int").alias("slice"), "v", F.lit(None).cast("binary").alias("new"), "seen"))
-            with tidy_shuffles(spark):
-                state = materialize(left.groupBy("block", "slice").cogroup(inner.groupBy("block", "slice")).applyInArrow(hop, schema), "frontier")
-            if before is not None and not kept:
-                discard(before)
-            before, found = state, state.where("new is not null").select("block", "v", "new")
-            if not found.take(1):
-                break
-            yield ids, width, d, found.join(nodes.hint("merge"), "v") if kept else found
-        if before is not None and not kept:
-            discard(before)
+    with tidy_shuffles(spark):
+        e = materialize(edges.select(run, F.col("source").cast(node).alias("source"), "target").dropna().distinct(), "edges")
+        nodes = e.select(run, F.col("source").alias("node")).unionByName(e.select(run, F.col("target").alias("node"))).distinct()
+        nodes = materialize(windows.numbered_global(nodes, [F.col(run), F.col("node")], "v", 0), "nodes")
+        asked = e.select(run, F.col("source").alias("src")) if origins is None else edges.select(run, F.col("source").alias("src")).dropna().join(origins.select(run, F.col("id").alias("src")), [run, "src"], "left_semi")
+        ids = windows.numbered_global(asked.distinct(), [F.col(run), F.col("src")], "o", 0)
+        ids = materialize(ids.join(nodes.hint("merge"), (ids[run] == nodes[run]) & (F.col("src").cast(node) == F.col("node"))).select(ids[run], "src", "v", "o"), "origins")
+        n_origins = ids.count()
+        runs = materialize(nodes.groupBy(run).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "runs")
+        largest = runs.agg(F.coalesce(F.max(F.col("hi") - F.col("lo") + 1), F.lit(1))).first()[0]
+        width = 64 * max(1, min(-(-n_origins // (parts * 64)), WIDEST // 64, BLOCK_BYTES * 8 // largest // 64))
+        n_blocks = -(-n_origins // width)
+        ids = ids.join(runs, run).select(run, "src", "v", F.floor(F.col("o") / width).alias("block"), (F.col("o") % width).cast("int").alias("bit"), "lo", "hi")
+        ends = nodes.select(run, F.col("node").alias("source"), F.col("v").cast("int").alias("s")).hint("merge"), nodes.select(run, F.col("node").alias("target"), F.col("v").cast("int").alias("t")).hint("merge")
+        pairs = materialize(e.join(ends[0], [run, "source"]).join(ends[1], [run, "target"]).select("t", "s"), "pairs")
+        discard(e)
+        packed = pairs.repartitionByRange(max(parts, tasks(pairs.count())), "t", "s").sortWithinPartitions("t", "s")
+        packed = materialize(packed.mapInArrow(_packs, "lo long, hi long, t binary, n binary, s binary"), "packed")
+        discard(pairs)
+
+    def begin(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bit")
+        return pa.table({"at": t["block"].slice(0, 1), "first": t["bit"].slice(0, 1), "lo": t["lo"].slice(0, 1), "hi": t["hi"].slice(0, 1), "t": pa.array([t["v"].to_numpy().astype(np.int32).tobytes()], pa.binary())})
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = lambda x: np.frombuffer(x.as_buffer(), np.int32)
+        packs, starts, n_bytes, written = [], [], 0, 0
+        with tempfile.TemporaryFile() as file:
+            for b in batches:
+                for block, at, first, lo, hi, t, n, s in zip(*b.columns, strict=True):
+                    if at.is_valid:
+                        starts.append((block.as_py(), first.as_py(), lo.as_py(), hi.as_py(), ints(t)))
+                        continue
+                    cols = [ints(t), ints(n), ints(s)]
+                    n_bytes += sum(c.nbytes for c in cols)
+                    if n_bytes > HELD_BYTES:
+                        cols = [slice(written + i, written + j) for i, j in pairwise(np.cumsum([0, *map(len, cols)]))]
+                        written += sum(file.write(x.as_buffer()) for x in (t, n, s)) // 4
+                    packs.append(_Pack(lo.as_py(), hi.as_py(), *cols))
+            if written:
+                file.flush()
+                mapped = np.memmap(file, np.int32, "r")
+                packs = [p._replace(t=mapped[p.t], n=mapped[p.n], s=mapped[p.s]) if isinstance(p.t, slice) else p for p in packs]
+            packs.sort(key=lambda p: (p.lo, p.hi))
+            for block, first, lo, hi, start in sorted(starts, key=lambda x: x[:2]):
+                for d, before, after, n in _walk(packs, lo, hi, start, hops):
+                    key = lambda k, d=d: [pa.array(np.full(k, block, np.int64)), pa.array(np.full(k, first, np.int32)), pa.array(np.full(k, d, np.int32))]
+                    if not kept:
+                        yield pa.RecordBatch.from_arrays([*key(1), pa.array([n.tolist()], pa.list_(pa.int64()))], ["block", "first", "dist", "n"])
+                        continue
+                    for i in range(0, len(after), 4096):
+                        new = after[i : i + 4096] & ~before[i : i + 4096]
+                        if len(v := np.flatnonzero(new.any(axis=1))):
+                            yield pa.RecordBatch.from_arrays([*key(len(v)), pa.array(v + (i + lo)), _sets(new[v])], ["block", "first", "dist", "v", "new"])
+
+    batch = max(1, BATCH_BYTES // BLOCK_BYTES)
+    for b in range(0, n_blocks, batch):
+        most = min(b + batch, n_blocks)
+        begun = ids.where((F.col("block") >= b) & (F.col("block") < most)).groupBy("block", "lo", "hi").applyInArrow(begin, "at long, first int, lo long, hi long, t binary")
+        with tidy_shuffles(spark):
+            begun = materialize(begun, "frontier")
+        lo, hi = begun.agg(F.min("lo"), F.max("hi")).first()
+        none = {"at": F.lit(None).cast("long"), "first": F.lit(None).cast("int")}, {"n": F.lit(None).cast("binary"), "s": F.lit(None).cast("binary")}
+        read = packed.where((F.col("hi") >= lo) & (F.col("lo") <= hi)).withColumns(none[0]).unionByName(begun.withColumns(none[1])).coalesce(1)
+        met = read.crossJoin(spark.range(b, most, 1, most - b).withColumnRenamed("id", "block").hint("shuffle_replicate_nl")).where("at is null or at = block")
+        with small_batches(spark):
+            found = met.select("block", "at", "first", "lo", "hi", "t", "n", "s").mapInArrow(walk, "block long, first int, dist int, " + ("v long, new binary" if kept else "n array<long>"))
+            found = materialize(found, "reached" if kept else "frontier")
+        discard(begun)
+        yield ids.select(run, "src", "block", "bit"), nodes, found
+        if not kept:
+            discard(found)
+    discard(packed)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(i, bit): which bits the sets of a row hold."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 1024):
-            part = b.slice(lo, 1024)
-            row, bit = np.nonzero(np.unpackbits(_matrix(pa.chunked_array([part["new"]]), np.uint8), axis=1, bitorder="little"))
-            taken = part.drop_columns(["new"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bit.astype(np.int32))], [*taken.schema.names, "bit"])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, n): how many sets hold each bit of the block."""
-    found: dict[int, np.ndarray] = {}
+    """(block, first, dist, v, bit): which bits the sets of a row hold; sets of a batch may differ in width."""
     for b in batches:
-        blocks = b["block"].to_numpy()
-        for k in np.unique(blocks):
-            m = _matrix(pa.chunked_array([b["new"].filter(pa.array(blocks == k))]), np.uint8)
-            for lo in range(0, len(m), 1024):
-                c = np.unpackbits(m[lo : lo + 1024], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                found[k] = found[k] + c if k in found else c
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([c.tolist() for c in found.values()], pa.list_(pa.int64()))], ["block", "n"])
+        width = pc.binary_length(b["new"])
+        for same in (b.filter(pc.equal(width, w)) for w in pc.unique(width)):
+            for lo in range(0, same.num_rows, 1024):
+                part = same.slice(lo, 1024)
+                row, bit = np.nonzero(np.unpackbits(_matrix(pa.chunked_array([part["new"]]), np.uint8), axis=1, bitorder="little"))
+                taken = part.drop_columns(["new"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bit.astype(np.int32))], [*taken.schema.names, "bit"])
 
 
 def reach(edges: DataFrame, origins: DataFrame | None = None, hops: int | None = None, run: str = "run_id") -> DataFrame:
@@ -201,28 +290,23 @@ def reach(edges: DataFrame, origins: DataFrame | None = None, hops: int | None =
     The output has a row per reached pair, which is what is asked for: pairs are spelled out at the end, from sets. For counts and sums take reach_sums, which never has them.
     """
     out = edges.select(run, F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("dist")).where("false")
-    kinds = {f.name: f.dataType for f in out.schema}
-    for ids, _, d, new in _frontiers(edges, origins, hops or max_hops(), run, True):
-        schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("dst", kinds["dst"]), T.StructField("bit", T.IntegerType())])
-        pairs = new.select("block", F.col("node").alias("dst"), "new").mapInArrow(_bits, schema)
-        out = out.unionByName(pairs.join(ids, ["block", "bit"]).select(run, "src", "dst", F.lit(d).alias("dist")))
+    for ids, nodes, found in _frontiers(edges, origins, hops or max_hops(), run, True):
+        pairs = found.mapInArrow(_bits, "block long, first int, dist int, v long, bit int").select("block", "dist", "v", (F.col("first") + F.col("bit")).alias("bit"))
+        out = out.unionByName(pairs.join(nodes.select("v", F.col("node").alias("dst")).hint("merge"), "v").join(ids, ["block", "bit"]).select(run, "src", "dst", "dist"))
     return out
 
 
 def reach_sums(edges: DataFrame, origins: DataFrame | None = None, hops: int | None = None, decay: float = DECAY, run: str = "run_id") -> DataFrame:
     """(run_id, src, reached, weight, farthest) of the origins that reach a node: how many, the sum of decay^(dist - 1), the largest distance.
 
-    A hop's sets are counted bit by bit in the tasks that read them; the counts are written, the sets go."""
-    ids, counts = None, None
-    for ids, _, d, new in _frontiers(edges, origins, hops or max_hops(), run, False):
+    Sets are counted bit by bit in the tasks that hold them; only the counts are written."""
+    out = edges.select(run, F.col("source").alias("src"), F.lit(0).cast("long").alias("reached"), F.lit(0.0).alias("weight"), F.lit(0).alias("farthest")).where("false")
+    for ids, _, found in _frontiers(edges, origins, hops or max_hops(), run, False):
         with tidy_shuffles(edges.sparkSession):
-            c = new.select("block", "new").mapInArrow(_counts, "block long, n array<long>").select("block", F.posexplode("n").alias("bit", "n")).where("n > 0")
-            c = materialize(c.groupBy("block", "bit").agg(F.sum("n").alias("n")), "counts").withColumn("dist", F.lit(d))
-        counts = c if counts is None else counts.unionByName(c)
-    if counts is None:
-        return edges.select(run, F.col("source").alias("src"), F.lit(0).cast("long").alias("reached"), F.lit(0.0).alias("weight"), F.lit(0).alias("farthest")).where("false")
-    sums = decayed(counts, decay).groupBy("block", "bit").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("weight")).alias("weight"), F.max("dist").alias("farthest"))
-    return ids.join(sums, ["block", "bit"]).select(run, "src", "reached", "weight", "farthest")
+            c = found.select("block", "first", "dist", F.posexplode("n").alias("bit", "n")).where("n > 0").withColumn("bit", F.col("first") + F.col("bit"))
+            sums = decayed(c, decay).groupBy("block", "bit").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("weight")).alias("weight"), F.max("dist").alias("farthest"))
+            out = out.unionByName(materialize(ids.join(sums, ["block", "bit"]).select(run, "src", "reached", "weight", "farthest"), "sums"))
+    return out
 
 
 def decayed(reached: DataFrame, decay: float = DECAY) -> DataFrame:

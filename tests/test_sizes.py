@@ -83,6 +83,50 @@ def test_reach_in_small_blocks_slices_and_batches(spark, monkeypatch):
     assert not list(folder.glob("frontier-*"))
 
 
+def test_reach_moves_no_sets(spark, monkeypatch):
+    """However many hops there are, a block's sets stay in its task: only its start and its counts are written. Small packs, hubs cut over several, packs in a file, runs that share a block and a pack."""
+    rng = random.Random(11)
+    pairs = {(f"r{r}", s, s + 1) for r in range(6) for s in range(12)} | {(f"r{r}", rng.randrange(12), rng.randrange(13)) for r in range(3) for _ in range(9)}
+    pairs |= {("r6", i, 40) for i in range(40)} | {("r6", 40, i) for i in range(41)} | {("r6", 7, 50), ("r6", 60, 61)}
+    edges = spark.createDataFrame(sorted(pairs), "run_id string, source int, target int")
+    near, out = {}, {}
+    for r, s, t in pairs:
+        out.setdefault((r, s), set()).add(t)
+    for r, s in out:
+        dist, at = {s: 0}, {s}
+        for d in range(1, 9):
+            at = {t for x in at for t in out.get((r, x), ())} - set(dist)
+            dist |= dict.fromkeys(at, d)
+        near |= {(r, s, v): d for v, d in dist.items() if d}
+    want = {}
+    for (r, s, _), d in near.items():
+        n, w, most = want.get((r, s), (0, 0.0, 0))
+        want[r, s] = n + 1, w + 0.7 ** (d - 1), max(most, d)
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    for small in ({}, {"PACK": 16, "PACK_TARGETS": 3, "HELD_BYTES": 0}, {"PACK": 7, "PACK_TARGETS": 50, "HELD_BYTES": 200, "WIDEST": 64}):
+        for name, value in small.items():
+            monkeypatch.setattr(graph, name, value)
+        written.clear()
+        got = {(r.run_id, r.src): (r.reached, r.weight, r.farthest) for r in graph.reach_sums(edges, hops=8).collect()}
+        assert got.keys() == want.keys() and all(got[k][::2] == want[k][::2] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+        assert [c for name, c in written if name == "frontier"] == [["at", "first", "lo", "hi", "t"], ["block", "first", "dist", "n"]]
+        assert {(r.run_id, r.src, r.dst): r.dist for r in graph.reach(edges, hops=8).collect()} == near
+
+
+def test_unions_end_when_nothing_lacks():
+    rng = np.random.default_rng(4)
+    front = rng.integers(0, 2**63, (90, 3)).astype(np.uint64) & rng.integers(0, 2**63, (90, 3)).astype(np.uint64)
+    size = np.append(rng.integers(1, 60, 40), [4000, 1, 30])
+    first, place = np.cumsum(size) - size, rng.integers(0, 90, int(size.sum()))
+    had, done = rng.integers(0, 2**63, (len(size), 3)).astype(np.uint64), np.array([2**63, 2**64 - 1, 2**63 + 5], np.uint64)
+    want = np.bitwise_or.reduceat(front[place], first, axis=0) | had
+    assert (graph._met(front, place, first, had) == want).all()
+    assert (graph._met(front, place, first, had, done) | done == want | done).all()
+    for m in (front, front[:1], np.tile(want, (120, 1))):
+        assert (graph._held(m) == np.unpackbits(m.view(np.uint8), axis=1, bitorder="little").sum(axis=0)).all()
+
+
 def test_unions_of_groups():
     rng = np.random.default_rng(3)
     for n, most in ((300, 3), (5, 9000), (1, 1)):
